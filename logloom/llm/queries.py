@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import embedding_dedup, language_id, line_dedup, mixing, topk, url_filters
 
 
 def queries() -> dict:
-    return {"op4_line_dedup": line_dedup.op4_line_dedup}
+    return {
+        "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
+        "op3_url_filters": url_filters.op3_url_filters,
+        "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op5_topk": topk.op5_topk,
+        "op7_mixing": mixing.op7_mixing,
+        "op9_language_id": language_id.op9_language_id,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.OP4_SQL}
+    return {
+        "op2_embedding_dedup": embedding_dedup.OP2_SQL,
+        "op4_line_dedup": line_dedup.OP4_SQL,
+        "op5_topk": topk.OP5_SQL,
+        "op7_mixing": mixing.OP7_SQL,
+    }
