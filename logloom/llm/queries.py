@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, language_id, line_dedup, mixing, topk, url_filters
+from . import embedding_dedup, jaccard_join, language_id, line_dedup, lm_scoring, mixing, sentencepiece_dropout, substring_dedup, topk, url_filters
 
 
 def queries() -> dict:
     return {
+        "op1_sentencepiece": sentencepiece_dropout.op1_sentencepiece,
         "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
         "op3_url_filters": url_filters.op3_url_filters,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_topk": topk.op5_topk,
+        "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_mixing": mixing.op7_mixing,
+        "op8_lm_scoring": lm_scoring.op8_lm_scoring,
         "op9_language_id": language_id.op9_language_id,
+        "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     }
 
 
@@ -21,5 +25,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_embedding_dedup": embedding_dedup.OP2_SQL,
         "op4_line_dedup": line_dedup.OP4_SQL,
         "op5_topk": topk.OP5_SQL,
+        "op6_substring_dedup": substring_dedup.OP6_SQL,
         "op7_mixing": mixing.OP7_SQL,
+        "op10_jaccard_join": jaccard_join.OP10_SQL,
     }
