@@ -180,7 +180,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, id_col: str
     )
     # Pairs of runs, not of vectors: the sequence intervals of the grid order, in blocks.
     runs = files.join(F.broadcast(other) if count <= run * 4096 else other, (F.col("f") <= F.col("f2")) & (gap <= eps2))
-    work = runs.select("f", "name", "f2", "name2").repartition(max(1, min(4 * spark.sparkContext.defaultParallelism, -(-count // run) ** 2)), "f", "f2")
+    work = runs.select("f", "name", "f2", "name2").repartition(max(1, min(4 * spark.sparkContext.defaultParallelism, (-(-count // run)) ** 2)), "f", "f2")
 
     def join(batches):
         for batch in batches:
