@@ -37,6 +37,7 @@ from .common import U64, id_of, mix, mixed, ragged, slices, text_buffers
 
 MARK = 0x2581
 SEED, DROPOUT, VARIANTS = 11, 0.1, 64
+SLICE = 3 << 19  #: bytes of text that a task encodes at a time
 NONE = np.int32(2**31 - 1)
 
 
@@ -297,7 +298,7 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, seed: int =
             column = batch.column("_text")
             data, offsets = text_buffers(column)
             keys = mixed(batch.column("_id").to_numpy(zero_copy_only=False).astype(np.int64).view(U64) ^ U64(seed))
-            for i, j in slices(offsets, 1 << 22):
+            for i, j in slices(offsets, SLICE):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 ids, per = encode(model, part, at, keys[i:j], seed, dropout, variants)
                 back, sizes = decode(model, ids, per)
