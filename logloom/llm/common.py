@@ -244,3 +244,9 @@ def get_array(folder: str, name: str, key: str) -> np.ndarray:
     store, at = fs.FileSystem.from_uri(folder)
     with store.open_input_file(f"{at}/{name}.{key}.npy") as f:
         return np.load(io.BytesIO(f.read()))
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of ``shared_dir`` whose files nothing needs any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

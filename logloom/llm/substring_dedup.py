@@ -8,7 +8,7 @@ First pass: each task counts its windows into sparse count-min rows, cut into
 tiles; tiles of the same place are merged (counts saturate at 2) and become
 bitmaps of cells that hold two or more, in the shared folder.  The sketch never
 counts too low, so every repeated window is in such a cell of each row.  Second
-pass: only windows estimated repeated go on, as 128-bit hashes, once per chunk of
+pass: only windows estimated repeated go on, as 96-bit hashes, once per chunk of
 documents with the chunk's smallest doc_id; they are grouped exactly, and each
 chunk learns, with one bit per window, whether a smaller doc_id lies elsewhere.
 A window in a third of all documents is thus one row per chunk, not one per
@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, U64, Hasher, cut, get_array, id_of, put_arrays, shared_dir, word_slices
+from .common import U64, Hasher, cut, drop_folder, get_array, id_of, put_arrays, shared_dir, word_slices
+from .lm_scoring import pack, unpack
 
 SIZE = 13
 CELLS, MAX_BITS, TILE_BITS = 4, 34, 22
@@ -67,7 +68,7 @@ class _Chunk:
         if len(at):
             self.h.append(one.windows(one.words(w.data, w.starts, w.ends), at, size))
             if two is not None:
-                self.h2.append(two.windows(two.words(w.data, w.starts, w.ends), at, size))
+                self.h2.append((two.windows(two.words(w.data, w.starts, w.ends), at, size) >> U64(32)).astype(np.uint32))
             self.doc.append((doc + self.docs).astype(np.int32))
             self.pos.append((at - w.bounds[:-1][doc]).astype(np.int32))
             self.n += len(at)
@@ -164,19 +165,18 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, cells: int = CELLS, max_bi
             order = np.lexsort((ids[doc], h2, h))
             h, h2, doc, pos = h[order], h2[order], doc[order], pos[order]
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])])
-            group = np.cumsum(new) - 1
             first = np.flatnonzero(new)
-            low = ids[doc[first]]
-            name = put_arrays(folder, {"doc": doc, "pos": pos, "group": group.astype(np.int32), "ids": ids, "keys": keys, "low": low})
+            low = ids[doc[first]]  # of equal windows the smallest id comes first
+            name = put_arrays(folder, {"doc": doc, "pos": pos, "new": np.packbits(new), "ids": ids, "keys": keys})
             # sorted by h, so each part is one run
             part = ((h[first] >> U64(32)) * U64(parts)) >> U64(32)
             edges = np.searchsorted(part, np.arange(parts + 1, dtype=U64))
             for p in np.flatnonzero(np.diff(edges)):
                 a, b = edges[p], edges[p + 1]
-                yield pa.RecordBatch.from_pydict({"p": pa.array([p], pa.int32()), "name": [name], "at": pa.array([a], pa.int64()), "h": [h[first[a:b]].tobytes()], "h2": [h2[first[a:b]].tobytes()], "low": [low[a:b].tobytes()]})
+                yield pa.RecordBatch.from_pydict({"p": pa.array([p], pa.int32()), "name": [name], "at": pa.array([a], pa.int64()), "n": pa.array([b - a], pa.int64()), "h": [pack(h[first[a:b]], True)], "h2": [h2[first[a:b]].tobytes()], "low": [pack(low[a:b], False)]})
 
     def group(key: tuple[pa.Scalar, ...], blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [(r["name"], r["at"], np.frombuffer(r["h"], U64), np.frombuffer(r["h2"], U64), np.frombuffer(r["low"], np.int64)) for b in blocks for r in b.to_pylist()]
+        blocks = [(r["name"], r["at"], unpack(r["h"], r["n"], True), np.frombuffer(r["h2"], np.uint32), unpack(r["low"], r["n"], False).astype(np.int64)) for b in blocks for r in b.to_pylist()]
         h, h2, low = (np.concatenate([b[k] for b in blocks]) for k in (2, 3, 4))
         order = np.lexsort((low, h2, h))
         new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (h2[order][1:] != h2[order][:-1])])
@@ -191,7 +191,9 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, cells: int = CELLS, max_bi
 
     def spans(key: tuple[pa.Scalar, ...], replies: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = key[0].as_py()
-        low, doc, pos, grp, ids, keys = (np.array(get_array(folder, name, k)) for k in ("low", "doc", "pos", "group", "ids", "keys"))
+        doc, pos, ids, keys = (np.array(get_array(folder, name, k)) for k in ("doc", "pos", "ids", "keys"))
+        new = np.unpackbits(get_array(folder, name, "new"), count=len(doc)).astype(bool)
+        grp, low = np.cumsum(new) - 1, ids[doc[new]]
         elsewhere = np.zeros(len(low), bool)
         for batch in replies:
             for at, n, raw in zip(*[batch.column(c).to_pylist() for c in ("at", "n", "bits")]):
@@ -211,10 +213,12 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, cells: int = CELLS, max_bi
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(pairs.ravel(), pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array(ids[d[heads]]), pa.array(keys[d[heads]]), lists], ["_id", "_h", "spans"])
 
-    found = base.mapInArrow(candidates, "p int, name string, at long, h binary, h2 binary, low binary")
+    found = base.mapInArrow(candidates, "p int, name string, at long, n long, h binary, h2 binary, low binary")
     replies = found.groupBy("p").applyInArrow(group, "name string, at long, n long, bits binary")
     out = replies.groupBy("name").applyInArrow(spans, "_id long, _h long, spans array<long>")
-    return out.groupBy("_id", "_h").agg(F.first("spans").alias("spans"))  # repeats of a row, maybe
+    found = cut(out.groupBy("_id", "_h").agg(F.first("spans").alias("spans")))  # repeats of a row, maybe
+    drop_folder(spark, folder)  # what follows needs only the spans
+    return found
 
 
 def removal(docs: DataFrame, size: int = SIZE, **how) -> DataFrame:
