@@ -332,9 +332,15 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, group:
         named = classes.join(labels.withColumnRenamed("node", "s1"), "s1", "left").groupBy("g").agg(F.min(F.coalesce("label", "s1")).alias("lo"), F.max(F.coalesce("label", "s1")).alias("hi"))
         # the label of a group that is in one component, else null
         many = cut(many.join(named, "g").select("t", "g", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("l")))
-        usual = many.groupBy("t", "l").agg(F.count("*").alias("c")).groupBy("t").agg(F.max_by("l", F.struct("c", "l")).alias("u"))
-        odd = many.join(usual, "t").where("l is null or u is null or l <> u").select("t", F.col("g").alias("a"), F.col("l").alias("la"))
-        rest = odd.join(many.select("t", F.col("g").alias("b"), F.col("l").alias("lb")), "t").where("a <> b and (la is null or lb is null or la <> lb)")
+        # Tokens of one large component mostly have the same groups: those whose groups
+        # mostly carry one label are taken together, so that a pair comes once, not per token.
+        usual = many.groupBy("t", "l").agg(F.count("*").alias("c")).groupBy("t").agg(F.max_by("l", F.struct("c", "l")).alias("u"), F.max(F.when(F.col("l").isNotNull(), F.col("c")).otherwise(F.lit(0))).alias("c"), F.sum("c").alias("n"))
+        usual = usual.select("t", "u", (F.col("u").isNotNull() & (2 * F.col("c") >= F.col("n"))).alias("most"))
+        keyed = many.join(usual, "t").select(F.when(F.col("most"), F.col("u")).otherwise(F.col("t")).alias("k"), "most", "g", "l", (F.col("l").isNull() | F.col("u").isNull() | (F.col("l") != F.col("u"))).alias("odd"))
+        keyed = cut(keyed.groupBy("k", "most", "g").agg(F.first("l").alias("l"), F.max("odd").alias("odd")))
+        odd = keyed.where("odd").select("k", "most", F.col("g").alias("a"), F.col("l").alias("la"))
+        other = keyed.select("k", "most", F.col("g").alias("b"), F.col("l").alias("lb"), F.col("odd").alias("ob"))
+        rest = odd.join(other, ["k", "most"]).where("a <> b and (not ob or a < b) and (la is null or lb is null or la <> lb)")
         rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
         more = links(rest)
         labels = cut(connected_components(edges.unionByName(more)))
