@@ -97,7 +97,8 @@ def frequency(docs: DataFrame, bits: int, folder: str, size: int) -> str:
     total = np.zeros(1 << bits, np.uint32)
     for r in rows:
         total[r.p << tile : (r.p + 1) << tile] = np.minimum(unpack(r.x, 1 << tile, False), U64(2**32 - 1))
-    return put_arrays(folder, {"df": total})
+    order = np.concatenate([np.floor(2 * np.log2(np.maximum(total[k : k + (1 << tile)], 1))).astype(np.uint8) for k in range(0, 1 << bits, 1 << tile)])
+    return put_arrays(folder, {"df": total, "order": order})
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -161,8 +162,7 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, group:
     parts = int(max(8, guess >> 23))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, hasher = np.array(get_array(folder, df_name, "df")), Hasher(1)
-        order_of = np.floor(2 * np.log2(np.maximum(df, 1))).astype(np.uint8)
+        df, order_of, hasher = get_array(folder, df_name, "df"), np.array(get_array(folder, df_name, "order")), Hasher(1)
         held: dict[str, list] = {k: [] for k in ("id", "h", "n", "s1", "s2", "g", "tokens", "pt", "pg")}
         count = 0
 
@@ -301,7 +301,8 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, group:
                 out.append(np.array(tokens[bounds[x["row"]] : bounds[x["row"] + 1]]))
             return out
 
-        for batch in batches:
+        # a few pairs at a time: each may list many members
+        for batch in (b.slice(k, 32) for b in batches for k in range(0, b.num_rows, 32)):
             left, right = [], []
             for ma, mb in zip(batch.column("ma").to_pylist(), batch.column("mb").to_pylist()):
                 same = mb is None
