@@ -20,8 +20,9 @@ YEAR = 2025
 LOCAL_HOURS = 7  # Windows logs are written in local time, UTC+7
 
 IP = r"\d+\.\d+\.\d+\.\d+"
-RFC = r"^([A-Z][a-z]{2})\s+(\d{1,2})\s(\d{2}:\d{2}:\d{2})\s"
-ISO = r"^(\d{4}-\d{2}-\d{2})\s+(\d{2}:\d{2}:\d{2})\s+"
+#: (?s): a merged record's continuation lines belong to its message.
+RFC = r"(?s)^([A-Z][a-z]{2})\s+(\d{1,2})\s(\d{2}:\d{2}:\d{2})\s"
+ISO = r"(?s)^(\d{4}-\d{2}-\d{2})\s+(\d{2}:\d{2}:\d{2})\s+"
 
 Columns = Callable[[Dialect], dict[str, str]]
 
