@@ -431,6 +431,12 @@ def bruteforce_by_ip(d: Dialect) -> str:
     return alert("credential_bruteforce_detected", "source_ip", f"round({score}, 6)", {"logins": n("c"), "failed": n("fails"), "users": n("users")}, f"from ({inner}) as g where c >= 5 and fails >= 3 and {rate} >= 0.4")
 
 
+def resolve_unknown(d: Dialect) -> str:
+    """Rows without a user, with the most frequent sudo user as the likely one (of equals the first by name)."""
+    top = "select username from (select username, row_number() over (order by count(*) desc, username) as rk from @logs where lower(action) = 'sudo' and username is not null group by username) as r where rk = 1"
+    return f"select row_id, coalesce({KNOWN}, '(unknown)' || coalesce('(via ' || (select max(username) from ({top}) as t) || ')', '')) as who from @logs"
+
+
 BIG = 50_000_000
 
 

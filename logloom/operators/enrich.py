@@ -72,3 +72,23 @@ def leases(d: Dialect) -> str:
     spread = f"select ip, mac, start, stop, {d.unnest(d.steps(day('start'), day('stop'), 1, 'day'), 'day')} from @leases where start < stop"
     hit = f"select l.row_id, s.mac, row_number() over (partition by l.row_id order by s.start, s.mac) as rk from @points as l join ({spread}) as s on s.ip = l.ip and s.day = {day('l.timestamp')} where l.timestamp >= s.start and l.timestamp < s.stop"
     return f"select p.row_id, h.mac from @points as p left join (select row_id, mac from ({hit}) as x where rk = 1) as h on h.row_id = p.row_id"
+
+
+def address_number(d: Dialect, ip: str) -> str:
+    """An IPv4 address as a number, null if it is none."""
+    part = lambda i: f"try_cast(split_part({ip}, '.', {i}) as bigint)"
+    return f"case when {d.has(ip, ipf.VALID)} then {part(1)} * 16777216 + {part(2)} * 65536 + {part(3)} * 256 + {part(4)} end"
+
+
+def geo(d: Dialect) -> str:
+    """Country of each distinct address by ranges (lo, hi, country), of several the narrowest.
+
+    An equi-join by the address's /16 with the range as filter; a range stands
+    under each /16 that it touches.  Each address is looked up once.
+    """
+    ips = f"select ip, num, cast(floor(num / 65536.0) as bigint) as net from (select ip, {address_number(d, 'ip')} as num from (select distinct source_ip as ip from @logs where source_ip is not null) as x) as y where num is not null"
+    nets = "cast(floor(lo / 65536.0) as bigint)", "cast(floor(hi / 65536.0) as bigint)"
+    span = f"sequence({nets[0]}, {nets[1]})" if d.name == "spark" else f"generate_series({nets[0]}, {nets[1]})"
+    spread = f"select lo, hi, country, {d.unnest(span, 'net')} from @ranges where lo <= hi"
+    hit = f"select i.ip, r.country, row_number() over (partition by i.ip order by r.hi - r.lo, r.country) as rk from ({ips}) as i join ({spread}) as r on r.net = i.net where i.num between r.lo and r.hi"
+    return f"select l.row_id, g.country from @logs as l left join (select ip, country from ({hit}) as h where rk = 1) as g on g.ip = l.source_ip"

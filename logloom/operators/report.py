@@ -108,3 +108,29 @@ def client_filter(d: Dialect, severities: tuple[str, ...] = ("CRITICAL", "WARNIN
     """Alerts by severity set and by a text in type or subject."""
     low = text.lower()
     return f"select type, subject, severity, score from ({kept(d)}) as k where severity in ({', '.join(repr(s) for s in severities)}) and (contains(lower(type), '{low}') or contains(lower(subject), '{low}'))"
+
+
+def prompts(d: Dialect) -> str:
+    """A text for an analyst or a model per subject: its alerts by falling score."""
+    line = "'- ' || type || ' (' || severity || ')'"
+    distinct = f"select distinct subject, type, severity, cast(round(10 * score) as bigint) as tenth from ({kept(d)}) as k"
+    order = "array_join(transform(array_sort(collect_list(struct(-tenth as o, type as t, " + line + " as x))), y -> y.x), '; ')" if d.name == "spark" else f"string_agg({line}, '; ' order by -tenth, type, {line})"
+    return f"select subject, 'Subject ' || subject || ' has ' || cast(count(*) as string) || ' kinds of alerts: ' || {order} as prompt from ({distinct}) as a group by subject"
+
+
+def log_class(d: Dialect) -> str:
+    """The class of a file from its first fifty messages, before its program names are asked.
+
+    A quarter of them (three at least) must fit; endpoint lines before Windows
+    lines before system, firewall and web lines.
+    """
+    m = "coalesce(message, '')"
+    flags = {
+        "edr": f"({d.has(m, 'Sysmon: EventID=|^[ ]*Sysmon:')} or ({d.has(m, 'DestinationIp=|SrcIp=')} and contains({m}, 'Image=')))",
+        "windows_eventlog": f"({d.has(m, 'Channel=|EventID=|TargetFilename=')} and (contains({m}, 'Host=') or not contains({m}, 'Image=')))",
+        "linuxsyslog": d.has(m, r"sshd\[|sudo\[|cron\[|kernel:|systemd\["), "firewall": d.has(m, "(?i)action=|proto="), "apache": d.has(m, "GET |POST |HTTP/"),
+    }
+    counts = ", ".join(f"count_if({c}) as c{i}" for i, c in enumerate(flags.values()))
+    pick = " ".join(f"when c{i} >= greatest(3, floor(k / 4.0)) then '{name}'" for i, name in enumerate(flags))
+    head = "select program, message, row_number() over (partition by program order by timestamp, row_id) as rk from @logs where message is not null"
+    return f"select program, case {pick} else 'generic' end as log_class from (select program, count(*) as k, {counts} from ({head}) as h where rk <= 50 group by program) as c"

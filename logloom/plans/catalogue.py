@@ -154,6 +154,12 @@ def member(new: bool) -> Text:
     return lambda d: half(d, new, "cast(c_nationkey as bigint) as grp, c_mktsegment || cast(c_custkey % 7 as string) as member")
 
 
+def ranges(d: Dialect) -> str:
+    """Address ranges of countries, one inside another."""
+    rows = [(167772160, 167903231, "VN"), (167837696, 167837951, "SG"), (3405803776, 3405804031, "US"), (3405803776, 3405803785, "CN"), (5, 4, "XX")]
+    return f"select * from {d.values(rows, ['lo', 'hi', 'country'])} as r"
+
+
 #: Alerts of the cheaper detectors, for the report queries.
 CHEAP = ["bruteforce_by_ip", "blocked_ratio", "web_auth_failure", "ssh_lateral", "off_hours", "dns_tunneling", "deny_burst_ip", "rules_persistence", "suspicious_operations", "policy_evasion", "lsass_dump", "dhcp_frequent_release"]
 alerts = bind(lambda d: D.all_alerts(d, False, CHEAP), logs=logs)
@@ -236,6 +242,7 @@ def catalogue() -> dict[str, Text]:
         "upsert_by_key": bind(B.upsert, old=keyed(False), new=keyed(True)), "map_merge": bind(B.map_merge, old=simple(False), new=simple(True)), "groups_merge": bind(B.groups_merge, old=member(False), new=member(True)),
         "quality_profile": on_logs(report.quality_profile), "heuristic_level": on_logs(report.heuristic_level), "postprocess_upgrade": bind(report.upgrades, logs=P.dense), "rendered_lines": on_logs(report.rendered_lines), "keyword_counts": on_logs(report.keyword_counts), "export_rows": on_logs(report.export_rows), "log_type": on_logs(report.log_type),
         "report_kept": on_alerts(report.kept), "subject_rollup": on_alerts(report.subject_rollup), "report_summary": on_alerts(report.summary), "webhook_payload": on_alerts(report.webhook_payload), "client_filter": on_alerts(report.client_filter), "related_logs": bind(report.related_logs, alerts=alerts, logs=logs),
+        "geo_lookup": bind(E.geo, logs=logs, ranges=ranges), "resolve_unknown": on_logs(D.resolve_unknown), "log_class": on_logs(report.log_class), "prompts": on_alerts(report.prompts),
         "json_flatten": json_fields, "time_filter": on_logs(time_filter), "normalised": on_logs(normalised), "all_alerts": Together(after, trained_before), "multiline_merge": bind(parsers.merge_multiline, lines=bind(rendered.stream, logs=logs)), "format_sniff": bind(parsers.sniff_counts, lines=bind(rendered.lines("openssh"), logs=logs)),
     }
     return out
