@@ -15,7 +15,7 @@ large, meets in one task.
 Defined cases: null lang or source count as ``(none)``; a null text has no
 tokens; documents without tokens are in an epoch as soon as the order reaches
 them; rows with the same doc_id travel together (null ids count as one id); an
-empty table gives an empty table.
+empty table gives an empty table; a node of weight 0 gets nothing.
 """
 
 from __future__ import annotations
@@ -64,6 +64,7 @@ def _share(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     The level is the largest (B - caps of the k first) / (weights of the rest)
     with siblings in order of cap / w, a sum over the siblings only.
     """
+    nodes = nodes.where("w > 0")
     by = Window.partitionBy(*parent)
     before = by.orderBy(F.col("cap") / F.col("w"), name).rowsBetween(Window.unboundedPreceding, -1)
     rest = by.orderBy(F.col("cap") / F.col("w"), name).rowsBetween(Window.currentRow, Window.unboundedFollowing)

@@ -122,6 +122,7 @@ def test_mix_takes_prefixes(spark):
     assert M.mix(df, part=(1, 1), epochs=1).count() == len(rows)
     assert M.mix(df, part=(0, 1)).where("tokens > 0").count() == 0
     assert M.mix(df.limit(0)).count() == 0
+    assert {r.lang for r in M.mix(df, lang_weights={"en": 0}).select("lang").distinct().collect()} == {"de", "(none)"}
     a, b, c = (sorted(r.row.doc_id or -1 for r in M.mix(df, part=(1, 2), seed=s).collect()) for s in (1, 1, 2))
     assert a == b != c
 
