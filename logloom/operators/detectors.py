@@ -319,14 +319,18 @@ def roles(d: Dialect) -> str:
     return f"select u.username, coalesce(r.role, 'unknown') as role, coalesce(r.mult, 1.5) as mult, coalesce(r.tech, 0) as tech from (select distinct username from @logs where username is not null) as u left join ({top}) as g on g.username = u.username left join {d.values(ROLES, ['grp', 'role', 'mult', 'tech'])} as r on r.grp = g.grp"
 
 
-def inter_arrival(d: Dialect) -> str:
+def gaps(d: Dialect) -> str:
     """Seconds between a user's connections to an address: count, mean, variance, deviation."""
     gap = f"({d.micros('timestamp')} - lag({d.micros('timestamp')}) over (partition by username, dest_ip order by timestamp, row_id)) / 1000000.0"
-    return f"select username, dest_ip, {n('count(*)')} as connections, round(avg(gap), 6) as mean, round(var_samp(gap), 4) as var, round(stddev_samp(gap), 6) as sd from (select username, dest_ip, {gap} as gap from @logs where {EDR} and username is not null and dest_ip is not null) as g group by username, dest_ip"
+    return f"select username, dest_ip, {n('count(*)')} as connections, avg(gap) as mean, var_samp(gap) as var, stddev_samp(gap) as sd from (select username, dest_ip, {gap} as gap from @logs where {EDR} and username is not null and dest_ip is not null) as g group by username, dest_ip"
+
+
+def inter_arrival(d: Dialect) -> str:
+    return f"select username, dest_ip, connections, round(mean, 3) as mean, round(var, 0) as var, round(sd, 3) as sd from ({gaps(d)}) as g"
 
 
 def c2_beaconing(d: Dialect) -> str:
-    return alert("c2_beaconing_detected", "username", "10.0", {"dest_ip": "dest_ip", "connections": "connections", "mean": "mean"}, f"from ({inter_arrival(d)}) as b where connections >= 10 and {ipf.external_text(d, 'dest_ip')} and ((var < 5 and mean < 300) or (sd < 2 and mean < 60))")
+    return alert("c2_beaconing_detected", "username", "10.0", {"dest_ip": "dest_ip", "connections": "connections", "mean": "round(mean, 3)"}, f"from ({gaps(d)}) as b where connections >= 10 and {ipf.external_text(d, 'dest_ip')} and ((var < 5 and mean < 300) or (sd < 2 and mean < 60))")
 
 
 def suspicious_process(d: Dialect) -> str:
