@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from . import embedding_dedup, jaccard_join, language_id, line_dedup, lm_scoring, mixing, sentencepiece_dropout, substring_dedup, topk, url_filters
+from .common import ship
+
+
+def shipped(query):
+    """The query, after the workers have the package."""
+
+    @wraps(query)
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict:
-    return {
+    own = {
         "op1_sentencepiece": sentencepiece_dropout.op1_sentencepiece,
         "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
         "op3_url_filters": url_filters.op3_url_filters,
@@ -18,6 +32,7 @@ def queries() -> dict:
         "op9_language_id": language_id.op9_language_id,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     }
+    return {k: shipped(q) for k, q in own.items()}
 
 
 def oracle_sql() -> dict[str, str]:
