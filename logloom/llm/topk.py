@@ -132,7 +132,7 @@ def top_k(table: DataFrame, k: int = K, scale: float = SCALE, step: int = STEP,
                     part = slice(starts[b], min(len(y), starts[b] + block))
                     s = np.where(xi[at][:, None] == yi[part][None, :], np.iinfo(np.int64).min, _scores(x[at], y[part]))
                     if s.shape[1] > k:  # with one row the query's own, k others are left
-                        kth[at] = -np.sort(-s, axis=1)[:, k - 1]
+                        kth[at] = np.sort(s, axis=1)[:, -k]  # the own row comes first; its score can't be negated
                 yield pa.RecordBatch.from_pydict({"q": [q], "kth": [kth.tolist()]})
 
     def best_floor(pdf):

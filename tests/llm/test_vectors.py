@@ -87,6 +87,15 @@ def test_top_k(spark):
     assert [(r.query_id, r["rank"], r.vec_id) for r in few] == [(10, 1, 11)]
 
 
+def test_top_k_floor_leaves_room_for_the_tenth(spark):
+    """The query and nine copies fill one block's best; the tenth is in a block of lower bound."""
+    rows = [(i, [1.0, 0.0] if i < 10 else [0.0, 1.0] if i < 128 else [0.9, 0.0], 0) for i in range(256)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for range_rows in (8192, 128):
+        got = sorted((r["rank"], r.vec_id, r.score) for r in top_k(df, step=1000, range_rows=range_rows, block=128).collect())
+        assert got == [(i, i, 1024 * 1024) for i in range(1, 10)] + [(10, 128, 1024 * 921)]
+
+
 def test_search_prunes_and_stays_exact():
     rng = random.Random(2)
     d = np.array([[rng.randrange(-5, 6) + 100 * (i // 64 == j) for j in range(16)] for i in range(1024)])
