@@ -70,7 +70,7 @@ def _rows(process: str | None, message: Text | None = None) -> Text:
     def build(d: Dialect) -> str:
         body = message(d) if message else "message"
         proc = f"'{process}'" if process else "program"
-        return f"select {d.format('timestamp', '%Y-%m-%d %H:%M:%S')} as timestamp, host, {proc} as process, '1' as pid, 'info' as severity, 'auth' as facility, {body} as message, dept as department from @logs as l where row_id % 3 = 0"
+        return f"select {d.format('timestamp', '%Y-%m-%d %H:%M:%S')} as timestamp, host, {proc} as process, '1' as pid, 'info' as severity, 'auth' as facility, {body} as message, dept as department from @logs as l"
 
     return build
 
@@ -83,7 +83,7 @@ def _body(name: str) -> Text:
 def layout_rows(d: Dialect) -> dict[str, Text]:
     iso = d.format("timestamp", "%Y-%m-%d %H:%M:%S")
     q = "`" if d.name == "spark" else '"'
-    src = "from @logs as l where row_id % 3 = 0"
+    src = "from @logs as l"
     text = lambda cols: lambda _: f"select {cols} {src}"
     return {
         "zeek_dns_csv": text(f"{iso} as timestamp, source_ip, username, 'query: ' || domain || ' IN ' || query_type || {rendered.pick(chr(39) + ' +' + chr(39), chr(39) + ' +E' + chr(39))} as message"),

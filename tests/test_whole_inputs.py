@@ -5,7 +5,7 @@ import pytest
 from logloom.plans import catalogue, dialect, rendered
 from logloom.plans.dialect import bind
 from logloom.plans.projection import logs
-from logloom.sources import parsers
+from logloom.sources import adapters, parsers
 
 SF = "/root/testdata/sf0.001"
 QUERIES = catalogue.catalogue()
@@ -32,3 +32,13 @@ def test_all_rendered_variants_occur(spark):
     assert found("sysmon", r"EventID=(\w+)") == {"3", "1", "x"}
     assert found("keyvalue", r"action=(\w+)") == {"ALLOW", "DENY", "established"}
     assert found("linux", r" (\w+): ") == {"kernel", "systemd", "network"}
+
+
+@pytest.mark.parametrize("name", sorted(adapters.LAYOUTS))
+def test_a_row_of_every_layout_for_every_event(spark, events, name):
+    assert dialect.query(QUERIES[f"adapt_{name}"])(spark, SF).count() == events
+
+
+def test_all_classifications_of_a_layout_occur(spark):
+    rows = dialect.query(bind(lambda d: catalogue.layout_rows(d)["suricata_csv"](d), logs=logs))(spark, SF)
+    assert {r[0] for r in rows.select("classification").distinct().collect()} == {"Attempted Recon", "Policy", "x"}
