@@ -42,3 +42,10 @@ def test_a_row_of_every_layout_for_every_event(spark, events, name):
 def test_all_classifications_of_a_layout_occur(spark):
     rows = dialect.query(bind(lambda d: catalogue.layout_rows(d)["suricata_csv"](d), logs=logs))(spark, SF)
     assert {r[0] for r in rows.select("classification").distinct().collect()} == {"Attempted Recon", "Policy", "x"}
+
+
+def test_multiline_merges_every_line(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = dialect.query(QUERIES["multiline_merge"])(spark, sf)
+    per = [r.k for r in rows.selectExpr("file", "size(split(line, '\\n')) as k").groupBy("file").agg({"k": "sum"}).withColumnRenamed("sum(k)", "k").collect()]
+    assert sum(per) == spark.read.parquet(f"{sf}/events.parquet").count() and max(per) <= 1000 and len(per) > 7
