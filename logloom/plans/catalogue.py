@@ -12,7 +12,7 @@ from ..operators import noise, report, series
 from ..sources import adapters, parsers
 from . import projection as P
 from . import rendered
-from .dialect import SPARK, Bound, Dialect, Text, bind
+from .dialect import SPARK, Bound, Dialect, Text, bind, named
 from .projection import logs
 
 SPLIT = "timestamp '2024-01-15 00:00:00'"
@@ -160,9 +160,30 @@ def ranges(d: Dialect) -> str:
     return f"select * from {d.values(rows, ['lo', 'hi', 'country'])} as r"
 
 
-#: Alerts of the cheaper detectors, for the report queries.
-CHEAP = ["bruteforce_by_ip", "blocked_ratio", "web_auth_failure", "ssh_lateral", "off_hours", "dns_tunneling", "deny_burst_ip", "rules_persistence", "suspicious_operations", "policy_evasion", "lsass_dump", "dhcp_frequent_release"]
-alerts = bind(lambda d: D.all_alerts(d, False, CHEAP), logs=logs)
+@lru_cache(maxsize=None)
+def events_of(source: Text) -> Text:
+    return bind(D.router_events, logs=source)
+
+
+def united(d: Dialect) -> str:
+    """Alerts of all detectors; those that compare with trained statistics read ``@after``."""
+    return f"{D.all_alerts(d, False)} union all {named(D.all_alerts(d, names=list(D.WITH_STATS)), {'logs': '@after'})}"
+
+
+class Together(Bound):
+    """All detectors: one text for the oracle, a union of the detectors' frames in Spark."""
+
+    def __init__(self, logs: Text, after: Text, stats: Text):
+        super().__init__(united, {"logs": logs, "after": after, "stats": stats})
+
+    def parts(self) -> list[tuple[str, Text]]:
+        logs, after, stats = self.inputs.values()
+        made = [(k, bind(t, logs=logs, **({"ev": events_of(logs)} if k in D.ON_EVENTS else {}))) for k, t in D.PLAIN.items()]
+        return made + [(k, bind(t, logs=after, stats=stats)) for k, t in D.WITH_STATS.items()]
+
+
+#: Alerts of all detectors, for the report queries.
+alerts = Together(logs, after, trained_before)
 
 
 def on_alerts(text: Text) -> Text:
@@ -200,22 +221,6 @@ def state_counts(d: Dialect) -> str:
     return " union all ".join(f"select '{k}' as name, cast(count(*) as bigint) as rows from ({t(d)}) as x{i}" for i, (k, t) in enumerate(parts.items()))
 
 
-@lru_cache(maxsize=None)
-def events_of(source: Text) -> Text:
-    return bind(D.router_events, logs=source)
-
-
-class Together(Bound):
-    """All detectors: one text for the oracle, a union of the detectors' frames in Spark."""
-
-    def __init__(self, logs: Text, stats: Text):
-        super().__init__(D.all_alerts, {"logs": logs, "stats": stats})
-
-    def parts(self) -> list[tuple[str, Text]]:
-        made = [(k, bind(t, logs=self.inputs["logs"], **({"ev": events_of(self.inputs["logs"])} if k in D.ON_EVENTS else {}))) for k, t in D.PLAIN.items()]
-        return made + [(k, bind(t, **self.inputs)) for k, t in D.WITH_STATS.items()]
-
-
 @lru_cache
 def catalogue() -> dict[str, Text]:
     out: dict[str, Text] = {}
@@ -243,6 +248,6 @@ def catalogue() -> dict[str, Text]:
         "quality_profile": on_logs(report.quality_profile), "heuristic_level": on_logs(report.heuristic_level), "postprocess_upgrade": bind(report.upgrades, logs=P.dense), "rendered_lines": on_logs(report.rendered_lines), "keyword_counts": on_logs(report.keyword_counts), "export_rows": on_logs(report.export_rows), "log_type": on_logs(report.log_type),
         "report_kept": on_alerts(report.kept), "subject_rollup": on_alerts(report.subject_rollup), "report_summary": on_alerts(report.summary), "webhook_payload": on_alerts(report.webhook_payload), "client_filter": on_alerts(report.client_filter), "related_logs": bind(report.related_logs, alerts=alerts, logs=logs),
         "geo_lookup": bind(E.geo, logs=logs, ranges=ranges), "resolve_unknown": on_logs(D.resolve_unknown), "log_class": on_logs(report.log_class), "prompts": on_alerts(report.prompts),
-        "json_flatten": json_fields, "time_filter": on_logs(time_filter), "normalised": on_logs(normalised), "all_alerts": Together(after, trained_before), "multiline_merge": bind(parsers.merge_multiline, lines=bind(rendered.stream, logs=logs)), "format_sniff": bind(parsers.sniff_counts, lines=bind(rendered.lines("openssh"), logs=logs)),
+        "json_flatten": json_fields, "time_filter": on_logs(time_filter), "normalised": on_logs(normalised), "all_alerts": Together(after, after, trained_before), "multiline_merge": bind(parsers.merge_multiline, lines=bind(rendered.stream, logs=logs)), "format_sniff": bind(parsers.sniff_counts, lines=bind(rendered.lines("openssh"), logs=logs)),
     }
     return out

@@ -49,3 +49,10 @@ def test_multiline_merges_every_line(spark):
     rows = dialect.query(QUERIES["multiline_merge"])(spark, sf)
     per = [r.k for r in rows.selectExpr("file", "size(split(line, '\\n')) as k").groupBy("file").agg({"k": "sum"}).withColumnRenamed("sum(k)", "k").collect()]
     assert sum(per) == spark.read.parquet(f"{sf}/events.parquet").count() and max(per) <= 1000 and len(per) > 7
+
+
+def test_reports_take_the_alerts_of_all_detectors(spark):
+    kept = {(r.type, r.subject, r.score) for r in dialect.query(QUERIES["report_kept"])(spark, SF).collect()}
+    for name in ("new_user", "attack_chain", "suspicious_process"):
+        found = {(r.type, r.subject, r.score) for r in dialect.query(QUERIES[f"detect_{name}"])(spark, SF).where("score >= 3.5").collect()}
+        assert found and found <= kept, name
