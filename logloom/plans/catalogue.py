@@ -182,7 +182,7 @@ class Together(Bound):
         return made + [(k, bind(t, logs=after, stats=stats)) for k, t in D.WITH_STATS.items()]
 
 
-#: Alerts of all detectors, for the report queries.
+#: Alerts of all detectors.
 alerts = Together(logs, after, trained_before)
 
 
@@ -248,6 +248,6 @@ def catalogue() -> dict[str, Text]:
         "quality_profile": on_logs(report.quality_profile), "heuristic_level": on_logs(report.heuristic_level), "postprocess_upgrade": bind(report.upgrades, logs=P.dense), "rendered_lines": on_logs(report.rendered_lines), "keyword_counts": on_logs(report.keyword_counts), "export_rows": on_logs(report.export_rows), "log_type": on_logs(report.log_type),
         "report_kept": on_alerts(report.kept), "subject_rollup": on_alerts(report.subject_rollup), "report_summary": on_alerts(report.summary), "webhook_payload": on_alerts(report.webhook_payload), "client_filter": on_alerts(report.client_filter), "related_logs": bind(report.related_logs, alerts=alerts, logs=logs),
         "geo_lookup": bind(E.geo, logs=logs, ranges=ranges), "resolve_unknown": on_logs(D.resolve_unknown), "log_class": on_logs(report.log_class), "prompts": on_alerts(report.prompts),
-        "json_flatten": json_fields, "time_filter": on_logs(time_filter), "normalised": on_logs(normalised), "all_alerts": Together(after, after, trained_before), "multiline_merge": bind(parsers.merge_multiline, lines=bind(rendered.stream, logs=logs)), "format_sniff": bind(parsers.sniff_counts, lines=bind(rendered.lines("openssh"), logs=logs)),
+        "json_flatten": json_fields, "time_filter": on_logs(time_filter), "normalised": on_logs(normalised), "all_alerts": alerts, "multiline_merge": bind(parsers.merge_multiline, lines=bind(rendered.stream, logs=logs)), "format_sniff": bind(parsers.sniff_counts, lines=bind(rendered.lines("openssh"), logs=logs)),
     }
     return out

@@ -56,3 +56,11 @@ def test_reports_take_the_alerts_of_all_detectors(spark):
     for name in ("new_user", "attack_chain", "suspicious_process"):
         found = {(r.type, r.subject, r.score) for r in dialect.query(QUERIES[f"detect_{name}"])(spark, SF).where("score >= 3.5").collect()}
         assert found and found <= kept, name
+
+
+def test_all_alerts_take_events_before_the_split(spark):
+    alerts = dialect.query(QUERIES["all_alerts"])(spark, SF).where("detector = 'ssh_lateral' or detector = 'off_hours'")
+    for name in ("ssh_lateral", "off_hours"):
+        own = dialect.query(QUERIES[f"detect_{name}"])(spark, SF).select("type", "subject", "severity", "score")
+        got = alerts.where(f"detector = '{name}'").drop("detector")
+        assert own.count() and own.exceptAll(got).count() == got.exceptAll(own).count() == 0
