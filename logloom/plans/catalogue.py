@@ -127,7 +127,8 @@ def people(d: Dialect) -> str:
 
 
 def _leases(d: Dialect) -> str:
-    return f"select source_ip as ip, 'mac-' || cast(row_id as string) as mac, timestamp as start, {d.plus('timestamp', 30, 'hour')} as stop from @logs where row_id % 17 = 0"
+    """A lease from the last event of each address and day."""
+    return f"select source_ip as ip, 'mac-' || cast(max(row_id) as string) as mac, max(timestamp) as start, {d.plus('max(timestamp)', 30, 'hour')} as stop from @logs group by source_ip, date_trunc('day', timestamp)"
 
 
 lease_table = bind(_leases, logs=logs)

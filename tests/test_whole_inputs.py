@@ -64,3 +64,11 @@ def test_all_alerts_take_events_before_the_split(spark):
         own = dialect.query(QUERIES[f"detect_{name}"])(spark, SF).select("type", "subject", "severity", "score")
         got = alerts.where(f"detector = '{name}'").drop("detector")
         assert own.count() and own.exceptAll(got).count() == got.exceptAll(own).count() == 0
+
+
+def test_every_address_and_day_has_a_lease(spark):
+    leases = dialect.query(catalogue.lease_table)(spark, SF).selectExpr("ip", "date_trunc('day', start) as day")
+    days = dialect.query(logs)(spark, SF).selectExpr("source_ip as ip", "date_trunc('day', timestamp) as day").distinct()
+    assert days.exceptAll(leases).count() == leases.exceptAll(days).count() == 0
+    found = dialect.query(QUERIES["lease_lookup"])(spark, SF)
+    assert found.where("mac is null").count() and found.where("mac is not null").count()
