@@ -3,22 +3,30 @@
 Vectors are scaled to length 1, so cosine >= t means a distance of at most
 eps = sqrt(2 - 2t).  They are turned to their principal axes (which keeps
 distances), cut into grid cells of side eps on the leading axes, and sorted by
-those cells: the epsilon grid order.  Sorted runs go to block files in the
-shared folder.  Pairs of runs are joined recursively: two intervals whose
-bounding boxes lie further apart than eps are skipped, others are halved until
-small and then compared by one matrix product in double precision.
+those cells: the epsilon grid order.  The sorted sequence goes, run by run, to
+block files in the shared folder.
+
+The join recurses over intervals of the sequence.  Above the runs the intervals
+are nodes of a tree (FAN runs, FAN**2 runs, ...), each with the bounding box of its
+vectors on the leading axes: starting from the root, pairs of nodes whose boxes
+lie further apart than eps are skipped and the others replaced by the pairs of
+their children, by joins on the parents' numbers.  Within a pair of runs intervals
+are halved likewise until small and then compared by one matrix product in double
+precision.
 
 A pair of intervals yields, for each vector, a count of its links and a spanning
 forest of the links, never the pairs, so a group of N near copies yields O(N)
-rows for each pair of runs.  Equal vectors are joined once, with their number.
+rows for each pair of runs.  Equal vectors (by two 64-bit hashes) are joined once,
+with their number.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
-components link with nothing and are their own component; vectors of unlike
-length count as padded with zeros; exact repeats of a row (vec_id and vector)
-are one vector and each gets its row's result; rows of one vec_id with unlike
-vectors are different vectors; a null vec_id ranks last and is returned as null
-(its component_id is null if no vector with an id is in its component);
-an empty table gives an empty table.
+components link with nothing and are their own component; tiny and huge vectors
+count like any, by their direction; vectors of unlike length count as padded with
+zeros; exact repeats of a row (vec_id and vector) are one vector and each gets its
+row's result; rows of one vec_id with unlike vectors are different vectors; a null
+vec_id ranks last and is returned as null (its component_id is null if no vector
+with an id is in its component); other columns are not read; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -31,18 +39,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, connected_components, cut, get_array, id_of, put_arrays, shared_dir
-from .vectors import matrix, widened
+from .vectors import matrix, unit, widened
 
 THRESHOLD = 0.95
-RUN, LEAF, GRID_AXES = 2048, 256, 6
+RUN, LEAF, FAN = 2048, 256, 16
+GRID_AXES, BOX_AXES = 6, 32  #: leading axes of the grid order and of the boxes above the runs
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n, total, square = 0, np.zeros(0), np.zeros((0, 0))
     for batch in batches:
         x, valid = matrix(batch.column(0))
-        length = np.linalg.norm(x, axis=1)
-        x = x[valid & (length > 0)] / length[valid & (length > 0)][:, None]
+        x = unit(x[valid])[0]
         w = max(x.shape[1], len(total))
         total = np.pad(total, (0, w - len(total)))
         square = np.pad(square, ((0, w - len(square)),) * 2)
@@ -51,33 +59,42 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"n": [n], "total": [total.tolist()], "square": [square.ravel().tolist()]})
 
 
-def principal_axes(vectors: DataFrame) -> np.ndarray:
-    """Columns: axes by falling variance.  Moments are summed per task, then in 32 groups."""
+def principal_axes(vectors: DataFrame, folder: str) -> tuple[str, int]:
+    """(name of the array of axes, width): columns by falling variance.
+
+    Moments are summed per task, in 32 groups and then in one task, which writes the axes.
+    """
     sums = vectors.select("v").mapInArrow(_moments, "n long, total array<double>, square array<double>")
     part = sums.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(32)))
 
-    def add(pdf):
-        w = max(len(x) for x in pdf["total"])
-        total, square = np.zeros(w), np.zeros((w, w))
-        for t, s in zip(pdf["total"], pdf["square"]):
+    def added(rows):
+        w = max(len(t) for _, t, _ in rows)
+        n, total, square = 0, np.zeros(w), np.zeros((w, w))
+        for m, t, s in rows:
+            n += int(m)
             total[: len(t)] += t
             square[: len(t), : len(t)] += np.reshape(s, (len(t), len(t)))
+        return n, total, square
+
+    def add(pdf):
+        import pandas as pd
+
+        n, total, square = added(list(zip(pdf["n"], pdf["total"], pdf["square"])))
+        return pd.DataFrame({"n": [n], "total": [total], "square": [square.ravel()]})
+
+    def finish(pdf):
         import pandas as pd
 
-        return pd.DataFrame({"n": [int(pdf["n"].sum())], "total": [total], "square": [square.ravel()]})
+        n, total, square = added(list(zip(pdf["n"], pdf["total"], pdf["square"])))
+        axes = np.eye(len(total))
+        if n:
+            values, axes = np.linalg.eigh(square / n - np.outer(total / n, total / n))
+            axes = axes[:, np.argsort(-values)]
+        return pd.DataFrame({"name": [put_arrays(folder, {"axes": axes})], "width": [len(total)]})
 
-    rows = part.groupBy("g").applyInPandas(add, "n long, total array<double>, square array<double>").collect()  # at most 32 rows
-    w = max([len(r.total) for r in rows], default=0)
-    n, total, square = sum(r.n for r in rows), np.zeros(w), np.zeros((w, w))
-    for r in rows:
-        k = len(r.total)
-        total[:k] += r.total
-        square[:k, :k] += np.reshape(r.square, (k, k))
-    if not n:
-        return np.eye(w)
-    mean = total / n
-    values, axes = np.linalg.eigh(square / n - np.outer(mean, mean))
-    return axes[:, np.argsort(-values)]
+    grouped = part.groupBy("g").applyInPandas(add, "n long, total array<double>, square array<double>")
+    row = grouped.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(finish, "name string, width long").first()
+    return (row.name, row.width) if row else (None, 0)
 
 
 def _forest(rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,56 +148,80 @@ def _join_runs(x: np.ndarray, y: np.ndarray, same: bool, t: float, leaf: int) ->
             stack += [(a, b, c, m), (a, b, m, d)]
 
 
-def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector: str = "embedding", run: int = RUN, leaf: int = LEAF) -> DataFrame:
+def _apart2(lo: str, hi: str, lo2: str, hi2: str):
+    """Squared distance of two boxes."""
+    gaps = F.transform(F.arrays_zip(lo, hi, lo2, hi2), lambda z: F.greatest(F.lit(0.0), z[lo] - z[hi2], z[lo2] - z[hi]))
+    return F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g)
+
+
+def near_runs(files: DataFrame, runs: int, eps2: float, fan: int = FAN) -> DataFrame:
+    """(f, name, f2, name2): pairs of runs, f <= f2, whose boxes lie within eps, found down the tree of intervals."""
+    level = files.select(F.col("f").alias("node"), "name", "lo", "hi")
+    levels = [level]
+    while runs > fan:
+        runs = -(-runs // fan)
+        # the box of an interval of fan nodes: the least and greatest bounds, axis by axis
+        split = level.select(F.floor(F.col("node") / fan).alias("node"), F.posexplode(F.arrays_zip("lo", "hi")).alias("axis", "z"))
+        box = split.groupBy("node", "axis").agg(F.min("z.lo").alias("l"), F.max("z.hi").alias("h"))
+        box = box.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("axis", "l", "h"))).alias("b"))  # one entry per axis
+        level = cut(box.select("node", F.lit(None).cast("string").alias("name"), F.col("b.l").alias("lo"), F.col("b.h").alias("hi")))
+        levels.append(level)
+    pairs = None
+    for level in reversed(levels):
+        left = level.select(F.col("node").alias("f"), "name", "lo", "hi", F.floor(F.col("node") / fan).alias("up"))
+        right = level.select(F.col("node").alias("f2"), F.col("name").alias("name2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.floor(F.col("node") / fan).alias("up2"))
+        # at most fan nodes lie below one node, so each pair has at most fan ** 2 pairs of children
+        near = left.join(right, F.col("up") == F.col("up2")) if pairs is None else pairs.join(left, "up").join(right, "up2")
+        near = near.where((F.col("f") <= F.col("f2")) & (_apart2("lo", "hi", "lo2", "hi2") <= eps2))
+        found = cut(near.select("f", "name", "f2", "name2"))
+        pairs = found.select(F.col("f").alias("up"), F.col("f2").alias("up2"))
+    return found
+
+
+def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector: str = "embedding", run: int = RUN, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``table``."""
     spark = table.sparkSession
     rows = table.select(F.col(id_col).alias("vec_id"), id_of(id_col).alias("_id"), F.col(vector).cast("array<double>").alias("v"))
-    rows = rows.withColumn("_c", F.xxhash64("v"))
     fine = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    classes = rows.where(fine).select("_id", "v").distinct().groupBy("v").agg(F.count("*").alias("m"), F.min("_id").alias("low"))
-    classes = cut(classes.select(F.col("v"), "m", "low"))
-    axes = principal_axes(classes)
-    width, eps, folder = len(axes), float(np.sqrt(2 - 2 * threshold)), shared_dir(spark)
+    rows = rows.withColumn("c1", F.when(fine, F.xxhash64("v"))).withColumn("c2", F.when(fine, F.xxhash64(F.lit(1), "v")))
+    once = rows.where("c1 is not null").groupBy("c1", "c2", "_id").agg(F.first("v").alias("v"))
+    classes = cut(once.groupBy("c1", "c2").agg(F.first("v").alias("v"), F.count("*").alias("m"), F.min("_id").alias("low")))
+    folder, eps2 = shared_dir(spark), 2 - 2 * threshold + 1e-9
+    axes_name, width = principal_axes(classes, folder)
+    eps, carried = float(np.sqrt(2 - 2 * threshold)), ("c1", "c2", "v", "m", "low")
 
     def place(batches):
         for batch in batches:
-            x, _ = matrix(batch.column("v"))
-            x = widened(x, width)
-            x = x / np.linalg.norm(x, axis=1)[:, None]
-            cells = np.floor((x @ axes[:, :GRID_AXES]) / eps).astype(np.int32)
+            axes = np.array(get_array(folder, axes_name, "axes")[:, :GRID_AXES])
+            x = unit(widened(matrix(batch.column("v"))[0], width))[0]
+            cells = np.floor((x @ axes) / eps).astype(np.int32)
             out = {f"g{k}": pa.array(cells[:, k] if k < cells.shape[1] else np.zeros(len(x), np.int32), pa.int32()) for k in range(GRID_AXES)}
-            yield pa.RecordBatch.from_pydict(out | {c: batch.column(c) for c in ("v", "m", "low")})
+            yield pa.RecordBatch.from_pydict(out | {c: batch.column(c) for c in carried})
 
-    count = classes.count()
-    order = [f"g{k}" for k in range(GRID_AXES)] + ["low", "v"]
+    runs = max(1, -(-classes.count() // run))
+    order = [f"g{k}" for k in range(GRID_AXES)] + ["low", "c1", "c2"]
     grid = ", ".join(f"g{k} int" for k in range(GRID_AXES))
-    placed = classes.mapInArrow(place, f"{grid}, v array<double>, m long, low long")
-    placed = placed.repartitionByRange(max(1, -(-count // run)), *order).sortWithinPartitions(*order)
+    placed = classes.mapInArrow(place, f"{grid}, c1 long, c2 long, v array<double>, m long, low long")
+    placed = placed.repartitionByRange(runs, *order).sortWithinPartitions(*order)
 
     def store(batches):
-        parts = [(matrix(b.column("v"))[0], b.column("m").to_numpy(), b.column("low").to_numpy()) for b in batches]
-        if not parts or not sum(len(p[0]) for p in parts):
+        from pyspark import TaskContext
+
+        parts = [(matrix(b.column("v"))[0], *[b.column(c).to_numpy() for c in ("m", "low", "c1", "c2")]) for b in batches if b.num_rows]
+        if not parts:
             return
-        raw = np.concatenate([widened(p[0], width) for p in parts])
-        x = raw / np.linalg.norm(raw, axis=1)[:, None]
-        name = put_arrays(folder, {"x": x @ axes, "raw": raw, "m": np.concatenate([p[1] for p in parts]), "low": np.concatenate([p[2] for p in parts])})
+        axes = np.array(get_array(folder, axes_name, "axes"))
+        x, raw = unit(np.concatenate([widened(p[0], width) for p in parts]))
         turned = x @ axes
-        yield pa.RecordBatch.from_pydict({"name": [name], "n": [len(x)], "lo": [turned.min(0).tolist()], "hi": [turned.max(0).tolist()]})
-
-    files = cut(placed.mapInArrow(store, "name string, n long, lo array<double>, hi array<double>"))
-    from pyspark.sql import Window
-
-    # One row per run of ~2048 vectors; the number that orders them needs no shuffle of vectors.
-    files = cut(files.withColumn("f", F.row_number().over(Window.orderBy("name")) - 1))
-    eps2 = 2 - 2 * threshold + 1e-9
-    other = files.select(*[F.col(c).alias(f"{c}2") for c in files.columns])
-    gap = F.aggregate(
-        F.transform(F.arrays_zip("lo", "hi", "lo2", "hi2"), lambda z: F.pow(F.greatest(F.lit(0.0), z["lo"] - z["hi2"], z["lo2"] - z["hi"]), F.lit(2.0))),
-        F.lit(0.0), lambda s, g: s + g,
-    )
-    # Pairs of runs, not of vectors: the sequence intervals of the grid order, in blocks.
-    runs = files.join(F.broadcast(other) if count <= run * 4096 else other, (F.col("f") <= F.col("f2")) & (gap <= eps2))
-    work = runs.select("f", "name", "f2", "name2").repartition(max(1, min(4 * spark.sparkContext.defaultParallelism, (-(-count // run)) ** 2)), "f", "f2")
+        name = put_arrays(folder, {"x": turned, "raw": raw} | {c: np.concatenate([p[k] for p in parts]) for k, c in enumerate(("m", "low", "c1", "c2"), 1)})
+        box = turned[:, :BOX_AXES]
+        # the task's number is the run's place in the grid order
+        yield pa.RecordBatch.from_pydict({"f": pa.array([TaskContext.get().partitionId()], pa.int64()), "name": [name], "lo": [box.min(0).tolist()], "hi": [box.max(0).tolist()]})
+
+    files = cut(placed.mapInArrow(store, "f long, name string, lo array<double>, hi array<double>"))
+    last = files.agg(F.max("f")).first()[0]
+    work = near_runs(files, (last or 0) + 1, eps2, fan)
+    work = work.repartition(max(1, min(4 * spark.sparkContext.defaultParallelism, runs * runs)), "f", "f2")
 
     def join(batches):
         for batch in batches:
@@ -221,20 +262,16 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, id_col: str
 
     def members(batches):
         for batch in batches:
-            for f, a in zip(batch.column("f").to_pylist(), batch.column("name").to_pylist()):
-                raw, m, low = get_array(folder, a, "raw"), get_array(folder, a, "m"), get_array(folder, a, "low")
-                for k in range(0, len(raw), 4096):
-                    part = np.array(raw[k : k + 4096])
-                    v = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, width), pa.int32()), pa.array(part.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, k + len(part)) + (f << 32)), v, pa.array(np.array(m[k : k + 4096])), pa.array(np.array(low[k : k + 4096]))], ["node", "cv", "m", "low"])
-
-    nodes = files.select("f", "name").mapInArrow(members, "node long, cv array<double>, m long, low long")
+            for f, name in zip(batch.column("f").to_pylist(), batch.column("name").to_pylist()):
+                cols = {c: np.array(get_array(folder, name, c)) for c in ("c1", "c2", "m", "low")}
+                yield pa.RecordBatch.from_pydict({"node": np.arange(len(cols["m"])) + (f << 32)} | cols)
+
+    nodes = files.select("f", "name").mapInArrow(members, "node long, c1 long, c2 long, m long, low long")
     nodes = nodes.join(links, "node", "left").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     nodes = cut(nodes)
     lows = nodes.groupBy("label").agg(F.min("low").alias("component"))
-    nodes = nodes.join(lows, "label").select("cv", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), "component")
-    padded = F.when(fine, F.concat("v", F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), F.lit(width) - F.size("v")))))
-    out = rows.withColumn("pv", padded).join(nodes, F.col("pv") == F.col("cv"), "left")
+    nodes = nodes.join(lows, "label").select("c1", "c2", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), "component")
+    out = rows.select("vec_id", "_id", "c1", "c2").join(nodes, ["c1", "c2"], "left")
     component = F.coalesce("component", "_id")
     return out.select(
         "vec_id",
