@@ -1,8 +1,10 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from logloom.llm import lm_scoring as L
@@ -15,40 +17,47 @@ def words(text):
 
 
 class Brute:
-    def __init__(self, texts):
-        self.c, self.pair = Counter(), Counter()
+    """A dictionary model: ``n[k]`` has the counts of order k, by n-grams as tuples."""
+
+    def __init__(self, texts, order):
+        self.order, self.c = order, Counter()
+        self.n = {k: Counter() for k in range(1, order + 1)}
         for t in texts:
             w = [*words(t), None]
             self.c.update(w)
-            self.pair.update(zip(["<s>", *w[:-1]], w))
+            w = ["<s>", *w]
+            for k in range(2, order + 1):
+                grams = [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+                self.n[k].update(grams if k == order else grams[:1])
+        for k in range(order, 1, -1):
+            for g in list(self.n[k]):
+                self.n[k - 1][g[1:]] += 1
         self.N, self.V = sum(self.c.values()), len(self.c)
-        self.ctx, self.follow, self.cont = Counter(), defaultdict(list), Counter()
-        for (u, w), n in self.pair.items():
-            self.ctx[u] += n
-            self.follow[u].append(n)
-            self.cont[w] += 1
-        tops = lambda it: [sum(1 for n in it if n == k) for k in (1, 2, 3, 4)]
-        self.D, self.D1 = L._discounts(tops(self.pair.values())), L._discounts(tops(self.cont.values()))
-        self.T = sum(self.cont.values())
-
-    @staticmethod
-    def d(n, D):
-        return 0 if n == 0 else D[min(n, 3) - 1]
-
-    def p1(self, w):
-        g = sum(self.d(n, self.D1) for n in self.cont.values()) / self.T
-        return (self.cont[w] - self.d(self.cont[w], self.D1)) / self.T + g / (self.V + 1)
-
-    def p(self, u, w):
-        if not self.ctx[u]:
-            return self.p1(w)
-        n, c = self.pair[u, w], self.ctx[u]
-        return (n - self.d(n, self.D)) / c + sum(self.d(x, self.D) for x in self.follow[u]) / c * self.p1(w)
+        self.D = {k: L._discounts([sum(1 for x in n.values() if x == i) for i in (1, 2, 3, 4)]) for k, n in self.n.items()}
+        self.after = defaultdict(list)
+        for k in range(2, order + 1):
+            for g, x in self.n[k].items():
+                self.after[g[:-1]].append(x)
+
+    def d(self, n, k):
+        return 0 if n == 0 else self.D[k][min(n, 3) - 1]
+
+    def p(self, w, ctx):
+        if not ctx:
+            n, total = self.n[1][(w,)], sum(self.n[1].values())
+            return (n - self.d(n, 1)) / total + sum(self.d(x, 1) for x in self.n[1].values()) / total / (self.V + 1)
+        less, after, k = self.p(w, ctx[1:]), self.after.get(ctx), len(ctx) + 1
+        if not after:
+            return less
+        n, total = self.n[k][(*ctx, w)], sum(after)
+        return (n - self.d(n, k)) / total + sum(self.d(x, k) for x in after) / total * less
 
     def score(self, text):
         w = [*words(text), None]
         base = sum(math.log10((self.c[x] + 0.5) / (self.N + 0.5 * (self.V + 1))) for x in w)
-        return len(w), sum(self.c[x] > 0 for x in w), base, sum(math.log10(self.p(u, x)) for u, x in zip(["<s>", *w[:-1]], w))
+        v = ["<s>", *w]
+        p = sum(math.log10(self.p(v[i], tuple(v[max(0, i - self.order + 1) : i]))) for i in range(1, len(v)))
+        return len(w), sum(self.c[x] > 0 for x in w), base, p
 
 
 def texts(seed, n=80):
@@ -57,13 +66,15 @@ def texts(seed, n=80):
     return [" ".join(rng.choices(vocab, [60, 5, 40, *[60 / (i + 1) for i in range(60)]], k=rng.randrange(0, 40))) for _ in range(n)]
 
 
-def test_against_brute_force(spark, monkeypatch):
-    train = texts(1) + [None, "", "é ü"]
-    test = [*train, *texts(2, 30), "never seen words here", "the", "end.\tof\nthe"]
-    model = Brute(train)
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_against_brute_force(spark, monkeypatch, order):
+    monkeypatch.setattr(L, "FEW", 4)  # so that stored statistics are read as well
+    train = texts(1) + [None, "", "é ü"] + ["the of the of w1"] * 300
+    test = [*train[:90], *texts(2, 30), "never seen words here", "the", "end.\tof\nthe", "of the of the of w1 w1"]
+    model = Brute(train, order)
     df = spark.createDataFrame([(t,) for t in train], "text string").repartition(3)
     rows = spark.createDataFrame([(i, True, t, 1) for i, t in enumerate(test)], "doc_id long, held_out boolean, text string, score int").repartition(4)
-    fitted = L.train(df)
+    fitted = L.train(df, order)
     got = {r.doc_id: r for r in L.score(rows, fitted).collect()}
     assert len(got) == len(test)
     for i, t in enumerate(test):
@@ -71,8 +82,19 @@ def test_against_brute_force(spark, monkeypatch):
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (n, known, model.N)
         assert got[i].base_score == pytest.approx(base, rel=1e-9) and got[i].score == pytest.approx(score, rel=1e-9)
     # the distribution after a context sums to 1
-    for u in ("the", "never", "<s>", "w3"):
-        assert sum(model.p(u, w) for w in model.c) + model.p(u, "never seen") == pytest.approx(1)
+    for u in (("the",), ("never",), ("<s>",), ("of", "w3"), ("<s>", "the"), ("the", "of", "the")):
+        if len(u) < order:
+            assert sum(model.p(w, u) for w in model.c) + model.p("never seen", u) == pytest.approx(1)
+
+
+def test_null_doc_id_is_in_training(spark, tmp_path):
+    rows = [(None, "a b a"), (None, None), *[(i, f"a c{i}") for i in range(12)], (3, "a c3")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = L.op8_lm_scoring(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in range(12)} | {None: False}
+    assert all(r.held_out == held[r.doc_id] for r in got) and any(held.values())
+    assert {r.train_tokens for r in got} == {sum(len(words(t)) + 1 for i, t in rows if not held[i])}
 
 
 def test_no_training_and_empty(spark):
@@ -83,12 +105,11 @@ def test_no_training_and_empty(spark):
     assert L.score(rows.limit(0), L.train(rows)).count() == 0
 
 
-def test_scramble_is_one_to_one():
-    import numpy as np
-
-    s = L.Scramble(37)
-    u, w = (x.ravel() for x in np.meshgrid(np.arange(64), np.arange(64)))
-    x = s.pairs(u, w)
-    assert len(np.unique(x)) == len(x)
-    a, b = s.back(x)
-    assert (a == u).all() and (b == w).all()
+def test_tables_find_counts_of_any_size():
+    ctx = np.repeat(np.array([5, 9, 2**63 + 1], np.uint64), [1, 100, 3])
+    word = np.concatenate([[7], np.arange(0, 200, 2), [1, 2, 2**33]])
+    n = np.concatenate([[2**40], np.arange(1, 101), [254, 255, 256]])
+    part = L.table_arrays(ctx, word, n)
+    at = L.Tables._search(part["word"], np.array([7, 8, 4, 5, 2**33]), np.array([0, 0, 1, 1, 101]), np.array([1, 1, 101, 101, 104]))
+    assert L.Tables._counts(part, at).tolist() == [2**40, 0, 3, 0, 256]
+    assert part["stats"].tolist() == [[5050], [1], [1], [98]]
