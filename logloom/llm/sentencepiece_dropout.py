@@ -4,14 +4,16 @@ A merge-type (BPE) SentencePiece model is read from a file that the caller names
 Encoding follows its rules: a space becomes U+2581, one is put before the text,
 and adjacent pieces merge by best score, then leftmost, while their join is a
 piece; characters outside the vocabulary become byte pieces.  Merge-dropout: when
-the agenda comes to a candidate merge (a pair of adjacent pieces at its place in
-the word), it is skipped for good if a keyed hash of (seed, variant, word, begin,
-end) falls below ``dropout``.  Each occurrence of a word draws its variant, one of
-VARIANTS, by a keyed hash of (seed, document, place), so segmentations vary from
-place to place, and a run with the same seed gives the same pieces.
+the agenda comes to a candidate merge (two adjacent pieces at their place in the
+word), it is skipped for good if a keyed hash of (seed, document, place of the word,
+begin, middle, end) falls below ``dropout``.  So each occurrence of a word draws for
+itself, and a run with the same seed gives the same pieces.
 
-All words of a slice of texts are segmented together: equal (word, variant) pairs
-once, one merge per word and round, as array operations.
+Each word of a slice of texts is first segmented once without dropout, with its
+merges noted.  An occurrence none of whose hashes skips one of these merges takes
+that result, which its own agenda would have reached; the others are segmented one
+by one.  Many words are segmented together, one merge per word and round, as array
+operations; a word of more than LONG characters has an agenda (a heap) of its own.
 
 Decoding joins the pieces' bytes and drops the space put before the text.  A
 literal U+2581 in a text is kept apart from a space as byte pieces, so decoding
@@ -20,13 +22,15 @@ gives back each text to the byte.
 Defined cases: a null text gives null ids and null round trip; an empty text
 gives no ids; a document's key is its id (null as its own value), so equal rows
 get equal pieces; an empty table gives an empty table; other columns pass
-through, whatever their names, before the columns added here.
+through, whatever their names, before the columns added here (which get ``_`` at
+their end where the name is taken).
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,8 @@ from pyspark.sql import functions as F
 from .common import U64, id_of, mix, mixed, ragged, slices, text_buffers
 
 MARK = 0x2581
-SEED, DROPOUT, VARIANTS = 11, 0.1, 64
+SEED, DROPOUT = 11, 0.1
+LONG = 256  #: characters of a word above which it gets a heap
 SLICE = 3 << 19  #: bytes of text that a task encodes at a time
 NONE = np.int32(2**31 - 1)
 
@@ -94,6 +99,12 @@ class Pieces:
             left = np.delete(left, take)
             self.probes += 1
 
+    @cached_property
+    def table(self) -> dict[int, int]:
+        """The pairs as a dictionary, for one lookup at a time."""
+        used = self.keys >= 0
+        return dict(zip(self.keys[used].tolist(), self.values[used].tolist()))
+
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
 
@@ -119,19 +130,26 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _skipped(key: np.ndarray, begin: np.ndarray, end: np.ndarray, dropout: float) -> np.ndarray:
-    h = mix(key ^ ((begin.astype(U64) << U64(32)) | end.astype(U64)) * U64(0x9E3779B97F4A7C15))
-    return (h >> U64(11)).astype(float) < dropout * float(1 << 53)
+_PLACES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+
+
+def skipped(key: np.ndarray, begin: np.ndarray, middle: np.ndarray, end: np.ndarray, dropout: float) -> np.ndarray:
+    """Whether the occurrence of that key skips the merge of begin:middle and middle:end."""
+    a, b, c = (x.astype(U64) * U64(k) for x, k in zip((begin, middle, end), _PLACES))
+    return (mix(key ^ (a + b + c)) >> U64(11)).astype(float) < dropout * float(1 << 53)
 
 
-def segment(model: Pieces, chars: np.ndarray, lengths: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merge words given one after another: (pieces or -1 - code point, pieces per word, characters per piece)."""
+def segment(model: Pieces, chars: np.ndarray, lengths: np.ndarray, keys: np.ndarray | None = None, dropout: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Merge words given one after another, one merge per word and round.
+
+    (pieces or -1 - code point, pieces per word, characters per piece, merges as (word, begin, middle, end)).
+    """
     word = np.repeat(np.arange(len(lengths)), lengths)
     sym = model.char[chars]
     sym = np.where(sym >= 0, sym, -1 - chars.astype(np.int32)).astype(np.int32)
     begin = np.arange(len(chars)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     end = begin + 1
-    done_sym, done_word, done_len, done_at = [], [], [], []
+    done_sym, done_word, done_len, done_at, merges = [], [], [], [], []
 
     def look(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Candidate of the pair at positions i and i + 1 of the same word."""
@@ -139,7 +157,7 @@ def segment(model: Pieces, chars: np.ndarray, lengths: np.ndarray, keys: np.ndar
         ok = m >= 0
         if dropout > 0:
             c = np.flatnonzero(ok)
-            drop = _skipped(keys[word[i[c]]], begin[i[c]], end[i[c] + 1], dropout)
+            drop = skipped(keys[word[i[c]]], begin[i[c]], end[i[c]], end[i[c] + 1], dropout)
             m[c[drop]] = -1
             ok = m >= 0
         return m, np.where(ok, model.rank[np.maximum(m, 0)], NONE)
@@ -163,6 +181,7 @@ def segment(model: Pieces, chars: np.ndarray, lengths: np.ndarray, keys: np.ndar
             heads = np.cumsum(sizes) - sizes
         hit = np.flatnonzero(rank == np.repeat(low, sizes))
         at = hit[np.concatenate([[True], word[hit[1:]] != word[hit[:-1]]])]  # the leftmost of each word
+        merges.append((word[at], begin[at], end[at], end[at + 1]))
         sym[at], end[at] = pair[at], end[at + 1]
         keep = np.ones(len(sym), bool)
         keep[at + 1] = False
@@ -177,11 +196,55 @@ def segment(model: Pieces, chars: np.ndarray, lengths: np.ndarray, keys: np.ndar
         for i in (left, right):
             if len(i):
                 pair[i], rank[i] = look(i)
+    made = tuple(np.concatenate(x) for x in zip(*merges)) if merges else (np.zeros(0, np.int64),) * 4
     if not done_sym:
-        return np.zeros(0, np.int32), np.zeros(len(lengths), np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(len(lengths), np.int64), np.zeros(0, np.int64), made
     s, w, n, b = (np.concatenate(x) for x in (done_sym, done_word, done_len, done_at))
     order = np.argsort((w << 32) | b, kind="stable")
-    return s[order], np.bincount(w, minlength=len(lengths)), n[order]
+    return s[order], np.bincount(w, minlength=len(lengths)), n[order], made
+
+
+def segment_long(model: Pieces, chars: np.ndarray, key: int, dropout: float) -> np.ndarray:
+    """Pieces (or -1 - code point) of one long word by a heap of candidates, in n log n."""
+    n, mask, limit, table = len(chars), 2**64 - 1, dropout * float(1 << 53), model.table
+    start = model.char[chars]
+    start = np.where(start >= 0, start, -1 - chars.astype(np.int32)).astype(np.int32)
+    at = np.arange(n - 1)
+    first = model.merged(start[:-1], start[1:])
+    if dropout > 0:
+        first[skipped(U64(key), at, at + 1, at + 2, dropout)] = -1
+    sym, pair, rank = start.tolist(), [*first.tolist(), -1], model.rank.tolist()
+    after, before, end = [*range(1, n), -1], list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [(rank[m] << 40) | i for i, m in enumerate(pair) if m >= 0]
+    heapq.heapify(heap)
+
+    def look(i: int) -> None:
+        j = after[i]
+        m = table.get(sym[i] * model.size + sym[j], -1) if j >= 0 and sym[i] >= 0 and sym[j] >= 0 else -1
+        if m >= 0 and dropout > 0:
+            h = key ^ ((i * _PLACES[0] + j * _PLACES[1] + end[j] * _PLACES[2]) & mask)
+            for k in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+                h = ((h ^ (h >> 33)) * k) & mask
+            if ((h ^ (h >> 33)) >> 11) < limit:
+                m = -1
+        pair[i] = m
+        if m >= 0:
+            heapq.heappush(heap, (rank[m] << 40) | i)
+
+    while heap:
+        x = heapq.heappop(heap)
+        i = x & ((1 << 40) - 1)
+        if pair[i] < 0 or rank[pair[i]] != x >> 40:
+            continue  # this candidate is gone, or a better one came in its place
+        j = after[i]
+        sym[i], end[i], after[i], pair[j] = pair[i], end[j], after[j], -1
+        sym[j] = None
+        if after[i] >= 0:
+            before[after[i]] = i
+        look(i)
+        if before[i] >= 0:
+            look(before[i])
+    return np.array([x for x in sym if x is not None], np.int32)
 
 
 def _with_bytes(model: Pieces, sym: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +270,7 @@ def _with_bytes(model: Pieces, sym: np.ndarray, counts: np.ndarray) -> tuple[np.
 PRIVATE = 0x10FFFF + 1
 
 
-def encode(model: Pieces, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS) -> tuple[np.ndarray, np.ndarray]:
+def encode(model: Pieces, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, seed: int = SEED, dropout: float = DROPOUT) -> tuple[np.ndarray, np.ndarray]:
     """(ids one after another, ids per text) of UTF-8 texts."""
     text = bytes(data).decode("utf-8")
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -238,27 +301,55 @@ def encode(model: Pieces, data: np.ndarray, offsets: np.ndarray, keys: np.ndarra
     total = np.zeros(len(chars) + 1, U64)
     np.cumsum(mixed(chars.astype(U64) + U64(1)) * up[0][: len(chars)], out=total[1:])
     word = mix((total[ends] - total[starts]) * up[1][starts])
-    if dropout > 0:
-        variant = mix(keys[doc[starts]] ^ mixed(place.astype(U64) + U64(seed << 20))) % U64(variants)
-        key = mix(word ^ (variant + U64(1)) * U64(0xC2B2AE3D27D4EB4F) ^ U64(seed))
-    else:
-        key = word
-    unique, at, back = np.unique(key, return_index=True, return_inverse=True)
-    lengths = (ends - starts)[at]
-    flat = chars[ragged(starts[at], lengths)]
-    sym, counts, _ = segment(Wide(model), flat, lengths, unique, dropout)
-    sym, counts = _with_bytes(model, sym, counts)
-    n = counts[back]
-    ids = sym[ragged((np.cumsum(counts) - counts)[back], n)]
+    key = mix(keys[doc[starts]] ^ mixed(place.astype(U64) + U64(seed << 32)))  # of the occurrence
+    sym, counts = _occurrences(Wide(model), chars, starts, ends - starts, word, key, dropout)
+    sym, n = _with_bytes(model, sym, counts)
     per = np.bincount(doc[starts], weights=n, minlength=len(size)).astype(np.int64)
-    return ids, per
+    return sym, per
+
+
+def _occurrences(model: Wide, chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray, word: np.ndarray, key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces one after another, pieces per occurrence) of occurrences of words, each with its key."""
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (occurrences, their counts, their pieces)
+    short = np.flatnonzero(lengths <= LONG)
+    _, first, back = np.unique(word[short], return_index=True, return_inverse=True)
+    n = lengths[short][first]
+    sym, counts, _, (of, begin, middle, end) = segment(model, chars[ragged(starts[short][first], n)], n)
+    heads, plain = np.cumsum(counts) - counts, np.ones(len(short), bool)
+    if dropout > 0:
+        order = np.argsort(of, kind="stable")
+        merges = np.bincount(of, minlength=len(n))
+        some = merges[back]
+        at = order[ragged((np.cumsum(merges) - merges)[back], some)]
+        who = np.repeat(np.arange(len(short)), some)
+        drop = skipped(key[short][who], begin[at], middle[at], end[at], dropout)
+        plain[who[drop]] = False
+        own = short[~plain]
+        s, c, _, _ = segment(model, chars[ragged(starts[own], lengths[own])], lengths[own], key[own], dropout)
+        parts.append((own, c, s))
+    same = back[plain]
+    parts.append((short[plain], counts[same], sym[ragged(heads[same], counts[same])]))
+    for i in np.flatnonzero(lengths > LONG):
+        s = segment_long(model, chars[starts[i] : starts[i] + lengths[i]], int(key[i]), dropout)
+        parts.append((np.array([i]), np.array([len(s)]), s))
+    total = np.zeros(len(starts), np.int64)
+    for who, c, _ in parts:
+        total[who] = c
+    out, begin = np.empty(int(total.sum()), np.int32), np.cumsum(total) - total
+    for who, c, s in parts:
+        out[ragged(begin[who], c)] = s
+    return out, total
 
 
 class Wide:
     """A model whose character table also takes PRIVATE."""
 
     def __init__(self, model: Pieces):
-        self.char, self.rank, self.merged = np.append(model.char, np.int32(-1)), model.rank, model.merged
+        self.char, self.rank, self.merged, self.size, self.model = np.append(model.char, np.int32(-1)), model.rank, model.merged, model.size, model
+
+    @property
+    def table(self) -> dict[int, int]:
+        return self.model.table
 
 
 def _powers():
@@ -284,12 +375,11 @@ def decode(model: Pieces, ids: np.ndarray, per: np.ndarray) -> tuple[np.ndarray,
     return table[ragged(starts, n)], np.bincount(doc, weights=n, minlength=len(per)).astype(np.int64)
 
 
-def encode_documents(docs: DataFrame, model_path: str | None = None, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS, keep: list[str] | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str | None = None, seed: int = SEED, dropout: float = DROPOUT, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default all) with ``n_pieces``, ``pieces`` (ids) and ``round_trip`` (decoding gave the text)."""
     path = model_path or default_model()
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_pieces", "pieces", "round_trip")]
+    keep = docs.columns if keep is None else keep
     schema = docs.select(*keep).schema
-    tail = "n_pieces long, pieces array<int>, round_trip boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
@@ -300,7 +390,7 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, seed: int =
             keys = mixed(batch.column("_id").to_numpy(zero_copy_only=False).astype(np.int64).view(U64) ^ U64(seed))
             for i, j in slices(offsets, SLICE):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                ids, per = encode(model, part, at, keys[i:j], seed, dropout, variants)
+                ids, per = encode(model, part, at, keys[i:j], seed, dropout)
                 back, sizes = decode(model, ids, per)
                 same = sizes == np.diff(at)
                 if len(back) == len(part) and same.all():
@@ -323,7 +413,12 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, seed: int =
     key = id_of("doc_id") if "doc_id" in docs.columns else F.lit(0).cast("long")
     packed = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)]) if keep else F.struct(F.lit(0).alias("z"))
     made = docs.select(packed.alias("_row"), F.col("text").alias("_text"), key.alias("_id")).mapInArrow(run, out)
-    return made.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], "n_pieces", "pieces", "round_trip")
+    added = {}
+    for c in ("n_pieces", "pieces", "round_trip"):
+        added[c] = c
+        while added[c].lower() in {x.lower() for x in keep}:
+            added[c] += "_"
+    return made.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], *[F.col(c).alias(new) for c, new in added.items()])
 
 
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:
