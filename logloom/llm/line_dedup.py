@@ -6,7 +6,8 @@ grouped minimum; every occurrence but the first (by doc_id, then position) marks
 its three positions, marked positions merge, and the marked lines are removed.
 
 Defined cases: a null text stays null with no lines; a text of fewer than three lines is
-never changed; lines of spaces only count as equal and windows of three such lines are ignored; a null doc_id ranks
+never changed; lines of spaces only count as equal, and windows of such lines alone
+are ignored unless ``blank`` asks for them; a null doc_id ranks
 after all ids; exact repeats of a row are judged as one and get one result; an
 empty table gives an empty table; other columns pass through, whatever their
 names, except that ``text`` is replaced (and ``n_lines``, ``n_removed`` where
@@ -27,10 +28,10 @@ def _keys(docs: DataFrame) -> DataFrame:
     return docs.select(id_of().alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), F.struct("*").alias("_row"))
 
 
-def repeated_positions(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_positions(docs: DataFrame, window: int = WINDOW, blank: bool = False) -> DataFrame:
     """(_id, _h, _cover): the starts of the windows that are later occurrences."""
     keyed = docs.where(F.col("text").isNotNull()).select(id_of().alias("_id"), F.xxhash64("text").alias("_h"), F.split("text", "\n", -1).alias("l"))
-    hashed = keyed.select("_id", "_h", F.size("l").alias("n"), F.transform("l", lambda x: F.when(F.trim(x) == "", F.lit(None)).otherwise(x)).alias("l"))
+    hashed = keyed.select("_id", "_h", F.size("l").alias("n"), F.transform("l", lambda x: F.when(F.trim(x) == "", F.lit("") if blank else F.lit(None)).otherwise(x)).alias("l"))
     hashed = hashed.where(F.col("n") >= window)
     starts = F.sequence(F.lit(1), F.col("n") - (window - 1))
     pairs = F.transform(
@@ -50,9 +51,9 @@ def repeated_positions(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return later.groupBy("_id", "_h").agg(F.collect_set("p").alias("_cover"))
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW, counts: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, window: int = WINDOW, counts: bool = False, blank: bool = False) -> DataFrame:
     """``docs`` with ``text`` less its repeated lines; ``counts`` adds n_lines and n_removed."""
-    cover = repeated_positions(docs, window).withColumnsRenamed({"_id": "_cid", "_h": "_ch"})
+    cover = repeated_positions(docs, window, blank).withColumnsRenamed({"_id": "_cid", "_h": "_ch"})
     keyed = _keys(docs)
     joined = keyed.join(cover, (keyed["_id"] == cover["_cid"]) & (keyed["_h"] == cover["_ch"]), "left")
     text = F.col("_row.text")
@@ -60,7 +61,8 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, counts: bool = False) ->
     covered = F.array_distinct(F.flatten(F.transform("_cover", lambda p: F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: p + k))))
     kept = F.array_except(F.sequence(F.lit(1), F.size(lines)), covered)
     parts = joined.select("_row", "_cover", F.when(F.col("_cover").isNotNull(), lines).alias("_l"), F.when(F.col("_cover").isNotNull(), kept).alias("_k"))
-    new_text = F.when(F.col("_cover").isNull(), text).otherwise(F.array_join(F.transform("_k", lambda i: F.get("_l", i - 1)), "\n"))
+    # Both arrays are named twice: an expression used once would be put into the lambda, and the text split once per line.
+    new_text = F.when(F.col("_cover").isNull() | (F.size("_l") == F.size("_k")), text).otherwise(F.array_join(F.transform("_k", lambda i: F.get("_l", i - 1)), "\n"))
     n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     out = [new_text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns if not (counts and c in ("n_lines", "n_removed"))]
     if counts:

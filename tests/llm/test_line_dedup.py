@@ -41,3 +41,11 @@ def test_clashing_columns_and_empty(spark):
     assert out.columns == df.columns
     assert {(r.doc_id, r.text, r._id) for r in out.collect()} == {(1, "x\ny\nz", 5), (2, "0", 6)}
     assert dedup_lines(df.limit(0), counts=True).count() == 0
+
+
+def test_blank_windows_and_very_long_texts(spark):
+    long = "\n".join(f"line {i % 40000}" for i in range(80000))
+    df = spark.createDataFrame([(1, "\n \n\n"), (2, "a\n\n\n"), (3, long), (4, "x" * 3_000_000 + "\ny\nz"), (5, "x" * 3_000_000 + "\ny\nz\nend")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in dedup_lines(df).collect()}
+    assert got[1] == "\n \n\n" and got[2] == "a\n\n\n" and got[3] == "\n".join(f"line {i}" for i in range(40000)) and got[5] == "end"
+    assert {r.doc_id: r.text for r in dedup_lines(df.where("doc_id < 3"), blank=True).collect()} == {1: "\n \n\n"[:0], 2: "a"}
