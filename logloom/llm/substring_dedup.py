@@ -12,7 +12,7 @@ pass: only windows estimated repeated go on, as 96-bit hashes, once per chunk of
 documents with the chunk's smallest doc_id; they are grouped exactly, and each
 chunk learns, with one bit per window, whether a smaller doc_id lies elsewhere.
 A window in a third of all documents is thus one row per chunk, not one per
-document.
+document.  The spans are taken out of the texts by array functions.
 
 The sketch has CELLS cells per window up to MAX_BITS; beyond that it passes more
 windows on and still loses none.
@@ -222,32 +222,27 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, cells: int = CELLS, max_bi
 
 
 def removal(docs: DataFrame, size: int = SIZE, **how) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) for each row; kept: the words left, joined by one space."""
-    import hashlib
-
+    """(doc_id, n_words, n_removed, kept, kept_sha256) for each row; kept: the words left, joined by one space."""
     spans = repeated_spans(docs, size, **how).withColumnsRenamed({"_id": "_i", "_h": "_g"})
-    base = docs.select("doc_id", id_of().alias("_id"), F.xxhash64("text").alias("_h"), "text")
-    joined = base.join(spans, (F.col("_id") == F.col("_i")) & (F.col("_h") == F.col("_g")), "left").select("doc_id", "text", "spans")
-
-    def apply(batches):
-        for batch in batches:
-            out = []
-            for text, cut_ in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                words = text.encode().split() if text else []
-                n = len(words)
-                if cut_:
-                    left, at = [], 0
-                    for a, b in zip(cut_[::2], cut_[1::2]):
-                        left += words[at:a]
-                        at = b
-                    words = left + words[at:]
-                kept = b" ".join(words)
-                out.append((n, n - len(words), kept.decode(), hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*out)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    return joined.mapInArrow(apply, f"doc_id {kind}, n_words long, n_removed long, kept string, kept_sha256 string")
+    base = docs.select("doc_id", id_of().alias("_id"), F.xxhash64("text").alias("_h"), F.coalesce("text", F.lit("")).alias("text"))
+    joined = base.join(spans, (F.col("_id") == F.col("_i")) & (F.col("_h") == F.col("_g")), "left")
+    # white space is one byte each in UTF-8, so runs of it are found without decoding words
+    plain = F.regexp_replace(F.regexp_replace("text", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+", " ")
+    joined = joined.select("doc_id", "spans", plain.alias("plain"))
+    n = F.when(F.col("plain") == "", 0).otherwise(F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) + 1)
+    # the words are named twice below: an expression used once would be put into the lambda, and the text split once per span
+    joined = joined.withColumn("n_words", n.cast("long")).withColumn("words", F.when(F.col("spans").isNotNull(), F.split("plain", " ")))
+
+    def between(k):
+        """The words between the span before and the k-th (k from 0; after the last: the rest)."""
+        start = F.when(k == 0, F.lit(0).cast("long")).otherwise(F.get("spans", 2 * k - 1))
+        stop = F.coalesce(F.get("spans", 2 * k), F.size("words").cast("long"))
+        return F.slice("words", (start + 1).cast("int"), (stop - start).cast("int"))
+
+    left = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int")), between)), " ")
+    gone = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda s, x: s + x)
+    out = joined.select("doc_id", "n_words", F.coalesce(gone, F.lit(0).cast("long")).alias("n_removed"), F.when(F.col("spans").isNull(), F.col("plain")).otherwise(left).alias("kept"))
+    return out.withColumn("kept_sha256", F.sha2(F.col("kept").cast("binary"), 256))
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
