@@ -4,8 +4,8 @@ A document's set: the distinct SIZE-word shingles of its lower-cased (A-Z) words
 or its whole word sequence as one if shorter.  Documents link when
 100 * |intersection| >= percent * |union|; the result is each document's component.
 
-1. A sketch of bounded size counts, over all documents, how many hold a shingle
-   (never too few).  It orders shingles: rare first.
+1. A sketch that grows with the input counts, over all documents, how many hold a
+   shingle (never too few).  It orders shingles: rare first.
 2. Documents of equal sets are one class.  Classes are partitioned into groups of
    similar ones by minimum hash; a group that the sketch expects to be large is
    split, so groups stay near GROUP classes.
@@ -40,7 +40,7 @@ from .lm_scoring import pack, unpack
 
 SIZE, PERCENT = 5, 80
 GROUP, STAR = 64, 16  #: classes of a group; groups of a token from which a star comes first
-MAX_BITS, TILE = 23, 18  #: cells of the sketch, cells of its tiles
+MAX_BITS, TILE = 36, 22  #: logarithms of the cells of the sketch at most, and of its tiles
 CHUNK = 2_000_000  #: shingles that a task holds at a time
 
 
@@ -69,36 +69,58 @@ def _cells(tok: np.ndarray, bits: int) -> np.ndarray:
     return ((tok * U64(0x9E3779B97F4A7C15)) >> U64(64 - bits)).astype(np.int64)
 
 
-def frequency(docs: DataFrame, bits: int, folder: str, size: int) -> str:
-    """Name of the array of estimates: documents per cell of the sketch, at most 2**MAX_BITS cells."""
+def frequency(docs: DataFrame, bits: int, folder: str, size: int) -> dict[int, str]:
+    """tile -> name of the array of ranks of its cells: twice the logarithm of how many documents fall into a cell.
+
+    Tasks count cells sparsely, a chunk at a time; counts of a tile are summed in one task.
+    """
     tile = min(bits, TILE)
 
+    def blocks(cells: list[np.ndarray]) -> pa.RecordBatch:
+        cells, n = np.unique(np.concatenate(cells), return_counts=True)
+        edges = np.flatnonzero(np.concatenate([[True], (cells[1:] >> tile) != (cells[:-1] >> tile)]))
+        out = {k: [] for k in ("p", "n", "cells", "counts")}
+        for a, b in zip(edges, np.append(edges[1:], len(cells))):
+            out["p"].append(int(cells[a] >> tile)), out["n"].append(int(b - a))
+            out["cells"].append(pack(cells[a:b] & ((1 << tile) - 1), True)), out["counts"].append(pack(n[a:b], False))
+        return pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k in ("cells", "counts") else pa.int64()) for k, v in out.items()})
+
     def count(batches):
-        total, hasher = np.zeros(1 << bits, np.uint32), Hasher(1)
+        held, n, hasher = [], 0, Hasher(1)
         for batch in batches:
             for _, _, w in word_slices(batch.column("text"), lower=True):
-                cells = _cells(Sets(w, hasher, size).tokens, bits)
-                total += np.bincount(cells, minlength=1 << bits).astype(np.uint32) if len(cells) << 4 > 1 << bits else 0
-                if not len(cells) << 4 > 1 << bits:
-                    np.add.at(total, cells, 1)
-        for p in range(0, 1 << bits, 1 << tile):
-            part = total[p : p + (1 << tile)]
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"p": [p >> tile], "x": pa.array([pack(part, False)], pa.binary())})
-
-    def add(key: tuple[pa.Scalar, ...], blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                held.append(_cells(Sets(w, hasher, size).tokens, bits))
+                n += len(held[-1])
+                if n >= 2 * CHUNK:
+                    yield blocks(held)
+                    held, n = [], 0
+        if n:
+            yield blocks(held)
+
+    def add(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << tile, np.int64)
-        for batch in blocks:
-            for x in batch.column("x").to_pylist():
-                total += unpack(x, 1 << tile, False).astype(np.int64)
-        yield pa.RecordBatch.from_pydict({"p": [key[0].as_py()], "x": pa.array([pack(total, False)], pa.binary())})
-
-    rows = docs.mapInArrow(count, "p long, x binary").groupBy("p").applyInArrow(add, "p long, x binary").collect()  # at most 2**(MAX_BITS - TILE) tiles
-    total = np.zeros(1 << bits, np.uint32)
-    for r in rows:
-        total[r.p << tile : (r.p + 1) << tile] = np.minimum(unpack(r.x, 1 << tile, False), U64(2**32 - 1))
-    order = np.concatenate([np.floor(2 * np.log2(np.maximum(total[k : k + (1 << tile)], 1))).astype(np.uint8) for k in range(0, 1 << bits, 1 << tile)])
-    return put_arrays(folder, {"df": total, "order": order})
+        for batch in parts:
+            for n, cells, counts in zip(*[batch.column(c).to_pylist() for c in ("n", "cells", "counts")]):
+                total[unpack(cells, n, True).astype(np.int64)] += unpack(counts, n, False).astype(np.int64)
+        rank = np.floor(2 * np.log2(np.maximum(total, 1))).astype(np.uint8)
+        yield pa.RecordBatch.from_pydict({"p": [key[0].as_py()], "name": [put_arrays(folder, {"rank": rank})]})
+
+    rows = docs.mapInArrow(count, "p long, n long, cells binary, counts binary").groupBy("p").applyInArrow(add, "p long, name string")
+    return {r.p: r.name for r in rows.collect()}  # one short row per 2**TILE cells
+
+
+def ranks(tok: np.ndarray, bits: int, folder: str, names: dict[int, str]) -> np.ndarray:
+    """The rank of each token's cell."""
+    cells, tile = _cells(tok, bits), min(bits, TILE)
+    order = np.argsort(cells >> tile, kind="stable")
+    part = (cells >> tile)[order]
+    out = np.zeros(len(tok), np.uint8)
+    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+    for a, b in zip(edges, np.append(edges[1:], len(part))):
+        if int(part[a]) in names:
+            at = order[a:b]
+            out[at] = get_array(folder, names[int(part[a])], "rank")[cells[at] & ((1 << tile) - 1)]
+    return out
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -158,11 +180,11 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, group:
     folder = shared_dir(spark)
     guess = max(1, (base.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // 6)
     bits = int(min(MAX_BITS, max(12, (guess >> 2).bit_length())))
-    df_name = frequency(base, bits, folder, size)
+    names = frequency(base, bits, folder, size)
     parts = int(max(8, guess >> 23))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, order_of, hasher = get_array(folder, df_name, "df"), np.array(get_array(folder, df_name, "order")), Hasher(1)
+        hasher = Hasher(1)
         held: dict[str, list] = {k: [] for k in ("id", "h", "n", "s1", "s2", "g", "tokens", "pt", "pg")}
         count = 0
 
@@ -199,10 +221,10 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, group:
                     low = np.minimum.reduceat(mixed(s.tokens ^ U64(0x0123456789ABCDEF)), heads)
                     where = np.flatnonzero(mixed(s.tokens ^ U64(0x0123456789ABCDEF)) == np.repeat(low, s.counts[some]))
                     least = np.zeros(j - i, np.int64)
-                    least[s.doc[where]] = df[_cells(s.tokens[where], bits)]
+                    rank = ranks(s.tokens, bits, folder, names)
+                    least[s.doc[where]] = np.ceil(2 ** (rank[where] / 2 + 0.5))  # documents of the cell, no fewer than there are
                     split = np.maximum(1, -(-least[some] // group)).astype(U64)
                     g[some] = mixed(low + mixed(s1[some]) % split)
-                    rank = order_of[_cells(s.tokens, bits)]
                     o = np.argsort(rank, kind="stable")  # within a rank by token, as tokens are sorted
                     o = o[np.argsort(s.doc[o].astype(np.uint32), kind="stable")]
                     take = s.counts[some] - (-(-percent * s.counts[some] // 100)) + 1

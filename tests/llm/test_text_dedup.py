@@ -114,3 +114,12 @@ def test_removal(spark, max_bits):
     got = removal(df, max_bits=max_bits).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_removal(docs)
     assert removal(df.limit(0)).count() == 0
+
+
+def test_removal_from_a_very_long_text(spark):
+    """Thousands of spans in one text of a million words, in time that does not grow with their product."""
+    block = lambda i: " ".join(f"b{i}x{k}" for k in range(13))
+    text = "\t".join(f"{block(i)}  own{i} words{i}" for i in range(20000))
+    df = spark.createDataFrame([(1, " ".join(block(i) for i in range(20000))), (2, f" {text}\n")], "doc_id long, text string")
+    r = removal(df).where("doc_id = 2").first()
+    assert (r.n_words, r.n_removed) == (300000, 260000) and r.kept == " ".join(f"own{i} words{i}" for i in range(20000))
