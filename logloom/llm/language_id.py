@@ -12,13 +12,16 @@ model takes texts that no language explains.
 
 The trigram model alone is fitted on a sample of labelled rows: those whose id
 hash falls below a threshold per language, so that about SAMPLE rows of each
-language are expected.
+language are expected.  A labelled row's own label is left out of its host prior.
 
 Defined cases: texts that are null or under three bytes long have no text evidence and get
 ``und``; null or unknown declared language, address or host give no evidence
-beyond the smoothed prior; texts with no labelled row at all make every language
-set empty and every document ``und``; repeated rows are judged alike; ties go to
-the alphabetically first language; an empty table gives an empty table.
+beyond the smoothed prior; labels beyond the LANGUAGES most frequent count as none;
+texts with no labelled row at all make every language set empty and every document
+``und``; repeated rows are judged alike, and rows that differ in text, source or label
+each by itself; of several pages of one id the one of greatest (host, suffix,
+declared) counts as a whole; ties go to the alphabetically first language; an empty
+table gives an empty table; other columns pass through ``keep_known``.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ from .common import _LOWER, _SPACE, U64, cut, id_of, slices, text_buffers
 UND = "und"
 BUCKETS = 1 << 15
 SAMPLE = 1500  #: expected labelled rows per language for the trigram model
+LANGUAGES = 500  #: languages told apart at most
 CLEAN = 0.5  #: least posterior of a kept document's language
 TEMPER = 0.5  #: trigrams overlap and so repeat each other's evidence
 SMOOTH, PRIOR_WEIGHT, UND_PRIOR = 1.0, 20.0, 1e-3
@@ -130,15 +134,22 @@ def _counts(labelled: DataFrame, langs: list[str]) -> list:
     return [F.sum((F.col("label") == k).cast("long")).alias(f"n{i}") for i, k in enumerate(langs)] + [F.count("*").alias("n")]
 
 
-def _prior(labelled: DataFrame, key: str, parent: DataFrame | list[float], parent_key: str | None, langs: list[str]) -> DataFrame:
-    """key and ``prior`` (an array by langs): counts smoothed to the parent's prior."""
-    counts = labelled.groupBy(*dict.fromkeys([key, *([parent_key] if parent_key else [])])).agg(*_counts(labelled, langs))
-    if parent_key:
-        counts = counts.join(parent.withColumnRenamed("prior", "up"), parent_key)
-    else:
-        counts = counts.withColumn("up", F.array(*[F.lit(x) for x in parent]))
-    mixed = F.array(*[(F.col(f"n{i}") + PRIOR_WEIGHT * F.get("up", F.lit(i))) / (F.col("n") + PRIOR_WEIGHT) for i in range(len(langs))])
-    return counts.select(key, mixed.alias("prior"))
+def _with_prior(scored: DataFrame, labelled: DataFrame, total, langs: list[str]) -> DataFrame:
+    """Adds ``prior`` (an array by langs): the counts of the row's host, smoothed to those of
+    its domain, these to the suffix's and these to the corpus's; its own label is not counted."""
+    out = scored.withColumn("own", F.array(*[F.coalesce((F.col("label") == k).cast("long"), F.lit(0)) for k in langs]))
+    prior = F.array(*[F.lit(1 / len(langs))] * len(langs))
+    seen, all_ = F.array(*[F.lit(int(total[f"n{i}"] or 0)) for i in range(len(langs))]), F.lit(int(total["n"]))
+    mine = F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x)
+    for key in (None, "tail", "domain", "host"):
+        if key:
+            counts = labelled.groupBy(key).agg(*_counts(labelled, langs))
+            out = out.join(counts.select(key, F.array(*[F.col(f"n{i}") for i in range(len(langs))]).alias(f"seen_{key}"), F.col("n").alias(f"n_{key}")), key, "left")
+            seen, all_ = F.coalesce(f"seen_{key}", F.array(*[F.lit(0).cast("long")] * len(langs))), F.coalesce(f"n_{key}", mine)
+        out = out.withColumn("prior", F.transform(F.arrays_zip(seen.alias("s"), F.col("own").alias("o"), prior.alias("p")), lambda z: z["s"] - z["o"] + PRIOR_WEIGHT * z["p"]))
+        out = out.withColumn("prior", F.transform("prior", lambda x: x / (all_ - mine + PRIOR_WEIGHT)))
+        prior = F.col("prior")
+    return out
 
 
 def _confusion(labelled: DataFrame, seen: str, langs: list[str]) -> DataFrame:
@@ -153,21 +164,27 @@ def _confusion(labelled: DataFrame, seen: str, langs: list[str]) -> DataFrame:
 def page_facts(pages: DataFrame) -> DataFrame:
     """Evidence (key, declared, suffix, host) of pages, by page_id."""
     known = pages.where(F.col("page_id").isNotNull())
-    return known.groupBy(F.col("page_id").cast("long").alias("key")).agg(
-        F.min(declared_in(F.col("html"))).alias("declared"), F.min(suffix_in(F.col("url"))).alias("suffix"), F.min(host_in(F.col("url"))).alias("host"))
+    page = F.struct(host_in(F.col("url")).alias("host"), suffix_in(F.col("url")).alias("suffix"), declared_in(F.col("html")).alias("declared"))
+    return known.groupBy(F.col("page_id").cast("long").alias("key")).agg(F.max(page).alias("p")).select("key", "p.declared", "p.suffix", "p.host")
+
+
+def row_hash(label: str = "lang") -> Column:
+    """A hash of what a row is judged by besides its id."""
+    return F.xxhash64("text", "source", label)
 
 
 def identify(docs: DataFrame, facts: DataFrame | None = None, key: str = "doc_id", label: str = "lang", sample: int = SAMPLE, clean: float = CLEAN) -> DataFrame:
-    """(_id, _h, found, posterior, kept) for each row: its id, text hash, language and decision.
+    """(_id, _h, found, posterior, kept) for each row: its id, hash (``row_hash``), language and decision.
 
     docs: key, text, label (null where unknown) and source, the host of documents
     without a page; facts: (key, declared, suffix, host), at most a row per key.
     """
-    base = docs.select(id_of(key).alias("_id"), F.xxhash64("text").alias("_h"), F.col("text"), F.col(label).alias("label"), F.col("source"))
-    sizes = {r.label: r.n for r in base.where(F.col("label").isNotNull()).groupBy("label").agg(F.count("*").alias("n")).collect()}  # one row per language
-    share = F.lit(0.0)
-    for k, n in sizes.items():
-        share = F.when(F.col("label") == k, F.lit(min(1.0, sample / n))).otherwise(share)
+    base = docs.select(id_of(key).alias("_id"), row_hash(label).alias("_h"), F.col("text"), F.col(label).alias("label"), F.col("source"))
+    counted = base.where(F.col("label").isNotNull()).groupBy("label").agg(F.count("*").alias("n"))
+    sizes = {r.label: r.n for r in counted.orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()}
+    base = base.withColumn("label", F.when(F.col("label").isin(list(sizes)), F.col("label")))
+    shares = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))]) if sizes else None
+    share = F.element_at(shares, F.col("label")) if sizes else F.lit(0.0)
     draw = F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
     model = train_text(base.where(F.col("label").isNotNull() & (draw < share)).select(F.col("label").alias("lang"), "text")) if sizes else {}
     langs = sorted(model)
@@ -185,13 +202,7 @@ def identify(docs: DataFrame, facts: DataFrame | None = None, key: str = "doc_id
     scored = cut(scored)
     labelled = scored.where(F.col("label").isNotNull()).select("label", "declared", "suffix", "host", "domain", "tail")
     total = labelled.agg(*_counts(labelled, langs)).first()
-    top = [(total[f"n{i}"] + PRIOR_WEIGHT / len(langs)) / (total["n"] + PRIOR_WEIGHT) for i in range(len(langs))]
-    tails = _prior(labelled, "tail", top, None, langs)
-    domains = _prior(labelled, "domain", tails, "tail", langs)
-    hosts = _prior(labelled, "host", domains, "domain", langs)
-    for table, on in ((hosts, "host"), (domains, "domain"), (tails, "tail")):
-        scored = scored.join(table.withColumnRenamed("prior", f"prior_{on}"), on, "left")
-    scored = scored.withColumn("prior", F.coalesce("prior_host", "prior_domain", "prior_tail", F.array(*[F.lit(x) for x in top])))
+    scored = _with_prior(scored, labelled, total, langs)
     for seen in ("declared", "suffix"):
         scored = scored.join(_confusion(labelled, seen, langs), seen, "left")
     score = [
@@ -217,6 +228,6 @@ def op9_language_id(spark, sf_dir: str) -> DataFrame:
 def keep_known(docs: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """``docs`` without the rows that language ID rejects, ``lang`` replaced by the language found."""
     found = identify(docs, facts).where("kept").select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), "found").distinct()
-    keyed = docs.select(id_of().alias("_id"), F.xxhash64("text").alias("_h"), F.struct("*").alias("_row"))
+    keyed = docs.select(id_of().alias("_id"), row_hash().alias("_h"), F.struct("*").alias("_row"))
     kept = keyed.join(found, (F.col("_id") == F.col("_i")) & (F.col("_h") == F.col("_g")))
     return kept.select(*[F.col("found").alias(c) if c == "lang" else F.col("_row")[c].alias(c) for c in docs.columns])
