@@ -43,7 +43,8 @@ ORDER = 3
 END = U64(0x1F83D9ABFB41BD6B)  #: hash of the end token
 CHUNK = 1_500_000  #: tokens that a task holds at a time
 RANKS = 18  #: bits of a range of ranks
-FEW = 64  #: the statistics of a context with more words than this are stored, others are summed when asked for
+FEW = 64  #: the statistics of a context with more words than this (254 at most) are stored, others are summed when asked for
+RUN = 16  #: contexts of which one has the place of its first word stored
 
 
 def pack(values: np.ndarray, deltas: bool) -> bytes:
@@ -107,7 +108,7 @@ def range_of(h: np.ndarray, parts: int) -> np.ndarray:
 
 @lru_cache(maxsize=4096)
 def _mapped(folder: str, name: str, key: str) -> np.ndarray:
-    return get_array(folder, name, key)
+    return np.asarray(get_array(folder, name, key))
 
 
 class Sorted:
@@ -140,13 +141,20 @@ def narrow(x: np.ndarray) -> np.ndarray:
 
 
 def table_arrays(ctx: np.ndarray, word: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
-    """A table of n-grams sorted by context hash and word: counts of 255 and more lie apart."""
+    """A table of n-grams sorted by context hash and word.
+
+    Words are cut into 16 bits and the rest.  Counts, and sizes of contexts, of 255 and
+    more lie apart; where a context's words begin is stored for one context in RUN.
+    """
     head = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
     size = np.diff(np.append(head, len(ctx)))
     many = np.flatnonzero(size > FEW)
     stats = np.stack([np.add.reduceat(x.astype(np.int64), head)[many] for x in (n, n == 1, n == 2, n > 2)])
     large = np.flatnonzero(n >= 255)
-    return {"key": ctx[head], "at": narrow(np.append(head, len(ctx))), "word": narrow(word), "count": np.minimum(n, 255).astype(np.uint8), "large": large, "large_n": n[large], "many": many, "stats": stats}
+    return {
+        "key": ctx[head], "start": narrow(head[::RUN]), "size": np.minimum(size, 255).astype(np.uint8), "many": many, "many_size": size[many], "stats": stats,
+        "low": (word & 0xFFFF).astype(np.uint16), "high": narrow(word >> 16), "count": np.minimum(n, 255).astype(np.uint8), "large": large, "large_n": n[large],
+    }
 
 
 class Tables:
@@ -169,16 +177,36 @@ class Tables:
             if not self.names[p]:
                 continue
             a, b = edges[p], edges[p + 1]
-            part = {k: _mapped(self.folder, self.names[p].decode(), k) for k in ("key", "at", "word", "count", "large", "large_n", "many", "stats")}
+            part = {k: _mapped(self.folder, self.names[p].decode(), k) for k in ("key", "start", "size", "many", "many_size", "stats", "low", "high", "count", "large", "large_n")}
             i = np.minimum(np.searchsorted(part["key"], keys[a:b]), len(part["key"]) - 1)
-            hit = part["key"][i] == keys[a:b]
-            low, high = (np.where(hit, part["at"][i + k].astype(np.int64), 0) for k in (0, 1))
+            hit = np.flatnonzero(part["key"][i] == keys[a:b])
+            low, high = np.zeros((2, b - a), np.int64)
+            low[hit], high[hit] = self._span(part, i[hit])
             stats[:, a:b] = self._stats(part, i, low, high)
             rows = order[tails[a - 1] if a else 0 : tails[b - 1]]
             mine = back[rows] - a
-            count[rows] = self._counts(part, self._search(part["word"], word[rows], low[mine], high[mine]))
+            count[rows] = self._counts(part, self._search(part, word[rows], low[mine], high[mine]))
         return count, stats[:, back]
 
+    @staticmethod
+    def _sizes(part: dict, i: np.ndarray) -> np.ndarray:
+        """How many words follow each context."""
+        n = part["size"][i].astype(np.int64)
+        big = np.flatnonzero(n == 255)
+        if len(big):
+            n[big] = part["many_size"][np.searchsorted(part["many"], i[big])]
+        return n
+
+    @classmethod
+    def _span(cls, part: dict, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words of each context begin and end: the stored place before, and the sizes from there on."""
+        back = i % RUN
+        own = cls._sizes(part, ragged(i - back, back))
+        total = np.concatenate([[0], np.cumsum(own)])
+        last = np.cumsum(back)
+        low = part["start"][i // RUN].astype(np.int64) + total[last] - total[last - back]
+        return low, low + cls._sizes(part, i)
+
     @staticmethod
     def _counts(part: dict, at: np.ndarray) -> np.ndarray:
         """Counts at some places, 0 for -1."""
@@ -188,11 +216,12 @@ class Tables:
             n[big] = part["large_n"][np.searchsorted(part["large"], at[big])]
         return n
 
-    def _stats(self, part: dict, i: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    @classmethod
+    def _stats(cls, part: dict, i: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         size, out = high - low, np.zeros((4, len(i)), np.int64)
         few = np.flatnonzero((size > 0) & (size <= FEW))
         if len(few):
-            n = self._counts(part, ragged(low[few], size[few]))
+            n = cls._counts(part, ragged(low[few], size[few]))
             head = np.cumsum(size[few]) - size[few]
             out[:, few] = [np.add.reduceat(x.astype(np.int64), head) for x in (n, n == 1, n == 2, n > 2)]
         rest = np.flatnonzero(size > FEW)
@@ -201,31 +230,47 @@ class Tables:
         return out
 
     @staticmethod
-    def _search(words: np.ndarray, want: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    def _search(part: dict, want: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Place of each wanted word between low and high, or -1."""
+        words = lambda at: (part["high"][at].astype(np.int64) << 16) | part["low"][at]
         low, high, top = low.copy(), high.copy(), high
         todo = np.flatnonzero(low < high)
         while len(todo):
             mid = (low[todo] + high[todo]) >> 1
-            less = words[mid] < want[todo]
+            less = words(mid) < want[todo]
             low[todo] = np.where(less, mid + 1, low[todo])
             high[todo] = np.where(less, high[todo], mid)
             todo = todo[low[todo] < high[todo]]
         found = low < top
-        found[found] = words[low[found]] == want[found]
+        found[found] = words(low[found]) == want[found]
         return np.where(found, low, -1)
 
 
 BLOCK = "level int, p long, n long, cols array<binary>, f binary, name string, tops array<long>"
 
 
+def _joined(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns of non-negative integers in as few 64-bit ones as hold them, first to last."""
+    out, room = [], 0
+    for c in cols:
+        bits = int(c.max()).bit_length() if len(c) else 1
+        if out and bits <= room:
+            out[-1] = (out[-1] << U64(bits)) | c.astype(U64)
+            room -= bits
+        else:
+            out.append(c.astype(U64))
+            room = 64 - bits
+    return out
+
+
 def _blocks(level: int, part: np.ndarray, cols: list[np.ndarray], count: np.ndarray) -> pa.RecordBatch:
     """A row for each part: equal n-grams summed, in order, compressed."""
-    order = np.lexsort((*cols[::-1], part))
+    keys = _joined([part, *cols])
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
     part, cols, count = part[order], [c[order] for c in cols], count[order]
     new = np.ones(len(part), bool)
     if len(part):
-        new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
     first = np.flatnonzero(new)
     count = np.add.reduceat(count, first) if len(first) else count
     part, cols = part[first], [c[first] for c in cols]

@@ -106,10 +106,20 @@ def test_no_training_and_empty(spark):
 
 
 def test_tables_find_counts_of_any_size():
-    ctx = np.repeat(np.array([5, 9, 2**63 + 1], np.uint64), [1, 100, 3])
-    word = np.concatenate([[7], np.arange(0, 200, 2), [1, 2, 2**33]])
-    n = np.concatenate([[2**40], np.arange(1, 101), [254, 255, 256]])
+    sizes = [1, 300, 3, *range(1, 60), 255, 254]
+    ctx = np.repeat(np.arange(len(sizes)).astype(np.uint64) * np.uint64(2**57), sizes)
+    word = np.concatenate([np.arange(k) * 70_001 for k in sizes])
+    n = np.arange(len(ctx)) % 400 + 1
+    n[0] = 2**40
     part = L.table_arrays(ctx, word, n)
-    at = L.Tables._search(part["word"], np.array([7, 8, 4, 5, 2**33]), np.array([0, 0, 1, 1, 101]), np.array([1, 1, 101, 101, 104]))
-    assert L.Tables._counts(part, at).tolist() == [2**40, 0, 3, 0, 256]
-    assert part["stats"].tolist() == [[5050], [1], [1], [98]]
+    ends = np.cumsum(sizes)
+    low, high = L.Tables._span(part, np.arange(len(sizes)))
+    assert low.tolist() == (ends - sizes).tolist() and high.tolist() == ends.tolist()
+    for c in range(len(sizes)):
+        own = np.arange(low[c], high[c])
+        for off in (0, 1):
+            at = L.Tables._search(part, word[own] + off, np.full(len(own), low[c]), np.full(len(own), high[c]))
+            assert at.tolist() == (own.tolist() if not off else [-1] * len(own))
+        assert L.Tables._counts(part, own).tolist() == n[own].tolist()
+    got = L.Tables._stats(part, np.arange(len(sizes)), low, high).T.tolist()
+    assert got == [[int(x.sum()), int((x == 1).sum()), int((x == 2).sum()), int((x > 2).sum())] for x in (n[a:b] for a, b in zip(low, high))]
