@@ -13,7 +13,11 @@ ALIASES = {"destination_ip": "dest_ip", "destination_port": "dest_port", "bytes_
 
 
 def event_table(events: DataFrame) -> DataFrame:
-    """Any parsed events in the table's columns; what a format lacks is null, never a scan."""
+    """Any parsed events in the table's columns; what a format lacks is null, never a scan.
+
+    Rows without a ``row_id`` get one by their place, unique among equal rows; as
+    long as the input is a stable scan (files, a written table) it stays the same.
+    """
     have = set(events.columns)
 
     def column(name: str):
@@ -23,5 +27,5 @@ def event_table(events: DataFrame) -> DataFrame:
     cols = [F.col("timestamp") if "timestamp" in have else F.lit(None).cast("timestamp").alias("timestamp")]
     cols += [column(c).alias(c) for c in TEXT]
     cols += [column(c).try_cast("bigint").alias(c) for c in NUMBERS if c != "row_id"]
-    row = F.col("row_id").cast("bigint") if "row_id" in have else F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in events.columns])
+    row = F.col("row_id").cast("bigint") if "row_id" in have else F.monotonically_increasing_id()
     return events.select(*cols, row.alias("row_id"))

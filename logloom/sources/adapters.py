@@ -26,6 +26,9 @@ class Layout:
     evidence: str | None = None  #: pattern that some message must fit
     where: str = "true"
 
+    def with_id(self, d: Dialect) -> str:
+        return self.text(d).replace("select ", "select row_id, ", 1)
+
     def text(self, d: Dialect) -> str:
         return f"select {', '.join(f'{e} as {c}' for c, e in self.select(d).items())} from @rows where {self.where}"
 
@@ -50,16 +53,21 @@ def _win_csv(d: Dialect) -> dict[str, str]:
     ids = [4624, 4625, 4634, 4672, 4688]
     event = f"try_cast({d.rx('message', r'EventID=(\d+)')} as bigint)"
     swap = lambda s: s.replace("event_id", event)
-    return {"timestamp": d.plus(when(d), -P.LOCAL_HOURS, "hour"), "host": "host", "program": "'winevent'", "event_id": event, "username": d.rx("message", r"SubjectUserName=(\S+)"), "source_ip": d.rx("message", rf"IpAddress=({P.IP})"), "action": swap(P.windows(ids, 0, "'event'")), "status": swap(P.windows(ids, 1, "'info'")), "message": "message"}
+    return {"timestamp": d.plus(when(d), -P.LOCAL_HOURS, "hour"), "host": "host", "program": "'winevent'", "event_id": event, "username": d.rx("message",
+        r"SubjectUserName=(\S+)"), "source_ip": d.rx("message", rf"IpAddress=({P.IP})"), "action": swap(P.windows(ids, 0, "'event'")), "status": swap(P.windows(ids, 1, "'info'")), "message": "message"}
 
 
 def _suricata_csv(d: Dialect) -> dict[str, str]:
-    return {"timestamp": when(d), "program": "'suricata'", "source_ip": "src_ip", "dest_ip": "dst_ip", "src_port": "try_cast(src_port as bigint)", "dest_port": "try_cast(dst_port as bigint)", "protocol": "protocol", "classification": "classification", "priority": "try_cast(priority as bigint)", "sid": "sid",
-            "action": P.case(("contains(lower(classification), 'attempted') or contains(lower(classification), 'attack')", "attack"), ("contains(lower(classification), 'policy')", "policy_violation"), ("contains(lower(classification), 'malware')", "malware"), other="'alert'"), "message": "message"}
+    return {"timestamp": when(d), "program": "'suricata'", "source_ip": "src_ip", "dest_ip": "dst_ip", "src_port": "try_cast(src_port as bigint)", "dest_port": "try_cast(dst_port as bigint)",
+        "protocol": "protocol", "classification": "classification", "priority": "try_cast(priority as bigint)", "sid": "sid",
+            "action": P.case(("contains(lower(classification), 'attempted') or contains(lower(classification), 'attack')", "attack"), ("contains(lower(classification), 'policy')",
+                "policy_violation"), ("contains(lower(classification), 'malware')", "malware"), other="'alert'"), "message": "message"}
 
 
 def _squid_csv(d: Dialect) -> dict[str, str]:
-    return {"timestamp": when(d), "program": "'squid'", "source_ip": "client_ip", "username": "nullif(\"user\", '-')" if d.name == "duck" else "nullif(`user`, '-')", "method": "method", "url": "url", "domain": d.rx("url", r"^https?://([^/?#]*)"), "http_status": "http_status", "bytes_sent": "try_cast(bytes_sent as bigint)", "duration": "try_cast(duration as bigint)", "content_type": "content_type",
+    return {"timestamp": when(d), "program": "'squid'", "source_ip": "client_ip", "username": "nullif(\"user\", '-')" if d.name == "duck" else "nullif(`user`, '-')",
+        "method": "method", "url": "url", "domain": d.rx("url", r"^https?://([^/?#]*)"), "http_status": "http_status", "bytes_sent": "try_cast(bytes_sent as bigint)",
+        "duration": "try_cast(duration as bigint)", "content_type": "content_type",
             "status": "case when try_cast(http_status as int) >= 400 then 'failed' else 'success' end"}
 
 
@@ -80,12 +88,14 @@ def _windows_security(d: Dialect) -> dict[str, str]:
     ids = [4624, 4625, 4634, 4672, 4688, 4798, 5379]
     swap = lambda s: s.replace("event_id", "try_cast(event_id as bigint)")
     return {"timestamp": d.plus(d.instant("date_and_time", "%m/%d/%Y %H:%M:%S"), -P.LOCAL_HOURS, "hour"), "program": "'windows'", "provider": "source", "event_id_num": event, "category": "task_category", "keywords": "keywords",
-            "username": field("Account Name"), "account_domain": field("Account Domain"), "logon_id": field("Logon ID"), "logon_type": field("Logon Type"), "process_name": field("Process Name"), "workstation": field("Workstation Name"), "source_ip": field("Source Network Address"),
+            "username": field("Account Name"), "account_domain": field("Account Domain"), "logon_id": field("Logon ID"), "logon_type": field("Logon Type"),
+                "process_name": field("Process Name"), "workstation": field("Workstation Name"), "source_ip": field("Source Network Address"),
             "action": swap(P.windows(ids, 0, "'event'")), "status": swap(P.windows(ids, 1, "case when contains(keywords, 'Failure') then 'failed' else 'info' end")), "message": "message"}
 
 
 def _zeek_csv(d: Dialect) -> dict[str, str]:
-    return {"timestamp": when(d), "program": "'zeek_dns'", "source_ip": "source_ip", "username": "username", "domain": d.rx("message", r"query:\s+(\S+)"), "query_type": d.rx("message", r"IN\s+(\w+)"), "action": "case when contains(message, '+E') then 'query_error' else 'query' end", "status": "case when contains(message, '+E') then 'failed' else 'success' end", "message": "message"}
+    return {"timestamp": when(d), "program": "'zeek_dns'", "source_ip": "source_ip", "username": "username", "domain": d.rx("message", r"query:\s+(\S+)"),
+        "query_type": d.rx("message", r"IN\s+(\w+)"), "action": "case when contains(message, '+E') then 'query_error' else 'query' end", "status": "case when contains(message, '+E') then 'failed' else 'success' end", "message": "message"}
 
 
 def _apache_csv(d: Dialect) -> dict[str, str]:
@@ -101,7 +111,8 @@ def _apache_csv(d: Dialect) -> dict[str, str]:
 
 def _classic_apache(d: Dialect) -> dict[str, str]:
     code = "try_cast(http_status as int)"
-    return {"timestamp": when(d), "program": "'apache'", "source_ip": "remote_addr", "method": "method", "path": "path", "protocol": "protocol", "http_status": "http_status", "bytes_sent": "bytes_sent", "referrer": "referrer", "user_agent": "user_agent", "status": f"case when {code} between 200 and 399 then 'success' when {code} between 400 and 599 then 'failed' else 'unknown' end"}
+    return {"timestamp": when(d), "program": "'apache'", "source_ip": "remote_addr", "method": "method", "path": "path", "protocol": "protocol", "http_status": "http_status",
+        "bytes_sent": "bytes_sent", "referrer": "referrer", "user_agent": "user_agent", "status": f"case when {code} between 200 and 399 then 'success' when {code} between 400 and 599 then 'failed' else 'unknown' end"}
 
 
 SYSLOG = ("timestamp", "host", "process", "message")
@@ -135,23 +146,34 @@ def with_clean_header(df: DataFrame) -> DataFrame:
     return df.toDF(*[clean_header(c) for c in df.columns])
 
 
-def choose(rows: DataFrame) -> str | None:
-    """The first layout that fits the columns and, where asked for, the rows."""
+def layouts(rows: DataFrame) -> dict[str, str | None]:
+    """The first layout that fits each file's columns and, where asked for, its rows: one short row per file comes back.
+
+    A file has a column if some row of it has a value there.
+    """
     have = set(rows.columns)
     open_ = [x for x in LAYOUTS.values() if set(x.columns) <= have]
-    probes = []
+    used = sorted({c for x in open_ for c in x.columns})
+    probes = [F.max(F.col(f"`{c}`").isNotNull()).alias(f"c_{c}") for c in used]
     for x in open_:
-        p = F.max((F.lower("process") == x.process).cast("int")) if x.process else F.lit(1)
-        e = F.max(F.col("message").rlike(x.evidence).cast("int")) if x.evidence else F.lit(1)
-        probes += [p.alias(f"p_{x.name}"), e.alias(f"e_{x.name}")]
-    if not probes:
-        return None
-    hit = rows.agg(F.count("*").alias("n"), *probes).first()  # one row
-    return next((x.name for x in open_ if hit[f"p_{x.name}"] and hit[f"e_{x.name}"]), None)
-
-
-def adapt(rows: DataFrame) -> DataFrame:
-    """The event columns of a structured file; unchanged if no layout fits."""
+        if x.process:
+            probes.append(F.max(F.coalesce(F.lower("process") == x.process, F.lit(False))).alias(f"p_{x.name}"))
+        if x.evidence:
+            probes.append(F.max(F.coalesce(F.col("message").rlike(x.evidence), F.lit(False))).alias(f"e_{x.name}"))
+    found = {}
+    for r in rows.groupBy("file").agg(F.count("*").alias("n"), *probes).collect():
+        fits = (x.name for x in open_ if all(r[f"c_{c}"] for c in x.columns) and (not x.process or r[f"p_{x.name}"]) and (not x.evidence or r[f"e_{x.name}"]))
+        found[r.file] = next(fits, None)
+    return found
+
+
+def adapt(rows: DataFrame) -> list[tuple[str | None, DataFrame]]:
+    """(layout, event columns with row_id) of structured files (file, row_id, columns); rows as they are where no layout fits."""
     rows = with_clean_header(rows)
-    name = choose(rows)
-    return rows if name is None else apply(LAYOUTS[name].text, rows=rows).withColumn("log_format", F.lit(name))
+    chosen = layouts(rows)
+    out = []
+    for name in sorted(set(chosen.values()), key=str):
+        files = rows.sparkSession.createDataFrame([(f,) for f, x in chosen.items() if x == name], "file string")
+        mine = rows.join(files, "file", "left_semi")
+        out.append((name, mine.drop("file") if name is None else apply(LAYOUTS[name].with_id, rows=mine)))
+    return out

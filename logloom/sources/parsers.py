@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.dialect import Dialect, Text, apply
@@ -117,7 +117,8 @@ def _openssh(d: Dialect) -> dict[str, str]:
 def _pam(d: Dialect) -> dict[str, str]:
     """Logins of daemons other than sshd: password, PAM, RADIUS and TACACS+ phrases, in this order."""
     # Phrases before the user's name.
-    phrases = [("Accepted password", "success"), ("Failed password", "failed"), ("(?i)PAM authentication failure", "failed"), ("(?i)RADIUS Access-Accept", "success"), ("(?i)RADIUS Access-Reject", "failed"), (r"(?i)TACACS\+ authentication OK", "success"), (r"(?i)TACACS\+ authentication FAIL", "failed")]
+    phrases = [("Accepted password", "success"), ("Failed password", "failed"), ("(?i)PAM authentication failure", "failed"), ("(?i)RADIUS Access-Accept",
+        "success"), ("(?i)RADIUS Access-Reject", "failed"), (r"(?i)TACACS\+ authentication OK", "success"), (r"(?i)TACACS\+ authentication FAIL", "failed")]
     users = [d.rx("message", p + r" for (\S+) from") for p, _ in phrases]
     return {
         "source_ip": d.rx("message", rf"\b({IP})\b"),
@@ -137,7 +138,9 @@ def _syslog(d: Dialect) -> dict[str, str]:
     opened, closed = (f"{sudo} and not ({tty}) and contains({low}, 'session {x}')" for x in ("opened", "closed"))
     ran = f"{cron} and contains({low}, 'cron') and contains(message, '(') and contains(message, ')')"
     return {
-        "username": f"case when ({yes}) or ({no}) then {d.rx('message', r'for\s+(\S+)\s+from')} when {named} then {who} when {opened} then {d.rx('message', r'by\s+(\w+)\(uid=')} when {ran} then {d.rx('message', r'\((\w+)\)\s+CMD')} end",
+        "username": f"""case when ({yes}) or ({no}) then {d.rx('message', r'for\s+(\S+)\s+from')}
+          when {named} then {who} when {opened} then {d.rx('message', r'by\s+(\w+)\(uid=')}
+          when {ran} then {d.rx('message', r'\((\w+)\)\s+CMD')} end""",
         "source_ip": f"case when ({yes}) or ({no}) then {d.rx('message', rf'from\s+({IP})')} end",
         "action": case((f"({yes}) or ({no})", "login"), (named, "sudo"), (opened, "sudo_session_open"), (f"{closed} and not ({opened})", "sudo_session_close"), (ran, "cron_execute")),
         "status": case((yes, "success"), (no, "failed"), (named, "success"), (opened, "success"), (closed, "success"), (ran, "success")),
@@ -214,7 +217,9 @@ def _bind(d: Dialect) -> dict[str, str]:
 
 def _ios(d: Dialect) -> dict[str, str]:
     low = "lower(message)"
-    kinds = [(f"contains({low}, 'login') and contains({low}, 'success')", "login", "success"), (f"contains({low}, 'logout')", "logout", "success"), (f"contains({low}, 'configured')", "config_change", "success"), (f"contains({low}, 'adjchange') or contains({low}, 'adjchg')", "bgp_ospf_event", "warning"), (f"contains({low}, 'nat-6')", "nat_portmap", "info"), (f"contains({low}, 'link') or contains({low}, 'lineproto')", "interface_event", "info")]
+    kinds = [(f"contains({low}, 'login') and contains({low}, 'success')", "login", "success"), (f"contains({low}, 'logout')", "logout", "success"), (f"contains({low}, 'configured')",
+        "config_change", "success"), (f"contains({low}, 'adjchange') or contains({low}, 'adjchg')", "bgp_ospf_event", "warning"), (f"contains({low}, 'nat-6')",
+        "nat_portmap", "info"), (f"contains({low}, 'link') or contains({low}, 'lineproto')", "interface_event", "info")]
     return {
         "program": "'router_ios'", "username": f"coalesce({d.rx('message', r'by\s+(?:user\s+)?([^\s()]+)')}, {d.rx('message', r'\[user:([^\s\])]+)')})", "device": d.rx("message", r"device[=\s]+([^\s)]+)"),
         "source_ip": f"coalesce({d.rx('message', rf'from\s+({IP})')}, {d.rx('message', rf'\[Source:({IP})\]')})",
@@ -235,18 +240,21 @@ def _sysmon(d: Dialect) -> dict[str, str]:
 def _win_structured(d: Dialect) -> dict[str, str]:
     keys = {"host": "Host", "channel": "Channel", "level": "Level", "username": "User", "source_ip": "SrcIp", "logon_type": "LogonType"}
     level = kv(d, "line", "Level")
-    return {c: kv(d, "line", k) for c, k in keys.items()} | {"action": windows(WINDOWS, 0, "'event'"), "status": windows(WINDOWS, 1, f"coalesce(lower({level}), 'info')"), "program": f"coalesce({kv(d, 'line', 'Channel')}, 'winevent')", "message": "line"} | quoted(d, "line")
+    return {c: kv(d, "line", k) for c, k in keys.items()} | {"action": windows(WINDOWS, 0, "'event'"), "status": windows(WINDOWS, 1, f"coalesce(lower({level}), 'info')"),
+        "program": f"coalesce({kv(d, 'line', 'Channel')}, 'winevent')", "message": "line"} | quoted(d, "line")
 
 
 def _win(d: Dialect) -> dict[str, str]:
     ids = [i for i in WINDOWS if i not in STRUCTURED_ONLY]
     dev = d.rx("message", r"\bDevice=(\S+)")
-    return {"host": dev, "device": dev, "program": "'winevent'", "provider": d.rx("message", r"Provider=(\S+)"), "username": d.rx("message", r"SubjectUserName=(\S+)"), "source_ip": d.rx("message", rf"IpAddress=({IP})"), "action": windows(ids, 0, "'event'"), "status": windows(ids, 1, "'info'")} | quoted(d, "message")
+    return {"host": dev, "device": dev, "program": "'winevent'", "provider": d.rx("message", r"Provider=(\S+)"), "username": d.rx("message", r"SubjectUserName=(\S+)"),
+        "source_ip": d.rx("message", rf"IpAddress=({IP})"), "action": windows(ids, 0, "'event'"), "status": windows(ids, 1, "'info'")} | quoted(d, "message")
 
 
 def _squid(d: Dialect) -> dict[str, str]:
     acts = [("contains(result_code, 'MISS')", "cache_miss"), ("contains(result_code, 'HIT')", "cache_hit"), ("contains(result_code, 'DENIED')", "access_denied")]
-    return {"program": "'squid'", "dest_ip": "nullif(peer, '-')", "username": "nullif(who, '-')", "domain": d.rx("url", r"^https?://([^/?#]*)"), "action": case(*acts, other="'proxy_access'"), "status": "case when contains(result_code, 'DENIED') and not contains(result_code, 'MISS') and not contains(result_code, 'HIT') then 'blocked' else 'success' end"}
+    return {"program": "'squid'", "dest_ip": "nullif(peer, '-')", "username": "nullif(who, '-')", "domain": d.rx("url", r"^https?://([^/?#]*)"), "action": case(*acts,
+        other="'proxy_access'"), "status": "case when contains(result_code, 'DENIED') and not contains(result_code, 'MISS') and not contains(result_code, 'HIT') then 'blocked' else 'success' end"}
 
 
 def _suricata(d: Dialect) -> dict[str, str]:
@@ -259,7 +267,8 @@ def _keyvalue(d: Dialect) -> dict[str, str]:
     src, dst, act = (kv(d, "line", k) for k in ("src", "dst", "action"))
     cut = lambda v, n: f"nullif(split_part({v}, ':', {n}), '')"
     return {
-        "username": kv(d, "line", "user"), "source_ip": f"coalesce({cut(src, 1)}, {kv(d, 'line', 'source_ip')}, case when {kv(d, 'line', 'ip')} is null then {d.rx('line', rf'\b({IP})\b')} end)", "src_port": cut(src, 2), "dest_ip": cut(dst, 1), "dest_port": cut(dst, 2),
+        "username": kv(d, "line", "user"), "source_ip": f"coalesce({cut(src, 1)}, {kv(d, 'line', 'source_ip')}, case when {kv(d, 'line', 'ip')} is null then {d.rx('line', rf'\b({IP})\b')} end)",
+            "src_port": cut(src, 2), "dest_ip": cut(dst, 1), "dest_port": cut(dst, 2),
         "action": act, "status": f"case when upper({act}) in ('ALLOW', 'ESTABLISHED', 'ACCEPT') then 'success' else {kv(d, 'line', 'status')} end", "message": "line",
     }
 
@@ -270,7 +279,8 @@ ACCESS = r"\[([^\]]+)\]\s+\"([^\"]*)\" (\d{3}) (\S+)(?:\s+\"([^\"]*)\" \"([^\"]*
 #: By the order in which formats are tried on a file.
 FORMATS = {f.name: f for f in [
     Format("suricata_fast", rf"^(\d{{2}}/\d{{2}}/\d{{4}})-(\d{{2}}:\d{{2}}:\d{{2}}\.\d{{6}})\s+\[\*\*\]\s+\[(\d+:\d+:\d+)\]\s+([^\[]+)\s+\[\*\*\]\s+\[Classification:\s*([^\]]+)\]\s+\[Priority:\s*(\d+)\]\s+\{{(\w+)\}}\s+({IP}):(\d+)\s+->\s+({IP}):(\d+)$",
-           {"day": 1, "clock": 2, "sid": 3, "msg": 4, "classification": 5, "priority": 6, "protocol": 7, "source_ip": 8, "src_port": 9, "dest_ip": 10, "dest_port": 11}, lambda d: d.instant("day || ' ' || clock", "%m/%d/%Y %H:%M:%S.%f"), _suricata, (*D, "msg"), ("priority", "src_port", "dest_port")),
+           {"day": 1, "clock": 2, "sid": 3, "msg": 4, "classification": 5, "priority": 6, "protocol": 7, "source_ip": 8, "src_port": 9, "dest_ip": 10, "dest_port": 11},
+               lambda d: d.instant("day || ' ' || clock", "%m/%d/%Y %H:%M:%S.%f"), _suricata, (*D, "msg"), ("priority", "src_port", "dest_port")),
     Format("suricata_simple", ISO + rf"SURICATA\s+(?:ALERT|INFO):\s+signature=\"(.*?)\"\s+severity=(\w+)\s+src=({IP})\s+dst=({IP})\s+proto=(\w+)",
            ISO_GROUPS | {"signature": 3, "severity": 4, "source_ip": 5, "dest_ip": 6, "proto": 7}, iso, lambda d: {"protocol": "upper(proto)", "program": "'suricata'", "action": "'alert'", "status": "'info'", "message": "line"}, (*D, "proto")),
     Format("zeek_dns", rf"^(\d{{2}}-[A-Za-z]{{3}}-\d{{4}})\s+(\d{{2}}:\d{{2}}:\d{{2}}\.\d{{3}})\s+client\s+@(\w+)\s+({IP})#(\d+)\s+\([^)]+\):\s+query:\s+(\S+)\s+IN\s+(\w+)\s+([^)]+)\s+\(({IP})\)$",
@@ -279,16 +289,21 @@ FORMATS = {f.name: f for f in [
     Format("apache", RFC + r"(\S+)\s+httpd\[\d+\]:\s(\S+)\s+\S+\s+(\S+)\s+" + ACCESS + r"(?:\s+attack=(\S+))?$",
            RFC_GROUPS | {"host": 4, "source_ip": 5, "username": 6, "local": 7, "request": 8, "http_status": 9, "bytes_sent": 10, "referrer": 11, "user_agent": 12, "vhost": 13, "attack": 14}, rfc, _apache, (*T, "local", "request", "attack")),
     Format("apache_combined", rf"^({IP})\s+-\s+(\S+)\s+" + ACCESS + r"(?:\s+host=(\S+))?(?:\s+attack=(\S+))?$",
-           {"source_ip": 1, "username": 2, "local": 3, "request": 4, "http_status": 5, "bytes_sent": 6, "referrer": 7, "user_agent": 8, "vhost": 9, "host": 10, "attack": 11}, lambda d: d.instant("split_part(local, ' ', 1)", "%d/%b/%Y:%H:%M:%S"), _apache, ("local", "request", "attack")),
+           {"source_ip": 1, "username": 2, "local": 3, "request": 4, "http_status": 5, "bytes_sent": 6, "referrer": 7, "user_agent": 8, "vhost": 9, "host": 10,
+               "attack": 11}, lambda d: d.instant("split_part(local, ' ', 1)", "%d/%b/%Y:%H:%M:%S"), _apache, ("local", "request", "attack")),
     Format("squid", rf"^(\d+)\.(\d{{3}})\s+(\d+)\s+({IP})\s+(\w+)/(\d+)\s+(\d+)\s+(\w+)\s+(\S+)\s+(\S+)\s+(\S+)/(\S+)\s+(\S+)$",
-           {"sec": 1, "ms": 2, "duration": 3, "source_ip": 4, "result_code": 5, "http_status": 6, "bytes_sent": 7, "method": 8, "url": 9, "who": 10, "hierarchy_code": 11, "peer": 12, "content_type": 13}, lambda d: "timestamp_millis(sec * 1000 + ms)" if d.name == "spark" else "make_timestamp((sec * 1000 + ms) * 1000)",
+           {"sec": 1, "ms": 2, "duration": 3, "source_ip": 4, "result_code": 5, "http_status": 6, "bytes_sent": 7, "method": 8, "url": 9, "who": 10, "hierarchy_code": 11,
+               "peer": 12, "content_type": 13}, lambda d: "timestamp_millis(sec * 1000 + ms)" if d.name == "spark" else "make_timestamp((sec * 1000 + ms) * 1000)",
            _squid, ("sec", "ms", "who", "peer"), ("sec", "ms", "duration", "bytes_sent")),
     Format("modsecurity", ISO + rf"ModSecurity:\s*(?:Warning|Error)\.\s+.*?\[msg\s+\"(.*?)\"\].*?\[uri\s+\"(.*?)\"\].*?\[client\s+({IP})\](?:.*?\[id\s+\"(\d+)\"\])?.*$",
            ISO_GROUPS | {"message": 3, "uri": 4, "client_ip": 5, "rule_id": 6}, iso, lambda d: {"program": "'modsecurity'", "action": "'waf_alert'", "status": "'alert'"}, D, ("rule_id",)),
     Format("vpcflow", ISO + rf"aws:vpcflow\s+src=({IP})\s+dst=({IP})\s+dport=(\d+)\s+protocol=(\d+)\s+action=(ACCEPT|REJECT)\s+bytes=(\d+)$",
-           ISO_GROUPS | {"source_ip": 3, "dest_ip": 4, "dest_port": 5, "protocol": 6, "act": 7, "bytes": 8}, iso, lambda d: {"program": "'vpcflow'", "action": "lower(act)", "status": "case when act = 'ACCEPT' then 'success' else 'blocked' end"}, (*D, "act"), ("dest_port", "bytes")),
+           ISO_GROUPS | {"source_ip": 3, "dest_ip": 4, "dest_port": 5, "protocol": 6, "act": 7, "bytes": 8}, iso, lambda d: {"program": "'vpcflow'", "action": "lower(act)",
+               "status": "case when act = 'ACCEPT' then 'success' else 'blocked' end"}, (*D, "act"), ("dest_port", "bytes")),
     Format("netflow", ISO + rf"NETFLOW\s+src=({IP}):(\d+)\s+dst=({IP}):(\d+)\s+proto=(\w+)\s+bytes=(\d+)\s+pkts=(\d+)\s+action=(\w+)",
-           ISO_GROUPS | {"source_ip": 3, "src_port": 4, "dest_ip": 5, "dest_port": 6, "proto": 7, "bytes": 8, "packets": 9, "act": 10}, iso, lambda d: {"program": "'netflow'", "protocol": "upper(proto)", "action": "lower(act)", "status": "case when lower(act) in ('permit', 'allow', 'accept') then 'success' else 'blocked' end"}, (*D, "proto", "act"), ("src_port", "dest_port", "bytes", "packets")),
+           ISO_GROUPS | {"source_ip": 3, "src_port": 4, "dest_ip": 5, "dest_port": 6, "proto": 7, "bytes": 8, "packets": 9, "act": 10}, iso, lambda d: {"program": "'netflow'",
+               "protocol": "upper(proto)", "action": "lower(act)", "status": "case when lower(act) in ('permit', 'allow', 'accept') then 'success' else 'blocked' end"},
+               (*D, "proto", "act"), ("src_port", "dest_port", "bytes", "packets")),
     Format("sysmon", ISO + r"Sysmon:\s+(.*)$", ISO_GROUPS | {"message": 3}, iso, _sysmon, D),
     Format("router_ios", RFC + r"(\S+)\sios\[\d+\]:\s(.*)$", RFC_GROUPS | {"host": 4, "message": 5}, rfc, _ios, T),
     Format("sysmon_network", ISO + rf"Sysmon:\s*EventID=3.*?Image=(\S+).*?DestinationIp=({IP}).*?DestinationPort=(\d+)\s+Protocol=(\w+)",
@@ -302,8 +317,11 @@ FORMATS = {f.name: f for f in [
     Format("bind", RFC + r"(\S+)\snamed\[\d+\]:\s(.*)$", RFC_GROUPS | {"host": 4, "message": 5}, rfc, _bind, T),
     Format("dnsmasq", RFC + r"(\S+)\sdnsmasq\[(\d+)\]:\s(.*)$", RFC_GROUPS | {"host": 4, "pid": 5, "message": 6}, rfc, _dnsmasq, T),
     Format("linux", RFC + r"(\S+)\s(kernel|network|systemd|dhcp|dns|firewall|iptables):\s(.*)$", RFC_GROUPS | {"host": 4, "program": 5, "message": 6}, rfc,
-           lambda d: {"source_ip": d.rx("message", rf"\b({IP})\b"), "action": case(("contains(lower(message), 'link up')", "interface_up"), ("contains(lower(message), 'link down')", "interface_down"), ("contains(lower(message), 'dhcp')", "dhcp")), "status": case(("contains(lower(message), 'link up') or contains(lower(message), 'link down')", "success"), ("contains(lower(message), 'dhcp')", "info"))}, T),
-    Format("config_change", ISO + r"configd:\s+([A-Za-z0-9_.:\-]+)\s+configuration\s+(updated|rolled back|applied|reloaded)\s+by\s+(\S+)\s+change_id=(\d+)", ISO_GROUPS | {"configuration": 3, "act": 4, "actor": 5, "change_id": 6}, iso, lambda d: {"program": "'configd'", "action": "replace(act, ' ', '_')", "status": "'success'"}, (*D, "act"), ("change_id",)),
+           lambda d: {"source_ip": d.rx("message", rf"\b({IP})\b"), "action": case(("contains(lower(message), 'link up')", "interface_up"), ("contains(lower(message), 'link down')",
+               "interface_down"), ("contains(lower(message), 'dhcp')", "dhcp")), "status": case(("contains(lower(message), 'link up') or contains(lower(message), 'link down')",
+               "success"), ("contains(lower(message), 'dhcp')", "info"))}, T),
+    Format("config_change", ISO + r"configd:\s+([A-Za-z0-9_.:\-]+)\s+configuration\s+(updated|rolled back|applied|reloaded)\s+by\s+(\S+)\s+change_id=(\d+)",
+        ISO_GROUPS | {"configuration": 3, "act": 4, "actor": 5, "change_id": 6}, iso, lambda d: {"program": "'configd'", "action": "replace(act, ' ', '_')", "status": "'success'"}, (*D, "act"), ("change_id",)),
     Format("syslog_iso", ISO + r"(\S+)\s+([^:]+):\s(.*)$", ISO_GROUPS | {"host": 3, "program": 4, "message": 5}, iso, _syslog_iso, D),
     Format("auth_daemon", RFC + r"(\S+)\s([^:]+):\s(.*)$", RFC_GROUPS | {"host": 4, "program": 5, "message": 6}, rfc, _pam, T),
     Format("syslog", RFC + r"(\S+)\s([^:]+):\s(.*)$", RFC_GROUPS | {"host": 4, "program": 5, "message": 6}, rfc, _syslog, T),
@@ -325,7 +343,9 @@ def sniff_counts(d: Dialect) -> str:
     """Hits of each format on the first HEAD lines."""
     counts = " union all ".join(f"select {i} as place, '{f.name}' as format, {d.text(f.pattern)} as pattern" for i, f in enumerate(FORMATS.values()) if f.name not in NOT_SNIFFED)
     hit = "regexp_like(line, pattern)" if d.name == "spark" else "regexp_matches(line, pattern)"
-    return f"select format, place, count_if({hit}) as hits, count(*) as n from (select line from @lines where trim(line) <> '' order by line_no limit {HEAD}) as head cross join ({counts}) as formats group by format, place"
+    return f"""select format, place, count_if({hit}) as hits, count(*) as n from (select line
+      from @lines where trim(line) <> '' order by line_no limit {HEAD}) as head
+      cross join ({counts}) as formats group by format, place"""
 
 
 def sniff(lines: DataFrame) -> str:
@@ -339,17 +359,33 @@ STARTS = "|".join([RFC, ISO, r"^\d{4}-\d{2}-\d{2}[ T]", r"^\d{2}-[A-Za-z]{3}-\d{
 
 
 def merge_multiline(d: Dialect) -> str:
-    """(file, line_no, line) records: a line that begins none is joined to the one before, file by file."""
-    begin = f"case when {d.has('line', STARTS)} and not {d.has('line', r'^[ \t]')} then 1 else 0 end"
-    line = "array_join(transform(array_sort(collect_list(struct(line_no, line))), x -> x.line), '\\n')" if d.name == "spark" else "string_agg(line, chr(10) order by line_no)"
-    return f"""select file, min(line_no) as line_no, {line} as line from
-      (select *, sum({begin}) over (partition by file order by line_no rows between unbounded preceding and current row) as record from @lines) as numbered group by file, record"""
-
+    """(file, line_no, line) records: a line that begins none is joined to the one before, file by file.
 
-def dispatch(lines: DataFrame) -> DataFrame:
-    """Sniff, then parse, with ``log_format``."""
-    name = sniff(lines)
-    return parse(lines, name).withColumn("log_format", F.lit(name))
+    Lines are numbered within each split of a file; the records of the splits
+    before are added, so that no task needs a whole file.
+    """
+    begin = f"case when {d.has('line', STARTS)} and not {d.has('line', r'^[ \t]')} then 1 else 0 end"
+    line = "array_join(transform(array_sort(collect_list(struct(split, line_no, line))), x -> x.line), '\\n')" if d.name == "spark" else "string_agg(line, chr(10) order by split, line_no)"
+    totals = f"select file, split, sum({begin}) as starts from @lines group by file, split"
+    offsets = f"select file, split, coalesce(sum(starts) over (partition by file order by split rows between unbounded preceding and 1 preceding), 0) as earlier from ({totals}) as t"
+    inner = f"select *, sum({begin}) over (partition by file, split order by line_no rows between unbounded preceding and current row) as record from @lines"
+    first = "min(struct(split, line_no)).line_no" if d.name == "spark" else "list(line_no order by split, line_no)[1]"
+    return f"""select file, {first} as line_no, {line} as line from
+      (select l.file, l.split, l.line_no, l.line, record + earlier as record from ({inner}) as l join ({offsets}) as o on o.file = l.file and o.split = l.split) as numbered group by file, record"""
+
+
+def sniff_files(lines: DataFrame) -> dict[str, str]:
+    """Format of each file: that of its first HEAD records, as ``sniff`` would find it.
+
+    Only the first lines of the first split of each file are looked at; one short
+    row per file comes back.
+    """
+    place = Window.partitionBy("file").orderBy("line_no")
+    head = lines.where("split = 0 and trim(line) <> ''").withColumn("k", F.row_number().over(place)).where(F.col("k") <= 10 * HEAD).drop("k")
+    head = apply(merge_multiline, lines=head).withColumn("k", F.row_number().over(place)).where(F.col("k") <= HEAD)
+    tried = [f for f in FORMATS.values() if f.name not in NOT_SNIFFED]
+    rows = head.groupBy("file").agg(F.count("*").alias("n"), *[F.count_if(F.col("line").rlike(f.pattern)).alias(f.name) for f in tried]).collect()
+    return {r.file: next((f.name for f in tried if r[f.name] >= max(3, r.n // 4)), "keyvalue") for r in rows}
 
 
 TEXTS: dict[str, Text] = {name: f.text for name, f in FORMATS.items()}

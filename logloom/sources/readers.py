@@ -1,16 +1,28 @@
-"""Readers: lines with numbers, CSV with fallbacks, JSON flattened, one entry for any file."""
+"""Readers: decoded lines with numbers, CSV, flattened JSON, and one entry for any file or folder.
+
+Every file is judged by itself: structured ones by ending, separator, header and
+layout, text files by their first records.  Files of one kind are read together.
+``row_id`` is unique over all that one call reads: the place of a line or row in
+Spark's order of splits, which stays the same as long as the files do.
+"""
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.dialect import apply
+from ..schema import event_table
 from . import adapters, parsers
 
 # What bytes 0x80 to 0x9F mean in Windows-1252 (the five it lacks stay as they are).
 WINDOWS = dict(zip([*range(0x80, 0xA0)], "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"))
+SEPARATORS = (",", ";", "\t", "|")
 
 
 def decoded(raw):
@@ -20,31 +32,68 @@ def decoded(raw):
     return F.regexp_replace(text, "^\ufeff", "")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of text files.
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, split, line_no, line) of text files, by Spark's splittable text source.
 
-    Lines are read by Spark's splittable text source.  ``line_no`` is the start of
-    the line's split in its file and the line's place in the split, which orders a
-    file's lines without a sort of the whole.
+    ``split`` is where the line's split begins in its file and ``line_no`` rises
+    within the split; no two lines share a ``line_no``.  A line that is not valid
+    UTF-8 is read as Windows-1252.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "^﻿", "").alias("line"))
-    return lines.select("file", (F.col("block") * 0 + F.col("id")).alias("line_no"), "line")
+    lines = spark.read.text(path)
+    return lines.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line_no"), decoded(F.col("value").cast("binary")).alias("line")
+    )
 
 
 def read_binary_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of files in unknown encodings, each decoded as a whole."""
+    """(file, split, line_no, line) of files that need decoding as a whole (e.g. lines that end in a lone CR)."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), decoded(F.col("content")).alias("text"))
-    return files.select("file", F.posexplode(F.split("text", r"\r\n|\r|\n"))).select("file", F.col("pos").cast("long").alias("line_no"), F.col("col").alias("line"))
+    lines = files.select("file", F.posexplode(F.split("text", r"\r\n|\r|\n")))
+    return lines.select("file", F.lit(0).cast("long").alias("split"), F.col("pos").cast("long").alias("line_no"), F.col("col").alias("line"))
+
+
+def separator(header: str) -> str:
+    return max(SEPARATORS, key=header.count)
+
+
+def header_names(header: str, sep: str) -> list[str]:
+    """Clean column names; one that repeats gets its place added."""
+    names = [adapters.clean_header(c) for c in next(csv.reader([header], delimiter=sep), [])]
+    return [c if c and c not in names[:i] else f"{c or 'column'}_{i}" for i, c in enumerate(names)]
+
 
+def csv_rows(lines: DataFrame, header: str, sep: str | None = None) -> DataFrame:
+    """(file, row_id, columns as strings) of lines of CSV files that share a header; bad rows are dropped."""
+    sep = sep or separator(header)
+    names = header_names(header, sep)
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("_bad", T.StringType())])
+    how = {"sep": sep, "quote": '"', "escape": "\\", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    body = lines.where((F.col("line") != header) & (F.trim("line") != ""))
+    # an end of ";;" is no column but a mark that some exporters leave
+    line = F.col("line") if header.endswith(";;") or sep == ";" else F.regexp_replace("line", r";;\s*$", "")
+    parsed = body.select("file", F.col("line_no").alias("row_id"), F.from_csv(line, F.lit(schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")), how).alias("r"))
+    return parsed.where("r._bad is null").select("file", "row_id", *[F.col(f"r.c{i}").alias(c) for i, c in enumerate(names)])
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """CSV of strings with a clean header; bad rows are dropped; ``;`` or tab if the header asks for it."""
-    if sep is None:
-        head = spark.read.text(path).limit(1).collect()  # one line
-        line = head[0][0] if head else ""
-        sep = max((",", ";", "\t", "|"), key=line.count)
-    df = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", "\\").option("mode", "DROPMALFORMED").csv(path)
-    return adapters.with_clean_header(df)
+
+def read_csv(spark: SparkSession, path: str | list[str], header: str | None = None, sep: str | None = None) -> DataFrame:
+    """(file, row_id, columns) of CSV files with one header, which is taken from the first file unless given.
+
+    Records of several lines (some line has an odd number of quotes) are read file
+    by file, others line by line, so that large files are split.
+    """
+    lines = read_lines(spark, path)
+    if header is None:
+        first = lines.where("split = 0 and trim(line) <> ''").orderBy("file", "line_no").select("line").first()
+        if first is None:
+            return lines.select("file", F.col("line_no").alias("row_id")).limit(0)
+        header = first[0]
+    sep = sep or separator(header)
+    odd = (F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))) % 2
+    if not lines.agg(F.max(odd)).first()[0]:
+        return csv_rows(lines, header, sep)
+    whole = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", "\\").option("multiLine", True).option("mode", "DROPMALFORMED").csv(path)
+    file = F.col("_metadata.file_path").alias("file")
+    return whole.select(file, F.monotonically_increasing_id().alias("row_id"), *whole.columns).toDF("file", "row_id", *header_names(header, sep))
 
 
 def flatten(df: DataFrame) -> DataFrame:
@@ -60,9 +109,10 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*walk(df.schema, ""))
 
 
-def read_json(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """JSON records, flattened; a line that is no JSON becomes a message."""
+def read_json(spark: SparkSession, path: str | list[str], multiline: bool = False) -> DataFrame:
+    """(file, row_id, columns) of JSON records, flattened; a line that is no JSON becomes a message."""
     df = spark.read.option("multiLine", multiline).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    df = df.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row_id"), *[F.col(f"`{c}`") for c in df.columns if c not in ("file", "row_id")])
     flat = flatten(df)
     if "_corrupt" in flat.columns:
         message = F.coalesce(F.col("message"), F.col("_corrupt")) if "message" in flat.columns else F.col("_corrupt")
@@ -70,16 +120,44 @@ def read_json(spark: SparkSession, path: str, multiline: bool = False) -> DataFr
     return flat
 
 
-def ingest(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Events of a file by its ending, in [start, end), rows without an instant left out."""
-    low = path.lower().rstrip("/")
-    if low.endswith(".csv"):
-        events = adapters.adapt(read_csv(spark, path))
-    elif low.endswith((".json", ".ndjson")):
-        events = adapters.adapt(read_json(spark, path, low.endswith(".json")))
-    else:
-        records = apply(parsers.merge_multiline, lines=read_lines(spark, path))
-        events = parsers.dispatch(records)
+def _files(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Paths of a file or folder by kind; the driver lists a table's files in any case."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("length > 0").select("path").collect()
+    out: dict[str, list[str]] = {}
+    for r in sorted(r.path for r in rows):
+        ending = r.lower().rsplit(".", 1)[-1]
+        out.setdefault(ending if ending in ("csv", "json", "ndjson") else "text", []).append(r)
+    return out
+
+
+def text_branches(spark: SparkSession, paths: list[str]) -> list[tuple[str, DataFrame]]:
+    """(format, records) of text files, grouped by the format each shows."""
+    by_format: dict[str, list[str]] = {}
+    for file, name in parsers.sniff_files(read_lines(spark, paths)).items():
+        by_format.setdefault(name, []).append(unquote(file))
+    return [(name, apply(parsers.merge_multiline, lines=read_lines(spark, files))) for name, files in sorted(by_format.items())]
+
+
+def branches(spark: SparkSession, path: str) -> list[tuple[str | None, DataFrame]]:
+    """(format, events in its own columns, with row_id) for each kind of file found."""
+    files = _files(spark, path)
+    out: list[tuple[str | None, DataFrame]] = []
+    if "csv" in files:
+        heads = read_lines(spark, files["csv"]).where("split = 0 and trim(line) <> ''")
+        by_header: dict[str, list[str]] = {}
+        for r in heads.groupBy("file").agg(F.min_by("line", "line_no").alias("header")).collect():  # one short row per file
+            by_header.setdefault(r.header, []).append(unquote(r.file))
+        for header, paths in sorted(by_header.items()):
+            out += adapters.adapt(read_csv(spark, paths, header))
+    for kind in ("json", "ndjson"):
+        if kind in files:
+            out += adapters.adapt(read_json(spark, files[kind], kind == "json"))
+    for name, records in text_branches(spark, files["text"]) if "text" in files else ():
+        out.append((name, parsers.parse(records, name).withColumnRenamed("line_no", "row_id")))
+    return out
+
+
+def _timed(events: DataFrame, start: str | None, end: str | None) -> DataFrame:
     if dict(events.dtypes).get("timestamp") == "string":
         events = events.withColumn("timestamp", F.try_to_timestamp("timestamp"))
     if "timestamp" in events.columns:
@@ -89,3 +167,20 @@ def ingest(spark: SparkSession, path: str, start: str | None = None, end: str |
         if end:
             events = events.where(F.col("timestamp") < F.lit(end).cast("timestamp"))
     return events
+
+
+def ingest(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The event table of a file or folder, in [start, end), rows without an instant left out."""
+    found = branches(spark, path)
+    # each branch numbers its own rows; its place keeps their numbers apart
+    tables = [event_table(_timed(events.withColumn("row_id", F.col("row_id") * len(found) + k), start, end)) for k, (_, events) in enumerate(found)]
+    return reduce(DataFrame.unionByName, tables) if tables else event_table(spark.createDataFrame([], "timestamp timestamp, row_id long"))
+
+
+def unparsed(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line, log_format) of the text records that their file's format does not fit."""
+    empty = spark.createDataFrame([], "file string, line_no long, line string, log_format string")
+    files = _files(spark, path).get("text")
+    found = text_branches(spark, files) if files else []
+    left = [records.where("trim(line) <> ''").where(~F.col("line").rlike(parsers.FORMATS[name].pattern)).withColumn("log_format", F.lit(name)) for name, records in found]
+    return reduce(DataFrame.unionByName, left, empty)
