@@ -23,12 +23,14 @@ def stats(measures: tuple[str, ...]) -> str:
 
 def hour_profile(d: Dialect) -> str:
     h = d.hour("timestamp")
-    return f"select {UNKNOWN} as username, {n('count(*)')} as events, round(avg(cast({h} as double)), 6) as mean, round(coalesce(stddev_samp(cast({h} as double)), 0), 6) as std, round({d.percentile(f'cast({h} as double)', 0.1)}, 6) as p10, round({d.percentile(f'cast({h} as double)', 0.9)}, 6) as p90 from @logs where timestamp is not null group by 1"
+    return f"""select {UNKNOWN} as username, {n('count(*)')} as events, round(avg(cast({h} as double)), 6) as mean, round(coalesce(stddev_samp(cast({h} as double)), 0), 6) as std, round({d.percentile(f'cast({h} as double)', 0.1)}, 6) as p10, round({d.percentile(f'cast({h} as double)', 0.9)}, 6) as p90
+      from @logs where timestamp is not null group by 1"""
 
 
 def user_stats(d: Dialect) -> str:
     """Mean and deviation over a user's days, with the profile of the hours."""
-    return f"select s.*, h.events, h.mean, h.std, h.p10, h.p90 from (select entity as username, {stats(MEASURES)} from ({daily(d, UNKNOWN)}) as x group by entity) as s left join ({hour_profile(d)}) as h on h.username = s.username"
+    return f"""select s.*, h.events, h.mean, h.std, h.p10, h.p90 from (select entity as username, {stats(MEASURES)}
+      from ({daily(d, UNKNOWN)}) as x group by entity) as s left join ({hour_profile(d)}) as h on h.username = s.username"""
 
 
 def device_stats(d: Dialect) -> str:
@@ -51,7 +53,8 @@ def global_stats(d: Dialect) -> str:
     cal = f"select {d.unnest(d.steps('lo', 'hi', 1, 'hour'), 'hour')} from (select min({t}) as lo, max({t}) as hi from @logs where timestamp is not null) as s"
     hours = f"select coalesce(e, 0) as e, coalesce(b, 0) as b from ({cal}) as c left join (select {t} as h, count(*) as e, sum(bytes) as b from @logs where timestamp is not null group by {t}) as x on x.h = c.hour"
     f = lambda c: f"cast({c} as double)"
-    return f"select round(avg({f('e')}), 6) as events_per_hour_mean, round(coalesce(stddev_samp({f('e')}), 0), 6) as events_per_hour_std, round(avg({f('b')}), 4) as bytes_per_hour_mean, round(coalesce(stddev_samp({f('b')}), 0), 2) as bytes_per_hour_std, round({d.percentile(f('b'), 0.95)}, 4) as upload_bytes_per_hour_p95, {n('max(e)')} as max_events_per_hour, {n('max(b)')} as max_bytes_per_hour from ({hours}) as h"
+    return f"""select round(avg({f('e')}), 6) as events_per_hour_mean, round(coalesce(stddev_samp({f('e')}), 0), 6) as events_per_hour_std, round(avg({f('b')}), 4) as bytes_per_hour_mean, round(coalesce(stddev_samp({f('b')}), 0), 2) as bytes_per_hour_std, round({d.percentile(f('b'), 0.95)}, 4) as upload_bytes_per_hour_p95, {n('max(e)')} as max_events_per_hour, {n('max(b)')} as max_bytes_per_hour
+      from ({hours}) as h"""
 
 
 def download_daily(d: Dialect) -> str:
@@ -98,7 +101,9 @@ def group_case(d: Dialect, rules: list[dict], default: str = "(unknown)") -> str
     return f"case {' '.join(whens)} else {d.text(default)} end" if whens else d.text(default)
 
 
-RULES = [{"match_col": "source_ip", "type": "prefix", "match": "10.0.1.", "group": "Sales"}, {"match_col": "username", "type": "exact", "match": "user7", "group": "Finance"}, {"match_col": "host", "type": "regex", "match": r"host[0-3]$", "group": "Engineering"}, {"match_col": "nothing", "type": "exact", "match": "x", "group": "Never"}, {"match_col": "host", "type": "regex", "match": "(", "group": "Never"}]
+RULES = [{"match_col": "source_ip", "type": "prefix", "match": "10.0.1.", "group": "Sales"}, {"match_col": "username", "type": "exact", "match": "user7",
+    "group": "Finance"}, {"match_col": "host", "type": "regex", "match": r"host[0-3]$", "group": "Engineering"}, {"match_col": "nothing", "type": "exact",
+    "match": "x", "group": "Never"}, {"match_col": "host", "type": "regex", "match": "(", "group": "Never"}]
 
 
 def group_mapped(d: Dialect, rules: list[dict] = RULES) -> str:
@@ -113,15 +118,20 @@ def membership(d: Dialect) -> str:
     return f"select grp, {d.joined('nullif(username, ' + chr(39) * 2 + ')')} as users, {d.joined('source_ip')} as source_ips, {d.joined('host')} as hosts from ({group_mapped(d)}) as m group by grp"
 
 
-def majority_group(d: Dialect) -> str:
+def majority_group(d: Dialect, rules: list[dict] = RULES) -> str:
     """A device's most frequent group, of equals the first by name; a host's entry gives way to an address's of the same name."""
-    part = lambda c, k: f"select device, grp, {k} as prio from (select {c} as device, grp, row_number() over (partition by {c} order by count(*) desc, grp) as rk from ({group_mapped(d)}) as m where {c} is not null group by {c}, grp) as r where rk = 1"
+    part = lambda c, k: f"""select device, grp, {k} as prio from (select {c} as device, grp, row_number() over (partition by {c}
+      order by count(*) desc, grp) as rk from ({group_mapped(d, rules)}) as m
+      where {c} is not null group by {c}, grp) as r where rk = 1"""
     return f"select device, grp from (select device, grp, row_number() over (partition by device order by prio desc) as rk from ({part('host', 0)} union all {part('source_ip', 1)}) as u) as x where rk = 1"
 
 
 def upsert(d: Dialect, key: str = "k") -> str:
     """Rows of @new, and those of @old whose key @new lacks; of equal keys in @new the last; null keys go."""
-    return f"select {key}, v from (select {key}, v, row_number() over (partition by {key} order by seq desc) as rk from @new where {key} is not null) as x where rk = 1 union all select o.{key}, o.v from @old as o left join (select distinct {key} from @new) as f on f.{key} = o.{key} where f.{key} is null and o.{key} is not null"
+    return f"""select {key}, v from (select {key}, v, row_number() over (partition by {key}
+      order by seq desc) as rk from @new where {key} is not null) as x where rk = 1
+      union all select o.{key}, o.v from @old as o left join (select distinct {key}
+      from @new) as f on f.{key} = o.{key} where f.{key} is null and o.{key} is not null"""
 
 
 def map_merge(d: Dialect) -> str:

@@ -13,6 +13,7 @@ from ..plans.dialect import Dialect, Text, named
 
 # What counts as blocked and allowed.
 BLOCKED = "(lower(status) in ('blocked', 'denied', 'drop', 'deny') or upper(action) in ('DENY', 'BLOCK', 'DROP', 'BLOCKED', 'DENIED'))"
+BLOCKED_STATUS = "lower(status) in ('blocked', 'denied')"
 ALLOWED = "(lower(status) in ('allowed', 'accepted', 'permit', 'allow') or upper(action) in ('ALLOW', 'ACCEPT', 'PERMIT', 'ALLOWED'))"
 ADMIN_PORTS = "(22, 23, 3389, 445, 1433, 3306, 5432)"
 C2_PORTS = "(443, 8080, 4444, 8443, 1337, 6666, 9999, 53, 80)"
@@ -46,7 +47,8 @@ DHCP = "program = 'dhcpd' or lower(action) in ('discover', 'offer', 'request', '
 
 def dhcp_scope_conflict(d: Dialect) -> str:
     net = "concat_ws('.', split_part(source_ip, '.', 1), split_part(source_ip, '.', 2), split_part(source_ip, '.', 3))"
-    return alert("dhcp_scope_conflict", "mac_address", fixed("dhcp_scope_conflict"), {"hosts": distinct("host"), "subnets": distinct(net), "events": n("count(*)")}, f"from @logs where ({DHCP}) and mac_address is not null group by mac_address having count(distinct host) >= 2 or count(distinct {net}) >= 2")
+    return alert("dhcp_scope_conflict", "mac_address", fixed("dhcp_scope_conflict"), {"hosts": distinct("host"), "subnets": distinct(net), "events": n("count(*)")},
+        f"from @logs where ({DHCP}) and mac_address is not null group by mac_address having count(distinct host) >= 2 or count(distinct {net}) >= 2")
 
 
 def dhcp_rogue_server(d: Dialect) -> str:
@@ -54,11 +56,13 @@ def dhcp_rogue_server(d: Dialect) -> str:
 
 
 def dhcp_device_user_mismatch(d: Dialect) -> str:
-    return alert("dhcp_device_user_mismatch", "device", fixed("dhcp_user_device_mismatch"), {"users": distinct("username"), "names": d.joined("username")}, f"from @logs where ({DHCP}) and device is not null group by device having count(distinct username) >= 3")
+    return alert("dhcp_device_user_mismatch", "device", fixed("dhcp_user_device_mismatch"), {"users": distinct("username"), "names": d.joined("username")},
+        f"from @logs where ({DHCP}) and device is not null group by device having count(distinct username) >= 3")
 
 
 def dhcp_excessive_roaming(d: Dialect) -> str:
-    return alert("dhcp_excessive_roaming", "username", fixed("dhcp_excessive_roaming"), {"interfaces": distinct("interface"), "vlans": distinct("vlan")}, f"from @logs where ({DHCP}) and username is not null group by username having count(distinct interface) + count(distinct vlan) >= 5")
+    return alert("dhcp_excessive_roaming", "username", fixed("dhcp_excessive_roaming"), {"interfaces": distinct("interface"), "vlans": distinct("vlan")},
+        f"from @logs where ({DHCP}) and username is not null group by username having count(distinct interface) + count(distinct vlan) >= 5")
 
 
 def dhcp_frequent_release(d: Dialect) -> str:
@@ -67,7 +71,8 @@ def dhcp_frequent_release(d: Dialect) -> str:
 
 # ---------------------------------------------------------------- firewall
 
-FW = "program = 'firewall'"
+#: Rows are read as firewall rows once any row names a firewall or has one of these statuses (fixed values).
+FW = "(select count_if(contains(lower(program), 'firewall') or contains(lower(program), 'ufw') or contains(lower(program), 'iptables') or lower(status) in ('blocked', 'denied', 'allowed', 'accepted')) from @logs) > 0"
 
 
 def ip_user(d: Dialect) -> str:
@@ -92,7 +97,8 @@ def deny_burst_minute(d: Dialect) -> str:
     minutes = "select minute, count(*) as c from blocked group by minute having count(*) >= 10"
     ips = f"select distinct b.source_ip from blocked as b join ({minutes}) as m on m.minute = b.minute"
     seen = f"select count(*) as ips, count(x.source_ip) as known from ({ips}) as i left join ({noisy}) as x on x.source_ip = i.source_ip"
-    return f"with blocked as ({rows}) " + alert("firewall_deny_burst", "'network'", fixed("firewall_deny_burst"), {"blocked": n("c"), "max_rate": n("top"), "ips": n("ips")}, f"from (select sum(c) as c, max(c) as top from ({minutes}) as q) as a cross join ({seen}) as s where c >= 10 and known = 0")  # two single rows
+    return f"with blocked as ({rows}) " + alert("firewall_deny_burst", "'network'", fixed("firewall_deny_burst"), {"blocked": n("c"), "max_rate": n("top"),
+        "ips": n("ips")}, f"from (select sum(c) as c, max(c) as top from ({minutes}) as q) as a cross join ({seen}) as s where c >= 10 and known = 0")  # two single rows
 
 
 def deny_distributed(d: Dialect) -> str:
@@ -113,16 +119,23 @@ def fw_port_scan(d: Dialect) -> str:
 
 
 def policy_evasion(d: Dialect) -> str:
-    inner = f"select source_ip, count(*) as c, {d.joined('dest_port')} as ports from @logs where {FW} and {ALLOWED} and dest_port in {ADMIN_PORTS} and source_ip is not null group by source_ip having count(*) >= 3" if d.name == "duck" else f"select source_ip, count(*) as c, array_join(transform(array_sort(collect_set(dest_port)), x -> cast(x as string)), ',') as ports from @logs where {FW} and {ALLOWED} and dest_port in {ADMIN_PORTS} and source_ip is not null group by source_ip having count(*) >= 3"
+    inner = f"""select source_ip, count(*) as c, {d.joined('dest_port')} as ports from @logs
+      where {FW} and {ALLOWED} and dest_port in {ADMIN_PORTS} and source_ip is not null
+      group by source_ip having count(*) >= 3""" if d.name == "duck" else f"""select source_ip, count(*) as c, array_join(transform(array_sort(collect_set(dest_port)), x -> cast(x as string)), ',') as ports
+      from @logs where {FW} and {ALLOWED} and dest_port in {ADMIN_PORTS} and source_ip is not null
+      group by source_ip having count(*) >= 3"""
     return alert("firewall_policy_evasion", "coalesce(name, source_ip)", fixed("firewall_policy_evasion"), {"source_ip": "source_ip", "connections": n("c"), "ports": "ports"}, _named(d, inner))
 
 
 def exfil_row(d: Dialect) -> str:
-    return alert("firewall_exfiltration", "coalesce(username, source_ip)", fixed("firewall_exfiltration"), {"row_id": "row_id", "dest_ip": "dest_ip", "bytes": "bytes"}, f"from @logs where {FW} and upper(action) in ('ALLOW', 'ALLOWED', 'ACCEPT', 'PASS') and {ipf.external_loopback(d, 'dest_ip')} and bytes > {10 * MIB}")
+    return alert("firewall_exfiltration", "coalesce(username, source_ip)", fixed("firewall_exfiltration"), {"row_id": "row_id", "dest_ip": "dest_ip", "bytes": "bytes"},
+        f"from @logs where {FW} and upper(action) in ('ALLOW', 'ALLOWED', 'ACCEPT', 'PASS') and {ipf.external_loopback(d, 'dest_ip')} and bytes > {10 * MIB}")
 
 
 def exfil_outlier(d: Dialect) -> str:
-    inner = f"select source_ip, count(*) as c, max(bytes) as top, avg(cast(bytes as double)) as mean, stddev_samp(cast(bytes as double)) as sd, max_by(dest_ip, bytes * 100000000 - row_id) as dest_ip from @logs where {FW} and {ALLOWED} and source_ip is not null and bytes is not null and {ipf.external_loopback(d, 'dest_ip')} group by source_ip having count(*) >= 3 and stddev_samp(cast(bytes as double)) > 0 and max(bytes) > greatest({OUTLIER} * avg(cast(bytes as double)), {OUTLIER_FLOOR})"
+    inner = f"""select source_ip, count(*) as c, max(bytes) as top, avg(cast(bytes as double)) as mean, stddev_samp(cast(bytes as double)) as sd, max_by(dest_ip, bytes * 100000000 - row_id) as dest_ip
+      from @logs where {FW} and {ALLOWED} and source_ip is not null and bytes is not null and {ipf.external_loopback(d, 'dest_ip')}
+      group by source_ip having count(*) >= 3 and stddev_samp(cast(bytes as double)) > 0 and max(bytes) > greatest({OUTLIER} * avg(cast(bytes as double)), {OUTLIER_FLOOR})"""
     return alert("firewall_exfiltration", "coalesce(name, source_ip)", fixed("firewall_exfiltration"), {"source_ip": "source_ip", "samples": n("c"), "top": "top", "mean": "round(mean, 6)", "dest_ip": "dest_ip"}, _named(d, inner))
 
 
@@ -131,18 +144,22 @@ OUTLIER, OUTLIER_FLOOR = 5, 5 * MIB
 
 # ---------------------------------------------------------------- web
 
-WEB = "program = 'apache'"
+#: The rows of the web server if there are any, else all rows with web columns.
+WEB = "(program = 'apache' or ((http_status is not null or path is not null) and (select count_if(program = 'apache') from @logs) = 0))"
 # Paths that count as exports.
 EXPORT = r"(?i)/export/|/download/|\.csv|\.zip|\.sql|/backup|all_customers|full_dump|all_invoices|/leads"
 
 
 def _takeover_ips(d: Dialect) -> str:
-    return f"select source_ip, count_if(http_status = 401) as fails, count_if(http_status = 200) as oks from @logs where {WEB} and source_ip is not null group by source_ip having count_if(http_status = 401) >= 1 and count_if(http_status = 200) >= 1"
+    return f"""select source_ip, count_if(http_status = 401) as fails, count_if(http_status = 200) as oks
+      from @logs where {WEB} and source_ip is not null group by source_ip having count_if(http_status = 401) >= 1 and count_if(http_status = 200) >= 1"""
 
 
 def _takeover(d: Dialect, kind: str, public: bool, score: str) -> str:
     who = ipf.public_text(d, "i.source_ip")
-    return alert(kind, "username", score, {"ips": distinct("i.source_ip"), "successes": n("count(*)")}, f"from @logs as l join ({_takeover_ips(d)}) as i on i.source_ip = l.source_ip where {WEB} and http_status = 200 and username is not null and {'' if public else 'not '}{who} and (select count_if(http_status = 401) from @logs where {WEB}) > 5 group by username")
+    return alert(kind, "username", score, {"ips": distinct("i.source_ip"), "successes": n("count(*)")}, f"""from @logs as l join ({_takeover_ips(d)}) as i on i.source_ip = l.source_ip
+      where {WEB} and http_status = 200 and username is not null and {'' if public else 'not '}{who} and (select count_if(http_status = 401)
+      from @logs where {WEB}) > 5 group by username""")
 
 
 def takeover_public(d: Dialect) -> str:
@@ -159,17 +176,23 @@ def web_exfil(d: Dialect) -> str:
 
 
 def suspicious_operations(d: Dialect) -> str:
-    return alert("suspicious_operations", "username", fixed("suspicious_operations"), {"deletes": n("count_if(method = 'DELETE')"), "errors": n("count_if(http_status = 500)")}, f"from @logs where {WEB} and username is not null and (method = 'DELETE' or http_status = 500) group by username")
+    return alert("suspicious_operations", "username", fixed("suspicious_operations"), {"deletes": n("count_if(method = 'DELETE')"), "errors": n("count_if(http_status = 500)")},
+        f"from @logs where {WEB} and username is not null and (method = 'DELETE' or http_status = 500) group by username")
 
 
 def bruteforce_target(d: Dialect) -> str:
-    taken = f"select l.username from @logs as l join ({_takeover_ips(d)}) as i on i.source_ip = l.source_ip where {WEB} and http_status = 200 and l.username is not null and {ipf.public_text(d, 'i.source_ip')} and (select count_if(http_status = 401) from @logs where {WEB}) > 5 group by l.username"
-    return alert("brute_force_target", "l.username", fixed("brute_force_target"), {"fails": n("count(*)")}, f"from @logs as l left join ({taken}) as t on t.username = l.username where {WEB} and http_status = 401 and l.username is not null and t.username is null group by l.username having count(*) >= 10")
+    taken = f"""select l.username from @logs as l join ({_takeover_ips(d)}) as i on i.source_ip = l.source_ip
+      where {WEB} and http_status = 200 and l.username is not null and {ipf.public_text(d, 'i.source_ip')} and (select count_if(http_status = 401)
+      from @logs where {WEB}) > 5 group by l.username"""
+    return alert("brute_force_target", "l.username", fixed("brute_force_target"), {"fails": n("count(*)")}, f"""from @logs as l left join ({taken}) as t on t.username = l.username where {WEB} and http_status = 401 and l.username is not null and t.username is null
+      group by l.username having count(*) >= 10""")
 
 
 def web_auth_failure(d: Dialect) -> str:
+    """Requests by their action, whatever the program."""
     f = "count_if(http_status in (401, 403))"
-    return alert("web_auth_failure_spike", "username", f"least(8.0 * {f} / count(*), 10.0)", {"requests": n("count(*)"), "failures": n(f)}, f"from @logs where {WEB} and username is not null group by username having count(*) >= 5 and {f} >= 3 and {f} >= 0.3 * count(*)")
+    rows = f"from @logs where {d.has('action', '(?i)access|get|post|put|delete')} and trim(username) not in ('', '(unknown)', 'nan') group by username"
+    return alert("web_auth_failure_spike", "username", f"least(8.0 * {f} / count(*), 10.0)", {"requests": n("count(*)"), "failures": n(f)}, f"{rows} having count(*) >= 5 and {f} >= 3 and {f} >= 0.3 * count(*)")
 
 
 # ---------------------------------------------------------------- DNS
@@ -191,7 +214,8 @@ dns_nxdomain_flood = _dns("dns_nxdomain_flood", "status = 'nxdomain'", 10)
 
 def dns_nxdomain_storm(d: Dialect) -> str:
     span = f"({d.micros('max(timestamp)')} - {d.micros('min(timestamp)')})"
-    return alert("dns_nxdomain_storm", "who", fixed("dns_nxdomain_storm"), {"events": n("count(*)"), "span_us": n(span)}, f"from (select *, {WHO} as who from @logs where {DNS} and status = 'nxdomain') as q where who is not null group by who having count(*) >= {STORM} and {span} < {STORM_US}")
+    return alert("dns_nxdomain_storm", "who", fixed("dns_nxdomain_storm"), {"events": n("count(*)"), "span_us": n(span)}, f"""from (select *, {WHO} as who from @logs where {DNS} and status = 'nxdomain') as q
+      where who is not null group by who having count(*) >= {STORM} and {span} < {STORM_US}""")
 
 
 STORM, STORM_US = 50, 15 * 60 * 1_000_000
@@ -221,22 +245,31 @@ def link_flap(d: Dialect) -> str:
 def cron_overlap(d: Dialect) -> str:
     who, script = d.rx("message", r"(?i)\(([^)]+)\)\s+CMD"), d.rx("message", r"(?i)CMD\s+\(([^)]+)\)")
     rows = f"select host, row_id, {who} as who, {script} as script from @logs where {d.has('program', r'(?i)cron\[')}"
-    return alert("cron_job_overlap", "host", "least(5.0 + c / 10.0, 8.0)", {"script": "script", "runs": n("c"), "users": n("u")}, f"from (select script, min_by(host, row_id) as host, count(*) as c, count(distinct who) as u from ({rows}) as r where who is not null and script is not null group by script having count(*) >= 10 and count(distinct who) >= 3) as g")
+    return alert("cron_job_overlap", "host", "least(5.0 + c / 10.0, 8.0)", {"script": "script", "runs": n("c"), "users": n("u")}, f"""from (select script, min_by(host, row_id) as host, count(*) as c, count(distinct who) as u
+      from ({rows}) as r where who is not null and script is not null group by script
+      having count(*) >= 10 and count(distinct who) >= 3) as g""")
 
 
 def reload_privesc(d: Dialect) -> str:
     m = r"(?i)Reload(?:ing)?\s+(\w+)\s+server.*requested\s+by\s+(\w+)"
-    return alert("privilege_escalation", "who", "8.5", {"host": "host", "service": "service"}, f"from (select distinct host, {d.rx('message', m, 1)} as service, {d.rx('message', m, 2)} as who from @logs) as r where who is not null and lower(who) not in {ADMINS}")
+    return alert("privilege_escalation", "who", "8.5", {"host": "host", "service": "service"}, f"""from (select distinct host, {d.rx('message', m, 1)} as service, {d.rx('message', m, 2)} as who
+      from @logs) as r where who is not null and lower(who) not in {ADMINS}""")
 
 
 def sudo_privesc(d: Dialect) -> str:
     who = d.rx("message", r"^(\w[\w.-]*)\s+:\s+TTY=")
-    return alert("privilege_escalation", "who", "9.0", {"host": "host", "commands": n("count(*)")}, f"from (select host, {who} as who from @logs where program = 'sudo' and contains(message, 'USER=root')) as r where who is not null and lower(who) not in {ADMINS} group by who, host")
+    return alert("privilege_escalation", "who", "9.0", {"host": "host", "commands": n("count(*)")}, f"""from (select host, {who} as who from @logs where program = 'sudo' and contains(message, 'USER=root')) as r
+      where who is not null and lower(who) not in {ADMINS} group by who, host""")
 
 
 def ssh_lateral(d: Dialect) -> str:
+    """Users and addresses come from the text: ``Accepted <method> for <user> from <address> port``."""
     score = "least(10.0, (case when ips >= 5 then 8.5 when ips >= 3 then 7.0 else 5.0 end) + case when c >= 10 then 1 else 0 end + case when hosts >= 5 then 1 else 0 end)"
-    inner = "select username, count(*) as c, count(distinct source_ip) as ips, count(distinct host) as hosts from @logs where program = 'sshd' and contains(message, 'Accepted') and username is not null group by username"
+    who, address = d.rx("message", r"(?i)Accepted\s+\S+\s+for\s+(\S+)\s+from"), d.rx("message", r"(?i)from\s+([0-9.]+)\s+port")
+    rows = f"select {who} as username, {address} as source_ip, host from @logs where {d.has('message', r'(?i)Accepted\s+(?:publickey|password)')} and (contains(lower(program), 'sshd') or {d.has('message', r'(?i)sshd|Accepted\s+(?:publickey|password)\s+for')})"
+    inner = f"""select username, count(*) as c, count(distinct source_ip) as ips, count(distinct host) as hosts
+      from ({rows}) as a where username is not null and username not in ('(unknown)', 'nan') and source_ip is not null
+      group by username"""
     return alert("ssh_lateral_movement", "username", score, {"logins": n("c"), "ips": n("ips"), "hosts": n("hosts")}, f"from ({inner}) as g")
 
 
@@ -244,7 +277,8 @@ def ssh_lateral(d: Dialect) -> str:
 
 # Processes, patterns and names that are looked for.
 DUMPERS = r"(?i)powershell\.exe|rundll32\.exe|cmd\.exe|wmic\.exe|msedge\.exe"
-TASK_ACTIONS = [r"-enc\s+[A-Za-z0-9+/=]+", r"-EncodedCommand\s+[A-Za-z0-9+/=]+", r"-WindowStyle\s+Hidden", r"C:\\Windows\\Temp\\.*\.exe", r"C:\\Users\\.*\\AppData\\.*\.exe", r"powershell\.exe.*(-w\s+h|-nop|-ep\s+bypass)", r"cmd\.exe.*/c.*powershell", r"regsvr32.*(/s|/u)", r"mshta.*http[s]?://", r"rundll32.*,\s*#", r"svc\.exe", r"update\.exe.*-run"]
+TASK_ACTIONS = [r"-enc\s+[A-Za-z0-9+/=]+", r"-EncodedCommand\s+[A-Za-z0-9+/=]+", r"-WindowStyle\s+Hidden", r"C:\\Windows\\Temp\\.*\.exe", r"C:\\Users\\.*\\AppData\\.*\.exe",
+    r"powershell\.exe.*(-w\s+h|-nop|-ep\s+bypass)", r"cmd\.exe.*/c.*powershell", r"regsvr32.*(/s|/u)", r"mshta.*http[s]?://", r"rundll32.*,\s*#", r"svc\.exe", r"update\.exe.*-run"]
 TASK_NAMES = [r"\\Microsoft\\Windows\\", "WinUpdate", "Telemetry", "OneDrive", "Index", "Sync"]
 SERVICE_PATHS = [r"C:\\Windows\\Temp\\.*\.exe", r"C:\\Users\\.*\\AppData\\.*\.exe", r"C:\\ProgramData\\(?!Microsoft).*\.exe", r"C:\\Temp\\.*\.exe", r"updsvc\.exe", r"winupd\.exe", r"svc\.exe", r"-enc\s+[A-Za-z0-9+/=]+", r"powershell.*-enc"]
 SERVICE_NAMES = [r"Update_\d+", r"WindowsUpdate\d+", r"WinUpdate\d*", r"SvcHost\d+", r"System\d+"]
@@ -257,26 +291,37 @@ def any_of(patterns: list[str]) -> str:
 def lsass_dump(d: Dialect) -> str:
     f = lambda k: d.rx("message", k + r'="([^"]*)"')
     score = f"round(least(least(7.0 + c / 10.0, 10.0) + case when {d.has('src', DUMPERS)} then 2.0 else 0.0 end, 10.0), 2)"
-    inner = f"select username, src, count(*) as c, {d.joined('access')} as access from (select username, {f('SourceImage')} as src, {f('TargetImage')} as target, {f('GrantedAccess')} as access from @logs where win_id = 10) as e where {d.has('target', '(?i)lsass.exe')} and username is not null and src is not null group by username, src"
+    inner = f"""select username, src, count(*) as c, {d.joined('access')} as access from (select username, {f('SourceImage')} as src, {f('TargetImage')} as target, {f('GrantedAccess')} as access
+      from @logs where win_id = 10) as e where {d.has('target', '(?i)lsass.exe')} and username is not null and src is not null
+      group by username, src"""
     return alert("lsass_credential_dumping_detected", "username", score, {"source_process": "src", "accesses": n("c"), "access": "access"}, f"from ({inner}) as g", S.severity("score", 8.5, 0))
 
 
 def asof_priv(d: Dialect) -> str:
     """Each 4672 with the same user's next 4688 within ten seconds, exact match allowed, else nulls.
 
-    Both kinds go into one window by user; of equal times the 4688 rows come
-    last and in row order, so the first that follows is the first in time.
+    Both kinds go into windows by user and slot of time, latest row first: the last
+    4688 seen there is the next in time (of equal times the one with the smallest
+    row).  A 4688 so early in its slot that rows of the slot before may want it is
+    in that slot as well.
     """
     f = lambda k: d.rx("message", k + r'="([^"]*)"')
-    gap = f"{d.micros('next_ts')} - {d.micros('timestamp')} <= {ASOF_US}"
-    nxt = "ignore nulls" if d.name == "duck" else ""
-    first = (lambda x: f"first_value({x} ignore nulls) over w") if d.name == "duck" else (lambda x: f"first_value({x}, true) over w")
-    return f"""select username, row_id, timestamp, host, source_ip, case when {gap} then proc_row end as proc_row, case when {gap} then proc end as proc, case when {gap} then cmd end as cmd from (
-      select *, {first('case when kind = 1 then timestamp end')} as next_ts, {first('case when kind = 1 then row_id end')} as proc_row, {first("case when kind = 1 then coalesce(pname, '') end")} as proc, {first("case when kind = 1 then coalesce(pcmd, '') end")} as cmd from (
-        select username, row_id, timestamp, host, source_ip, case when win_id = 4688 then 1 else 0 end as kind, {f('NewProcessName')} as pname, {f('CommandLine')} as pcmd from @logs where win_id in (4672, 4688) and username is not null) as e
-      window w as (partition by username order by timestamp, kind, row_id rows between current row and unbounded following)) as j where kind = 0"""
-
-
+    us = d.micros("timestamp")
+    gap = f"next_us - us <= {ASOF_US}"
+    last = (lambda x: f"last_value({x} ignore nulls) over w") if d.name == "duck" else (lambda x: f"last_value({x}, true) over w")
+    kept = {"next_us": "us", "proc_row": "row_id", "proc": "coalesce(pname, '')", "cmd": "coalesce(pcmd, '')"}
+    cols = ", ".join(f"{last(f'case when kind = 1 then {x} end')} as {c}" for c, x in kept.items())
+    both = f"""select username, row_id, timestamp, host, source_ip, {us} as us, case when win_id = 4688 then 1 else 0 end as kind,
+        {f('NewProcessName')} as pname, {f('CommandLine')} as pcmd from @logs where win_id in (4672, 4688) and username is not null and timestamp is not null"""
+    slot, early = f"cast(floor(us / {SLOT_US}) as bigint)", f"cast(floor((us - {ASOF_US}) / {SLOT_US}) as bigint)"
+    slots = f"select *, {slot} as slot from ({both}) as e union all select *, {early} as slot from ({both}) as e where kind = 1 and {early} < {slot}"
+    return f"""select username, row_id, timestamp, host, source_ip, case when {gap} then proc_row end as proc_row, case when {gap} then proc end as proc, case when {gap} then cmd end as cmd
+      from (select *, {cols} from ({slots}) as x
+        window w as (partition by username, slot order by us desc, kind desc, row_id desc rows between unbounded preceding and current row)) as j
+      where kind = 0"""
+
+
+SLOT_US = 600 * 1_000_000
 ASOF_US = 10 * 1_000_000
 
 
@@ -284,14 +329,20 @@ def win_privesc(d: Dialect) -> str:
     enc = d.has("cmd", "(?i)-enc")
     bad = f"({d.has('proc', '(?i)psexec.exe')} or ({d.has('proc', '(?i)powershell.exe')} and {enc}) or {d.has('proc', '(?i)wmic.exe')} or {d.has('cmd', '(?i)whoami|net user|net group|' + chr(92) * 4)})"
     inner = f"select username, count(*) as c, max(case when {d.has('proc', '(?i)psexec')} then 1 else 0 end) as px, max(case when {enc} then 1 else 0 end) as en from ({asof_priv(d)}) as m where {bad} group by username"
-    return alert("windows_privilege_escalation_detected", "username", "round(least(least(least(7.5 + c / 5.0, 10.0) + 1.5 * px, 10.0) + 1.0 * en, 10.0), 2)", {"escalations": n("c"), "psexec": n("px"), "encoded": n("en")}, f"from ({inner}) as g", S.severity("score", 8.0, 0))
+    return alert("windows_privilege_escalation_detected", "username", "round(least(least(least(7.5 + c / 5.0, 10.0) + 1.5 * px, 10.0) + 1.0 * en, 10.0), 2)",
+        {"escalations": n("c"), "psexec": n("px"), "encoded": n("en")}, f"from ({inner}) as g", S.severity("score", 8.0, 0))
 
 
 def schtask(d: Dialect) -> str:
     f = lambda k: d.rx("message", k + r'="([^"]*)"')
     e = f"select coalesce(username, 'unknown') as username, coalesce({f('TaskName')}, '') as task, coalesce({f('Action')}, '') as act from @logs where win_id = 4698"
-    inner = f"select username, count(*) as c, max(case when {d.has('act', '(?i)-enc')} then 1 else 0 end) as en, max(case when {d.has('act', r'(?i)Temp\\.*\.exe')} then 1 else 0 end) as tmp, max(case when {d.has('act', '(?i)-windowstyle')} then 1 else 0 end) as hid from ({e}) as t where {d.has('act', any_of(TASK_ACTIONS))} or (act <> '' and {d.has('task', any_of(TASK_NAMES))}) group by username"
-    return alert("schtask_persistence_detected", "username", "round(least(least(least(least(7.0 + c / 3.0, 10.0) + 1.5 * en, 10.0) + 1.0 * tmp, 10.0) + 0.5 * hid, 10.0), 2)", {"tasks": n("c"), "encoded": n("en"), "temp_exe": n("tmp"), "hidden": n("hid")}, f"from ({inner}) as g", S.severity("score", 8.0, 0))
+    inner = f"""select username, count(*) as c, max(case when {d.has('act', '(?i)-enc')} then 1
+      else 0 end) as en, max(case when {d.has('act', r'(?i)Temp\\.*\.exe')} then 1
+      else 0 end) as tmp, max(case when {d.has('act', '(?i)-windowstyle')} then 1
+      else 0 end) as hid from ({e}) as t where {d.has('act', any_of(TASK_ACTIONS))} or (act <> '' and {d.has('task', any_of(TASK_NAMES))})
+      group by username"""
+    return alert("schtask_persistence_detected", "username", "round(least(least(least(least(7.0 + c / 3.0, 10.0) + 1.5 * en, 10.0) + 1.0 * tmp, 10.0) + 0.5 * hid, 10.0), 2)",
+        {"tasks": n("c"), "encoded": n("en"), "temp_exe": n("tmp"), "hidden": n("hid")}, f"from ({inner}) as g", S.severity("score", 8.0, 0))
 
 
 def service_install(d: Dialect) -> str:
@@ -300,15 +351,22 @@ def service_install(d: Dialect) -> str:
     data = rf"({d.has('path', r'(?i)C:\\ProgramData\\.*\.exe')} and not {d.has('path', r'(?i)C:\\ProgramData\\Microsoft[^;]*\.exe')})"
     mask = f"({d.has('path', r'(?i)svchost\.exe|services\.exe|lsass\.exe')} and not {d.has('path', r'(?i)C:\\Windows\\(system32|SysWOW64)\\')})"
     e = f"select coalesce(username, 'unknown') as username, coalesce({f('ServiceName')}, '') as svc, coalesce({f('ImagePath')}, '') as path from @logs where win_id = 7045"
-    inner = f"select username, count(*) as c, max(case when {d.has('path', r'(?i)Temp\\.*\.exe')} then 1 else 0 end) as tmp, max(case when contains(svc, 'Update_') then 1 else 0 end) as fake, max(case when contains(path, 'ProgramData') then 1 else 0 end) as pd from ({e}) as t where {d.has('path', any_of(paths))} or {data} or {d.has('svc', any_of(SERVICE_NAMES))} or {mask} group by username"
-    return alert("service_persistence_detected", "username", "round(least(least(least(least(7.0 + c / 3.0, 10.0) + 1.5 * tmp, 10.0) + 1.0 * fake, 10.0) + 0.5 * pd, 10.0), 2)", {"services": n("c"), "temp_exe": n("tmp"), "fake_update": n("fake"), "program_data": n("pd")}, f"from ({inner}) as g", S.severity("score", 8.0, 0))
+    inner = f"""select username, count(*) as c, max(case when {d.has('path', r'(?i)Temp\\.*\.exe')} then 1
+      else 0 end) as tmp, max(case when contains(svc, 'Update_') then 1 else 0 end) as fake, max(case
+      when contains(path, 'ProgramData') then 1 else 0 end) as pd from ({e}) as t
+      where {d.has('path', any_of(paths))} or {data} or {d.has('svc', any_of(SERVICE_NAMES))} or {mask}
+      group by username"""
+    return alert("service_persistence_detected", "username", "round(least(least(least(least(7.0 + c / 3.0, 10.0) + 1.5 * tmp, 10.0) + 1.0 * fake, 10.0) + 0.5 * pd, 10.0), 2)",
+        {"services": n("c"), "temp_exe": n("tmp"), "fake_update": n("fake"), "program_data": n("pd")}, f"from ({inner}) as g", S.severity("score", 8.0, 0))
 
 
 # ---------------------------------------------------------------- EDR
 
 EDR = "program = 'sysmon'"
 LOLBINS = r"powershell\.exe|cmd\.exe|wmic\.exe|certutil\.exe|bitsadmin\.exe|rundll32\.exe|regsvr32\.exe|mshta\.exe|msiexec\.exe|regasm\.exe|installutil\.exe|cscript\.exe|wscript\.exe"
-RISKY = "('powershell.exe', 'cmd.exe', 'ssh.exe', 'psexec.exe', 'wmic.exe')"
+RISKY = ("powershell.exe", "cmd.exe", "ssh.exe", "psexec.exe", "wmic.exe")
+#: What follows the last separator of either kind.
+BASENAME = r"([^/\\]*)$"
 # Role, multiplier, technical (may use SSH and infrastructure) by group.
 ROLES = [("itadmin", "admin", 1.0, 1), ("engineering", "engineer", 0.8, 1), ("sales", "sales", 1.2, 0), ("finance", "finance", 1.3, 0)]
 
@@ -316,13 +374,17 @@ ROLES = [("itadmin", "admin", 1.0, 1), ("engineering", "engineer", 0.8, 1), ("sa
 def roles(d: Dialect) -> str:
     """(username, role, multiplier, technical): of a user's most frequent group."""
     top = "select username, min_by(grp, rk) as grp from (select username, lower(dept) as grp, row_number() over (partition by username order by count(*) desc, lower(dept)) as rk from @logs where username is not null and dept is not null group by username, lower(dept)) as r where rk = 1 group by username"
-    return f"select u.username, coalesce(r.role, 'unknown') as role, coalesce(r.mult, 1.5) as mult, coalesce(r.tech, 0) as tech from (select distinct username from @logs where username is not null) as u left join ({top}) as g on g.username = u.username left join {d.values(ROLES, ['grp', 'role', 'mult', 'tech'])} as r on r.grp = g.grp"
+    return f"""select u.username, coalesce(r.role, 'unknown') as role, coalesce(r.mult, 1.5) as mult, coalesce(r.tech, 0) as tech
+      from (select distinct username from @logs where username is not null) as u
+      left join ({top}) as g on g.username = u.username left join {d.values(ROLES, ['grp', 'role', 'mult', 'tech'])} as r on r.grp = g.grp"""
 
 
 def gaps(d: Dialect) -> str:
     """Seconds between a user's connections to an address: count, mean, variance, deviation."""
     gap = f"({d.micros('timestamp')} - lag({d.micros('timestamp')}) over (partition by username, dest_ip order by timestamp, row_id)) / 1000000.0"
-    return f"select username, dest_ip, {n('count(*)')} as connections, avg(gap) as mean, var_samp(gap) as var, stddev_samp(gap) as sd from (select username, dest_ip, {gap} as gap from @logs where {EDR} and username is not null and dest_ip is not null) as g group by username, dest_ip"
+    return f"""select username, dest_ip, {n('count(*)')} as connections, avg(gap) as mean, var_samp(gap) as var, stddev_samp(gap) as sd
+      from (select username, dest_ip, {gap} as gap from @logs where {EDR} and username is not null and dest_ip is not null) as g
+      group by username, dest_ip"""
 
 
 def inter_arrival(d: Dialect) -> str:
@@ -334,13 +396,18 @@ def c2_beaconing(d: Dialect) -> str:
 
 
 def suspicious_process(d: Dialect) -> str:
-    name = "regexp_replace(lower(image), '^.*[/]', '')"
-    return alert("suspicious_process_external_connection", "username", "9.5", {"process": "process", "dest_ip": "dest_ip", "role": "role"}, f"from (select distinct l.username, {name} as process, l.dest_ip, r.role from @logs as l join ({roles(d)}) as r on r.username = l.username where {EDR} and r.tech = 0 and {name} in {RISKY} and {ipf.external_text(d, 'l.dest_ip')}) as e")
+    name = f"lower({d.rx('image', BASENAME)})"
+    risky = "(" + " or ".join(f"contains(process, '{x}')" for x in RISKY) + ")"
+    return alert("suspicious_process_external_connection", "username", "9.5", {"process": "process", "dest_ip": "dest_ip", "role": "role"}, f"""from (select distinct l.username, {name} as process, l.dest_ip, r.role
+      from @logs as l join ({roles(d)}) as r on r.username = l.username where {EDR} and r.tech = 0 and {ipf.external_text(d, 'l.dest_ip')}) as e
+      where {risky}""")
 
 
 def _edr_users(d: Dialect) -> str:
     ext = ipf.external_text(d, "dest_ip")
-    c2 = f"select username, max(c) as c2 from (select username, dest_ip, count(*) as c from @logs where {EDR} and username is not null and {ext} and dest_port in {C2_PORTS} group by username, dest_ip) as k group by username"
+    c2 = f"""select username, max(c) as c2 from (select username, dest_ip, count(*) as c
+      from @logs where {EDR} and username is not null and {ext} and dest_port in {C2_PORTS}
+      group by username, dest_ip) as k group by username"""
     agg = f"""select username, count(distinct source_ip) as ips, count(distinct dest_ip) as dests, count(distinct dest_port) as ports, count(distinct case when {ext} then dest_ip end) as ext,
       count_if(dest_port = 3389) as rdp, count_if({d.has('image', '(?i)' + LOLBINS)}) as lol, count(distinct case when dest_ip in {INFRASTRUCTURE} and dest_port in {ADMIN_PORTS} then dest_ip end) as infra_admin,
       count_if(dest_ip in {INFRASTRUCTURE}) as infra, count_if(dest_port in (22, 3389)) as remote, count_if({ext} and dest_port in {ADMIN_PORTS}) as ext_admin
@@ -356,7 +423,8 @@ def edr_pattern(d: Dialect) -> str:
     base = "case when ips >= 30 then 9.0 when ips >= 20 then 7.0 when ips >= 10 then 5.0 else 3.0 end"
     penalty = "case when tech = 0 and remote > 0 then 3.0 else 0.0 end + case when tech = 0 and infra > 0 then 2.5 else 0.0 end + case when ext_admin > 0 then 2.0 else 0.0 end + case when ext > 10 then 1.0 else 0.0 end"
     inner = f"select username, {kind} as kind, role, ips, dests, ext, round(least(({base} + {bonus} + {penalty}) * mult, 10.0), 6) as sc from ({_edr_users(d)}) as u"
-    return f"select kind as type, username as subject, {S.severity('sc', 8.0, 5.0)} as severity, cast(sc as double) as score, role, {n('ips')} as ips, {n('dests')} as dests, {n('ext')} as ext from ({inner}) as s where sc >= 4"
+    return f"""select kind as type, username as subject, {S.severity('sc', 8.0, 5.0)} as severity, cast(sc as double) as score, role, {n('ips')} as ips, {n('dests')} as dests, {n('ext')} as ext
+      from ({inner}) as s where sc >= 4"""
 
 
 # ---------------------------------------------------------------- router
@@ -398,20 +466,29 @@ def interval_anti(d: Dialect) -> str:
 
 def router_suspects(d: Dialect) -> str:
     hits = f"select who, router, kind, down, 0 as cfg from ({interval_matches(d)}) as m union all select who, router, 'config' as kind, 0 as down, 1 as cfg from @ev as c where kind = 'config' and who is not null"
-    agg = f"select who, {n('count_if(kind = ' + chr(39) + 'bgp' + chr(39) + ')')} as bgp, {n('count_if(kind = ' + chr(39) + 'interface' + chr(39) + ')')} as iface, {n('count_if(kind = ' + chr(39) + 'ospf' + chr(39) + ')')} as ospf, {n('sum(case when kind = ' + chr(39) + 'ospf' + chr(39) + ' then down else 0 end)')} as downs, {n('sum(cfg)')} as cfg, count(distinct router) as routers from ({hits}) as h group by who"
+    agg = f"""select who, {n('count_if(kind = ' + chr(39) + 'bgp' + chr(39) + ')')} as bgp, {n('count_if(kind = ' + chr(39) + 'interface' + chr(39) + ')')} as iface, {n('count_if(kind = ' + chr(39) + 'ospf' + chr(39) + ')')} as ospf, {n('sum(case when kind = ' + chr(39) + 'ospf' + chr(39) + ' then down else 0 end)')} as downs, {n('sum(cfg)')} as cfg, count(distinct router) as routers
+      from ({hits}) as h group by who"""
     top = f"select *, 10 * cfg + bgp + iface + ospf as corr from ({agg}) as g order by 10 * cfg + bgp + iface + ospf desc, cfg desc, who limit 5"
     kinds = "concat_ws(',', case when bgp >= 3 then 'bgp_flap_correlated' end, case when iface >= 5 then 'interface_flap_correlated' end, case when ospf >= 3 or downs >= 2 then 'ospf_storm_correlated' end, case when cfg >= 1 then 'config_tampering' end)"
     base = "greatest(case when cfg >= 3 then 8.0 when cfg >= 1 then 6.5 else 5.0 end, case when corr >= 80 then 9.0 when corr >= 50 then 8.0 when corr >= 30 then 7.0 else 0.0 end)"
     score = f"cast(least(9.5, {base} + case when routers >= 5 then 0.5 else 0.0 end) as double)"
-    return f"select kinds as type, who as subject, {S.severity('score', 7.0, 0)} as severity, score, corr, bgp, iface, ospf, cfg from (select *, {kinds} as kinds, {score} as score from ({top}) as t) as s where kinds <> ''"
+    return f"""select kinds as type, who as subject, {S.severity('score', 7.0, 0)} as severity, score, corr, bgp, iface, ospf, cfg
+      from (select *, {kinds} as kinds, {score} as score from ({top}) as t) as s
+      where kinds <> ''"""
 
 
 def _unattributed(kind: str, alert_type: str, least: int) -> Text:
     def build(d: Dialect) -> str:
-        agg = f"select count(*) as c, sum(down) as downs, max(w.minutes) as minutes from ({interval_anti(d)}) as a cross join (select greatest((max({d.micros('timestamp')}) - min({d.micros('timestamp')})) / 60000000.0, 1.0) as minutes from @logs where program like 'router%') as w where kind = '{kind}'"
-        score = {"bgp": "case when rate >= 1 then least(9.0, 6.5 + rate) else least(6.0, 4.5 + rate) end", "interface": "case when rate >= 2 then least(8.0, 6.0 + rate / 2) else least(5.5, 4.0 + rate / 2) end", "ospf": "case when rate >= 1 or downs >= 5 then least(8.0, 6.0 + rate / 2) else least(5.5, 4.5 + rate) end"}[kind]
+        agg = f"""select count(*) as c, sum(down) as downs, max(w.minutes) as minutes from ({interval_anti(d)}) as a
+          cross join (select greatest((max({d.micros('timestamp')}) - min({d.micros('timestamp')})) / 60000000.0, 1.0) as minutes
+          from @logs where program like 'router%') as w where kind = '{kind}'"""
+        score = {"bgp": "case when rate >= 1 then least(9.0, 6.5 + rate) else least(6.0, 4.5 + rate) end", "interface": "case when rate >= 2 then least(8.0, 6.0 + rate / 2) else least(5.5, 4.0 + rate / 2) end",
+            "ospf": "case when rate >= 1 or downs >= 5 then least(8.0, 6.0 + rate / 2) else least(5.5, 4.5 + rate) end"}[kind]
         hard = {"bgp": "rate >= 1", "interface": "rate >= 2", "ospf": "rate >= 1 or downs >= 5"}[kind]
-        return f"select '{alert_type}' as type, 'network' as subject, case when {hard} then 'CRITICAL' else 'WARNING' end as severity, cast(round({score}, 6) as double) as score, {n('c')} as events, round(rate, 6) as rate from (select c, downs, cast(c / minutes as double) as rate from ({agg}) as g) as r where c >= {least}"
+        return f"""select '{alert_type}' as type, 'network' as subject, case when {hard} then 'CRITICAL'
+          else 'WARNING' end as severity, cast(round({score}, 6) as double) as score, {n('c')} as events, round(rate, 6) as rate
+          from (select c, downs, cast(c / minutes as double) as rate from ({agg}) as g) as r
+          where c >= {least}"""
 
     return build
 
@@ -424,14 +501,16 @@ ospf_unattributed = _unattributed("ospf", "ospf_storm_unattributed", 5)
 # ---------------------------------------------------------------- generic
 
 LOGIN_ROWS = "(lower(action) = 'login')"
+SIGN_IN = "(contains(lower(program), 'sshd') or contains(lower(action), 'login') or contains(lower(action), 'logon'))"
 
 
 def bruteforce_by_ip(d: Dialect) -> str:
-    """Login rows of an address: five or more, three failed, two fifths failed."""
+    """Rows of the SSH daemon or of logins, by address: five or more, three failed, two fifths failed."""
     ext = f"not {ipf.private_strict(d, 'source_ip')}"
     rate = "cast(fails as double) / c"
     score = f"case when ({ext} and {rate} >= 0.9) or {rate} >= 0.8 then greatest(least(10.0 * {rate}, 10.0), 9.0) else least(10.0 * {rate}, 10.0) end"
-    inner = f"select source_ip, count(*) as c, count_if(lower(status) = 'failed') as fails, count(distinct username) as users from @logs where {LOGIN_ROWS} and source_ip is not null group by source_ip"
+    inner = f"""select source_ip, count(*) as c, count_if(contains(lower(status), 'fail') or contains(lower(status), 'denied')) as fails, count(distinct username) as users
+      from @logs where {SIGN_IN} and trim(source_ip) <> '' group by source_ip"""
     return alert("credential_bruteforce_detected", "source_ip", f"round({score}, 6)", {"logins": n("c"), "failed": n("fails"), "users": n("users")}, f"from ({inner}) as g where c >= 5 and fails >= 3 and {rate} >= 0.4")
 
 
@@ -446,21 +525,32 @@ BIG = 50_000_000
 
 def scp_exfil(d: Dialect) -> str:
     m = r"([a-zA-Z0-9_\-]+)\s*->\s+([0-9.]+):"
-    row = f"select min(row_id) as row_id, who, b, min_by(dest_ip, row_id) as dest_ip from (select row_id, {d.rx('message', m, 1)} as who, {d.rx('message', m, 2)} as dest_ip, try_cast({d.rx('message', r'bytes=([0-9]+)')} as bigint) as b from @logs where contains(message, ' -> ')) as t where who is not null and b > {BIG} group by who, b"
+    row = f"""select min(row_id) as row_id, who, b, min_by(dest_ip, row_id) as dest_ip
+      from (select row_id, {d.rx('message', m, 1)} as who, {d.rx('message', m, 2)} as dest_ip, try_cast({d.rx('message', r'bytes=([0-9]+)')} as bigint) as b
+      from @logs where contains(message, ' -> ')) as t where who is not null and b > {BIG}
+      group by who, b"""
     return alert("data_exfiltration_detected", "who", f"least(greatest(9.5 * b / 100000000.0, case when not {ipf.private_strict(d, 'dest_ip')} then 9.0 else 0.0 end), 10.0)", {"bytes": "b", "dest_ip": "dest_ip"}, f"from ({row}) as r")
 
 
 def netfilter_exfil(d: Dialect) -> str:
-    row = f"select coalesce(username, source_ip, host) as who, try_cast({d.rx('message', r'NETFILTER_PKT.*len=([0-9]+)')} as bigint) as b, {d.rx('message', r'dst=([0-9.]+)')} as dest_ip from @logs where contains(message, 'NETFILTER_PKT')"
-    return alert("data_exfiltration_detected", "who", f"least(greatest(9.5 * b / 100000000.0, case when not {ipf.private_strict(d, 'dest_ip')} then 9.0 else 0.0 end), 10.0)", {"bytes": "b"}, f"from (select distinct who, b, min(dest_ip) over (partition by who, b) as dest_ip from ({row}) as t where b > {BIG} and who is not null) as r")
+    row = f"""select coalesce(username, source_ip, host) as who, try_cast({d.rx('message', r'NETFILTER_PKT.*len=([0-9]+)')} as bigint) as b, {d.rx('message', r'dst=([0-9.]+)')} as dest_ip
+      from @logs where contains(message, 'NETFILTER_PKT')"""
+    return alert("data_exfiltration_detected", "who", f"least(greatest(9.5 * b / 100000000.0, case when not {ipf.private_strict(d, 'dest_ip')} then 9.0 else 0.0 end), 10.0)",
+        {"bytes": "b"}, f"from (select distinct who, b, min(dest_ip) over (partition by who, b) as dest_ip from ({row}) as t where b > {BIG} and who is not null) as r")
 
 
 # Fixed values: (name, pattern, score) of the rule tables.
 PRIVILEGE = [("add_sudo_user", r"sudo.*usermod.*sudo", 8.0), ("suid_bash", r"chmod\s+u\+s\s+/bin/bash", 9.0), ("sudoers_edit", r"visudo.*-f\s+/etc/sudoers", 8.5), ("bash_ownership_change", r"chown\s+root.*bash", 8.0)]
-DATABASE = [("data_export", r"COPY\s+(salary|payroll|employee|customers?|credit_card|ssn|password)\s+TO", 9.5), ("salary_query", r"SELECT\s+\*\s+FROM\s+(salary|payroll)\s+WHERE", 8.5), ("pii_query", r"SELECT\s+\*\s+FROM\s+employee[s]?\s+PII|SELECT.*FROM.*(pii|ssn|credit_card)", 9.0), ("database_dump", r"(mysqldump|pg_dump)\s+.*--password|--all-databases", 9.5)]
+DATABASE = [("data_export", r"COPY\s+(salary|payroll|employee|customers?|credit_card|ssn|password)\s+TO", 9.5), ("salary_query", r"SELECT\s+\*\s+FROM\s+(salary|payroll)\s+WHERE",
+    8.5), ("pii_query", r"SELECT\s+\*\s+FROM\s+employee[s]?\s+PII|SELECT.*FROM.*(pii|ssn|credit_card)", 9.0), ("database_dump", r"(mysqldump|pg_dump)\s+.*--password|--all-databases", 9.5)]
 DATABASE_USE = [("database_dump", r"pg_dump|mysqldump", 7.0), ("user_table_access", r"SELECT\s+\*\s+FROM\s+\w*user", 6.0), ("user_modification", r"ALTER\s+ROLE|ALTER\s+USER", 7.0), ("destructive_operation", r"DROP\s+TABLE|DROP\s+DATABASE", 9.0)]
-SERVICES = [("auditd_stop", r"Stopping\s+auditd\s+service|auditd\.service:\s*Deactivated", 9.5), ("postgresql_stop", r"Stopping\s+postgresql\s+service|postgresql\.service:\s*Deactivated", 9.0), ("mysql_stop", r"Stopping\s+mysql\s+service|mysql\.service:\s*Deactivated|mariadb\.service:\s*Deactivated", 9.0), ("nginx_stop", r"Stopping\s+nginx\s+service|nginx\.service:\s*Deactivated", 8.5), ("apache_stop", r"Stopping\s+apache2?\s+service|apache2?\.service:\s*Deactivated|httpd\.service:\s*Deactivated", 8.5), ("ssh_stop", r"Stopping\s+ssh\s+service|ssh\.service:\s*Deactivated|sshd\.service:\s*Deactivated", 9.0), ("firewall_stop", r"Stopping\s+(?:firewalld|iptables|ufw)\s+service|(?:firewalld|iptables|ufw)\.service:\s*Deactivated", 9.5)]
-PERSISTENCE = [("crontab_modification", r"crontab\s+[-l]*[;\s]*echo.*\|.*crontab\s+[-]?|crontab.*curl.*bash", 9.0), ("reverse_shell_bashrc", r"bash\s+-i\s*[>&]*\s*/dev/tcp/.*>>\s*~?/.bashrc|bash\s+-i\s+>?&?\s*/dev/tcp", 9.0), ("rc_local_persistence", r"systemctl\s+enable\s+rc-local|/etc/rc\.local", 9.0), ("ssh_key_injection", r"authorized_keys|~?/.ssh/[^ ]*", 8.5), ("curl_exec_pattern", r"curl\s+(?:-s)?\s*http[s]?://.*[|]\s*(?:bash|sh)", 9.0), ("suspicious_persistence_msg", r"suspicious\s+persistence", 9.0)]
+SERVICES = [("auditd_stop", r"Stopping\s+auditd\s+service|auditd\.service:\s*Deactivated", 9.5), ("postgresql_stop", r"Stopping\s+postgresql\s+service|postgresql\.service:\s*Deactivated",
+    9.0), ("mysql_stop", r"Stopping\s+mysql\s+service|mysql\.service:\s*Deactivated|mariadb\.service:\s*Deactivated", 9.0), ("nginx_stop", r"Stopping\s+nginx\s+service|nginx\.service:\s*Deactivated",
+    8.5), ("apache_stop", r"Stopping\s+apache2?\s+service|apache2?\.service:\s*Deactivated|httpd\.service:\s*Deactivated", 8.5), ("ssh_stop", r"Stopping\s+ssh\s+service|ssh\.service:\s*Deactivated|sshd\.service:\s*Deactivated",
+    9.0), ("firewall_stop", r"Stopping\s+(?:firewalld|iptables|ufw)\s+service|(?:firewalld|iptables|ufw)\.service:\s*Deactivated", 9.5)]
+PERSISTENCE = [("crontab_modification", r"crontab\s+[-l]*[;\s]*echo.*\|.*crontab\s+[-]?|crontab.*curl.*bash", 9.0), ("reverse_shell_bashrc", r"bash\s+-i\s*[>&]*\s*/dev/tcp/.*>>\s*~?/.bashrc|bash\s+-i\s+>?&?\s*/dev/tcp",
+    9.0), ("rc_local_persistence", r"systemctl\s+enable\s+rc-local|/etc/rc\.local", 9.0), ("ssh_key_injection", r"authorized_keys|~?/.ssh/[^ ]*", 8.5), ("curl_exec_pattern",
+    r"curl\s+(?:-s)?\s*http[s]?://.*[|]\s*(?:bash|sh)", 9.0), ("suspicious_persistence_msg", r"suspicious\s+persistence", 9.0)]
 
 
 def rule_hits(d: Dialect, rules: list[tuple[str, str, float]], who: str, extra: str = "") -> str:
@@ -500,14 +590,18 @@ def anomalous_data_access(d: Dialect) -> str:
     """Known users whose queries or suspicious operations lie far above what was trained; deviations count as 1 at least."""
     zq, zs = "(c.db_queries - coalesce(s.db_queries_mean, 0.0)) / greatest(coalesce(s.db_queries_std, 0.1), 1.0)", "(c.suspicious_ops - coalesce(s.suspicious_ops_mean, 0.0)) / greatest(coalesce(s.suspicious_ops_std, 0.1), 1.0)"
     inner = f"select c.username, c.db_queries, c.suspicious_ops, {zq} as zq, {zs} as zs from ({data_access_counts(d)}) as c join @stats as s on s.username = c.username"
-    return alert("anomalous_data_access", "username", "round(least(greatest(zq, zs), 10.0), 6)", {"db_queries": "db_queries", "suspicious_ops": "suspicious_ops", "zq": "round(cast(zq as double), 6)", "zs": "round(cast(zs as double), 6)"}, f"from ({inner}) as a where zq >= 3 or zs >= 3")
+    return alert("anomalous_data_access", "username", "round(least(greatest(zq, zs), 10.0), 6)", {"db_queries": "db_queries", "suspicious_ops": "suspicious_ops",
+        "zq": "round(cast(zq as double), 6)", "zs": "round(cast(zs as double), 6)"}, f"from ({inner}) as a where zq >= 3 or zs >= 3")
 
 
 def new_user(d: Dialect) -> str:
-    return alert("new_user", "l.username", "4.0", {"events": n("count(*)")}, f"from @logs as l left join (select distinct username from @stats) as s on s.username = l.username where l.username is not null and l.username not in ('nan', 'None', '') and s.username is null group by l.username having count(*) >= 3")
+    return alert("new_user", "l.username", "4.0", {"events": n("count(*)")}, f"""from @logs as l left join (select distinct username from @stats) as s on s.username = l.username
+      where l.username is not null and l.username not in ('nan', 'None', '') and s.username is null
+      group by l.username having count(*) >= 3""")
 
 
-DOWNLOAD = "(lower(coalesce(action, '')) like '%download%' or lower(coalesce(message, '')) like '%download%' or lower(coalesce(message, '')) like '%/export/%')"
+# What marks a download.
+DOWNLOAD = "(lower(coalesce(action, '')) like '%download%' or lower(coalesce(message, '')) like '%download%' or lower(coalesce(message, '')) like '%tải xuống%')"
 
 
 def download_spike(d: Dialect) -> str:
@@ -532,7 +626,9 @@ def zscore_spike(d: Dialect) -> str:
     """Three measures of each user against the baseline: z >= 3, or, without deviation, half more than the mean."""
     parts = " union all ".join(f"select a.username, '{m}' as measure, a.{m} as cur, s.{m}_mean as mu, s.{m}_std as sd from ({activity(d)}) as a join @stats as s on s.username = a.username" for m in ("events", "unique_src_ips", "login_fail"))
     score = "case when sd > 0 then case when z <= 3 then 2 * z when z <= 10 then 6.0 + (z - 3) * 0.357 else least(8.5 + 0.75 * log10(greatest(z - 9, 1.0)), 10.0) end else least(2.0 * cur / mu, 10.0) end"
-    return f"select 'user_' || measure || '_spike' as type, username as subject, {S.severity('score')} as severity, score, cur from (select *, cast(round({score}, 6) as double) as score from (select *, {S.z('cur', 'mu', 'sd')} as z from ({parts}) as p) as q where (sd > 0 and z >= {SPIKE_Z}) or (coalesce(sd, 0.0) = 0 and mu > 0 and cur > 1.5 * mu and cur >= greatest(3, mu))) as r"
+    return f"""select 'user_' || measure || '_spike' as type, username as subject, {S.severity('score')} as severity, score, cur
+      from (select *, cast(round({score}, 6) as double) as score from (select *, {S.z('cur', 'mu', 'sd')} as z
+      from ({parts}) as p) as q where (sd > 0 and z >= {SPIKE_Z}) or (coalesce(sd, 0.0) = 0 and mu > 0 and cur > 1.5 * mu and cur >= greatest(3, mu))) as r"""
 
 
 def blocked_ratio(d: Dialect) -> str:
@@ -542,15 +638,18 @@ def blocked_ratio(d: Dialect) -> str:
 
 def port_scan(d: Dialect) -> str:
     """Blocked ports of an address by their gaps: all small, or most small or moderate, or four ports and more."""
-    gaps = f"select source_ip, dest_port, dest_port - lag(dest_port) over (partition by source_ip order by dest_port) as gap from (select distinct source_ip, dest_port from @logs where {BLOCKED} and source_ip is not null and dest_port is not null) as p"
+    gaps = f"""select source_ip, dest_port, dest_port - lag(dest_port) over (partition by source_ip
+      order by dest_port) as gap from (select distinct source_ip, dest_port from @logs
+      where {BLOCKED_STATUS} and source_ip is not null and dest_port is not null) as p"""
     agg = "select source_ip, count(*) as ports, count(gap) as gaps, count_if(gap <= 5) as small, count_if(gap <= 100) as mid from (" + gaps + ") as g group by source_ip"
-    rows = f"select source_ip, count(*) as c from @logs where {BLOCKED} and source_ip is not null group by source_ip"
+    rows = f"select source_ip, count(*) as c from @logs where {BLOCKED_STATUS} and source_ip is not null group by source_ip"
     kind = "case when small = gaps then 'sequential' when ports >= 4 and mid >= 0.7 * gaps then 'methodical' else 'multi-port' end"
     return alert("port_scan_detected", "a.source_ip", "8.0", {"ports": n("ports"), "pattern": kind}, f"from ({agg}) as a join ({rows}) as r on r.source_ip = a.source_ip where c >= 5 and ports >= 3 and (small = gaps or small >= 0.3 * gaps or mid >= 0.7 * gaps or ports >= 4)", "'CRITICAL'")
 
 
 def foreign_access(d: Dialect) -> str:
-    return alert("foreign_country_access", "username", "least(5.0 + 0.1 * count(*), 8.0)", {"events": n("count(*)"), "countries": d.joined("source_country")}, "from @logs where source_country is not null and source_country not in ('VN', 'VNM') and username is not null group by username having count(*) >= 2")
+    return alert("foreign_country_access", "username", "least(5.0 + 0.1 * count(*), 8.0)", {"events": n("count(*)"), "countries": d.joined("source_country")},
+        "from @logs where source_country is not null and source_country not in ('VN', 'VNM') and username is not null group by username having count(*) >= 2")
 
 
 def off_hours(d: Dialect) -> str:
@@ -562,7 +661,8 @@ LOCAL_HOURS = 7
 
 
 def login_foreign_ip(d: Dialect) -> str:
-    return alert("login_foreign_ip", "source_ip", "3.0", {"logins": n("count(*)")}, f"from @logs where {LOGIN_ROWS} and source_ip is not null and not {ipf.private_rfc(d, 'source_ip')} and source_country is not null and source_country not in ('VN', 'VNM') group by source_ip")
+    return alert("login_foreign_ip", "source_ip", "3.0", {"logins": n("count(*)")}, f"""from @logs where {LOGIN_ROWS} and source_ip is not null and not {ipf.private_rfc(d, 'source_ip')} and source_country is not null and source_country not in ('VN', 'VNM')
+      group by source_ip""")
 
 
 def rolling(d: Dialect, before: bool = True) -> str:
@@ -570,11 +670,13 @@ def rolling(d: Dialect, before: bool = True) -> str:
     from .series import per_minute
 
     frame = "rows between 10 preceding and 1 preceding" if before else "rows between 9 preceding and current row"
-    return f"select us, epm, ma, sd from (select {d.micros('minute')} as us, epm, avg(epm) over (order by minute {frame}) as ma, stddev_pop(epm) over (order by minute {frame}) as sd, count(*) over (order by minute {frame}) as k from ({per_minute(d)}) as m) as r where k >= 5 and epm > ma + 3 * sd + 1e-9"
+    return f"""select us, epm, ma, sd from (select {d.micros('minute')} as us, epm, avg(epm) over (order by minute {frame}) as ma, stddev_pop(epm) over (order by minute {frame}) as sd, count(*) over (order by minute {frame}) as k
+      from ({per_minute(d)}) as m) as r where k >= 5 and epm > ma + 3 * sd + 1e-9"""
 
 
 def global_burst(d: Dialect) -> str:
-    return f"select 'global_burst' as type, 'global' as subject, 'WARNING' as severity, cast(least(10.0, 5.0 + epm - ma) as double) as score, us, {n('epm')} as epm, round(ma, 6) as ma, round(sd, 6) as sd from ({rolling(d)}) as r"
+    return f"""select 'global_burst' as type, 'global' as subject, 'WARNING' as severity, cast(least(10.0, 5.0 + epm - ma) as double) as score, us, {n('epm')} as epm, round(ma, 6) as ma, round(sd, 6) as sd
+      from ({rolling(d)}) as r"""
 
 
 def attack_chain(d: Dialect) -> str:

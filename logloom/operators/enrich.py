@@ -30,7 +30,9 @@ def mask_pii(d: Dialect) -> str:
 
 def outcome(col: str) -> str:
     low = f"lower({col})"
-    return f"case when {low} in ('success', 'ok', 'accept', 'allowed') then 'success' when {low} in ('failed', 'failure', 'blocked', 'reject', 'denied') then 'failure' when {low} in ('alert', 'info', 'unknown') then {low} end"
+    return f"""case when {low} in ('success', 'ok', 'accept', 'allowed') then 'success'
+      when {low} in ('failed', 'failure', 'blocked', 'reject', 'denied') then 'failure'
+      when {low} in ('alert', 'info', 'unknown') then {low} end"""
 
 
 #: Common-schema name -> column.
@@ -48,10 +50,12 @@ def ecs(d: Dialect) -> str:
 
 
 def threat_intel(d: Dialect) -> str:
-    """Indicators (kind, value) that a row's addresses or domain are among: a list of kind:field."""
-    fields = [("ip", "source_ip"), ("ip", "dest_ip"), ("domain", "domain")]
+    """Indicators (kind, value) that a row's addresses, domain or URL are among: a list of kind:field."""
+    fields = [("ip", "source_ip"), ("ip", "dest_ip"), ("domain", "domain"), ("url", "path")]
     hits = " union all ".join(f"select l.row_id, '{k}:{c}' as hit from @logs as l join @indicators as i on i.kind = '{k}' and i.value = l.{c}" for k, c in fields)
-    return f"select l.row_id, coalesce(h.indicators, '') as indicators, h.indicators is not null as matched from @logs as l left join (select row_id, {d.joined('hit')} as indicators from ({hits}) as x group by row_id) as h on h.row_id = l.row_id"
+    return f"""select l.row_id, coalesce(h.indicators, '') as indicators, h.indicators is not null as matched
+      from @logs as l left join (select row_id, {d.joined('hit')} as indicators
+      from ({hits}) as x group by row_id) as h on h.row_id = l.row_id"""
 
 
 def assets(d: Dialect) -> str:
@@ -70,7 +74,9 @@ def leases(d: Dialect) -> str:
     """
     day = lambda x: f"date_trunc('day', {x})"
     spread = f"select ip, mac, start, stop, {d.unnest(d.steps(day('start'), day('stop'), 1, 'day'), 'day')} from @leases where start < stop"
-    hit = f"select l.row_id, s.mac, row_number() over (partition by l.row_id order by s.start, s.mac) as rk from @points as l join ({spread}) as s on s.ip = l.ip and s.day = {day('l.timestamp')} where l.timestamp >= s.start and l.timestamp < s.stop"
+    hit = f"""select l.row_id, s.mac, row_number() over (partition by l.row_id order by s.start, s.mac) as rk
+      from @points as l join ({spread}) as s on s.ip = l.ip and s.day = {day('l.timestamp')}
+      where l.timestamp >= s.start and l.timestamp < s.stop"""
     return f"select p.row_id, h.mac from @points as p left join (select row_id, mac from ({hit}) as x where rk = 1) as h on h.row_id = p.row_id"
 
 
@@ -86,7 +92,9 @@ def geo(d: Dialect) -> str:
     An equi-join by the address's /16 with the range as filter; a range stands
     under each /16 that it touches.  Each address is looked up once.
     """
-    ips = f"select ip, num, cast(floor(num / 65536.0) as bigint) as net from (select ip, {address_number(d, 'ip')} as num from (select distinct source_ip as ip from @logs where source_ip is not null) as x) as y where num is not null"
+    ips = f"""select ip, num, cast(floor(num / 65536.0) as bigint) as net from (select ip, {address_number(d, 'ip')} as num
+      from (select distinct source_ip as ip from @logs where source_ip is not null) as x) as y
+      where num is not null"""
     nets = "cast(floor(lo / 65536.0) as bigint)", "cast(floor(hi / 65536.0) as bigint)"
     span = f"sequence({nets[0]}, {nets[1]})" if d.name == "spark" else f"generate_series({nets[0]}, {nets[1]})"
     spread = f"select lo, hi, country, {d.unnest(span, 'net')} from @ranges where lo <= hi"

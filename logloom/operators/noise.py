@@ -44,7 +44,9 @@ def field_key(d: Dialect) -> str:
 PHRASES = [
     (r"session opened for user", "session_opened"), (r"session closed for user", "session_closed"), (r"connection from", "connection_from"), (r"disconnected from", "disconnected_from"), (r"received disconnect", "received_disconnect"),
     (r"systemd.* (starting|started|stopping|stopped|reached target|created slice)", "systemd_state_change"), (r"cron\[\d+\]: \(.*\) cmd \(.*\)", "cron_cmd"), (r"sshd: connection closed by ", "ssh_connection_closed"), (r"openssh_\S+ .* protocol", "ssh_banner"),
-    (r"service entered the (running|stopped) state", "win_service_state_change"), (r"service was successfully sent a (start|stop) control", "win_service_control"), (r"task scheduler.* (started|completed) task", "win_task_scheduler"), (r"windows defender.* (started|completed|updated)", "win_defender_info"), (r"group policy successfully processed", "win_gpo_processed"), (r"event id.*4624", "win_sec_logon_success"),
+    (r"service entered the (running|stopped) state", "win_service_state_change"), (r"service was successfully sent a (start|stop) control", "win_service_control"),
+        (r"task scheduler.* (started|completed) task", "win_task_scheduler"), (r"windows defender.* (started|completed|updated)", "win_defender_info"), (r"group policy successfully processed",
+        "win_gpo_processed"), (r"event id.*4624", "win_sec_logon_success"),
 ]
 
 
@@ -69,20 +71,26 @@ def tagged(d: Dialect, compat: bool = False) -> str:
 def burst(d: Dialect) -> str:
     """Runs of one key among the tagged rows, in time order: the first row and the count.
 
-    A run ends where the key changes, so it lies within one slice of time unless
-    it crosses a slice's edge.  Runs are found per day and then joined where the
-    last run of a day and the first of the next have one key, so that no window
-    spans the whole table.
+    Runs are found minute by minute.  Only a minute's first and last run can go on
+    in another minute, so the order of the whole table is taken over one row per
+    minute: that row's first run begins anew, or goes on with the last run of the
+    minute before, or, if that minute has one run only, with that run's beginning.
     """
-    day = "date_trunc('day', timestamp)"
+    minute = d.minute("timestamp")
     order = "order by timestamp, row_id"
-    flags = f"select *, {day} as day, case when noise_key = lag(noise_key) over (partition by {day} {order}) then 0 else 1 end as new from ({tagged(d)}) as t where noise_key is not null"
-    runs = f"select day, run, noise_key, min(row_id) as any_row, min_by(row_id, {d.micros('timestamp')} * 1000 + row_id % 1000) as row_id, min(timestamp) as timestamp, count(*) as c from (select *, sum(new) over (partition by day {order} rows between unbounded preceding and current row) as run from ({flags}) as f) as g group by day, run, noise_key"
-    edges = f"select *, max(run) over (partition by day) as last_run from ({runs}) as r"
-    # one row per run; only a day's first and last run can join a neighbour
-    linked = "select *, case when run = 1 and lag(run) over (order by day, run) = lag(last_run) over (order by day, run) and lag(noise_key) over (order by day, run) = noise_key then 0 else 1 end as head from (" + edges + ") as e"
-    joined = f"select *, sum(head) over (order by day, run rows between unbounded preceding and current row) as island from ({linked}) as l"
-    return f"select noise_key, min_by(row_id, {d.micros('timestamp')}) as row_id, min(timestamp) as timestamp, cast(sum(c) as bigint) as collapsed_count from ({joined}) as j group by island, noise_key"
+    flags = f"select *, {minute} as slice, case when noise_key = lag(noise_key) over (partition by {minute} {order}) then 0 else 1 end as new from ({tagged(d)}) as t where noise_key is not null"
+    numbered = f"select *, sum(new) over (partition by slice {order} rows between unbounded preceding and current row) as run from ({flags}) as f"
+    runs = f"select slice, run, noise_key, max(case when new = 1 then row_id end) as row_id, min(timestamp) as timestamp, count(*) as c from ({numbered}) as g group by slice, run, noise_key"
+    edges = f"select slice, max(run) as runs, min_by(noise_key, run) as first_key, max_by(noise_key, run) as last_key from ({runs}) as r group by slice"
+    before = f"select *, lag(slice) over (order by slice) as prev, lag(runs) over (order by slice) as prev_runs, coalesce(first_key = lag(last_key) over (order by slice), false) as joined from ({edges}) as e"
+    chains = f"select *, case when joined and prev_runs = 1 then 0 else 1 end as head from ({before}) as b"
+    groups = f"select *, sum(head) over (order by slice rows between unbounded preceding and current row) as chain from ({chains}) as c"
+    origin = """select slice, max(case when head = 1 then case when joined then prev else slice end end) over (partition by chain) as from_slice,
+      max(case when head = 1 then case when joined then prev_runs else 1 end end) over (partition by chain) as from_run"""
+    islands = f"""select r.noise_key, r.row_id, r.timestamp, r.c, case when run = 1 then from_slice
+      else r.slice end as island_slice, case when run = 1 then from_run else run end as island_run
+      from ({runs}) as r join ({origin} from ({groups}) as g) as o on o.slice = r.slice"""
+    return f"select noise_key, min_by(row_id, {d.micros('timestamp')}) as row_id, min(timestamp) as timestamp, cast(sum(c) as bigint) as collapsed_count from ({islands}) as i group by island_slice, island_run, noise_key"
 
 
 def window_collapse(d: Dialect, threshold: int = 5) -> str:
@@ -100,4 +108,5 @@ def reduce_noise(d: Dialect, threshold: int = 5) -> str:
 
 
 def reduced(d: Dialect) -> str:
-    return f"select row_id, noise_key, collapsed_count, case when collapsed_count > 1 then message || ' [Repeated ' || cast(collapsed_count as string) || ' times]' else message end as message from ({reduce_noise(d)}) as r"
+    return f"""select row_id, noise_key, collapsed_count, case when collapsed_count > 1 then message || ' [Repeated ' || cast(collapsed_count as string) || ' times]'
+      else message end as message from ({reduce_noise(d)}) as r"""

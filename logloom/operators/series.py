@@ -21,17 +21,29 @@ def hourly(d: Dialect) -> str:
 
 
 def rolling10(d: Dialect) -> str:
-    """Mean and population deviation of ten hours with the current one; five hours are needed."""
-    frame = "order by hour rows between 9 preceding and current row"
-    return f"select {d.micros('hour')} as us, epm, round(ma, 6) as ma, round(sd, 6) as sd from (select hour, epm, avg(epm) over ({frame}) as ma, stddev_pop(epm) over ({frame}) as sd, count(*) over ({frame}) as k from ({filled(d, 'hour')}) as h) as r where k >= 5"
+    """Mean and population deviation of ten minutes with the current one; five minutes are needed.
+
+    By sums over a window per day; the nine minutes before a day's first ones are copied into that day.
+    """
+    day = "date_trunc('day', minute)"
+    carried = f"""select minute, epm, {day} as day, true as own from ({filled(d, 'minute')}) as m
+      union all select minute, epm, date_trunc('day', {d.plus('minute', 9, 'minute')}) as day, false as own
+      from ({filled(d, 'minute')}) as m where date_trunc('day', {d.plus('minute', 9, 'minute')}) > {day}"""
+    frame = "partition by day order by minute rows between 9 preceding and current row"
+    return f"""select {d.micros('minute')} as us, epm, round(ma, 6) as ma, round(sd, 6) as sd
+      from (select minute, epm, own, avg(epm) over ({frame}) as ma, stddev_pop(epm) over ({frame}) as sd, count(*) over ({frame}) as k
+      from ({carried}) as h) as r where own and k >= 5"""
 
 
 def sessionize(d: Dialect, gap_us: int = 15 * 60 * 1_000_000) -> str:
     """Sessions of (source_ip, username): a new one when the gap is longer, not when equal; numbered from 0."""
     us = d.micros("timestamp")
     new = f"case when {us} - lag({us}) over (partition by source_ip, username order by timestamp, row_id) > {gap_us} then 1 else 0 end"
-    return f"select row_id, source_ip || '-' || username || '-' || cast(sum(new) over (partition by source_ip, username order by timestamp, row_id rows between unbounded preceding and current row) as string) as session_id from (select *, {new} as new from @logs where source_ip is not null and username is not null) as s"
+    return f"""select row_id, source_ip || '-' || username || '-' || cast(sum(new) over (partition by source_ip, username
+      order by timestamp, row_id rows between unbounded preceding and current row) as string) as session_id
+      from (select *, {new} as new from @logs where source_ip is not null and username is not null) as s"""
 
 
 def sessions(d: Dialect) -> str:
-    return f"select session_id, cast(count(*) as bigint) as events, cast(max({d.micros('l.timestamp')}) - min({d.micros('l.timestamp')}) as bigint) as span_us from ({sessionize(d)}) as s join @logs as l on l.row_id = s.row_id group by session_id"
+    return f"""select session_id, cast(count(*) as bigint) as events, cast(max({d.micros('l.timestamp')}) - min({d.micros('l.timestamp')}) as bigint) as span_us
+      from ({sessionize(d)}) as s join @logs as l on l.row_id = s.row_id group by session_id"""
