@@ -39,13 +39,18 @@ def upgrades(d: Dialect) -> str:
     and user failed in the two minutes before, the same instant not counted.
     """
     failed = "lower(status) = 'failed'"
-    burst = f"select source_ip, max(c) as fails from (select source_ip, username, {d.minute('timestamp')} as m, count(*) as c from @logs where {failed} and source_ip is not null and username is not null group by 1, 2, 3) as b group by source_ip"
+    burst = f"""select source_ip, max(c) as fails from (select source_ip, username, {d.minute('timestamp')} as m, count(*) as c
+      from @logs where {failed} and source_ip is not null and username is not null
+      group by 1, 2, 3) as b group by source_ip"""
     us = d.micros("timestamp")
     recent = f"select row_id, count_if({failed}) over (partition by source_ip, username order by us range between 120000000 preceding and 1 preceding) as k from (select *, {us} as us from @logs) as t"
     late = f"lower(l.status) = 'success' and not {ipf.private_strict(d, 'l.source_ip')} and r.k > 0 and l.username is not null and l.source_ip is not null"
     level = f"case when {late} then 'CRITICAL' when lower(l.status) = 'failed' and b.fails >= 5 then 'CRITICAL' when lower(l.status) = 'failed' and b.fails >= 3 and h.level = 'INFO' then 'WARNING' else h.level end"
-    why = f"case when {late} then 'success_after_failed_public_ip' when lower(l.status) = 'failed' and b.fails >= 5 and h.level <> 'CRITICAL' then 'burst_failed>=5' when lower(l.status) = 'failed' and b.fails >= 3 and h.level = 'INFO' then 'burst_failed>=3' else '' end"
-    return f"select l.row_id, {level} as level, {why} as reason from @logs as l join ({heuristic_level(d)}) as h on h.row_id = l.row_id join ({recent}) as r on r.row_id = l.row_id left join ({burst}) as b on b.source_ip = l.source_ip"
+    why = f"""case when {late} then 'success_after_failed_public_ip' when lower(l.status) = 'failed' and b.fails >= 5 and h.level <> 'CRITICAL' then 'burst_failed>=5'
+      when lower(l.status) = 'failed' and b.fails >= 3 and h.level = 'INFO' then 'burst_failed>=3'
+      else '' end"""
+    return f"""select l.row_id, {level} as level, {why} as reason from @logs as l join ({heuristic_level(d)}) as h on h.row_id = l.row_id
+      join ({recent}) as r on r.row_id = l.row_id left join ({burst}) as b on b.source_ip = l.source_ip"""
 
 
 def kept(d: Dialect) -> str:
@@ -58,11 +63,17 @@ def subject_rollup(d: Dialect) -> str:
     rank = "max(case severity when 'CRITICAL' then 2 when 'WARNING' then 1 else 0 end)"
     free = f"max(case when {d.has('type', HIGH_RISK)} or type in ({', '.join(repr(t) for t in EXEMPT)}) then 1 else 0 end)"
     inner = f"select subject, count(*) as c, {d.joined('type')} as types, {rank} as rk, max(score) as top, {free} as free from ({kept(d)}) as k group by subject"
-    return f"select subject, {n('c')} as alerts, types, case least(rk, 1 + free) when 2 then 'CRITICAL' when 1 then 'WARNING' else 'INFO' end as severity_max, case when free = 1 then top else least(top, {CAP}) end as score_max from ({inner}) as g"
+    return f"""select subject, {n('c')} as alerts, types, case least(rk, 1 + free) when 2 then 'CRITICAL'
+      when 1 then 'WARNING' else 'INFO' end as severity_max, case when free = 1 then top
+      else least(top, {CAP}) end as score_max from ({inner}) as g"""
 
 
 def summary(d: Dialect) -> str:
-    return f"select 'severity' as part, severity as name, {n('count(*)')} as alerts from ({kept(d)}) as k group by severity union all select 'type', type, {n('count(*)')} from ({kept(d)}) as k group by type union all select 'total', 'total', {n('count(*)')} from ({kept(d)}) as k union all select 'subjects', subject, {n('1')} from (select distinct subject from ({kept(d)}) as k order by subject limit 10) as s"
+    return f"""select 'severity' as part, severity as name, {n('count(*)')} as alerts
+      from ({kept(d)}) as k group by severity union all select 'type', type, {n('count(*)')}
+      from ({kept(d)}) as k group by type union all select 'total', 'total', {n('count(*)')}
+      from ({kept(d)}) as k union all select 'subjects', subject, {n('1')} from (select distinct subject
+      from ({kept(d)}) as k order by subject limit 10) as s"""
 
 
 def rendered_lines(d: Dialect) -> str:
@@ -77,29 +88,60 @@ def keyword_counts(d: Dialect) -> str:
 
 
 def related_logs(d: Dialect, limit: int = 100) -> str:
-    """The last rows of each subject: by user, else by address, else by host."""
-    hit = " union all ".join(f"select a.subject, l.row_id, l.timestamp, {i} as prio from (select distinct subject from @alerts) as a join @logs as l on l.{c} = a.subject" for i, c in enumerate(("username", "source_ip", "host")))
+    """The last rows of each subject: by user, else by either address, else by host, else the last rows of all.
+
+    Users and hosts are compared in lower case.
+    """
+    same = [("lower(l.username)", "lower(a.subject)"), ("l.source_ip", "a.subject"), ("l.dest_ip", "a.subject"), ("lower(l.host)", "lower(a.subject)")]
+    subjects = "select distinct subject from @alerts"
+    hit = " union ".join(f"select a.subject, l.row_id, l.timestamp, {prio} as prio from ({subjects}) as a join @logs as l on {c} = {k}" for prio, (c, k) in zip((0, 1, 1, 2), same))
     best = f"select *, min(prio) over (partition by subject) as own from ({hit}) as h"
-    return f"select subject, row_id from (select subject, row_id, row_number() over (partition by subject order by timestamp desc, row_id desc) as rk from ({best}) as b where prio = own) as r where rk <= {limit}"
+    ranked = f"select subject, row_id, row_number() over (partition by subject order by timestamp desc, row_id desc) as rk from ({best}) as b where prio = own"
+    found = f"select subject, row_id from ({ranked}) as r where rk <= {limit}"
+    # at most ``limit`` rows for each subject that nothing fits
+    last = f"select row_id from @logs order by timestamp desc, row_id desc limit {limit}"
+    alone = f"select s.subject from ({subjects}) as s left join (select distinct subject from ({hit}) as h) as f on f.subject = s.subject where f.subject is null"
+    return f"{found} union all select alone.subject, recent.row_id from ({alone}) as alone cross join ({last}) as recent"
 
 
 def export_rows(d: Dialect) -> str:
     """Rows numbered from 1 by time.  Numbers come from counts per day and a window within the day."""
     day = "date_trunc('day', timestamp)"
     before = f"select {day} as day, sum(count(*)) over (order by {day} rows between unbounded preceding and 1 preceding) as before from @logs group by {day}"
-    return f"select cast(coalesce(before, 0) + row_number() over (partition by {day} order by timestamp, row_id) as bigint) as log_index, row_id, {d.micros('timestamp')} as us, username, source_ip, action, status, message from @logs as l join ({before}) as b on b.day = {day}"
+    return f"""select cast(coalesce(before, 0) + row_number() over (partition by {day}
+      order by timestamp, row_id) as bigint) as log_index, row_id, {d.micros('timestamp')} as us, username, source_ip, action, status, message
+      from @logs as l join ({before}) as b on b.day = {day}"""
 
 
 def webhook_payload(d: Dialect) -> str:
     """One payload per subject: the first two alerts by score and how many more."""
     ranked = f"select *, row_number() over (partition by subject order by score desc, type) as rk, count(*) over (partition by subject) as c from (select distinct type, subject, score from ({kept(d)}) as k) as x"
-    return f"select subject, max(case when rk = 1 then type end) as first_type, max(case when rk = 2 then type end) as second_type, case when max(c) > 2 then '+' || cast(max(c) - 2 as string) || ' more' else '' end as more from ({ranked}) as r group by subject"
+    return f"""select subject, max(case when rk = 1 then type end) as first_type, max(case
+      when rk = 2 then type end) as second_type, case when max(c) > 2 then '+' || cast(max(c) - 2 as string) || ' more'
+      else '' end as more from ({ranked}) as r group by subject"""
+
+
+def result_payload(d: Dialect) -> str:
+    """What a receiver of results gets per subject of @subjects: alert types and count, severity, score, two
+    events of @told (subject, type, text, score) with how many more there are, and the
+    analysis of @analysis (subject, risk_level, summary, risks, actions), with defaults.
+    """
+    ranked = "select *, row_number() over (partition by subject order by score desc, type, text) as rk, count(*) over (partition by subject) as c from @told"
+    line = "'[' || type || '] ' || coalesce(text, '')"
+    events = f"select subject, max(case when rk = 1 then {line} end) as first_event, max(case when rk = 2 then {line} end) as second_event, case when max(c) > 2 then '+' || cast(max(c) - 2 as string) || ' more alerts...' end as more from ({ranked}) as r group by subject"
+    # What stands for a missing level and summary.
+    return f"""select s.subject, replace(s.types, ',', ', ') as alert_types, s.alerts as alert_count, coalesce(a.risk_level, 'Trung bình') as risk_level, s.severity_max as severity, s.score_max as score,
+      concat_ws(' | ', e.first_event, e.second_event, e.more) as events, coalesce(a.summary, 'Không có tóm tắt') as summary, coalesce(a.risks, '') as risk_analysis, coalesce(a.actions, '') as recommendation
+      from @subjects as s left join ({events}) as e on e.subject = s.subject left join @analysis as a on a.subject = s.subject"""
 
 
 def log_type(d: Dialect) -> str:
     """The class of each program name; the first key that it contains."""
     # Keys in the order in which they are looked for.
-    keys = [("firewall", "firewall"), ("router_ios", "router"), ("named", "dns"), ("winevent", "windows_eventlog"), ("security", "windows_eventlog"), ("system", "windows_eventlog"), ("sysmon", "windows_eventlog"), ("dhcpd", "dhcp"), ("apache", "apache"), ("squid", "proxy"), ("suricata", "ids"), ("edr_network", "edrnetwork"), ("edr_sysmon", "edr"), ("syslog", "syslog"), ("sshd", "linuxsyslog"), ("sudo", "linuxsyslog"), ("cron", "linuxsyslog"), ("kernel", "linuxsyslog"), ("systemd", "linuxsyslog"), ("auth", "linuxsyslog")]
+    keys = [("firewall", "firewall"), ("router_ios", "router"), ("named", "dns"), ("winevent", "windows_eventlog"), ("security", "windows_eventlog"), ("system",
+        "windows_eventlog"), ("sysmon", "windows_eventlog"), ("dhcpd", "dhcp"), ("apache", "apache"), ("squid", "proxy"), ("suricata", "ids"), ("edr_network",
+        "edrnetwork"), ("edr_sysmon", "edr"), ("syslog", "syslog"), ("sshd", "linuxsyslog"), ("sudo", "linuxsyslog"), ("cron", "linuxsyslog"), ("kernel", "linuxsyslog"),
+        ("systemd", "linuxsyslog"), ("auth", "linuxsyslog")]
     case = " ".join(f"when contains(lower(program), '{k}') then '{v}'" for k, v in keys)
     return f"select program, case {case} else 'generic' end as log_type, {n('count(*)')} as rows from @logs where program is not null group by program"
 
@@ -110,6 +152,37 @@ def client_filter(d: Dialect, severities: tuple[str, ...] = ("CRITICAL", "WARNIN
     return f"select type, subject, severity, score from ({kept(d)}) as k where severity in ({', '.join(repr(s) for s in severities)}) and (contains(lower(type), '{low}') or contains(lower(subject), '{low}'))"
 
 
+def client_search(d: Dialect, text: str, severities: tuple[str, ...] = ("CRITICAL", "WARNING", "INFO"), kind: str | None = None, level: str | None = None) -> str:
+    """Subjects of @subjects (subject, types, severity_max) that pass all filters: an alert type, the
+    analysis's risk level, severities, and a text in the subject, its types, the analysis's
+    summary, risks or actions (@analysis: subject, risk_level, summary, risks, actions) or
+    an alert's text (@alerts: subject, text).
+    """
+    low = d.text(text.strip().lower())
+    fields = ("s.subject", "s.types", "a.summary", "a.risks", "a.actions")
+    within = " or ".join(f"contains(lower(coalesce({f}, '')), {low})" for f in fields)
+    wanted = [f"coalesce(upper(s.severity_max), 'INFO') in ({', '.join(d.text(x) for x in severities)})"] if severities else ["false"]
+    if kind:
+        wanted.append(f"contains(',' || s.types || ',', {d.text(',' + kind + ',')})")
+    if level:
+        wanted.append(f"a.risk_level = {d.text(level)}")
+    if text.strip():
+        wanted.append(f"({within} or t.subject is not null)")
+    hits = f"select distinct subject from @alerts where contains(lower(coalesce(text, '')), {low})"
+    return f"select s.subject, s.types, s.severity_max, a.risk_level from @subjects as s left join @analysis as a on a.subject = s.subject left join ({hits}) as t on t.subject = s.subject where {' and '.join(wanted)}"
+
+
+def local_time(d: Dialect, ts: str) -> str:
+    """An instant in UTC+7 as a reader there writes it: ``02:15 AM, Thứ Ba, 23/09/2025``."""
+    local = d.plus(ts, 7, "hour")
+    # The days of the week from Monday.
+    days = ["Thứ Hai", "Thứ Ba", "Thứ Tư", "Thứ Năm", "Thứ Sáu", "Thứ Bảy", "Chủ Nhật"]
+    number = f"extract(dayofweek_iso from {local})" if d.name == "spark" else f"isodow({local})"
+    day = "case " + number + " " + " ".join(f"when {i} then '{x}'" for i, x in enumerate(days, 1)) + " end"
+    clock = f"case when hour({local}) % 12 = 0 then '12' else lpad(cast(hour({local}) % 12 as string), 2, '0') end || ':' || {d.format(local, '%M')} || case when hour({local}) < 12 then ' AM' else ' PM' end"
+    return f"{clock} || ', ' || {day} || ', ' || {d.format(local, '%d/%m/%Y')}"
+
+
 def prompts(d: Dialect) -> str:
     """A text for an analyst or a model per subject: its alerts by falling score."""
     line = "'- ' || type || ' (' || severity || ')'"
@@ -118,6 +191,46 @@ def prompts(d: Dialect) -> str:
     return f"select subject, 'Subject ' || subject || ' has ' || cast(count(*) as string) || ' kinds of alerts: ' || {order} as prompt from ({distinct}) as a group by subject"
 
 
+# Program names and the class that they stand for, in the order in which they are looked for.
+PROGRAM_CLASSES = [
+    ("firewall", "firewall"), ("router_ios", "router"), ("named", "dns"), ("dnsmasq", "dns"), ("winevent", "windows_eventlog"), ("security", "windows_eventlog"), ("system", "windows_eventlog"), ("sysmon", "windows_eventlog"),
+    ("dhcpd", "dhcp"), ("apache", "apache"), ("httpd", "apache"), ("squid", "proxy"), ("suricata", "ids"), ("edr_network", "edrnetwork"), ("edr_sysmon", "edr"), ("syslog", "syslog"),
+    ("sshd", "linuxsyslog"), ("sudo", "linuxsyslog"), ("cron", "linuxsyslog"), ("kernel", "linuxsyslog"), ("systemd", "linuxsyslog"), ("auth", "linuxsyslog"),
+]
+
+
+def table_class(d: Dialect, columns: tuple[str, ...] = ()) -> str:
+    """One row, the class of a whole table: by telling columns of its file (``columns``), else by its first
+    messages, else by program names (endpoint or Windows by the messages where they say
+    sysmon), else by words in the first messages; null if nothing tells.
+    """
+    have = {c.lower() for c in columns}
+    if have & {"destination_ip", "destination_port"}:
+        return "select 'edr' as log_class"
+    if have & {"channel", "eventid"}:
+        return "select 'windows_eventlog' as log_class"
+    m = "message"
+    head = lambda k: f"select message from @logs where message is not null order by timestamp, row_id limit {k}"
+    flags = {
+        "edr": d.has(m, "Sysmon: EventID=|^\\s*Sysmon:"), "windows": f"({d.has(m, 'Channel=|EventID=|TargetFilename=')} and (contains({m}, 'Host=') or not contains({m}, 'Image=')))",
+        "syslog": d.has(m, r"sshd\[|sudo\[|cron\[|kernel:|systemd\["), "firewall": d.has(m, "(?i)action=|proto="), "web": d.has(m, "GET |POST |HTTP/"),
+    }
+    fifty = f"select count(*) as k, {', '.join(f'count_if({c}) as {n_}' for n_, c in flags.items())} from ({head(50)}) as h"
+    ends = f"select count_if((contains({m}, 'DestinationIp=') or contains({m}, 'SrcIp=')) and contains({m}, 'Image=')) as e, count_if(contains({m}, 'Host=') or contains({m}, 'Channel=')) as w from ({head(30)}) as h"
+    rank = "case " + " ".join(f"when contains(lower(program), '{k}') then {i}" for i, (k, _) in enumerate(PROGRAM_CLASSES)) + " end"
+    # of several programs the first by name that says anything
+    programs = f"""select min_by({rank}, lower(program)) as rk, max(case when lower(program) = 'sysmon' then 1
+      else 0 end) as sys from (select distinct program from @logs where program is not null) as p
+      where {rank} is not null"""
+    by_program = "case p.rk " + " ".join(f"when {i} then '{v}'" for i, (_, v) in enumerate(PROGRAM_CLASSES)) + " end"
+    some = "greatest(3, floor(f.k / 4.0))"
+    return f"""select case when f.edr >= {some} then 'edr' when f.windows >= {some} then 'windows_eventlog'
+      when p.sys = 1 and s.e > s.w and s.e > 0 then 'edr' when p.sys = 1 and s.w > s.e and s.w > 0 then 'windows_eventlog'
+      when p.rk is not null then {by_program}
+      when f.syslog > f.k / 4.0 then 'linuxsyslog' when f.firewall > f.k / 4.0 then 'firewall' when f.web > f.k / 4.0 then 'apache' end as log_class
+      from ({fifty}) as f cross join ({ends}) as s cross join ({programs}) as p"""
+
+
 def log_class(d: Dialect) -> str:
     """The class of a file from its first fifty messages, before its program names are asked.
 
