@@ -12,7 +12,7 @@ from ..operators import noise, report, series
 from ..sources import adapters, parsers
 from . import projection as P
 from . import rendered
-from .dialect import SPARK, Bound, Dialect, Text, bind, named
+from .dialect import SPARK, Bound, Dialect, Text, bind, named, oracle
 from .projection import logs
 
 SPLIT = "timestamp '2024-01-15 00:00:00'"
@@ -88,7 +88,8 @@ def layout_rows(d: Dialect) -> dict[str, Text]:
     return {
         "zeek_dns_csv": text(f"{iso} as timestamp, source_ip, username, 'query: ' || domain || ' IN ' || query_type || {rendered.pick(chr(39) + ' +' + chr(39), chr(39) + ' +E' + chr(39))} as message"),
         "apache_extended_csv": _rows("httpd", lambda d_: rendered.bodies(d_)["apache_combined"]),
-        "dhcp_extended_csv": _rows("dhcpd", _body("dhcp")), "router_csv": _rows("ios", _body("router_ios")), "edr_extended_csv": _rows("sysmon", _body("sysmon")), "dns_extended_csv": _rows("named", _body("bind")), "winevent_csv": _rows("winevent", _body("winevent")), "firewall_csv": _rows("fw", _body("firewall_kv")),
+        "dhcp_extended_csv": _rows("dhcpd", _body("dhcp")), "router_csv": _rows("ios", _body("router_ios")), "edr_extended_csv": _rows("sysmon", _body("sysmon")),
+            "dns_extended_csv": _rows("named", _body("bind")), "winevent_csv": _rows("winevent", _body("winevent")), "firewall_csv": _rows("fw", _body("firewall_kv")),
         "syslog_csv": _rows(None),
         "suricata_csv": text(f"{iso} as timestamp, source_ip as src_ip, dest_ip as dst_ip, cast(1000 + n as string) as src_port, cast(dest_port as string) as dst_port, 'TCP' as protocol, {rendered.pick(chr(39) + 'Attempted Recon' + chr(39), chr(39) + 'Policy' + chr(39), chr(39) + 'x' + chr(39))} as classification, '2' as priority, '1:1:1' as sid, message"),
         "squid_csv": text(f"{iso} as timestamp, source_ip as client_ip, method, 'http://h.example.org' || path as url, cast(coalesce(http_status, 200) as string) as http_status, cast(bytes as string) as bytes_sent, '12' as duration, coalesce(username, '-') as {q}user{q}, 'text/html' as content_type"),
@@ -216,6 +217,34 @@ def bursts(d: Dialect) -> str:
     return f"select row_id, noise_key, collapsed_count from ({noise.burst(d)}) as b"
 
 
+def analysis(d: Dialect) -> str:
+    """What an analyst's report says of each subject."""
+    return "select subject, case when alerts >= 3 then 'HIGH' else 'LOW' end as risk_level, 'Summary of ' || types as summary, 'risk ' || severity_max as risks, 'watch ' || subject as actions from @subjects"
+
+
+def worded(d: Dialect) -> str:
+    return "select subject, 'Alert of ' || detector as text from @alerts"
+
+
+rolled_up = bind(report.subject_rollup, alerts=alerts)
+
+
+def searched(text: str, **how) -> Text:
+    core = lambda d: report.client_search(d, text, **how)
+    return bind(core, subjects=rolled_up, analysis=bind(analysis, subjects=rolled_up), alerts=bind(worded, alerts=alerts))
+
+
+def told(d: Dialect) -> str:
+    return "select subject, type, 'by ' || detector as text, score from @alerts"
+
+
+payloads = bind(report.result_payload, subjects=rolled_up, told=bind(told, alerts=alerts), analysis=bind(analysis, subjects=rolled_up))
+
+
+def local_times(d: Dialect) -> str:
+    return f"select row_id, {report.local_time(d, 'timestamp')} as local_time from @logs"
+
+
 def state_counts(d: Dialect) -> str:
     """Rows per baseline table."""
     parts = {"user_stats": B.user_stats, "device_stats": B.device_stats, "group_stats": B.group_stats}
@@ -237,18 +266,32 @@ def catalogue() -> dict[str, Text]:
     for name in adapters.LAYOUTS:
         out[f"adapt_{name}"] = adapted(name)
     out |= {
-        "scores": scoring.table, "asof_priv_to_proc": bind(asof, logs=P.dense), "interval_corr_5m": bind(D.interval_matches, ev=events_of(P.dense)), "interval_anti_5m": bind(D.interval_anti, ev=events_of(logs)), "ip_user": on_logs(D.ip_user), "roles": on_logs(D.roles), "inter_arrival": on_logs(D.inter_arrival), "rolling_burst": bind(lambda d: f"select us, epm, round(ma, 6) as ma, round(sd, 6) as sd from ({D.rolling(d)}) as r", logs=P.peak),
+        "scores": scoring.table, "asof_priv_to_proc": bind(asof, logs=P.dense), "interval_corr_5m": bind(D.interval_matches, ev=events_of(P.dense)), "interval_anti_5m": bind(D.interval_anti,
+            ev=events_of(logs)), "ip_user": on_logs(D.ip_user), "roles": on_logs(D.roles), "inter_arrival": on_logs(D.inter_arrival), "rolling_burst": bind(lambda d: f"select us, epm, round(ma, 6) as ma, round(sd, 6) as sd from ({D.rolling(d)}) as r", logs=P.peak),
         "data_access_counts": on_logs(D.data_access_counts), "activity": on_logs(D.activity),
         "epm_zero_fill": on_logs(series.hourly), "epm_rolling10": on_logs(series.rolling10), "sessionize": on_logs(series.sessionize), "sessions": bind(series.sessions, logs=P.dense),
         "noise_tags": on_logs(noise_tags), "noise_burst": on_logs(bursts), "noise_window": bind(noise.window_collapse, logs=P.dense), "noise_reduced": on_logs(noise.reduced),
-        "classify_ip": on_logs(E.classify_ip), "ip_predicates": bind(E.predicates, addresses=addresses), "mask_pii": bind(E.mask_pii, texts=lambda d: "select doc_id as id, text from @documents"), "mask_conversations": bind(E.mask_pii, texts=lambda d: "select conv_id * 1000 + turn as id, text from @conversations"), "ecs_map": on_logs(E.ecs),
+        "classify_ip": on_logs(E.classify_ip), "ip_predicates": bind(E.predicates, addresses=addresses), "mask_pii": bind(E.mask_pii, texts=lambda d: "select doc_id as id, text from @documents"),
+            "mask_conversations": bind(E.mask_pii, texts=lambda d: "select conv_id * 1000 + turn as id, text from @conversations"), "ecs_map": on_logs(E.ecs),
         "threat_intel": bind(E.threat_intel, logs=logs, indicators=indicators), "assets": bind(E.assets, logs=logs, assets=asset_table), "identity": bind(E.identity, logs=logs, people=people), "lease_lookup": bind(E.leases, points=points, leases=lease_table),
-        "user_daily": on_logs(B.user_daily), "user_stats": on_logs(B.user_stats), "hour_profile": on_logs(B.hour_profile), "device_stats": on_logs(B.device_stats), "group_stats": on_logs(B.group_stats), "global_stats": on_logs(B.global_stats), "download_daily": on_logs(B.download_daily), "login_time_local": on_logs(B.login_time),
+        "user_daily": on_logs(B.user_daily), "user_stats": on_logs(B.user_stats), "hour_profile": on_logs(B.hour_profile), "device_stats": on_logs(B.device_stats),
+            "group_stats": on_logs(B.group_stats), "global_stats": on_logs(B.global_stats), "download_daily": on_logs(B.download_daily), "login_time_local": on_logs(B.login_time),
         "group_rules_map": on_logs(B.group_rules), "membership": on_logs(B.membership), "majority_group": on_logs(B.majority_group), "user_groups": on_logs(B.user_groups), "trained_stats": on_logs(trained), "state_counts": on_logs(state_counts),
         "upsert_by_key": bind(B.upsert, old=keyed(False), new=keyed(True)), "map_merge": bind(B.map_merge, old=simple(False), new=simple(True)), "groups_merge": bind(B.groups_merge, old=member(False), new=member(True)),
-        "quality_profile": on_logs(report.quality_profile), "heuristic_level": on_logs(report.heuristic_level), "postprocess_upgrade": bind(report.upgrades, logs=P.dense), "rendered_lines": on_logs(report.rendered_lines), "keyword_counts": on_logs(report.keyword_counts), "export_rows": on_logs(report.export_rows), "log_type": on_logs(report.log_type),
-        "report_kept": on_alerts(report.kept), "subject_rollup": on_alerts(report.subject_rollup), "report_summary": on_alerts(report.summary), "webhook_payload": on_alerts(report.webhook_payload), "client_filter": on_alerts(report.client_filter), "related_logs": bind(report.related_logs, alerts=alerts, logs=logs),
+        "quality_profile": on_logs(report.quality_profile), "heuristic_level": on_logs(report.heuristic_level), "postprocess_upgrade": bind(report.upgrades,
+            logs=P.dense), "rendered_lines": on_logs(report.rendered_lines), "keyword_counts": on_logs(report.keyword_counts), "export_rows": on_logs(report.export_rows), "log_type": on_logs(report.log_type),
+        "report_kept": on_alerts(report.kept), "subject_rollup": on_alerts(report.subject_rollup), "report_summary": on_alerts(report.summary), "webhook_payload": on_alerts(report.webhook_payload),
+            "client_filter": on_alerts(report.client_filter), "related_logs": bind(report.related_logs, alerts=alerts, logs=logs),
+        "result_payload": payloads, "client_search": searched("Port_Scan"), "client_search_filtered": searched("watch user", severities=("CRITICAL", "WARNING"), level="HIGH"), "local_times": on_logs(local_times), "table_class": on_logs(report.table_class),
         "geo_lookup": bind(E.geo, logs=logs, ranges=ranges), "resolve_unknown": on_logs(D.resolve_unknown), "log_class": on_logs(report.log_class), "prompts": on_alerts(report.prompts),
-        "json_flatten": json_fields, "time_filter": on_logs(time_filter), "normalised": on_logs(normalised), "all_alerts": alerts, "multiline_merge": bind(parsers.merge_multiline, lines=bind(rendered.stream, logs=logs)), "format_sniff": bind(parsers.sniff_counts, lines=bind(rendered.lines("openssh"), logs=logs)),
+        "json_flatten": json_fields, "time_filter": on_logs(time_filter), "normalised": on_logs(normalised), "all_alerts": alerts, "multiline_merge": bind(parsers.merge_multiline,
+            lines=bind(rendered.stream, logs=logs)), "format_sniff": bind(parsers.sniff_counts, lines=bind(rendered.lines("openssh"), logs=logs)),
     }
     return out
+
+
+def oracles() -> dict[str, str]:
+    """DuckDB's SQL for every query: the independent one where there is one."""
+    from . import independent
+
+    return {k: independent.oracle(k) if k in independent.ORACLES else oracle(t) for k, t in catalogue().items()}

@@ -248,7 +248,14 @@ def bind(text: Text, **inputs: Text) -> Bound:
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-_kept: dict[tuple, DataFrame] = {}
+_kept: dict[tuple, tuple[Text, DataFrame]] = {}  # holds the texts, so that no other gets their id
+
+
+def _stamp(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of what lies in a folder, to tell when an input has changed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in found))
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -256,6 +263,9 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="logloom_checkpoint_")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/loom-{uuid.uuid4().hex}"
@@ -265,9 +275,9 @@ def written(df: DataFrame) -> DataFrame:
 
 def frame(text: Text, spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:
     """The result of a text over the tables in ``sf_dir``; kept ones are written once and shared."""
-    key = (spark.sparkContext.applicationId, sf_dir, id(text))
-    if keep and key in _kept:
-        return _kept[key]
+    key = (spark.sparkContext.applicationId, sf_dir, id(text), _stamp(spark, sf_dir)) if keep else None
+    if key in _kept:
+        return _kept[key][1]
     if hasattr(text, "parts"):
         from pyspark.sql import functions as F
 
@@ -284,7 +294,9 @@ def frame(text: Text, spark: SparkSession, sf_dir: str, keep: bool = False) -> D
         inputs |= {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
         df = apply(core, **inputs) if inputs else spark.sql(doubles(core(SPARK)))
     if keep:
-        df = _kept[key] = written(df)
+        # rows of one program together: a detector's filter then skips pages of the files
+        df = written(df.sortWithinPartitions("program") if "program" in df.columns else df)
+        _kept[key] = text, df
     return df
 
 

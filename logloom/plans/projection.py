@@ -69,15 +69,14 @@ from (
 
 
 def changed(**columns: str) -> Bound:
-    """The log table with some columns computed anew, e.g. ``timestamp``; ``where`` filters."""
-    where = columns.pop("where", "true")
+    """The log table with some columns computed anew, e.g. ``timestamp``."""
     names = "row_id timestamp program n username source_ip dest_ip dest_port dst_host host device mac_address interface vlan action status http_status bytes method path user_agent win_id image domain query_type source_country dept result_code severity message".split()
 
     def build(d: Dialect) -> str:
         made = {c: e.replace("{us}", d.micros("timestamp")) for c, e in columns.items()}
         if "timestamp" in made:
             made["timestamp"] = d.from_micros(made["timestamp"])
-        return "select " + ", ".join(f"{made[c]} as {c}" if c in made else c for c in names) + f" from @logs as l where {where}"
+        return "select " + ", ".join(f"{made[c]} as {c}" if c in made else c for c in names) + " from @logs as l"
 
     return bind(build, logs=logs)
 
@@ -89,7 +88,8 @@ dense = changed(timestamp=PRESSED)
 spread = changed(timestamp=PRESSED, source_ip="'172.20.' || cast(row_id % 40 as string) || '.' || cast(cast(floor(row_id / 40) as bigint) as string)")
 heavy = changed(dest_ip="'198.51.100.' || cast(row_id % 16 as string)", bytes="bytes * case when row_id % 7 = 0 then 900 else 1 end", source_ip="'10.7.7.' || cast(row_id % 5 as string)")
 inside = changed(source_ip="'10.9.9.' || cast(row_id % 60 as string)", username="'user' || cast(row_id % 6 as string)")
-auth = changed(where="program in ('sshd', 'firewall')")
+#: Addresses of one program each, so that some see mostly blocked rows.
+auth = changed(source_ip="'10.' || cast(row_id % 11 as string) || '.0.' || cast(row_id % 4 as string)")
 #: Every twenty seconds, few users and addresses.
 steady = changed(timestamp="1704067200000000 + n * 20000000", dest_ip="'198.51.100.' || cast(row_id % 2 as string)", username="'user' || cast(n % 5 as string)")
 storm = changed(timestamp=PRESSED, username="'user' || cast(row_id % 3 as string)")

@@ -58,6 +58,6 @@ def lines(name: str) -> Text:
 
 
 def stream(d: Dialect) -> str:
-    """Files with continuation lines: two of three lines begin a record; seven files at a time, new ones after 1000 lines each."""
+    """Files with continuation lines: two of three lines begin a record; seven files at a time, new ones after 1000 lines each, in splits of 100 lines."""
     rfc = d.format("timestamp", "%b %d %H:%M:%S")
-    return f"select 'f' || cast(row_id % 7 as string) || '.' || cast(cast(floor(row_id / 7000) as bigint) as string) as file, row_id as line_no, case when row_id % 3 = 2 then '  at frame ' || cast(n as string) else {rfc} || ' ' || host || ' app: start' end as line from @logs"
+    return f"select 'f' || cast(row_id % 7 as string) || '.' || cast(cast(floor(row_id / 7000) as bigint) as string) as file, cast(floor(row_id / 700) as bigint) as split, row_id as line_no, case when row_id % 3 = 2 then '  at frame ' || cast(n as string) else {rfc} || ' ' || host || ' app: start' end as line from @logs"
