@@ -1,50 +1,187 @@
-"""The engine's surface: ingest, reduce_noise, enrich, train_baselines, detect, report, export."""
+"""The engine's surface: ingest, reduce_noise, enrich, baselines and their store, detect, report, export."""
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import baselines, detectors, enrich as enriching, noise, report as reporting
-from .plans.dialect import apply, written
+from .plans.dialect import SPARK, apply, written
 from .schema import event_table
 from .sources import readers
 
 
 def ingest(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """The event table of a file or folder."""
-    return event_table(readers.ingest(spark, path, start, end))
+    return readers.ingest(spark, path, start, end)
+
+
+def unparsed(spark: SparkSession, path: str) -> DataFrame:
+    """Text records that their file's format does not fit."""
+    return readers.unparsed(spark, path)
 
 
 def reduce_noise(logs: DataFrame, threshold: int = 5) -> DataFrame:
     return apply(lambda d: noise.reduce_noise(d, threshold), logs=logs)
 
 
-def enrich(logs: DataFrame, indicators: DataFrame | None = None, assets: DataFrame | None = None, people: DataFrame | None = None) -> DataFrame:
-    """Address scope and masking, and what the given tables add."""
-    from .plans.dialect import SPARK
-
-    out = logs.withColumn("message", F.expr(enriching.mask(SPARK, "message"))).withColumn("ip_scope", F.expr(enriching.ipf.scope(SPARK, "source_ip")))
-    for text, more in ((enriching.threat_intel, {"indicators": indicators}), (enriching.assets, {"assets": assets}), (enriching.identity, {"people": people})):
-        if all(v is not None for v in more.values()):
-            out = out.join(apply(text, logs=logs, **more), "row_id", "left")
+def enrich(
+    logs: DataFrame,
+    indicators: DataFrame | None = None,
+    assets: DataFrame | None = None,
+    people: DataFrame | None = None,
+    leases: DataFrame | None = None,
+    ranges: DataFrame | None = None,
+    mask: bool = True,
+    common_schema: bool = False,
+) -> DataFrame:
+    """The whole chain: address scope, masking, and what the given tables add, in this order.
+
+    ranges (lo, hi, country) of addresses, indicators (kind, value), assets (ip, name),
+    people (username, department, role), leases (ip, mac, start, stop).
+    ``common_schema`` adds the columns of the common schema under their dotted names.
+    """
+    out = logs.withColumn("ip_scope", F.expr(enriching.ipf.scope(SPARK, "source_ip"))).withColumn("ip_private", F.expr(enriching.ipf.private_strict(SPARK, "source_ip")))
+    if mask:
+        out = out.withColumn("message", F.expr(enriching.mask(SPARK, "message")))
+    more = []
+    if ranges is not None:
+        more.append(apply(enriching.geo, logs=logs, ranges=ranges).withColumnRenamed("country", "geo_country"))
+    if common_schema:
+        more.append(apply(enriching.ecs, logs=logs))
+    if indicators is not None:
+        more.append(apply(enriching.threat_intel, logs=logs, indicators=indicators))
+    if assets is not None:
+        more.append(apply(enriching.assets, logs=logs, assets=assets))
+    if people is not None:
+        more.append(apply(enriching.identity, logs=logs, people=people))
+    if leases is not None:
+        points = logs.select("row_id", "timestamp", F.col("source_ip").alias("ip"))
+        more.append(apply(enriching.leases, points=points, leases=leases).withColumnRenamed("mac", "source_mac"))
+    for table in more:
+        out = out.join(table, "row_id", "left")
     return out
 
 
-def train_baselines(logs: DataFrame) -> dict[str, DataFrame]:
-    return {"user_stats": apply(baselines.user_stats, logs=logs), "device_stats": apply(baselines.device_stats, logs=logs), "group_stats": apply(baselines.group_stats, logs=logs), "global_stats": apply(baselines.global_stats, logs=logs)}
+def read_leases(spark: SparkSession, path: str) -> DataFrame:
+    """(ip, mac, start, stop) of a lease file: CSV with columns ip, mac, start, end; instants that can't be read are null."""
+    rows = readers.read_csv(spark, path)
+    return rows.select("ip", "mac", F.try_to_timestamp("start").alias("start"), F.try_to_timestamp("end").alias("stop"))
+
+
+# ---------------------------------------------------------------- baselines
+
+#: Tables of the store and the key by which a new training replaces old rows (None: no key, only snapshots).
+STORE = {
+    "user_stats": "username", "device_stats": "host", "group_stats": "grp", "global_stats": None, "download_daily": "username", "login_time": "username",
+    "group_members": "grp", "user_to_group": "username", "device_to_group": "device",
+}
+
+
+def train_baselines(logs: DataFrame, rules: list[dict] | None = None) -> dict[str, DataFrame]:
+    """All baseline tables of some logs; ``rules`` map rows to groups."""
+    rules = baselines.RULES if rules is None else rules
+    grouped = apply(lambda d: baselines.group_mapped(d, rules), logs=logs)
+    members = apply(lambda d: f"select grp, {d.texts('nullif(username, ' + chr(39) * 2 + ')')} as users, {d.texts('source_ip')} as source_ips, {d.texts('host')} as hosts from @grouped group by grp", grouped=grouped)
+    most = lambda d: "select username, grp from (select username, grp, row_number() over (partition by username order by count(*) desc, grp) as rk from @grouped where username is not null group by username, grp) as r where rk = 1"
+    return {
+        "user_stats": apply(baselines.user_stats, logs=logs), "device_stats": apply(baselines.device_stats, logs=logs), "group_stats": apply(baselines.group_stats, logs=logs), "global_stats": apply(baselines.global_stats, logs=logs),
+        "download_daily": apply(baselines.download_daily, logs=logs), "login_time": apply(baselines.login_time, logs=logs),
+        "group_members": members, "user_to_group": apply(most, grouped=grouped), "device_to_group": apply(lambda d: baselines.majority_group(d, rules), logs=logs),
+    }
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _snapshots(spark: SparkSession, path: str, name: str, log_type: str) -> DataFrame | None:
+    """Every snapshot of a table with its ``trained_at``, or None if there is none."""
+    at = f"{path}/{name}/log_type={log_type}"
+    return spark.read.option("recursiveFileLookup", False).parquet(at).withColumn("trained_at", F.col("trained_at").cast("string")) if _exists(spark, at) else None
+
+
+def load_baseline(spark: SparkSession, path: str, name: str, log_type: str) -> DataFrame | None:
+    """The last snapshot of a table; None if there is none."""
+    every = _snapshots(spark, path, name, log_type)
+    if every is None:
+        return None
+    last = every.agg(F.max("trained_at")).first()[0]
+    return every.where(F.col("trained_at") == last).drop("trained_at")
+
 
+def load_baselines(spark: SparkSession, path: str, log_type: str, fallback: str | None = None) -> dict[str, DataFrame]:
+    """The last snapshot of each table; from the store ``fallback`` if this one has none of this type."""
+    found = {name: t for name in STORE if (t := load_baseline(spark, path, name, log_type)) is not None}
+    return load_baselines(spark, fallback, log_type) if not found and fallback else found
 
-def save_baselines(tables: dict[str, DataFrame], path: str, log_type: str) -> None:
-    """One folder per table, partitioned by log type; only that partition is replaced."""
-    for name, df in tables.items():
-        df.withColumn("log_type", F.lit(log_type)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("log_type").parquet(f"{path}/{name}")
 
+def save_baselines(tables: dict[str, DataFrame], path: str, log_type: str, trained_at: str | None = None) -> str:
+    """Add a snapshot: new rows, and old rows whose key is not among them; returns its ``trained_at``.
+
+    Earlier snapshots stay as they are, so a job that fails leaves the last good one.
+    """
+    at = trained_at or dt.datetime.now(dt.timezone.utc).strftime("T%Y%m%d%H%M%S%f")
+    for name, new in tables.items():
+        key, old = STORE.get(name), load_baseline(new.sparkSession, path, name, log_type)
+        if key and old is not None:
+            new = merge_by_key(old, new, key)
+        new.write.parquet(f"{path}/{name}/log_type={log_type}/trained_at={at}")
+    return at
+
+
+def train(spark: SparkSession, paths: list[str], path: str, log_type: str | None = None, rules: list[dict] | None = None) -> tuple[str, str]:
+    """Train on the files of several paths and add a snapshot; (log type, trained_at).
+
+    Without ``log_type`` it is that of the logs (``log_type_of``), else ``generic``.
+    """
+    logs = [ingest(spark, p) for p in paths]
+    # each path's rows are numbered by themselves; their place keeps the numbers apart
+    table = written(reduce(DataFrame.unionByName, [x.withColumn("row_id", F.col("row_id") * len(logs) + k) for k, x in enumerate(logs)]))
+    kind = log_type or log_type_of(table) or "generic"
+    return kind, save_baselines(train_baselines(table, rules), path, kind)
+
+
+def log_type_of(logs: DataFrame, columns: tuple[str, ...] = ()) -> str | None:
+    """The class of a table of logs; ``columns`` are those of the file that it comes from."""
+    return apply(lambda d: reporting.table_class(d, columns), logs=logs).first()[0]
 
-def load_baseline(spark: SparkSession, path: str, name: str, log_type: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}").where(F.col("log_type") == log_type).drop("log_type")
+
+def store_state(spark: SparkSession, path: str, log_type: str, sample: int = 5) -> DataFrame:
+    """(name, snapshots, trained_at, rows, sample): what the store holds of a log type, a few rows as JSON."""
+    parts = []
+    for name in STORE:
+        every, last = _snapshots(spark, path, name, log_type), load_baseline(spark, path, name, log_type)
+        if every is None:
+            continue
+        counts = every.agg(F.count_distinct("trained_at").alias("snapshots"), F.max("trained_at").alias("trained_at")).crossJoin(last.agg(F.count("*").alias("rows")))  # two single rows
+        some = last.select(F.to_json(F.struct("*")).alias("j")).orderBy("j").limit(sample).agg(F.collect_list("j").alias("sample"))
+        parts.append(counts.crossJoin(some).select(F.lit(name).alias("name"), "snapshots", "trained_at", "rows", "sample"))
+    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "name string, snapshots long, trained_at string, rows long, sample array<string>"))
+
+
+def migrate_json(spark: SparkSession, folder: str, path: str, log_type: str = "generic") -> list[str]:
+    """Bring baselines from JSON files (an array of rows each; of a global one every snapshot) into the store."""
+    done = []
+    for file, name in (("user_stats", "user_stats"), ("device_stats", "device_stats"), ("group_stats", "group_stats"), ("global_baseline", "global_stats")):
+        at = f"{folder}/{file}.json"
+        if not _exists(spark, at):
+            continue
+        rows = spark.read.option("multiLine", True).json(at).withColumnsRenamed({"group": "grp"})
+        if not rows.columns:
+            continue
+        if "trained_at" in rows.columns:
+            stamps = [r[0] for r in rows.select("trained_at").distinct().orderBy("trained_at").collect()]  # one per training
+            for stamp in stamps:
+                save_baselines({name: rows.where(F.col("trained_at") == stamp).drop("trained_at")}, path, log_type, "T" + "".join(c for c in stamp if c.isdigit())[:20])
+        else:
+            save_baselines({name: rows}, path, log_type)
+        done.append(name)
+    return done
 
 
 def merge_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -53,12 +190,18 @@ def merge_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return fresh.unionByName(old.where(F.col(key).isNotNull()).join(fresh.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
-def detect(logs: DataFrame, stats: DataFrame | None = None, names: list[str] | None = None, min_score: float = reporting.MIN_SCORE) -> DataFrame:
+#: Detectors whose alerts came twice in the tool that these follow.
+TWICE = ("deny_burst_ip", "deny_burst_minute", "deny_distributed", "exfil_sum", "fw_port_scan", "policy_evasion", "exfil_row", "exfil_outlier", "lsass_dump", "win_privesc", "dhcp_scope_conflict", "dhcp_rogue_server", "dhcp_device_user_mismatch")
+
+
+def detect(logs: DataFrame, stats: DataFrame | None = None, names: list[str] | None = None, min_score: float = reporting.MIN_SCORE, compat_duplicates: bool = False) -> DataFrame:
     """Alerts (type, subject, severity, score, detector, evidence as JSON) of all detectors.
 
-    The event table is written once, as some sixty detectors read it.
+    The event table is written once, as some sixty detectors read it, each task's rows in order
+    of program: a detector's filter on the program then skips pages of its files.
+    ``compat_duplicates`` gives the alerts of the detectors in TWICE twice.
     """
-    logs = written(logs)
+    logs = written(logs.sortWithinPartitions("program"))
     events = written(apply(detectors.router_events, logs=logs))
     frames = []
     chosen = detectors.PLAIN | (detectors.WITH_STATS if stats is not None else {})
@@ -69,7 +212,8 @@ def detect(logs: DataFrame, stats: DataFrame | None = None, names: list[str] | N
         found = apply(text, **inputs)
         extra = [c for c in found.columns if c not in ("type", "subject", "severity", "score")]
         evidence = F.to_json(F.struct(*extra)) if extra else F.lit("{}")
-        frames.append(found.select("type", "subject", "severity", "score", F.lit(name).alias("detector"), evidence.alias("evidence")))
+        found = found.select("type", "subject", "severity", "score", F.lit(name).alias("detector"), evidence.alias("evidence"))
+        frames += [found] * (2 if compat_duplicates and name in TWICE else 1)
     return reduce(DataFrame.unionByName, frames).where(F.col("score") >= min_score)
 
 
@@ -84,5 +228,11 @@ def export_csv(logs: DataFrame, path: str) -> None:
 
 
 def write_report(alerts: DataFrame, path: str) -> None:
-    for name, df in report(alerts).items():
+    """The alerts and what ``report`` makes of them, as JSON."""
+    for name, df in ({"alerts": alerts} | report(alerts)).items():
         df.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def load_report(spark: SparkSession, path: str) -> DataFrame:
+    """The alerts of a report that was written."""
+    return spark.read.schema("type string, subject string, severity string, score double, detector string, evidence string").json(f"{path}/alerts")
