@@ -10,7 +10,7 @@ import pytest
 from logloom.plans import catalogue, dialect
 
 SF = "/root/testdata/sf0.001"
-QUERIES = catalogue.catalogue()
+QUERIES, ORACLES = catalogue.catalogue(), catalogue.oracles()
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +32,7 @@ def test_query(spark, duck, name):
     df = dialect.query(QUERIES[name])(spark, SF)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
-    result = duck.execute(dialect.oracle(QUERIES[name]))
+    result = duck.execute(ORACLES[name])
     names = [x[0] for x in result.description]
     assert sorted(names) == columns
     want = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in result.fetchall()), key=repr)
