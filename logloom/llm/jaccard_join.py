@@ -11,11 +11,15 @@ or its whole word sequence as one if shorter.  Documents link when
    split, so groups stay near GROUP classes.
 3. The token-group matrix: token -> groups whose members have it in their prefix
    (the n - ceil(percent * n / 100) + 1 first shingles in the order; two linked sets share
-   one there).  Each group's token union comes with its members' sets, which lie in
-   the shared folder.
-4. Groups that share a token are a query group and a group to open.  A member's
-   overlap with the other group's union bounds its overlap with each member: only
-   members with enough are compared, exactly, all at once.
+   one there), with the most shingles that a member has from the token on and the
+   least size of a member.  Each group's token union comes with its members' sets,
+   which lie in the shared folder.
+4. Groups that share a token are a query group and a group to open.  The first shingle
+   that two sets share, in the order, bounds their overlap by what either has from there
+   on: the group is not opened if no such bound reaches what a link of its smallest
+   members would need.  In an opened group, a member's overlap with the other group's
+   union bounds its overlap with each member: only members with enough are compared,
+   exactly, all at once.
 5. A token of many groups gives a star of pairs first; once components are known,
    only pairs of its groups that are not in one component are opened as well.
    So thousands of near copies don't yield all their pairs, and no link is lost.
@@ -41,6 +45,7 @@ from .lm_scoring import pack, unpack
 SIZE, PERCENT = 5, 80
 GROUP, STAR = 64, 16  #: classes of a group; groups of a token from which a star comes first
 MAX_BITS, TILE = 36, 22  #: logarithms of the cells of the sketch at most, and of its tiles
+FINE = 6  #: ranks of a doubling of the documents of a cell
 CHUNK = 2_000_000  #: shingles that a task holds at a time
 
 
@@ -65,12 +70,22 @@ class Sets:
         self.bounds = np.concatenate([[0], np.cumsum(self.counts)])
 
 
+def _cell(token: np.ndarray, group: np.ndarray, rest: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (token, group) in order, with the greatest ``rest`` and the least size."""
+    o = np.lexsort((group, token))
+    token, group = token[o], group[o]
+    head = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (group[1:] != group[:-1])])) if len(token) else np.zeros(0, np.int64)
+    if not len(head):
+        return token, group, rest, least
+    return token[head], group[head], np.maximum.reduceat(rest[o], head), np.minimum.reduceat(least[o], head)
+
+
 def _cells(tok: np.ndarray, bits: int) -> np.ndarray:
     return ((tok * U64(0x9E3779B97F4A7C15)) >> U64(64 - bits)).astype(np.int64)
 
 
 def frequency(docs: DataFrame, bits: int, folder: str, size: int) -> dict[int, str]:
-    """tile -> name of the array of ranks of its cells: twice the logarithm of how many documents fall into a cell.
+    """tile -> name of the array of ranks of its cells: FINE times the logarithm of how many documents fall into a cell.
 
     Tasks count cells sparsely, a chunk at a time; counts of a tile are summed in one task.
     """
@@ -102,7 +117,7 @@ def frequency(docs: DataFrame, bits: int, folder: str, size: int) -> dict[int, s
         for batch in parts:
             for n, cells, counts in zip(*[batch.column(c).to_pylist() for c in ("n", "cells", "counts")]):
                 total[unpack(cells, n, True).astype(np.int64)] += unpack(counts, n, False).astype(np.int64)
-        rank = np.floor(2 * np.log2(np.maximum(total, 1))).astype(np.uint8)
+        rank = np.floor(FINE * np.log2(np.maximum(total, 1))).astype(np.uint8)
         yield pa.RecordBatch.from_pydict({"p": [key[0].as_py()], "name": [put_arrays(folder, {"rank": rank})]})
 
     rows = docs.mapInArrow(count, "p long, n long, cells binary, counts binary").groupBy("p").applyInArrow(add, "p long, name string")
@@ -185,28 +200,23 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, group:
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(1)
-        held: dict[str, list] = {k: [] for k in ("id", "h", "n", "s1", "s2", "g", "tokens", "pt", "pg")}
+        held: dict[str, list] = {k: [] for k in ("id", "h", "n", "s1", "s2", "g", "tokens", "pt", "pg", "pr", "pn")}
         count = 0
 
         def flush():
             x = {k: np.concatenate(v) for k, v in held.items()}
-            pt, pg = x.pop("pt"), x.pop("pg")
+            pt, pg, pr, pn = (x.pop(k) for k in ("pt", "pg", "pr", "pn"))
             name = put_arrays(folder, x | {"bounds": np.concatenate([[0], np.cumsum(x["n"])])})
-            # distinct (token, group), sorted by token
-            o = np.lexsort((pg, pt))
-            pt, pg = pt[o], pg[o]
-            new = np.ones(len(pt), bool)
-            new[1:] = (pt[1:] != pt[:-1]) | (pg[1:] != pg[:-1])
-            pt, pg = pt[new], pg[new]
+            pt, pg, pr, pn = _cell(pt, pg, pr, pn)
             part = (((pt >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
             edges = np.searchsorted(part, np.arange(parts + 1))
-            out = {"p": [parts + int(name[:4], 16) % parts], "n": [0], "t": [b""], "gs": [b""], "g": [b""], "name": [name]}
+            out = {"p": [parts + int(name[:4], 16) % parts], "n": [0], "t": [b""], "gs": [b""], "g": [b""], "r": [b""], "m": [b""], "name": [name]}
             for p in np.flatnonzero(np.diff(edges)):
                 a, b = edges[p], edges[p + 1]
                 gs, at = np.unique(pg[a:b], return_inverse=True)
-                for k, v in (("p", int(p)), ("n", int(b - a)), ("t", pack(pt[a:b], True)), ("gs", gs.tobytes()), ("g", pack(at, False)), ("name", None)):
+                for k, v in (("p", int(p)), ("n", int(b - a)), ("t", pack(pt[a:b], True)), ("gs", gs.tobytes()), ("g", pack(at, False)), ("r", pack(pr[a:b], False)), ("m", pack(pn[a:b], False)), ("name", None)):
                     out[k].append(v)
-            return pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.string()))})
+            return pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int64(), *[pa.binary()] * 5, pa.string()))})
 
         for batch in batches:
             ids, hs = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_id", "_h"))
@@ -222,18 +232,20 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, group:
                     where = np.flatnonzero(mixed(s.tokens ^ U64(0x0123456789ABCDEF)) == np.repeat(low, s.counts[some]))
                     least = np.zeros(j - i, np.int64)
                     rank = ranks(s.tokens, bits, folder, names)
-                    least[s.doc[where]] = np.ceil(2 ** (rank[where] / 2 + 0.5))  # documents of the cell, no fewer than there are
+                    least[s.doc[where]] = 2 ** (rank[where] / FINE)  # about how many documents hold it
                     split = np.maximum(1, -(-least[some] // group)).astype(U64)
                     g[some] = mixed(low + mixed(s1[some]) % split)
-                    o = np.argsort(rank, kind="stable")  # within a rank by token, as tokens are sorted
+                    o = np.argsort(rank // (FINE // 2), kind="stable")  # half a doubling is one place in the order, within it by token
                     o = o[np.argsort(s.doc[o].astype(np.uint32), kind="stable")]
                     take = s.counts[some] - (-(-percent * s.counts[some] // 100)) + 1
                     # one member of a class of this slice is enough
                     _, first = np.unique(s1[some], return_index=True)
-                    at = ragged(heads[first], take[first])
+                    at, size_ = ragged(heads[first], take[first]), s.counts[some][first]
                     held["pt"].append(s.tokens[o[at]]), held["pg"].append(np.repeat(g[some][first], take[first]))
+                    held["pr"].append(np.repeat(heads[first] + size_, take[first]) - at), held["pn"].append(np.repeat(size_, take[first]))
                 else:
                     held["pt"].append(np.zeros(0, U64)), held["pg"].append(np.zeros(0, U64))
+                    held["pr"].append(np.zeros(0, np.int64)), held["pn"].append(np.zeros(0, np.int64))
                 for k, v in (("id", ids[i:j]), ("h", hs[i:j]), ("n", s.counts), ("s1", s1), ("s2", s2), ("g", g), ("tokens", s.tokens)):
                     held[k].append(v)
                 count += len(s.tokens)
@@ -245,7 +257,7 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, group:
 
     def matrix_rows(key: tuple[pa.Scalar, ...], blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of groups that share a token; groups of tokens of many groups; names of files pass."""
-        tok, grp, names = [], [], []
+        tok, grp, rest, least, names = [], [], [], [], []
         for batch in blocks:
             for r in batch.to_pylist():
                 if r["name"] is not None:
@@ -253,36 +265,37 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, group:
                     continue
                 tok.append(unpack(r["t"], r["n"], True))
                 grp.append(np.frombuffer(r["gs"], U64)[unpack(r["g"], r["n"], False).astype(np.int64)])
+                rest.append(unpack(r["r"], r["n"], False).astype(np.int64)), least.append(unpack(r["m"], r["n"], False).astype(np.int64))
 
-        def rows(kind, a, b, name=None):
+        def rows(kind, a, b, name=None, r=None, m=None):
             n = len(a)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind), pa.int32()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(name if name else [None] * n, pa.string())], ["kind", "a", "b", "name"])
+            more = [pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (r, m)]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind), pa.int32()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(name if name else [None] * n, pa.string()), *more], ["kind", "a", "b", "name", "r", "m"])
 
         if names:
             zero = np.zeros(len(names), U64)
             yield rows(0, zero, zero, names)
         if not tok:
             return
-        t, g = np.concatenate(tok), np.concatenate(grp)
-        o = np.lexsort((g, t))
-        t, g = t[o], g[o]
-        new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (g[1:] != g[:-1])
-        t, g = t[new], g[new]
+        t, g, r, m = _cell(*[np.concatenate(x) for x in (tok, grp, rest, least)])
+        enough = lambda i, j: (100 + percent) * np.minimum(r[i], r[j]) >= percent * (m[i] + m[j])
         head = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         n = np.diff(np.append(head, len(t)))
         pairs = []
         for size_ in range(2, star + 1):
             heads = head[n == size_]
             if len(heads):
-                cell = g[heads[:, None] + np.arange(size_)]
+                cell = heads[:, None] + np.arange(size_)
                 i, j = np.triu_indices(size_, 1)
-                pairs.append(np.stack([cell[:, i].ravel(), cell[:, j].ravel()]))
+                i, j = cell[:, i].ravel(), cell[:, j].ravel()
+                ok = enough(i, j)
+                pairs.append(np.stack([g[i[ok]], g[j[ok]]]))
         many = n > star
         if many.any():
-            m = ragged(head[many], n[many])
-            pairs.append(np.stack([np.repeat(g[head[many]], n[many]), g[m]]))
-            yield rows(2, t[m], g[m])
+            i, j = np.repeat(head[many], n[many]), ragged(head[many], n[many])
+            ok = enough(i, j)
+            pairs.append(np.stack([g[i[ok]], g[j[ok]]]))
+            yield rows(2, t[j], g[j], None, r[j], m[j])
         if pairs:
             a, b = np.concatenate(pairs, axis=1)
             a, b = np.minimum(a, b), np.maximum(a, b)
@@ -294,7 +307,8 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, group:
             if keep.any():
                 yield rows(1, a[keep], b[keep])
 
-    found = cut(base.mapInArrow(index, "p long, n long, t binary, gs binary, g binary, name string").groupBy("p").applyInArrow(matrix_rows, "kind int, a long, b long, name string"))
+    indexed = base.mapInArrow(index, "p long, n long, t binary, gs binary, g binary, r binary, m binary, name string")
+    found = cut(indexed.groupBy("p").applyInArrow(matrix_rows, "kind int, a long, b long, name string, r long, m long"))
 
     def listed(batches):
         for batch in batches:
@@ -350,20 +364,21 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, group:
     edges = links(first, groups.where(F.size("m") > 1))
     labels = cut(connected_components(edges))
 
-    many = found.where("kind = 2").select(F.col("a").alias("t"), F.col("b").alias("g"))
+    many = found.where("kind = 2").select(F.col("a").alias("t"), F.col("b").alias("g"), "r", "m")
     if many.limit(1).count():
         named = classes.join(labels.withColumnRenamed("node", "s1"), "s1", "left").groupBy("g").agg(F.min(F.coalesce("label", "s1")).alias("lo"), F.max(F.coalesce("label", "s1")).alias("hi"))
         # the label of a group that is in one component, else null
-        many = cut(many.join(named, "g").select("t", "g", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("l")))
+        many = cut(many.join(named, "g").select("t", "g", "r", "m", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("l")))
         # Tokens of one large component mostly have the same groups: those whose groups
         # mostly carry one label are taken together, so that a pair comes once, not per token.
         usual = many.groupBy("t", "l").agg(F.count("*").alias("c")).groupBy("t").agg(F.max_by("l", F.struct("c", "l")).alias("u"), F.max(F.when(F.col("l").isNotNull(), F.col("c")).otherwise(F.lit(0))).alias("c"), F.sum("c").alias("n"))
         usual = usual.select("t", "u", (F.col("u").isNotNull() & (2 * F.col("c") >= F.col("n"))).alias("most"))
-        keyed = many.join(usual, "t").select(F.when(F.col("most"), F.col("u")).otherwise(F.col("t")).alias("k"), "most", "g", "l", (F.col("l").isNull() | F.col("u").isNull() | (F.col("l") != F.col("u"))).alias("odd"))
-        keyed = cut(keyed.groupBy("k", "most", "g").agg(F.first("l").alias("l"), F.max("odd").alias("odd")))
-        odd = keyed.where("odd").select("k", "most", F.col("g").alias("a"), F.col("l").alias("la"))
-        other = keyed.select("k", "most", F.col("g").alias("b"), F.col("l").alias("lb"), F.col("odd").alias("ob"))
-        rest = odd.join(other, ["k", "most"]).where("a <> b and (not ob or a < b) and (la is null or lb is null or la <> lb)")
+        keyed = many.join(usual, "t").select(F.when(F.col("most"), F.col("u")).otherwise(F.col("t")).alias("k"), "most", "g", "r", "m", "l", (F.col("l").isNull() | F.col("u").isNull() | (F.col("l") != F.col("u"))).alias("odd"))
+        keyed = cut(keyed.groupBy("k", "most", "g").agg(F.first("l").alias("l"), F.max("odd").alias("odd"), F.max("r").alias("r"), F.min("m").alias("m")))
+        odd = keyed.where("odd").select("k", "most", F.col("g").alias("a"), F.col("l").alias("la"), F.col("r").alias("ra"), F.col("m").alias("na"))
+        other = keyed.select("k", "most", F.col("g").alias("b"), F.col("l").alias("lb"), F.col("odd").alias("ob"), F.col("r").alias("rb"), F.col("m").alias("nb"))
+        enough = F.lit(100 + percent) * F.least("ra", "rb") >= F.lit(percent) * (F.col("na") + F.col("nb"))
+        rest = odd.join(other, ["k", "most"]).where("a <> b and (not ob or a < b) and (la is null or lb is null or la <> lb)").where(enough)
         rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
         more = links(rest)
         labels = cut(connected_components(edges.unionByName(more)))
