@@ -4,13 +4,15 @@ The method: the tokens of each labelled URL and its label make a transaction;
 Spark's FP-growth mines the frequent combinations; those that hold the label
 ``block`` with enough confidence and support become rules, less the rules whose
 confidence a part of their tokens reaches already; rules match other URLs by an
-inverted index from each rule's rarest token.
+inverted index from each rule's rarest token.  Tokens that occur in the very same
+labelled URLs (the fixed parts of a template) count as one, here and in matching:
+else a template of 30 tokens would have 2**30 frequent combinations.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no
 tokens, and gets the default verdict ``allow``; repeated rows are judged alike;
 without labels, or when none of a kind, no rule is mined and what no fixed rule
-fits is allowed; an empty table gives an empty table; other columns are not
-carried over except page_id.
+fits is allowed; an empty table gives an empty table; very long URLs count whole;
+other columns are not carried over except page_id.
 """
 
 from __future__ import annotations
@@ -93,6 +95,23 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     return cut(rules.join(needless, "rule_id", "left_anti").select("rule_id", "rule_tokens", "support", "confidence"))
 
 
+def twins(labelled: DataFrame, least: float) -> DataFrame:
+    """(t, one): frequent tokens (in ``least`` URLs or more) that occur in the same labelled rows as a
+    token before them by name, and that token.  Rows are compared by count and two sums of hashes.
+    """
+    seen = labelled.select(F.explode("tokens").alias("t"), F.xxhash64("row").alias("h"), F.xxhash64(F.lit(3), "row").alias("g"))
+    sums = seen.groupBy("t").agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.col("g").cast("decimal(38,0)")).alias("s"), F.bit_xor("g").alias("y"))
+    same = sums.where(F.col("n") >= least).groupBy("n", "x", "s", "y").agg(F.min("t").alias("one"), F.collect_set("t").alias("all"))  # one token per occurrence of the row
+    return same.where(F.size("all") > 1).select(F.explode("all").alias("t"), "one").where("t <> one")
+
+
+def _merged(rows: DataFrame, same: DataFrame) -> DataFrame:
+    """``rows`` (row, tokens and more) with twins replaced."""
+    told = rows.select("row", F.explode("tokens").alias("t")).join(same, "t", "left")
+    told = told.groupBy("row").agg(F.collect_set(F.coalesce("one", "t")).alias("merged"))
+    return rows.join(told, "row", "left").withColumn("tokens", F.coalesce("merged", F.col("tokens"))).drop("merged")
+
+
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(row, rule_id) of the rules all of whose tokens a URL has.
 
@@ -114,13 +133,19 @@ def judge(pages: DataFrame, labels: DataFrame | None, fixed=RULES, **how) -> Dat
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     base = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     base = base.withColumn("tokens", tokens_of(F.col("url"), F.col("host"), F.col("path")))
-    urls = base.select("url", "tokens").where(F.size("tokens") > 0).distinct().select(F.xxhash64("url").alias("row"), "url", "tokens")
+    urls = base.select("url", "tokens").where(F.size("tokens") > 0).distinct().select(F.md5(F.encode("url", "UTF-8")).alias("row"), "url", "tokens")
     rule, verdict = rule_columns(F.col("host"), F.col("path"), fixed)
     base = base.select("page_id", "url", "host", "path", rule.alias("rule"), verdict.alias("_fixed"))
     if labels is None:
         return base.select("page_id", "host", "path", "rule", F.coalesce("_fixed", F.lit("allow")).alias("verdict"), F.lit(None).cast("array<string>").alias("mined_rule"), F.lit(None).cast("double").alias("confidence"))
     known = labels.where(F.col("blocked").isNotNull()).groupBy("page_id").agg(F.max("blocked").alias("blocked"))
-    labelled = pages.select("page_id", "url").join(known, "page_id").select("blocked", tokens_of(F.col("url"), host, path).alias("tokens"))
+    labelled = pages.select("page_id", "url").join(known, "page_id").select("blocked", "url", tokens_of(F.col("url"), host, path).alias("tokens"))
+    labelled = cut(labelled.where(F.size("tokens") > 0).select("blocked", "tokens", F.md5(F.encode("url", "UTF-8")).alias("row")))
+    least = max(how.get("min_count", MIN_COUNT), how.get("min_support", MIN_SUPPORT) * labelled.count())
+    same = cut(twins(labelled, least))
+    urls = cut(_merged(urls, same))
+    # a URL's merged tokens are the same wherever it stands, so labelled rows take them from its row
+    labelled = labelled.select("blocked", "row").join(urls.select("row", "tokens"), "row")
     rules = mine_rules(labelled, **how)
     hits = match(urls.select("row", "tokens"), rules)
     best = hits.join(rules, "rule_id").groupBy("row").agg(F.max_by(F.struct("rule_tokens", "confidence"), F.struct("confidence", "support", "rule_id")).alias("m"))
