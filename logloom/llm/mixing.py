@@ -92,11 +92,15 @@ def mix(
     source_weights: Mapping[str, int] = SOURCE_WEIGHTS,
     seed: int = SEED,
     epochs: int = EPOCHS,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """Struct ``row`` of each chosen row with ``domain``, ``lang``, ``source``, ``tokens`` and ``epoch``."""
-    keyed = docs.select(F.struct("*").alias("row"), id_of().alias("_id"), F.coalesce("lang", F.lit("(none)")).alias("lang"), F.coalesce("source", F.lit("(none)")).alias("_source"), "text")
+    """Struct ``row`` of each chosen row with ``domain``, ``lang``, ``source``, ``tokens`` and ``epoch``.
+
+    ``keep`` names the columns of ``row``, short ones: they are carried with the counts, and texts are read once.
+    """
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]).alias("row"), id_of().alias("_id"), F.coalesce("lang", F.lit("(none)")).alias("lang"), F.coalesce("source", F.lit("(none)")).alias("_source"), "text")
     keyed = keyed.withColumn("domain", _domain(domains)).withColumnRenamed("_source", "source")
-    counted = cut(keyed.select("_id", "domain", "lang", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("tokens")))
+    counted = cut(keyed.select("_id", "domain", "lang", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"), *([] if keep is None else ["row"])))
     leaf = ["domain", "lang", "source"]
     leaves = counted.groupBy(*leaf).agg(F.sum("tokens").alias("tokens"))
     budget = float(counted.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0] * part[0] // part[1])
@@ -104,7 +108,7 @@ def mix(
     full = F.when(F.col("tokens") > 0, F.floor(F.col("B") / F.col("tokens"))).otherwise(F.lit(0)).cast("long")
     plan = cut(plan.select(*leaf, full.alias("whole"), (F.col("B") - full * F.col("tokens")).alias("rest")))
 
-    ordered = counted.join(plan, leaf).withColumn("o", _order(seed, F.col("whole"))).withColumn("b", F.shiftright("o", 48))
+    ordered = counted.drop("row").join(plan, leaf).withColumn("o", _order(seed, F.col("whole"))).withColumn("b", F.shiftright("o", 48))
     bins = ordered.groupBy(*leaf, "b").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"))
     run = Window.partitionBy(*leaf).orderBy("b")  # at most BUCKETS rows of a leaf
     bins = bins.withColumn("end", F.sum("t").over(run.rowsBetween(Window.unboundedPreceding, 0)))
@@ -116,11 +120,11 @@ def mix(
     # documents of the last epoch: order < below, or <= upto; without an edge the whole epoch fits
     limits = plan.join(limit, leaf, "left").select(*leaf, "whole", F.coalesce("upto", F.col("below") - 1, F.lit(2**63 - 1)).alias("upto"))
     limits = cut(limits)
-    picked = keyed.join(limits, leaf).withColumn("o", _order(seed, F.col("whole")))
+    picked = (keyed if keep is None else counted).join(limits, leaf).withColumn("o", _order(seed, F.col("whole")))
     times = F.col("whole") + F.when(F.col("o") <= F.col("upto"), F.lit(1)).otherwise(F.lit(0))
     times = F.least(times, F.lit(epochs).cast("long"))
     picked = picked.withColumn("_times", times).where("_times > 0")
-    tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long") if keep is None else F.col("tokens")
     return picked.select("row", *leaf, tokens.alias("tokens"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)).alias("epoch"))
 
 
@@ -131,7 +135,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    return mix(docs).select(F.col("row.doc_id").alias("doc_id"), "domain", "lang", "source", "tokens", "epoch")
+    return mix(docs, keep=["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), "domain", "lang", "source", "tokens", "epoch")
 
 
 def _case(col: str, weights: Mapping[str, int]) -> str:
