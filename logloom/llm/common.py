@@ -1,15 +1,15 @@
 """Shared helpers: scratch tables in the cluster's shared folder and vectorised hashing.
 
 Scratch tables are the only way lineage is cut: they live in the folder named by
-``spark.checkpoint.dir`` (set here only where it is unset, as in tests), so the
-loss of an executor never loses them.
+``spark.checkpoint.dir`` (set here only where it is unset and Spark runs in this
+process, as in tests), so the loss of an executor never loses them.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -17,17 +17,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NO_ID = 2**63 - 1  # stands for a null id: such rows rank after all others
+NO_ID = 2**63 - 1  # stands for a null id: such rows rank after all others (ids lie below it)
 U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; the setting is made only if unset."""
+    """A new folder name below ``spark.checkpoint.dir``; the setting is made only if unset, and never on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="logloom_checkpoint_")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/loom-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/loom-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+_made: list[str] = []  # folders that this driver has named
+
+
+def finished(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``make`` as a table, and none of the scratch folders that it took to make it."""
+    before = len(_made)
+    out = cut(make())
+    for folder in _made[before:-1]:
+        drop_folder(spark, folder)
+    del _made[before:-1]
+    return out
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
+import hashlib
 import itertools
 import math
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -74,6 +77,34 @@ def test_mined_rules(spark):
     assert U.judge(df.limit(0), labels).count() == 0
 
 
+def test_templates_and_very_long_urls(spark):
+    """Thirty fixed parts of a template are one fact; any of them leads to the rule."""
+    fixed = "/".join(f"part{'abcdefghijklmnopqrstuvwxyzABCDEF'[k]}" for k in range(30))
+    rows = [(i, f"http://bad.org/{fixed}/p{i}", True) for i in range(40)] + [(100 + i, f"http://good.org/q{i}", False) for i in range(60)]
+    rows += [(300, "http://other.org/parta", None), (301, "http://other.org/x" + "y" * 200_000, None), (302, "http://bad.org/" + "/z" * 50_000, None), (303, "http://other.org/part", None)]
+    df = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, b) for i, _, b in rows if b is not None], "page_id long, blocked boolean")
+    began = time.monotonic()
+    got = {r.page_id: r for r in U.judge(df, labels, fixed=[]).collect()}
+    assert time.monotonic() - began < 120 and len(got) == len(rows)
+    assert all(got[i].verdict == "block" for i in [*range(40), 300, 302]) and all(got[i].verdict == "allow" for i in [*range(100, 160), 301, 303])
+
+
+def test_mining_decides_on_a_held_out_part(spark):
+    """Labels that follow the URL: rules mined on one half find nine tenths of the other and block little else."""
+    rng = random.Random(2)
+    bad = lambda d, p: d == "ads.example.org" or p == "casino" or (d == "blog.example.org" and p == "win")
+    rows = []
+    for i in range(2400):
+        d, p = rng.choice(["ads", "blog", "news", "shop", "wiki", "mail"]) + ".example.org", rng.choice(["casino", "win", "story", "list", "note", "page"])
+        rows.append((i, f"http://{d}/{p}/{rng.randrange(10**6)}", bad(d, p) != (rng.random() < 0.02)))
+    df = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, b) for i, _, b in rows if i % 2], "page_id long, blocked boolean")
+    got = {r.page_id: r.verdict for r in U.judge(df, labels, fixed=[]).collect()}
+    held = [(b, got[i] == "block") for i, _, b in rows if i % 2 == 0]
+    assert sum(b and g for b, g in held) > 0.9 * sum(b for b, _ in held) and sum(g and not b for b, g in held) < 0.1 * sum(not b for b, _ in held)
+
+
 def fill(children, budget):
     """children: [(cap, weight)] -> budgets; siblings fill up to one level."""
     out, left = [0.0] * len(children), set(range(len(children)))
@@ -112,6 +143,42 @@ def test_budgets(spark):
         down((), min(budget, cap(())))
 
 
+def brute_mix(rows, part, epochs, seed=M.SEED):
+    """How often each (doc_id, text, lang, source) is taken, in plain Python: budgets down the tree, then each leaf's order."""
+    count = lambda t: len(re.findall(M.WORD, t or ""))
+    leaf = lambda r: (next((k for k, v in M.DOMAINS.items() if r[3] in v), "other"), r[2] or "(none)", r[3] or "(none)")
+    tokens = Counter()
+    for r in rows:
+        tokens[leaf(r)] += count(r[1])
+    weights = (M.DOMAIN_WEIGHTS, M.LANG_WEIGHTS, M.SOURCE_WEIGHTS)
+    cap = lambda p: epochs * sum(n for k, n in tokens.items() if k[: len(p)] == p)
+    budget = {(): min(float(sum(tokens.values()) * part[0] // part[1]), cap(()))}
+    for depth in range(3):
+        for p in [p for p in budget if len(p) == depth]:
+            kids = sorted({k[: depth + 1] for k in tokens if k[:depth] == p})
+            budget |= dict(zip(kids, fill([(cap(k), weights[depth].get(k[-1], M.DEFAULT)) for k in kids], budget[p])))
+    out = []
+    for r in rows:
+        k = leaf(r)
+        whole = int(budget[k] / tokens[k] + 1e-9) if tokens[k] else 0
+        order = lambda q: int(hashlib.md5(f"{seed}:{whole}:{2**63 - 1 if q[0] is None else q[0]}".encode()).hexdigest()[:15], 16)
+        upto = sum(count(q[1]) for q in rows if leaf(q) == k and order(q) <= order(r))
+        out.append(min(epochs, whole + (upto <= budget[k] - whole * tokens[k] + 1e-6)))
+    return out
+
+
+def test_mix_against_brute_force(spark):
+    rng = random.Random(14)
+    rows = [(i, "w " * rng.randrange(0, 40), rng.choice(["en", "de", "xx", None]), rng.choice(["src0", "src7", "src12", "own", None])) for i in range(250)]
+    rows += [(None, "a b c", "en", "src0"), (None, "d", "en", "src0"), (1007, None, "en", "src0"), (1008, "", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    for part, epochs in (((9, 10), 1), ((3, 2), 2), ((1, 5), 3)):
+        got = Counter((r.row.doc_id, r.row.text) for r in M.mix(df, part=part, epochs=epochs).collect())
+        assert got == +Counter({(r[0], r[1]): n for r, n in zip(rows, brute_mix(rows, part, epochs))})
+        short = Counter((r.row.doc_id, r.tokens) for r in M.mix(df, part=part, epochs=epochs, keep=["doc_id"]).collect())
+        assert short == Counter((r.row.doc_id, r.tokens) for r in M.mix(df, part=part, epochs=epochs).collect())
+
+
 def test_mix_takes_prefixes(spark):
     rng = random.Random(4)
     rows = [(i, "w " * rng.randrange(0, 50), rng.choice(["en", "de", None]), rng.choice(["src0", "src7", None]), "t") for i in range(400)]
