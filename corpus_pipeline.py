@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm import jaccard_join, language_id, line_dedup, mixing, sentencepiece_dropout
-from logloom.llm.common import cut, ship
+from logloom.llm.common import finished, ship
 
 #: SQL can express neither the language model nor the encoder; tests use brute force.
 ORACLE_SQL = None
@@ -59,5 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = finished(spark, lambda: stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
