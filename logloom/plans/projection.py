@@ -53,7 +53,7 @@ from (
     case when {e} % 11 in (2, 9) then case ({k} + {u}) % 10 when 0 then 401 when 1 then 401 when 2 then 403 when 3 then 500 when 4 then 304 else 200 end end as http_status,
     cast(floor(value * 100000) as bigint) as bytes,
     case {k} % 4 when 0 then 'POST' when 1 then 'DELETE' else 'GET' end as method,
-    case {k} % 6 when 0 then '/export/all.csv' when 1 then '/admin' when 2 then '/img/logo.png' else '/page/' || cast({u} % 10 as string) end as path,
+    case {k} % 6 when 0 then '/export/all.csv' when 1 then '/admin' when 2 then '/img/logo.png' when 3 then '/download/a.zip' else '/page/' || cast({u} % 10 as string) end as path,
     case {k} % 5 when 0 then 'ELB-HealthChecker/2.0' when 1 then 'Googlebot/2.1' else 'Mozilla/5.0 Device/dev-' || cast({u} % 40 as string) || ' Dept/Sales' end as user_agent,
     case {e} % 11 when 5 then case {k} % 6 when 0 then 4672 when 1 then 4688 when 2 then 10 when 3 then 4698 when 4 then 7045 else 4624 end when 6 then 3 end as win_id,
     case when {k} % 5 = 0 then 'c:/windows/powershell.exe' when {k} % 5 = 1 then 'c:/apps/psexec.exe' else 'c:/apps/chrome.exe' end as image,
