@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from . import embedding_dedup, jaccard_join, language_id, line_dedup, lm_scoring, mixing, sentencepiece_dropout, substring_dedup, topk, url_filters
+from . import embedding_dedup, hard_negatives, jaccard_join, language_id, line_dedup, lm_scoring, merkle_manifest, mixing, sentencepiece_dropout, substring_dedup, topk, toxicity, url_filters
 from .common import ship
 
 
@@ -31,6 +31,9 @@ def queries() -> dict:
         "op8_lm_scoring": lm_scoring.op8_lm_scoring,
         "op9_language_id": language_id.op9_language_id,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_toxicity": toxicity.op12_toxicity,
+        "op13_merkle": merkle_manifest.op13_merkle,
     }
     return {k: shipped(q) for k, q in own.items()}
 
@@ -43,4 +46,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_substring_dedup": substring_dedup.OP6_SQL,
         "op7_mixing": mixing.OP7_SQL,
         "op10_jaccard_join": jaccard_join.OP10_SQL,
+        "op11_hard_negatives": hard_negatives.OP11_SQL,
+        "op13_merkle": merkle_manifest.OP13_SQL,
     }
