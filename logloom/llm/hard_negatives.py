@@ -276,7 +276,7 @@ def _walk_all(work: DataFrame, folder: str, same: bool, targets_of) -> DataFrame
                     d, d_ids, d_labels = get_array(folder, name, "x"), np.asarray(get_array(folder, name, "id")), np.asarray(get_array(folder, name, "label"))
                     walk(x, ids, length, row["label"], centre, radius, targets, same, d, d_ids, d_labels)
                 t, place = np.nonzero(targets.score != LEAST)
-                yield pa.RecordBatch.from_pydict({"g": [g] * len(t), "member": pa.array(targets.member[t], pa.int32()), "anchor_id": pa.array(ids[targets.member[t]], pa.int64()), "target": pa.array(t, pa.int32()), "id": pa.array(targets.id[t, place], pa.int64()), "score": pa.array(targets.score[t, place], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"g": pa.array([g] * len(t), pa.string()), "member": pa.array(targets.member[t], pa.int32()), "anchor_id": pa.array(ids[targets.member[t]], pa.int64()), "target": pa.array(t, pa.int32()), "id": pa.array(targets.id[t, place], pa.int64()), "score": pa.array(targets.score[t, place], pa.int64())})
 
     return work.mapInArrow(run, "g string, member int, anchor_id long, target int, id long, score long")
 
