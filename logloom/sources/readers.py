@@ -8,7 +8,6 @@ Spark's order of splits, which stays the same as long as the files do.
 
 from __future__ import annotations
 
-import csv
 from functools import reduce
 from urllib.parse import unquote
 
@@ -18,11 +17,10 @@ from pyspark.sql import types as T
 
 from ..plans.dialect import apply
 from ..schema import event_table
-from . import adapters, parsers
+from . import adapters, csvs, parsers
 
 # What bytes 0x80 to 0x9F mean in Windows-1252 (the five it lacks stay as they are).
 WINDOWS = dict(zip([*range(0x80, 0xA0)], "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"))
-SEPARATORS = (",", ";", "\t", "|")
 
 
 def decoded(raw):
@@ -52,48 +50,26 @@ def read_binary_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("file", F.lit(0).cast("long").alias("split"), F.col("pos").cast("long").alias("line_no"), F.col("col").alias("line"))
 
 
-def separator(header: str) -> str:
-    return max(SEPARATORS, key=header.count)
-
-
 def header_names(header: str, sep: str) -> list[str]:
     """Clean column names; one that repeats gets its place added."""
-    names = [adapters.clean_header(c) for c in next(csv.reader([header], delimiter=sep), [])]
+    names = [adapters.clean_header(c) for c in csvs.names_of(header, sep)]
     return [c if c and c not in names[:i] else f"{c or 'column'}_{i}" for i, c in enumerate(names)]
 
 
-def csv_rows(lines: DataFrame, header: str, sep: str | None = None) -> DataFrame:
-    """(file, row_id, columns as strings) of lines of CSV files that share a header; bad rows are dropped."""
-    sep = sep or separator(header)
-    names = header_names(header, sep)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("_bad", T.StringType())])
-    how = {"sep": sep, "quote": '"', "escape": "\\", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    body = lines.where((F.col("line") != header) & (F.trim("line") != ""))
-    # an end of ";;" is no column but a mark that some exporters leave
-    line = F.col("line") if header.endswith(";;") or sep == ";" else F.regexp_replace("line", r";;\s*$", "")
-    parsed = body.select("file", F.col("line_no").alias("row_id"), F.from_csv(line, F.lit(schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")), how).alias("r"))
-    return parsed.where("r._bad is null").select("file", "row_id", *[F.col(f"r.c{i}").alias(c) for i, c in enumerate(names)])
-
-
-def read_csv(spark: SparkSession, path: str | list[str], header: str | None = None, sep: str | None = None) -> DataFrame:
-    """(file, row_id, columns) of CSV files with one header, which is taken from the first file unless given.
-
-    Records of several lines (some line has an odd number of quotes) are read file
-    by file, others line by line, so that large files are split.
-    """
+def csv_table(spark: SparkSession, path: str | list[str], header: str | None = None, sep: str | None = None) -> tuple[DataFrame, list[str]]:
+    """(``csvs.table`` of CSV files with one header, its column names); the header is the first file's unless given."""
     lines = read_lines(spark, path)
     if header is None:
         first = lines.where("split = 0 and trim(line) <> ''").orderBy("file", "line_no").select("line").first()
-        if first is None:
-            return lines.select("file", F.col("line_no").alias("row_id")).limit(0)
-        header = first[0]
-    sep = sep or separator(header)
-    odd = (F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))) % 2
-    if not lines.agg(F.max(odd)).first()[0]:
-        return csv_rows(lines, header, sep)
-    whole = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", "\\").option("multiLine", True).option("mode", "DROPMALFORMED").csv(path)
-    file = F.col("_metadata.file_path").alias("file")
-    return whole.select(file, F.monotonically_increasing_id().alias("row_id"), *whole.columns).toDF("file", "row_id", *header_names(header, sep))
+        header = first[0] if first else ""
+    sep = sep or csvs.separator(header)
+    return csvs.table(lines, header, sep), header_names(header, sep)
+
+
+def read_csv(spark: SparkSession, path: str | list[str], header: str | None = None, sep: str | None = None) -> DataFrame:
+    """(file, row_id, columns as strings) of CSV files with one header; files are split, records of several lines too."""
+    rows, names = csv_table(spark, path, header, sep)
+    return rows.where("fits").select("file", F.col("line_no").alias("row_id"), *[F.get("values", F.lit(i)).alias(c) for i, c in enumerate(names)])
 
 
 def flatten(df: DataFrame) -> DataFrame:
@@ -120,6 +96,36 @@ def read_json(spark: SparkSession, path: str | list[str], multiline: bool = Fals
     return flat
 
 
+def _no_json(text):
+    """Not JSON (null included); in brackets, as a text that goes on after its first value is none."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNull()
+
+
+def json_files(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str]]:
+    """(files of one JSON value each, files of one per line); what is neither counts as lines."""
+    if not paths:
+        return [], []
+    files = spark.read.format("binaryFile").load(paths).select("path", _no_json(decoded(F.col("content"))).alias("lines")).collect()  # a row per file
+    whole, lines = [], []
+    for r in sorted(files):
+        (lines if r.lines else whole).append(r.path)
+    return whole, lines
+
+
+def json_branches(spark: SparkSession, files: dict[str, list[str]]) -> list[DataFrame]:
+    whole, lines = json_files(spark, files.get("json", []))
+    lines = sorted([*lines, *files.get("ndjson", [])])
+    return [read_json(spark, p, multiline) for p, multiline in ((whole, True), (lines, False)) if p]
+
+
+def corrupt_json(spark: SparkSession, files: dict[str, list[str]]) -> DataFrame:
+    """(file, line_no, line, log_format) of the lines of JSON files that are no JSON."""
+    _, lines = json_files(spark, files.get("json", []))
+    rows = read_lines(spark, sorted([*lines, *files.get("ndjson", [])]))
+    kind = F.lower(F.substring_index("file", ".", -1))
+    return rows.where((F.trim("line") != "") & _no_json(F.col("line"))).select("file", "line_no", "line", kind.alias("log_format"))
+
+
 def _files(spark: SparkSession, path: str) -> dict[str, list[str]]:
     """Paths of a file or folder by kind; the driver lists a table's files in any case."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("length > 0").select("path").collect()
@@ -130,6 +136,17 @@ def _files(spark: SparkSession, path: str) -> dict[str, list[str]]:
     return out
 
 
+def csv_headers(spark: SparkSession, paths: list[str]) -> list[tuple[str, list[str]]]:
+    """(header, files) of CSV files, by their first line that is not blank."""
+    if not paths:
+        return []
+    heads = read_lines(spark, paths).where("split = 0 and trim(line) <> ''")
+    out: dict[str, list[str]] = {}
+    for r in heads.groupBy("file").agg(F.min_by("line", "line_no").alias("header")).collect():  # one short row per file
+        out.setdefault(r.header, []).append(unquote(r.file))
+    return sorted(out.items())
+
+
 def text_branches(spark: SparkSession, paths: list[str]) -> list[tuple[str, DataFrame]]:
     """(format, records) of text files, grouped by the format each shows."""
     by_format: dict[str, list[str]] = {}
@@ -142,16 +159,10 @@ def branches(spark: SparkSession, path: str) -> list[tuple[str | None, DataFrame
     """(format, events in its own columns, with row_id) for each kind of file found."""
     files = _files(spark, path)
     out: list[tuple[str | None, DataFrame]] = []
-    if "csv" in files:
-        heads = read_lines(spark, files["csv"]).where("split = 0 and trim(line) <> ''")
-        by_header: dict[str, list[str]] = {}
-        for r in heads.groupBy("file").agg(F.min_by("line", "line_no").alias("header")).collect():  # one short row per file
-            by_header.setdefault(r.header, []).append(unquote(r.file))
-        for header, paths in sorted(by_header.items()):
-            out += adapters.adapt(read_csv(spark, paths, header))
-    for kind in ("json", "ndjson"):
-        if kind in files:
-            out += adapters.adapt(read_json(spark, files[kind], kind == "json"))
+    for header, paths in csv_headers(spark, files.get("csv", [])):
+        out += adapters.adapt(read_csv(spark, paths, header))
+    for rows in json_branches(spark, files):
+        out += adapters.adapt(rows)
     for name, records in text_branches(spark, files["text"]) if "text" in files else ():
         out.append((name, parsers.parse(records, name).withColumnRenamed("line_no", "row_id")))
     return out
@@ -178,9 +189,15 @@ def ingest(spark: SparkSession, path: str, start: str | None = None, end: str |
 
 
 def unparsed(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line, log_format) of the text records that their file's format does not fit."""
+    """(file, line_no, line, log_format) of what ingest leaves out: text records that their file's format does
+    not fit, CSV records with more fields than the header, and lines that are no JSON."""
     empty = spark.createDataFrame([], "file string, line_no long, line string, log_format string")
-    files = _files(spark, path).get("text")
-    found = text_branches(spark, files) if files else []
+    files = _files(spark, path)
+    found = text_branches(spark, files["text"]) if "text" in files else []
     left = [records.where("trim(line) <> ''").where(~F.col("line").rlike(parsers.FORMATS[name].pattern)).withColumn("log_format", F.lit(name)) for name, records in found]
+    for header, paths in csv_headers(spark, files.get("csv", [])):
+        rows, _ = csv_table(spark, paths, header)
+        left.append(rows.where("not fits").select("file", "line_no", "line", F.lit("csv").alias("log_format")))
+    if "json" in files or "ndjson" in files:
+        left.append(corrupt_json(spark, files))
     return reduce(DataFrame.unionByName, left, empty)
