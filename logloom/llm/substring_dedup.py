@@ -226,8 +226,9 @@ def removal(docs: DataFrame, size: int = SIZE, **how) -> DataFrame:
     spans = repeated_spans(docs, size, **how).withColumnsRenamed({"_id": "_i", "_h": "_g"})
     base = docs.select("doc_id", id_of().alias("_id"), F.xxhash64("text").alias("_h"), F.coalesce("text", F.lit("")).alias("text"))
     joined = base.join(spans, (F.col("_id") == F.col("_i")) & (F.col("_h") == F.col("_g")), "left")
-    # white space is one byte each in UTF-8, so runs of it are found without decoding words
-    plain = F.regexp_replace(F.regexp_replace("text", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+", " ")
+    # white space is one byte each in UTF-8, so runs of it are found without decoding words; \z, as $ also
+    # stands before a last U+0085, U+2028 or U+2029, which are no white space here
+    plain = F.regexp_replace(F.regexp_replace("text", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", ""), r"[\x20\x09-\x0D]+", " ")
     joined = joined.select("doc_id", "spans", plain.alias("plain"))
     n = F.when(F.col("plain") == "", 0).otherwise(F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) + 1)
     # the words are named twice below: an expression used once would be put into the lambda, and the text split once per span

@@ -116,6 +116,20 @@ def test_removal(spark, max_bits):
     assert removal(df.limit(0)).count() == 0
 
 
+def test_words_at_odd_separators(spark):
+    """U+0085, U+2028, U+2029 and U+001C to U+001F are parts of words, at the end of a text too."""
+    odd = ["\u0085", "\u2028", "\u2029", "\x1c", "\x1d", "\x1e", "\x1f", "\xa0", "\u3000"]
+    body = " ".join(f"w{i}" for i in range(20))
+    docs = []
+    for i, c in enumerate(odd):
+        docs += [(10 * i, f"a {c}"), (10 * i + 1, f"a \n{c}"), (10 * i + 2, c), (10 * i + 3, f"{c} a"), (10 * i + 4, f"{body} {c}"), (10 * i + 5, f"{c}{body}{c} z{c} "), (10 * i + 6, f"x {c} {body}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in removal(df).collect())
+    assert got == brute_removal(docs)
+    by = {r[0]: r[1] for r in got}
+    assert all(by[10 * i] == 2 and by[10 * i + 2] == 1 for i in range(len(odd)))
+
+
 def test_removal_from_a_very_long_text(spark):
     """Thousands of spans in one text of a million words, in time that does not grow with their product."""
     block = lambda i: " ".join(f"b{i}x{k}" for k in range(13))
