@@ -100,8 +100,10 @@ def z(value: str, mean: str, sd: str) -> str:
 
 
 def table(d: Dialect) -> str:
-    """attack_type, modifier, score for every pair, and each type alone."""
+    """type, modifier, score, severity and how many: each type of ``@alerts`` scored anew, alone and with each modifier."""
     kinds = d.values([(k, v) for k, v in BASE.items()], ["attack_type", "b"])
     mods = d.values([(k, v) for k, v in MODIFIERS.items()] + [("none", 0.0)], ["modifier", "m"])
-    score = f"cast(greatest({LOW}, least({HIGH}, b + m)) as double)"
-    return f"select attack_type, modifier, {score} as score, {severity('b + m')} as severity from {kinds} as k cross join {mods} as x"
+    raw = f"coalesce(b, {UNKNOWN}) + m"
+    score = f"cast(greatest({LOW}, least({HIGH}, {raw})) as double)"
+    return f"""select type, modifier, {score} as score, {severity(raw)} as severity, alerts from (select type, cast(count(*) as bigint) as alerts from @alerts group by type) as a
+      left join {kinds} as k on k.attack_type = a.type cross join {mods} as x"""

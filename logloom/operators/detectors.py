@@ -146,20 +146,33 @@ OUTLIER, OUTLIER_FLOOR = 5, 5 * MIB
 
 #: The rows of the web server if there are any, else all rows with web columns.
 WEB = "(program = 'apache' or ((http_status is not null or path is not null) and (select count_if(program = 'apache') from @logs) = 0))"
+# The fields of an access line.
+WEB_FIELDS = {"path": r'"(?:GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\s+([^\s?]+)', "http_status": r'"\s+(\d+)\s', "method": r'(?i)"(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\s', "bytes": r'"\s+\d+\s+(\d+)'}
+WEB_USER = r"\d+\.\d+\.\d+\.\d+\s+-\s+(\S+)\s+\["
+
+
+def web(d: Dialect) -> str:
+    """The web server's rows; the message names the user if it can, and gives what the columns lack."""
+    told = {c: d.rx("message", p) for c, p in WEB_FIELDS.items()}
+    told |= {c: f"try_cast({told[c]} as {t})" for c, t in (("http_status", "int"), ("bytes", "bigint"))}
+    user = d.rx("message", WEB_USER)
+    return f"(select row_id, source_ip, coalesce(nullif({user}, '-'), username) as username, {', '.join(f'coalesce({c}, {e}) as {c}' for c, e in told.items())} from @logs where {WEB})"
+
+
 # Paths that count as exports.
 EXPORT = r"(?i)/export/|/download/|\.csv|\.zip|\.sql|/backup|all_customers|full_dump|all_invoices|/leads"
 
 
 def _takeover_ips(d: Dialect) -> str:
     return f"""select source_ip, count_if(http_status = 401) as fails, count_if(http_status = 200) as oks
-      from @logs where {WEB} and source_ip is not null group by source_ip having count_if(http_status = 401) >= 1 and count_if(http_status = 200) >= 1"""
+      from {web(d)} as w where source_ip is not null group by source_ip having count_if(http_status = 401) >= 1 and count_if(http_status = 200) >= 1"""
 
 
 def _takeover(d: Dialect, kind: str, public: bool, score: str) -> str:
     who = ipf.public_text(d, "i.source_ip")
-    return alert(kind, "username", score, {"ips": distinct("i.source_ip"), "successes": n("count(*)")}, f"""from @logs as l join ({_takeover_ips(d)}) as i on i.source_ip = l.source_ip
-      where {WEB} and http_status = 200 and username is not null and {'' if public else 'not '}{who} and (select count_if(http_status = 401)
-      from @logs where {WEB}) > 5 group by username""")
+    return alert(kind, "username", score, {"ips": distinct("i.source_ip"), "successes": n("count(*)")}, f"""from {web(d)} as l join ({_takeover_ips(d)}) as i on i.source_ip = l.source_ip
+      where http_status = 200 and username is not null and {'' if public else 'not '}{who} and (select count_if(http_status = 401)
+      from {web(d)} as f) > 5 group by username""")
 
 
 def takeover_public(d: Dialect) -> str:
@@ -172,19 +185,19 @@ def takeover_internal(d: Dialect) -> str:
 
 def web_exfil(d: Dialect) -> str:
     score = f"case when sum(bytes) > 5000000 then {fixed('data_exfiltration', 'sensitive_data')} else {fixed('data_exfiltration')} end"
-    return alert("data_exfiltration", "username", score, {"exports": n("count(*)"), "bytes": n("sum(bytes)")}, f"from @logs where {WEB} and username is not null and {d.has('path', EXPORT)} and bytes > 50000 group by username")
+    return alert("data_exfiltration", "username", score, {"exports": n("count(*)"), "bytes": n("sum(bytes)")}, f"from {web(d)} as w where username is not null and {d.has('path', EXPORT)} and bytes > 50000 group by username")
 
 
 def suspicious_operations(d: Dialect) -> str:
     return alert("suspicious_operations", "username", fixed("suspicious_operations"), {"deletes": n("count_if(method = 'DELETE')"), "errors": n("count_if(http_status = 500)")},
-        f"from @logs where {WEB} and username is not null and (method = 'DELETE' or http_status = 500) group by username")
+        f"from {web(d)} as w where username is not null and (method = 'DELETE' or http_status = 500) group by username")
 
 
 def bruteforce_target(d: Dialect) -> str:
-    taken = f"""select l.username from @logs as l join ({_takeover_ips(d)}) as i on i.source_ip = l.source_ip
-      where {WEB} and http_status = 200 and l.username is not null and {ipf.public_text(d, 'i.source_ip')} and (select count_if(http_status = 401)
-      from @logs where {WEB}) > 5 group by l.username"""
-    return alert("brute_force_target", "l.username", fixed("brute_force_target"), {"fails": n("count(*)")}, f"""from @logs as l left join ({taken}) as t on t.username = l.username where {WEB} and http_status = 401 and l.username is not null and t.username is null
+    taken = f"""select l.username from {web(d)} as l join ({_takeover_ips(d)}) as i on i.source_ip = l.source_ip
+      where http_status = 200 and l.username is not null and {ipf.public_text(d, 'i.source_ip')} and (select count_if(http_status = 401)
+      from {web(d)} as f) > 5 group by l.username"""
+    return alert("brute_force_target", "l.username", fixed("brute_force_target"), {"fails": n("count(*)")}, f"""from {web(d)} as l left join ({taken}) as t on t.username = l.username where http_status = 401 and l.username is not null and t.username is null
       group by l.username having count(*) >= 10""")
 
 
@@ -362,9 +375,20 @@ def service_install(d: Dialect) -> str:
 
 # ---------------------------------------------------------------- EDR
 
-EDR = "program = 'sysmon'"
+# What marks a message as one of endpoint telemetry, and its fields.
+EDR_MESSAGE = r"(?i)Sysmon.*EventID=3|DestinationIp=|DestinationPort="
+EDR_FIELDS = {"dest_ip": r"DestinationIp=([0-9.]+)", "dest_port": r"DestinationPort=(\d+)", "image": r"Image=(\S+)", "source_ip": r"(?:SourceIp|SrcIp)=([0-9.]+)"}
 LOLBINS = r"powershell\.exe|cmd\.exe|wmic\.exe|certutil\.exe|bitsadmin\.exe|rundll32\.exe|regsvr32\.exe|mshta\.exe|msiexec\.exe|regasm\.exe|installutil\.exe|cscript\.exe|wscript\.exe"
 RISKY = ("powershell.exe", "cmd.exe", "ssh.exe", "psexec.exe", "wmic.exe")
+
+
+def edr(d: Dialect) -> str:
+    """Endpoint rows of any program, told by their message; fields that the row lacks are taken from it."""
+    told = {c: d.rx("message", p) for c, p in EDR_FIELDS.items()}
+    told["dest_port"] = f"try_cast({told['dest_port']} as bigint)"
+    return f"(select row_id, timestamp, username, {', '.join(f'coalesce({c}, {e}) as {c}' for c, e in told.items())} from @logs where program = 'sysmon' or {d.has('message', EDR_MESSAGE)})"
+
+
 #: What follows the last separator of either kind.
 BASENAME = r"([^/\\]*)$"
 # Role, multiplier, technical (may use SSH and infrastructure) by group.
@@ -383,7 +407,7 @@ def gaps(d: Dialect) -> str:
     """Seconds between a user's connections to an address: count, mean, variance, deviation."""
     gap = f"({d.micros('timestamp')} - lag({d.micros('timestamp')}) over (partition by username, dest_ip order by timestamp, row_id)) / 1000000.0"
     return f"""select username, dest_ip, {n('count(*)')} as connections, avg(gap) as mean, var_samp(gap) as var, stddev_samp(gap) as sd
-      from (select username, dest_ip, {gap} as gap from @logs where {EDR} and username is not null and dest_ip is not null) as g
+      from (select username, dest_ip, {gap} as gap from {edr(d)} as l where username is not null and dest_ip is not null) as g
       group by username, dest_ip"""
 
 
@@ -399,19 +423,19 @@ def suspicious_process(d: Dialect) -> str:
     name = f"lower({d.rx('image', BASENAME)})"
     risky = "(" + " or ".join(f"contains(process, '{x}')" for x in RISKY) + ")"
     return alert("suspicious_process_external_connection", "username", "9.5", {"process": "process", "dest_ip": "dest_ip", "role": "role"}, f"""from (select distinct l.username, {name} as process, l.dest_ip, r.role
-      from @logs as l join ({roles(d)}) as r on r.username = l.username where {EDR} and r.tech = 0 and {ipf.external_text(d, 'l.dest_ip')}) as e
+      from {edr(d)} as l join ({roles(d)}) as r on r.username = l.username where r.tech = 0 and {ipf.external_text(d, 'l.dest_ip')}) as e
       where {risky}""")
 
 
 def _edr_users(d: Dialect) -> str:
     ext = ipf.external_text(d, "dest_ip")
     c2 = f"""select username, max(c) as c2 from (select username, dest_ip, count(*) as c
-      from @logs where {EDR} and username is not null and {ext} and dest_port in {C2_PORTS}
+      from {edr(d)} as l where username is not null and {ext} and dest_port in {C2_PORTS}
       group by username, dest_ip) as k group by username"""
     agg = f"""select username, count(distinct source_ip) as ips, count(distinct dest_ip) as dests, count(distinct dest_port) as ports, count(distinct case when {ext} then dest_ip end) as ext,
       count_if(dest_port = 3389) as rdp, count_if({d.has('image', '(?i)' + LOLBINS)}) as lol, count(distinct case when dest_ip in {INFRASTRUCTURE} and dest_port in {ADMIN_PORTS} then dest_ip end) as infra_admin,
       count_if(dest_ip in {INFRASTRUCTURE}) as infra, count_if(dest_port in (22, 3389)) as remote, count_if({ext} and dest_port in {ADMIN_PORTS}) as ext_admin
-      from @logs where {EDR} and username is not null group by username"""
+      from {edr(d)} as l where username is not null group by username"""
     return f"select a.*, coalesce(c.c2, 0) as c2, r.role, r.mult, r.tech from ({agg}) as a left join ({c2}) as c on c.username = a.username join ({roles(d)}) as r on r.username = a.username where a.ips >= 3"
 
 
@@ -434,6 +458,8 @@ CONFIG = r"(?i)%SYS-\d+-CONFIG_I.*Configured\s+from\s+\w+\s+by\s+(\S+)\s*\(?([\d
 BGP = r"(?i)%BGP-\d+-ADJCHANGE.*neighbor\s+([\d.]+)\s+Down"
 IFACE = r"(?i)%(?:LINK|LINEPROTO)-\d+-UPDOWN.*Interface\s+(\S+?),?\s.*changed\s+state\s+to\s+(up|down)"
 OSPF = r"(?i)%OSPF-\d+-ADJCHG.*Nbr\s+([\d.]+)\s+on\s+\S+\s+from\s+(\w+)\s+to\s+(\w+)"
+#: A router's message, whatever the program.
+ROUTER = r"(?i)%(?:(?:BGP|OSPF|LINK|LINEPROTO|SEC_LOGIN)-\d+-|SYS-\d+-CONFIG_I)"
 CORRELATION_US = 5 * 60 * 1_000_000
 
 
@@ -444,7 +470,7 @@ def router_events(d: Dialect) -> str:
       case when {has(LOGIN)} then 'login' when {has(BGP)} then 'bgp' when {has(IFACE)} then 'interface' when {has(OSPF)} then 'ospf' when {has(CONFIG)} then 'config' end as kind,
       case when {has(LOGIN)} then {d.rx('message', LOGIN)} when {has(CONFIG)} then {d.rx('message', CONFIG)} end as who,
       case when upper({d.rx('message', OSPF, 2)}) = 'FULL' and upper({d.rx('message', OSPF, 3)}) <> 'FULL' then 1 else 0 end as down
-      from @logs where host is not null and program like 'router%') as e where kind is not null"""
+      from @logs where host is not null and contains(message, '%') and {has(ROUTER)}) as e where kind is not null"""
 
 
 def interval_matches(d: Dialect) -> str:
@@ -481,7 +507,7 @@ def _unattributed(kind: str, alert_type: str, least: int) -> Text:
     def build(d: Dialect) -> str:
         agg = f"""select count(*) as c, sum(down) as downs, max(w.minutes) as minutes from ({interval_anti(d)}) as a
           cross join (select greatest((max({d.micros('timestamp')}) - min({d.micros('timestamp')})) / 60000000.0, 1.0) as minutes
-          from @logs where program like 'router%') as w where kind = '{kind}'"""
+          from @logs where contains(message, '%') and {d.has('message', ROUTER)}) as w where kind = '{kind}'"""
         score = {"bgp": "case when rate >= 1 then least(9.0, 6.5 + rate) else least(6.0, 4.5 + rate) end", "interface": "case when rate >= 2 then least(8.0, 6.0 + rate / 2) else least(5.5, 4.0 + rate / 2) end",
             "ospf": "case when rate >= 1 or downs >= 5 then least(8.0, 6.0 + rate / 2) else least(5.5, 4.5 + rate) end"}[kind]
         hard = {"bgp": "rate >= 1", "interface": "rate >= 2", "ospf": "rate >= 1 or downs >= 5"}[kind]

@@ -58,12 +58,19 @@ def threat_intel(d: Dialect) -> str:
       from ({hits}) as x group by row_id) as h on h.row_id = l.row_id"""
 
 
+def one_per_key(table: str, key: str, values: tuple[str, ...]) -> str:
+    """A lookup table with one row per key, as a dictionary has: of several the greatest in ``values``; null keys go."""
+    order = ", ".join(f"{v} desc nulls last" for v in values)
+    return f"(select {key}, {', '.join(values)} from (select {key}, {', '.join(values)}, row_number() over (partition by {key} order by {order}) as rk from {table} where {key} is not null) as u where rk = 1)"
+
+
 def assets(d: Dialect) -> str:
-    return "select l.row_id, a.name as source_asset, b.name as destination_asset from @logs as l left join @assets as a on a.ip = l.source_ip left join @assets as b on b.ip = l.dest_ip"
+    one = one_per_key("@assets", "ip", ("name",))
+    return f"select l.row_id, a.name as source_asset, b.name as destination_asset from @logs as l left join {one} as a on a.ip = l.source_ip left join {one} as b on b.ip = l.dest_ip"
 
 
 def identity(d: Dialect) -> str:
-    return "select l.row_id, i.department, i.role from @logs as l left join @people as i on i.username = l.username"
+    return f"select l.row_id, i.department, i.role from @logs as l left join {one_per_key('@people', 'username', ('department', 'role'))} as i on i.username = l.username"
 
 
 def leases(d: Dialect) -> str:

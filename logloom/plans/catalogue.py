@@ -266,7 +266,7 @@ def catalogue() -> dict[str, Text]:
     for name in adapters.LAYOUTS:
         out[f"adapt_{name}"] = adapted(name)
     out |= {
-        "scores": scoring.table, "asof_priv_to_proc": bind(asof, logs=P.dense), "interval_corr_5m": bind(D.interval_matches, ev=events_of(P.dense)), "interval_anti_5m": bind(D.interval_anti,
+        "scores": on_alerts(scoring.table), "asof_priv_to_proc": bind(asof, logs=P.dense), "interval_corr_5m": bind(D.interval_matches, ev=events_of(P.dense)), "interval_anti_5m": bind(D.interval_anti,
             ev=events_of(logs)), "ip_user": on_logs(D.ip_user), "roles": on_logs(D.roles), "inter_arrival": on_logs(D.inter_arrival), "rolling_burst": bind(lambda d: f"select us, epm, round(ma, 6) as ma, round(sd, 6) as sd from ({D.rolling(d)}) as r", logs=P.peak),
         "data_access_counts": on_logs(D.data_access_counts), "activity": on_logs(D.activity),
         "epm_zero_fill": on_logs(series.hourly), "epm_rolling10": on_logs(series.rolling10), "sessionize": on_logs(series.sessionize), "sessions": bind(series.sessions, logs=P.dense),

@@ -65,6 +65,48 @@ with n as (select file, line_no, line, sum(case when line not like ' %' then 1 e
 select file, min(line_no) as line_no, string_agg(line, chr(10) order by line_no) as line from n group by file, record"""
 
 
+_ROUTER = """
+r as (select host, timestamp as t, message as m from @logs where message similar to '(?is).*%((BGP|OSPF|LINK|LINEPROTO|SEC_LOGIN)-[0-9]+-|SYS-[0-9]+-CONFIG_I).*'),
+k as (select *, case when m ~ '(?is).*%SEC_LOGIN-[0-9]+-LOGIN_SUCCESS.*\\[user:.*\\[source:.*' then 'login' when m ~ '(?is).*%BGP-[0-9]+-ADJCHANGE.*neighbor [0-9.]+ Down.*' then 'bgp'
+    when m ~ '(?is).*%(LINK|LINEPROTO)-[0-9]+-UPDOWN.*Interface .*changed state to (up|down).*' then 'interface' when m ~ '(?is).*%OSPF-[0-9]+-ADJCHG.*Nbr [0-9.]+ on .* from .* to .*' then 'ospf'
+    when m ~ '(?is).*%SYS-[0-9]+-CONFIG_I.*Configured from .* by .*' then 'config' end as kind from r where host is not null),
+acts as (select host, t, kind, case kind when 'login' then split_part(split_part(m, '[user:', 2), ']', 1) else split_part(split_part(m, ' by ', 2), ' ', 1) end as who from k where kind in ('login', 'config')),
+noise as (select *, kind = 'ospf' and m ilike '%from FULL to%' and m not ilike '%to FULL%' as down from k where kind in ('bgp', 'interface', 'ospf'))"""
+
+
+def _unattributed(kind: str, name: str, least: int, hard: str, high: str, low: str) -> str:
+    """Events without an activity on their router in the five minutes before, by a subquery per event."""
+    return f"""with {_ROUTER},
+alone as (select * from noise where kind = '{kind}' and not exists (select 1 from acts where acts.host = noise.host and acts.t between noise.t - interval 5 minute and noise.t)),
+g as (select count(*) as c, count(*) filter (down) as downs, (select greatest(epoch(max(t) - min(t)) / 60, 1) from r) as minutes from alone),
+q as (select *, c / minutes as rate from g where c >= {least})
+select '{name}' as type, 'network' as subject, if({hard}, 'CRITICAL', 'WARNING') as severity, round(if({hard}, {high}, {low}), 6)::double as score, c as events, round(rate, 6) as rate from q"""
+
+
+BGP = _unattributed("bgp", "bgp_flap_attack_unattributed", 5, "rate >= 1", "least(9, 6.5 + rate)", "least(6, 4.5 + rate)")
+INTERFACE = _unattributed("interface", "interface_flap_attack_unattributed", 10, "rate >= 2", "least(8, 6 + rate / 2)", "least(5.5, 4 + rate / 2)")
+OSPF = _unattributed("ospf", "ospf_storm_unattributed", 5, "rate >= 1 or downs >= 5", "least(8, 6 + rate / 2)", "least(5.5, 4.5 + rate)")
+
+SUSPECTS = f"""with {_ROUTER},
+hits as (select who, noise.host, noise.kind, down from noise join acts on acts.host = noise.host and noise.t between acts.t and acts.t + interval 5 minute union all select who, host, 'config', false from acts where kind = 'config'),
+g as (select who, count(*) filter (kind = 'config') as cfg, count(*) filter (kind = 'bgp') as bgp, count(*) filter (kind = 'interface') as iface, count(*) filter (kind = 'ospf') as ospf, count(*) filter (down) as downs, count(distinct host) as hosts from hits where who <> '' group by who),
+t as (select *, 10 * cfg + bgp + iface + ospf as corr from g order by corr desc, cfg desc, who limit 5),
+s as (select *, list_filter([if(bgp >= 3, 'bgp_flap_correlated', null), if(iface >= 5, 'interface_flap_correlated', null), if(ospf >= 3 or downs >= 2, 'ospf_storm_correlated', null), if(cfg >= 1, 'config_tampering', null)], lambda x: x is not null) as kinds,
+  least(9.5, list_max([if(cfg >= 3, 8, if(cfg >= 1, 6.5, 5)), if(corr >= 80, 9, if(corr >= 50, 8, if(corr >= 30, 7, 0)))]) + if(hosts >= 5, 0.5, 0))::double as score from t)
+select array_to_string(kinds, ',') as type, who as subject, case when score >= 7 then 'CRITICAL' else 'WARNING' end as severity, score, corr, bgp, iface, ospf, cfg from s where len(kinds) > 0"""
+
+_EDR = """
+e as (select username as u, timestamp as t, row_id, dept, coalesce(dest_ip, nullif(regexp_extract(message, 'DestinationIp=([0-9.]+)', 1), '')) as ip, lower(coalesce(image, nullif(regexp_extract(message, 'Image=([^ ]+)', 1), ''))) as image
+  from @logs where (program = 'sysmon' or message similar to '(?is).*(sysmon.*eventid=3|destinationip=|destinationport=).*') and username is not null)"""
+
+BEACONS = f"""with {_EDR},
+g as (select u, ip, list(epoch_us(t) order by t, row_id) as ts from e where ip is not null group by all),
+x as (select u, ip, len(ts) as n, list_transform(range(1, len(ts)), lambda i: (ts[i + 1] - ts[i]) / 1e6) as d from g where len(ts) >= 10),
+y as (select *, list_avg(d) as mean, list_var_samp(d) as v from x)
+select 'c2_beaconing_detected' as type, u as subject, 'CRITICAL' as severity, 10::double as score, ip as dest_ip, n as connections, round(mean, 3) as mean from y
+where not (ip similar to '(10|127)[.].*' or ip similar to '192[.]168[.].*' or ip similar to '172[.](1[6-9]|2[0-9]|3[01])[.].*' or ip = '') and ((v < 5 and mean < 300) or (sqrt(v) < 2 and mean < 60))"""
+
+
 def _tagged(d) -> str:
     from ..operators import noise
 
@@ -79,6 +121,8 @@ def _stream(d) -> str:
 ORACLES: dict[str, tuple[str, str, Text]] = {
     "detect_ssh_lateral": (SSH_LATERAL, "logs", P.logs), "detect_bruteforce_by_ip": (BRUTEFORCE, "logs", P.logs), "detect_port_scan": (PORT_SCAN, "logs", P.logs), "download_daily": (DOWNLOADS, "logs", P.logs),
     "epm_rolling10": (ROLLING, "logs", P.logs), "noise_burst": (NOISE_BURST, "tagged", _tagged), "asof_priv_to_proc": (ASOF, "logs", P.dense), "multiline_merge": (MULTILINE, "lines", _stream),
+    "detect_bgp_unattributed": (BGP, "logs", P.logs), "detect_interface_unattributed": (INTERFACE, "logs", P.logs), "detect_ospf_unattributed": (OSPF, "logs", P.logs), "detect_router_suspects": (SUSPECTS, "logs", P.dense),
+    "detect_c2_beaconing": (BEACONS, "logs", P.steady),
 }
 
 

@@ -87,7 +87,11 @@ dense = changed(timestamp=PRESSED)
 #: Every row from an address of its own, in pressed time.
 spread = changed(timestamp=PRESSED, source_ip="'172.20.' || cast(row_id % 40 as string) || '.' || cast(cast(floor(row_id / 40) as bigint) as string)")
 heavy = changed(dest_ip="'198.51.100.' || cast(row_id % 16 as string)", bytes="bytes * case when row_id % 7 = 0 then 900 else 1 end", source_ip="'10.7.7.' || cast(row_id % 5 as string)")
-inside = changed(source_ip="'10.9.9.' || cast(row_id % 60 as string)", username="'user' || cast(row_id % 6 as string)")
+#: Few users and inner addresses; the web server's lines name them too.
+inside = changed(
+    source_ip="'10.9.9.' || cast(row_id % 60 as string)", username="'user' || cast(row_id % 6 as string)",
+    message="case when program = 'apache' then '10.9.9.' || cast(row_id % 60 as string) || ' - user' || cast(row_id % 6 as string) || substr(message, instr(message, ' [')) else message end",
+)
 #: Addresses of one program each, so that some see mostly blocked rows.
 auth = changed(source_ip="'10.' || cast(row_id % 11 as string) || '.0.' || cast(row_id % 4 as string)")
 #: Every twenty seconds, few users and addresses.

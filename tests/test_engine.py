@@ -126,6 +126,12 @@ OUT_BEAT = "8.8.4.4"
     (D.schtask, win(4698, TaskName="Daily", Action="powershell.exe -enc QQ=="), {"amy"}), (D.schtask, win(4698, TaskName="OneDrive x", Action="a.exe"), {"amy"}), (D.schtask, win(4698, TaskName="Daily", Action="backup.exe"), set()), (D.schtask, win(4698, TaskName="Telemetry", Action=""), set()),
     (D.service_install, win(7045, ServiceName="Spooler", ImagePath="C:\\Temp\\x.exe"), {"amy"}), (D.service_install, win(7045, ServiceName="Update_7", ImagePath="C:\\ok.exe"), {"amy"}), (D.service_install, win(7045, ServiceName="s", ImagePath="C:\\x\\lsass.exe"), {"amy"}),
     (D.service_install, win(7045, ServiceName="s", ImagePath="C:\\Windows\\System32\\lsass.exe"), set()), (D.service_install, win(7045, ServiceName="s", ImagePath="C:\\ProgramData\\Microsoft\\a.exe"), set()), (D.service_install, win(7045, ServiceName="s", ImagePath="C:\\ProgramData\\Other\\a.exe"), {"amy"}),
+    # endpoint, router and web rules go by the message, whatever the program, and take from it what columns lack
+    (D.suspicious_process, [{"program": "agent", "username": "amy", "dept": "Sales", "message": f"EventID=3 Image=C:\\x\\cmd.exe DestinationIp={OUT} DestinationPort=9"}], {"amy"}), (D.suspicious_process, [{"program": "agent", "username": "amy", "dept": "Sales", "image": "cmd.exe", "dest_ip": OUT, "message": "no telemetry"}], set()),
+    (D.c2_beaconing, [b | {"program": "winlog", "dest_ip": None, "message": f"Sysmon EventID=3 DestinationIp={OUT_BEAT}"} for b in beats(10, 60)], {"amy"}),
+    (D.edr_pattern, [{"program": "winlog", "username": "amy", "dept": "Sales", "message": f"SrcIp=10.0.0.{i} DestinationIp={OUT} DestinationPort=443 Image=C:\\powershell.exe"} for i in range(10)], {"amy"}),
+    (D.suspicious_operations, [{"program": "apache", "message": '10.0.0.9 - eve [x] "DELETE /a HTTP/1.1" 200 5'}], {"eve"}), (D.suspicious_operations, [{"program": "apache", "username": "amy", "message": '10.0.0.9 - - [x] "GET /a?b HTTP/1.1" 500 5'}], {"amy"}),
+    (D.web_exfil, [{"program": "apache", "message": '10.0.0.9 - eve [x] "GET /export/a.csv?x=1 HTTP/1.1" 200 60000'}], {"eve"}), (D.web_exfil, [{"program": "apache", "message": '10.0.0.9 - eve [x] "GET /a?file=/export/ HTTP/1.1" 200 60000'}], set()),
     # beacons: ten connections to one outer address at even distances; large transfers by text
     (D.c2_beaconing, beats(10, 60), {"amy"}), (D.c2_beaconing, beats(9, 60), set()), (D.c2_beaconing, beats(10, 400), set()), (D.c2_beaconing, beats(10, 60, dest_ip=IN), set()), (D.c2_beaconing, beats(10, 60, jitter=30), set()),
     (D.scp_exfil, [{"message": "amy -> 198.51.100.7:/x bytes=60000000"}], {"amy"}), (D.scp_exfil, [{"message": "amy -> 198.51.100.7:/x bytes=50000000"}], set()), (D.netfilter_exfil, [{"username": "amy", "message": "NETFILTER_PKT len=60000000 dst=198.51.100.7"}], {"amy"}), (D.netfilter_exfil, [{"username": "amy", "message": "len=60000000 dst=198.51.100.7"}], set()),
@@ -136,6 +142,27 @@ def test_detectors_find_and_leave(spark, text, rows, want):
     assert {x[0] for x in found(spark, text, rows)} == want
 
 
+def test_router_messages_of_any_program(spark):
+    """BGP, OSPF and interface events are told by the message; 29 of a router named rtr went unseen once."""
+    lines = {"bgp": "%BGP-5-ADJCHANGE: neighbor 10.0.0.2 Down", "interface": "%LINK-3-UPDOWN: Interface Gi0/1, changed state to down", "ospf": "%OSPF-5-ADJCHG: Process 1, Nbr 10.0.0.3 on Gi0/2 from FULL to DOWN"}
+    for kind, text in (("bgp", D.bgp_unattributed), ("interface", D.interface_unattributed), ("ospf", D.ospf_unattributed)):
+        rows = [{"program": "rtr", "host": "r1", "timestamp": T0 + dt.timedelta(seconds=i), "message": lines[kind]} for i in range(29)]
+        logs = events(spark, rows)
+        assert apply(text, logs=logs, ev=apply(D.router_events, logs=logs)).count() == 1
+    rows = [{"program": "syslogd", "host": "r1", "timestamp": T0, "message": "%SYS-5-CONFIG_I: Configured from vty by eve (10.0.0.1)"}, {"program": "rtr-7", "host": "r1", "timestamp": T0, "message": "100% of %BGP memory"}]
+    logs = events(spark, rows)
+    assert [r.subject for r in apply(D.router_suspects, logs=logs, ev=apply(D.router_events, logs=logs)).collect()] == ["eve"]
+
+
+def test_lookups_have_one_row_per_key(spark):
+    """Repeated keys of lookup tables don't multiply events; the greatest values count."""
+    logs = events(spark, [{"source_ip": "10.0.0.1", "dest_ip": "10.0.0.2", "username": "amy"}, {"source_ip": "10.0.0.2", "username": None}] * 5)
+    assets = spark.createDataFrame([("10.0.0.1", "a"), ("10.0.0.1", "b"), ("10.0.0.2", "c"), ("10.0.0.2", None), (None, "n")], "ip string, name string")
+    people = spark.createDataFrame([("amy", "Legal", "clerk"), ("amy", "Legal", "head"), ("amy", "Audit", "z"), (None, "x", "y")], "username string, department string, role string")
+    out = api.enrich(logs, assets=assets, people=people).collect()
+    assert len(out) == 10 and {(r.source_asset, r.destination_asset, r.department, r.role) for r in out} == {("b", "c", "Legal", "head"), ("c", None, None, None)}
+
+
 def test_downloads_by_action_or_phrase(spark):
     rows = [{"username": "amy", "action": "File_Download"}, {"username": "amy", "message": "vừa TẢI XUỐNG tệp"}, {"username": "amy", "message": "Downloaded x"}, {"username": "amy", "message": "GET /export/a"}, {"message": "download"}]
     got = {r.username: (r.daily_mean, r.days) for r in apply(baselines.download_daily, logs=events(spark, rows)).collect()}
