@@ -2,8 +2,10 @@
 
 The method: the tokens of each labelled URL and its label make a transaction;
 Spark's FP-growth mines the frequent combinations; those that hold the label
-``block`` with enough confidence and support become rules, less the rules whose
-confidence a part of their tokens reaches already; rules match other URLs by an
+``block`` with enough confidence and support become rules if their share of blocked
+URLs lies above that of all labelled URLs by more than chance over all combinations
+tried (G-test at about one expected chance find), less the rules whose confidence a
+part of their tokens reaches already; rules match other URLs by an
 inverted index from each rule's rarest token.  Tokens that occur in the very same
 labelled URLs (the fixed parts of a template) count as one, here and in matching:
 else a template of 30 tokens would have 2**30 frequent combinations.
@@ -17,6 +19,8 @@ other columns are not carried over except page_id.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,7 +92,14 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     hits = sets.where(F.array_contains("items", LABEL) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", LABEL)).alias("rule_tokens"), F.col("freq").alias("hits")).select("*", key)
     seen = sets.where(~F.array_contains("items", LABEL)).select(F.array_sort("items").alias("rule_tokens"), F.col("freq").alias("seen")).select("seen", key)
     rules = hits.join(seen, "rule_id").withColumn("confidence", F.col("hits") / F.col("seen")).withColumn("support", F.col("hits") / F.lit(n))
-    rules = cut(rules.where(F.col("confidence") >= min_confidence))
+    blocked, tried = labelled.where("blocked").count(), max(2, seen.count())
+    # against the share of all: a combination of a few URLs is often blocked by chance, and there are many combinations
+    share = blocked / n
+    other = F.col("seen") - F.col("hits")
+    part = lambda x, of: F.when(x > 0, x * F.log(x / of)).otherwise(0.0)
+    g = 2 * (part(F.col("hits"), F.lit(share) * F.col("seen")) + part(other, F.lit(1 - share) * F.col("seen")))
+    telling = (F.col("confidence") > share) & (g >= 2 * math.log(tried))
+    rules = cut(rules.where((F.col("confidence") >= min_confidence) & telling))
     # drop a rule if a part of its tokens, less one, is a rule of as much confidence
     parts = rules.select(F.col("rule_id").alias("long"), F.col("confidence").alias("c"), F.explode(F.transform("rule_tokens", lambda x: F.xxhash64(F.array_join(F.array_remove("rule_tokens", x), "\x01")))).alias("rule_id"))
     needless = parts.join(rules.select("rule_id", "confidence"), "rule_id").where("confidence >= c").select(F.col("long").alias("rule_id")).distinct()
