@@ -8,10 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import baselines, detectors, enrich as enriching, noise, report as reporting
+from .operators import baselines, detectors, enrich as enriching, forest, noise, report as reporting
 from .plans.dialect import SPARK, apply, written
 from .schema import event_table
+from .shipping import ship
 from .sources import readers
+from .sources.store import Store, exists
 
 
 def ingest(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -77,7 +79,7 @@ def read_leases(spark: SparkSession, path: str) -> DataFrame:
 #: Tables of the store and the key by which a new training replaces old rows (None: no key, only snapshots).
 STORE = {
     "user_stats": "username", "device_stats": "host", "group_stats": "grp", "global_stats": None, "download_daily": "username", "login_time": "username",
-    "group_members": "grp", "user_to_group": "username", "device_to_group": "device",
+    "group_members": "grp", "user_to_group": "username", "device_to_group": "device", "models": "entity",
 }
 
 
@@ -94,48 +96,74 @@ def train_baselines(logs: DataFrame, rules: list[dict] | None = None) -> dict[st
     }
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
-def _snapshots(spark: SparkSession, path: str, name: str, log_type: str) -> DataFrame | None:
-    """Every snapshot of a table with its ``trained_at``, or None if there is none."""
-    at = f"{path}/{name}/log_type={log_type}"
-    return spark.read.option("recursiveFileLookup", False).parquet(at).withColumn("trained_at", F.col("trained_at").cast("string")) if _exists(spark, at) else None
-
-
 def load_baseline(spark: SparkSession, path: str, name: str, log_type: str) -> DataFrame | None:
-    """The last snapshot of a table; None if there is none."""
-    every = _snapshots(spark, path, name, log_type)
-    if every is None:
-        return None
-    last = every.agg(F.max("trained_at")).first()[0]
-    return every.where(F.col("trained_at") == last).drop("trained_at")
+    """A table of the last commit; None if there is none."""
+    return Store(spark, path, log_type).table(name)
 
 
 def load_baselines(spark: SparkSession, path: str, log_type: str, fallback: str | None = None) -> dict[str, DataFrame]:
-    """The last snapshot of each table; from the store ``fallback`` if this one has none of this type."""
-    found = {name: t for name in STORE if (t := load_baseline(spark, path, name, log_type)) is not None}
+    """The tables of the last commit, all of one moment; from the store ``fallback`` if this one has none of this type."""
+    store = Store(spark, path, log_type)
+    last = store.manifest()
+    found = {name: store.table(name, last) for name in STORE if name in last["tables"]}
     return load_baselines(spark, fallback, log_type) if not found and fallback else found
 
 
 def save_baselines(tables: dict[str, DataFrame], path: str, log_type: str, trained_at: str | None = None) -> str:
-    """Add a snapshot: new rows, and old rows whose key is not among them; returns its ``trained_at``.
+    """Commit a snapshot: new rows, and old rows whose key is not among them; returns its ``trained_at``.
 
-    Earlier snapshots stay as they are, so a job that fails leaves the last good one.
+    All tables are committed at once (``sources.store``); earlier snapshots stay as they are.
     """
     at = trained_at or dt.datetime.now(dt.timezone.utc).strftime("T%Y%m%d%H%M%S%f")
-    for name, new in tables.items():
-        key, old = STORE.get(name), load_baseline(new.sparkSession, path, name, log_type)
-        if key and old is not None:
-            new = merge_by_key(old, new, key)
-        new.write.parquet(f"{path}/{name}/log_type={log_type}/trained_at={at}")
+
+    def merge(name: str, old: DataFrame, new: DataFrame) -> DataFrame | None:
+        if name == "models":  # an entity's model is several rows, which belong together
+            return replace_by_key(old, new, ["kind", "entity"])
+        return merge_by_key(old, new, STORE[name]) if STORE.get(name) else None
+
+    if tables:
+        Store(next(iter(tables.values())).sparkSession, path, log_type).commit(tables, merge, at)
     return at
 
 
+#: Entities that have models of their own: kind -> key of the daily features.
+ENTITIES = {"user": baselines.UNKNOWN, "device": "coalesce(host, source_ip)", "group": "coalesce(dept, '(unknown)')"}
+
+
+def entity_points(logs: DataFrame, kind: str) -> DataFrame:
+    """(entity, key, x): daily features of each entity, the day as key; of a group the days of its users."""
+    if kind == "group":
+        daily = apply(lambda d: f"select g.grp as entity, concat(x.entity, '@', cast(x.day as string)) as key, x.* from ({baselines.daily(d, baselines.UNKNOWN)}) as x join ({baselines.user_groups(d)}) as g on g.username = x.entity", logs=logs)
+        daily = daily.toDF("entity", "key", "user", *daily.columns[3:])
+    else:
+        daily = apply(lambda d: f"select x.*, cast(day as string) as key from ({baselines.daily(d, ENTITIES[kind])}) as x", logs=logs)
+    measures = ("unique_users", *baselines.MEASURES) if kind == "device" else baselines.MEASURES
+    return forest.points(daily, F.col("entity"), F.col("key"), [F.col(m) for m in measures])
+
+
+def train_models(logs: DataFrame, kinds: tuple[str, ...] = tuple(ENTITIES), **how) -> DataFrame:
+    """The table ``models`` (kind, entity, trees as flat arrays, cutoff), in order of entity, by which readers skip files."""
+    ship(logs.sparkSession)
+    made = []
+    for kind in kinds:
+        rows = written(entity_points(logs, kind))
+        model = written(forest.fit(rows, **how))
+        cutoffs = forest.thresholds(forest.score(rows, model))
+        made.append(model.join(cutoffs, "entity").select(F.lit(kind).alias("kind"), "*"))
+    return reduce(DataFrame.unionByName, made).repartitionByRange("kind", "entity").sortWithinPartitions("kind", "entity", "first_tree")
+
+
+def score_models(logs: DataFrame, models: DataFrame, kind: str = "user") -> DataFrame:
+    """(entity, key, score, outlier) of each day of each entity; null where the entity has no model."""
+    ship(logs.sparkSession)
+    mine = models.where(F.col("kind") == kind)
+    scored = forest.score(entity_points(logs, kind), mine.drop("kind", "cutoff"))
+    cutoffs = mine.groupBy("entity").agg(F.first("cutoff").alias("cutoff"))
+    return scored.join(cutoffs, "entity", "left").select("entity", "key", "score", (F.col("score") > F.col("cutoff")).alias("outlier"))
+
+
 def train(spark: SparkSession, paths: list[str], path: str, log_type: str | None = None, rules: list[dict] | None = None) -> tuple[str, str]:
-    """Train on the files of several paths and add a snapshot; (log type, trained_at).
+    """Train baselines and models on the files of several paths and commit a snapshot; (log type, trained_at).
 
     Without ``log_type`` it is that of the logs (``log_type_of``), else ``generic``.
     """
@@ -143,7 +171,7 @@ def train(spark: SparkSession, paths: list[str], path: str, log_type: str | None
     # each path's rows are numbered by themselves; their place keeps the numbers apart
     table = written(reduce(DataFrame.unionByName, [x.withColumn("row_id", F.col("row_id") * len(logs) + k) for k, x in enumerate(logs)]))
     kind = log_type or log_type_of(table) or "generic"
-    return kind, save_baselines(train_baselines(table, rules), path, kind)
+    return kind, save_baselines(train_baselines(table, rules) | {"models": train_models(table)}, path, kind)
 
 
 def log_type_of(logs: DataFrame, columns: tuple[str, ...] = ()) -> str | None:
@@ -153,14 +181,16 @@ def log_type_of(logs: DataFrame, columns: tuple[str, ...] = ()) -> str | None:
 
 def store_state(spark: SparkSession, path: str, log_type: str, sample: int = 5) -> DataFrame:
     """(name, snapshots, trained_at, rows, sample): what the store holds of a log type, a few rows as JSON."""
+    store = Store(spark, path, log_type)
+    last = store.manifest()
     parts = []
     for name in STORE:
-        every, last = _snapshots(spark, path, name, log_type), load_baseline(spark, path, name, log_type)
-        if every is None:
+        entry, table = last["tables"].get(name), store.table(name, last)
+        if entry is None:
             continue
-        counts = every.agg(F.count_distinct("trained_at").alias("snapshots"), F.max("trained_at").alias("trained_at")).crossJoin(last.agg(F.count("*").alias("rows")))  # two single rows
-        some = last.select(F.to_json(F.struct("*")).alias("j")).orderBy("j").limit(sample).agg(F.collect_list("j").alias("sample"))
-        parts.append(counts.crossJoin(some).select(F.lit(name).alias("name"), "snapshots", "trained_at", "rows", "sample"))
+        some = table.select(F.to_json(F.struct("*")).alias("j")).orderBy("j").limit(sample).agg(F.collect_list("j").alias("sample"))
+        rows = table.agg(F.count("*").alias("rows")).crossJoin(some)  # two single rows
+        parts.append(rows.select(F.lit(name).alias("name"), F.lit(entry["snapshots"]).cast("long").alias("snapshots"), F.lit(entry["trained_at"]).alias("trained_at"), "rows", "sample"))
     return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "name string, snapshots long, trained_at string, rows long, sample array<string>"))
 
 
@@ -169,7 +199,7 @@ def migrate_json(spark: SparkSession, folder: str, path: str, log_type: str = "g
     done = []
     for file, name in (("user_stats", "user_stats"), ("device_stats", "device_stats"), ("group_stats", "group_stats"), ("global_baseline", "global_stats")):
         at = f"{folder}/{file}.json"
-        if not _exists(spark, at):
+        if not exists(spark, at):
             continue
         rows = spark.read.option("multiLine", True).json(at).withColumnsRenamed({"group": "grp"})
         if not rows.columns:
@@ -190,6 +220,11 @@ def merge_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return fresh.unionByName(old.where(F.col(key).isNotNull()).join(fresh.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
+def replace_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows of new, and those of old whose keys new lacks."""
+    return new.unionByName(old.join(new.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)
+
+
 #: Detectors whose alerts came twice in the tool that these follow.
 TWICE = ("deny_burst_ip", "deny_burst_minute", "deny_distributed", "exfil_sum", "fw_port_scan", "policy_evasion", "exfil_row", "exfil_outlier", "lsass_dump", "win_privesc", "dhcp_scope_conflict", "dhcp_rogue_server", "dhcp_device_user_mismatch")
 

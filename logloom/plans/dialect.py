@@ -258,9 +258,8 @@ def _stamp(spark: SparkSession, folder: str) -> tuple:
     return tuple(sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in found))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder (``spark.checkpoint.dir``, set here only where unset)."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new folder name below ``spark.checkpoint.dir`` (set here only where unset, and never on a cluster)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
@@ -268,9 +267,14 @@ def written(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="logloom_checkpoint_")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/loom-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/loom-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def frame(text: Text, spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:
