@@ -12,7 +12,7 @@ from .operators import baselines, detectors, enrich as enriching, forest, noise,
 from .plans.dialect import SPARK, apply, written
 from .schema import event_table
 from .shipping import ship
-from .sources import readers
+from .sources import mmdb, readers
 from .sources.store import Store, exists
 
 
@@ -39,10 +39,13 @@ def enrich(
     ranges: DataFrame | None = None,
     mask: bool = True,
     common_schema: bool = False,
+    country_file: str | None = None,
+    network_file: str | None = None,
 ) -> DataFrame:
     """The whole chain: address scope, masking, and what the given tables add, in this order.
 
-    ranges (lo, hi, country) of addresses, indicators (kind, value), assets (ip, name),
+    ranges (lo, hi, country) of addresses or ``country_file`` and ``network_file`` in the MaxMind DB
+    format (columns geoip_country and asn_org), indicators (kind, value), assets (ip, name),
     people (username, department, role), leases (ip, mac, start, stop).
     ``common_schema`` adds the columns of the common schema under their dotted names.
     """
@@ -52,6 +55,9 @@ def enrich(
     more = []
     if ranges is not None:
         more.append(apply(enriching.geo, logs=logs, ranges=ranges).withColumnRenamed("country", "geo_country"))
+    for file, column, way in ((country_file, "geoip_country", mmdb.COUNTRY), (network_file, "asn_org", mmdb.NETWORK)):
+        if file is not None:
+            more.append(mmdb.located(logs, file, {column: way}))
     if common_schema:
         more.append(apply(enriching.ecs, logs=logs))
     if indicators is not None:
