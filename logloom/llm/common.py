@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship  # noqa: F401
+
 NO_ID = 2**63 - 1  # stands for a null id: such rows rank after all others (ids lie below it)
 U64 = np.uint64
 
@@ -267,32 +269,3 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder of ``shared_dir`` whose files nothing needs any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the workers this package, once per application, where they may not have it on their path."""
-    import io
-    import zipfile
-    from pathlib import Path
-
-    context = spark.sparkContext
-    if getattr(context, "_logloom_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    with zipfile.ZipFile(buffer := io.BytesIO(), "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, f"{root.name}/{p.relative_to(root)}")
-    folder = shared_dir(spark)
-    local = local_path(folder)
-    if local is not None:
-        Path(local).mkdir(parents=True)
-        Path(f"{local}/logloom.zip").write_bytes(buffer.getvalue())
-    else:
-        from pyarrow import fs
-
-        store, at = fs.FileSystem.from_uri(folder)
-        store.create_dir(at, recursive=True)
-        with store.open_output_stream(f"{at}/logloom.zip") as out:
-            out.write(buffer.getvalue())
-    context.addPyFile(f"{local or folder}/logloom.zip")
-    context._logloom_shipped = True
