@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..plans.dialect import Dialect
 from .detectors import DOWNLOAD, LOCAL_HOURS, features, n
+from .series import counted
 
 MEASURES = ("events", "unique_src_ips", "login_fail", "ssh_events", "http_4xx", "http_5xx")
 UNKNOWN = "coalesce(nullif(username, ''), '(unknown)')"
@@ -48,13 +49,24 @@ def group_stats(d: Dialect) -> str:
 
 
 def global_stats(d: Dialect) -> str:
-    """Hourly counts and bytes, zeros between the first and last hour included."""
-    t = "date_trunc('hour', timestamp)"
-    cal = f"select {d.unnest(d.steps('lo', 'hi', 1, 'hour'), 'hour')} from (select min({t}) as lo, max({t}) as hi from @logs where timestamp is not null) as s"
-    hours = f"select coalesce(e, 0) as e, coalesce(b, 0) as b from ({cal}) as c left join (select {t} as h, count(*) as e, sum(bytes) as b from @logs where timestamp is not null group by {t}) as x on x.h = c.hour"
+    """Hourly counts and bytes, zeros between the first and last hour included.
+
+    The other engine's text lays a calendar over the span; here the hours without
+    events are a number, which weighs as many zeros.
+    """
     f = lambda c: f"cast({c} as double)"
-    return f"""select round(avg({f('e')}), 6) as events_per_hour_mean, round(coalesce(stddev_samp({f('e')}), 0), 6) as events_per_hour_std, round(avg({f('b')}), 4) as bytes_per_hour_mean, round(coalesce(stddev_samp({f('b')}), 0), 2) as bytes_per_hour_std, round({d.percentile(f('b'), 0.95)}, 4) as upload_bytes_per_hour_p95, {n('max(e)')} as max_events_per_hour, {n('max(b)')} as max_bytes_per_hour
-      from ({hours}) as h"""
+    if d.name == "duck":
+        t = "date_trunc('hour', timestamp)"
+        cal = f"select {d.unnest(d.steps('lo', 'hi', 1, 'hour'), 'hour')} from (select min({t}) as lo, max({t}) as hi from @logs where timestamp is not null) as s"
+        hours = f"select coalesce(e, 0) as e, coalesce(b, 0) as b from ({cal}) as c left join (select {t} as h, count(*) as e, sum(bytes) as b from @logs where timestamp is not null group by {t}) as x on x.h = c.hour"
+        return f"""select round(avg({f('e')}), 6) as events_per_hour_mean, round(coalesce(stddev_samp({f('e')}), 0), 6) as events_per_hour_std, round(avg({f('b')}), 4) as bytes_per_hour_mean, round(coalesce(stddev_samp({f('b')}), 0), 2) as bytes_per_hour_std, round({d.percentile(f('b'), 0.95)}, 4) as upload_bytes_per_hour_p95, {n('max(e)')} as max_events_per_hour, {n('max(b)')} as max_bytes_per_hour
+          from ({hours}) as h"""
+    hours = f"select t, c as e, coalesce(b, 0) as b from ({counted('hour', ', sum(bytes) as b')}) as x"
+    span = f"select cast((unix_micros(max(t)) - unix_micros(min(t))) / 3600000000 + 1 as bigint) as n, count(*) as k, sum(e) as se, sum({f('b')}) as sb from ({hours}) as y"
+    rows = f"select e, b, cast(1 as bigint) as w from ({hours}) as z union all select 0 as e, 0 as b, n - k as w from ({span}) as s where n > k"
+    sd = lambda c, m: f"coalesce(case when max(n) > 1 then sqrt(sum(w * ({f(c)} - {m} / n) * ({f(c)} - {m} / n)) / (max(n) - 1)) end, 0)"
+    return f"""select round(max(se) / max(n), 6) as events_per_hour_mean, round({sd('e', 'se')}, 6) as events_per_hour_std, round(max(sb) / max(n), 4) as bytes_per_hour_mean, round({sd('b', 'sb')}, 2) as bytes_per_hour_std, round(percentile({f('b')}, 0.95, w), 4) as upload_bytes_per_hour_p95, {n('max(e)')} as max_events_per_hour, {n('max(b)')} as max_bytes_per_hour
+      from ({rows}) as r cross join ({span}) as s"""
 
 
 def download_daily(d: Dialect) -> str:

@@ -692,12 +692,28 @@ def login_foreign_ip(d: Dialect) -> str:
 
 
 def rolling(d: Dialect, before: bool = True) -> str:
-    """Minutes against the ten before; ``before=False`` takes the minute itself in, as the literal rule does."""
-    from .series import per_minute
+    """Minutes against the ten before; ``before=False`` takes the minute itself in, as the literal rule does.
 
-    frame = "rows between 10 preceding and 1 preceding" if before else "rows between 9 preceding and current row"
-    return f"""select us, epm, ma, sd from (select {d.micros('minute')} as us, epm, avg(epm) over (order by minute {frame}) as ma, stddev_pop(epm) over (order by minute {frame}) as sd, count(*) over (order by minute {frame}) as k
-      from ({per_minute(d)}) as m) as r where k >= 5 and epm > ma + 3 * sd + 1e-9"""
+    A minute without events is never a burst, so none is generated here: sums over a
+    range of minutes, and how many minutes of the calendar lie in it.  Windows are per
+    day, with the minutes before midnight that the next day's first ones look back to.
+    """
+    from .series import counted, per_minute
+
+    if d.name == "duck":
+        frame = "rows between 10 preceding and 1 preceding" if before else "rows between 9 preceding and current row"
+        return f"""select us, epm, ma, sd from (select {d.micros('minute')} as us, epm, avg(epm) over (order by minute {frame}) as ma, stddev_pop(epm) over (order by minute {frame}) as sd, count(*) over (order by minute {frame}) as k
+          from ({per_minute(d)}) as m) as r where k >= 5 and epm > ma + 3 * sd + 1e-9"""
+    own = f"select t, c, cast(unix_seconds(t) / 60 as bigint) as m from ({counted('minute')}) as a"
+    day = lambda ahead: f"cast(floor((m + {ahead}) / 1440.0) as bigint)"
+    carried = f"select *, {day(0)} as day, true as own from ({own}) as b union all select *, {day(10)} as day, false as own from ({own}) as b where {day(10)} > {day(0)}"
+    frame = "range between 10 preceding and 1 preceding" if before else "range between 9 preceding and current row"
+    over = f"over (partition by day order by m {frame})"
+    sums = f"select t, c, m, own, coalesce(sum(c) {over}, 0) as s1, coalesce(sum(c * c) {over}, 0) as s2 from ({carried}) as d"
+    k = "least(10, m - lo)" if before else "least(10, m - lo + 1)"
+    told = f"select t, c, s1, s2, {k} as k from ({sums}) as e cross join (select min(m) as lo from ({own}) as f) as g where own"
+    return f"""select us, epm, ma, sd from (select unix_micros(t) as us, c as epm, s1 / cast(k as double) as ma, sqrt(cast(k * s2 - s1 * s1 as double)) / k as sd from ({told}) as h where k >= 5) as r
+      where epm > ma + 3 * sd + 1e-9"""
 
 
 def global_burst(d: Dialect) -> str:

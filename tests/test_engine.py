@@ -1,6 +1,7 @@
 """Golden lines, thresholds, edge cases, the API, streaming."""
 
 import datetime as dt
+import math
 import subprocess
 import sys
 
@@ -484,3 +485,24 @@ def test_the_rest_stands_without_the_subpackage(tmp_path):
         "assert len(e.queries()) == len(e.oracle_sql()) > 150 and not any(k.startswith('op') for k in e.queries())\n"
     )
     subprocess.run([sys.executable, "-B", "-c", code], check=True, cwd=__file__.rsplit("/", 2)[0])
+
+
+def test_calendars_of_fifty_years(spark):
+    """Two rows of 1971 and 2025: statistics and bursts without generated minutes, hours a day at a time."""
+    import time
+
+    early = [{"timestamp": dt.datetime(1971, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(minutes=i), "bytes": 10} for i in range(12)]
+    late = [{"timestamp": dt.datetime(2025, 1, 1, tzinfo=dt.timezone.utc), "bytes": 30}] * 9
+    logs = events(spark, early + late)
+    stats = apply(baselines.global_stats, logs=logs)
+    stats.collect()  # compiled
+    began = time.monotonic()
+    r, found = stats.first(), apply(D.rolling, logs=logs).collect()
+    assert time.monotonic() - began < 5
+    hours = (dt.datetime(2025, 1, 1) - dt.datetime(1971, 1, 1)).days * 24 + 1
+    assert r.events_per_hour_mean == round(21 / hours, 6) and r.max_events_per_hour == 12 and r.upload_bytes_per_hour_p95 == 0 and r.bytes_per_hour_mean == round((120 + 270) / hours, 4)
+    mean = 21 / hours
+    assert r.events_per_hour_std == pytest.approx(math.sqrt(((12 - mean) ** 2 + (9 - mean) ** 2 + (hours - 2) * mean**2) / (hours - 1)), abs=1e-6)
+    assert [(x.epm, x.ma, x.sd) for x in found] == [(9, 0.0, 0.0)]
+    assert apply(series.hourly, logs=logs).agg(F.count("*"), F.sum("epm"), F.count_if(F.col("epm") == 0)).first()[:] == (hours, 21, hours - 2)
+    assert apply(baselines.global_stats, logs=logs.limit(0)).first()[:] == (None, 0.0, None, 0.0, None, None, None)
