@@ -16,7 +16,8 @@ language are expected.  A labelled row's own label is left out of its host prior
 
 Defined cases: texts that are null or under three bytes long have no text evidence and get
 ``und``; null or unknown declared language, address or host give no evidence
-beyond the smoothed prior; labels beyond the LANGUAGES most frequent count as none;
+beyond the smoothed prior; every label is a language, one named ``und`` too (its texts
+are kept, those that no language explains are not);
 texts with no labelled row at all make every language set empty and every document
 ``und``; repeated rows are judged alike, and rows that differ in text, source or label
 each by itself; of several pages of one id the one of greatest (host, suffix,
@@ -33,12 +34,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _SPACE, U64, cut, id_of, slices, text_buffers
+from .common import _LOWER, _SPACE, cut, get_array, id_of, put_arrays, shared_dir, slices, text_buffers
 
 UND = "und"
 BUCKETS = 1 << 15
 SAMPLE = 1500  #: expected labelled rows per language for the trigram model
-LANGUAGES = 500  #: languages told apart at most
 CLEAN = 0.5  #: least posterior of a kept document's language
 TEMPER = 0.5  #: trigrams overlap and so repeat each other's evidence
 SMOOTH, PRIOR_WEIGHT, UND_PRIOR = 1.0, 20.0, 1e-3
@@ -62,8 +62,11 @@ def _text_grams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield i, j, g, at
 
 
-def train_text(labelled: DataFrame) -> dict[str, np.ndarray]:
-    """lang -> log P(bucket | lang), from (lang, text) rows; counts are summed in Spark."""
+def train_text(labelled: DataFrame, folder: str) -> dict[str, str]:
+    """lang -> name of its array of log P(bucket | lang) in the shared folder, from (lang, text) rows.
+
+    Counts are summed in Spark, and each language's array is made in a task; only names come back.
+    """
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -79,30 +82,35 @@ def train_text(labelled: DataFrame) -> dict[str, np.ndarray]:
             b = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(b), "b": b, "n": n[b]})
 
+    def finish(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = np.zeros(BUCKETS)  # at most BUCKETS rows
+        for batch in batches:
+            v[batch.column("b").to_numpy()] = batch.column("n").to_numpy()
+        v = np.log((v + 0.1) / (v.sum() + 0.1 * BUCKETS)).astype(np.float32)
+        yield pa.RecordBatch.from_pydict({"lang": [key[0].as_py()], "name": [put_arrays(folder, {"ll": v})]})
+
     rows = labelled.select("lang", "text").mapInArrow(count, "lang string, b long, n long").groupBy("lang", "b").agg(F.sum("n").alias("n"))
-    model: dict[str, np.ndarray] = {}
-    for r in rows.collect():  # at most BUCKETS rows per language
-        model.setdefault(r.lang, np.zeros(BUCKETS))[r.b] = r.n
-    return {k: np.log((v + 0.1) / (v.sum() + 0.1 * BUCKETS)) for k, v in model.items()}
+    return {r.lang: r.name for r in rows.groupBy("lang").applyInArrow(finish, "lang string, name string").collect()}
 
 
-def score_text(docs: DataFrame, keys: list[str], model: dict[str, np.ndarray], langs: list[str]) -> DataFrame:
-    """keys and ``ll``: the text's log-likelihood per language, then of und; ``grams``: how many trigrams."""
-    table = np.stack([model[k] for k in langs] + [np.full(BUCKETS, -np.log(BUCKETS))], axis=1).astype(np.float32)
-    types = dict(docs.dtypes)
+def score_text(docs: DataFrame, keys: list[str], names: list[str], folder: str) -> DataFrame:
+    """keys and ``ll``: the text's log-likelihood by each of the arrays ``names``, then of und; ``grams``: how many trigrams."""
+    types, flat = dict(docs.dtypes), np.float32(-np.log(BUCKETS))
 
     def score(batches):
+        tables = [get_array(folder, name, "ll") for name in names]  # mapped, not shipped
         for batch in batches:
-            ll, n = np.zeros((batch.num_rows, table.shape[1])), np.zeros(batch.num_rows, np.int64)
+            ll, n = np.zeros((batch.num_rows, len(tables) + 1)), np.zeros(batch.num_rows, np.int64)
             for i, j, g, at in _text_grams(batch.column("text")):
                 n[i:j] = np.maximum(np.diff(at) - 2, 0)
                 some = np.flatnonzero(n[i:j]) + i
                 if not len(some):
                     continue
                 edges = np.stack([at[some - i], at[some - i] + n[some]], axis=1).ravel()
-                for k in range(table.shape[1]):
-                    v = np.append(table[:, k][g], np.float32(0)).astype(float)
+                for k, table in enumerate(tables):
+                    v = np.append(np.asarray(table)[g], np.float32(0)).astype(float)
                     ll[some, k] = np.add.reduceat(v, edges)[::2]
+                ll[some, -1] = n[some] * float(flat)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, ll.size + 1, ll.shape[1]), pa.int32()), pa.array(ll.ravel()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], lists, pa.array(n)], [*keys, "ll", "grams"])
 
@@ -181,17 +189,17 @@ def identify(docs: DataFrame, facts: DataFrame | None = None, key: str = "doc_id
     """
     base = docs.select(id_of(key).alias("_id"), row_hash(label).alias("_h"), F.col("text"), F.col(label).alias("label"), F.col("source"))
     counted = base.where(F.col("label").isNotNull()).groupBy("label").agg(F.count("*").alias("n"))
-    sizes = {r.label: r.n for r in counted.orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()}
-    base = base.withColumn("label", F.when(F.col("label").isin(list(sizes)), F.col("label")))
+    sizes = {r.label: r.n for r in counted.collect()}  # a row per language
     shares = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))]) if sizes else None
     share = F.element_at(shares, F.col("label")) if sizes else F.lit(0.0)
     draw = F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
-    model = train_text(base.where(F.col("label").isNotNull() & (draw < share)).select(F.col("label").alias("lang"), "text")) if sizes else {}
+    folder = shared_dir(docs.sparkSession)
+    model = train_text(base.where(F.col("label").isNotNull() & (draw < share)).select(F.col("label").alias("lang"), "text"), folder) if sizes else {}
     langs = sorted(model)
     if not langs:
         return base.select("_id", "_h", F.lit(UND).alias("found"), F.lit(1.0).alias("posterior"), F.lit(False).alias("kept"))
 
-    scored = score_text(base, ["_id", "_h", "label", "source"], model, langs)
+    scored = score_text(base, ["_id", "_h", "label", "source"], [model[k] for k in langs], folder)
     if facts is None:
         none = F.lit(None).cast("string")
         scored = scored.select("*", none.alias("declared"), none.alias("suffix"), F.coalesce("source", F.lit("(none)")).alias("host"))
@@ -210,11 +218,13 @@ def identify(docs: DataFrame, facts: DataFrame | None = None, key: str = "doc_id
         for i in range(len(langs))
     ] + [F.get("ll", F.lit(len(langs))) * TEMPER + float(np.log(UND_PRIOR))]
     scored = scored.withColumn("s", F.array(*score)).withColumn("m", F.array_max("s"))
-    best = F.get(F.array(*[F.lit(k) for k in [*langs, UND]]), (F.array_position("s", F.col("m")) - 1).cast("int"))
+    place = (F.array_position("s", F.col("m")) - 1).cast("int")
+    best = F.get(F.array(*[F.lit(k) for k in [*langs, UND]]), place)
     posterior = 1 / F.aggregate(F.transform("s", lambda x: F.exp(x - F.col("m"))), F.lit(0.0), lambda a, x: a + x)
     found = F.when(F.col("grams") > 0, best).otherwise(F.lit(UND))
-    out = scored.select("_id", "_h", found.alias("found"), posterior.alias("posterior"))
-    return out.withColumn("kept", (F.col("found") != UND) & (F.col("posterior") >= clean))
+    told = (F.col("grams") > 0) & (place < len(langs))  # by place: a language may itself be labelled ``und``
+    out = scored.select("_id", "_h", found.alias("found"), posterior.alias("posterior"), told.alias("_told"))
+    return out.withColumn("kept", F.col("_told") & (F.col("posterior") >= clean)).drop("_told")
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

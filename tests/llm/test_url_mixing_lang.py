@@ -325,3 +325,14 @@ def test_held_out_accuracy(spark):
 def test_pages_of_one_id_count_as_a_whole(spark):
     df = spark.createDataFrame([(1, "https://a.net/de/5", '<html lang="de">'), (1, "https://b.net/fr/5", '<html lang="en">')], "page_id long, url string, html string")
     assert [(r.declared, r.suffix, r.host) for r in G.page_facts(df).collect()] == [("en", "/fr", "b.net")]
+
+
+def test_a_language_named_und_and_many_languages(spark):
+    """Documents labelled ``und`` are a language of their own, and no label is dropped for being one of many."""
+    rng = random.Random(12)
+    letters = {k: [rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("aeiou") + rng.choice("bcdfgklmnprst") for _ in range(4)] for k in ["und", *(f"l{i}" for i in range(40))]}
+    rows = [(100 * n + i, " ".join("".join(rng.choice(parts) for _ in range(3)) for _ in range(60)), k, "s") for n, (k, parts) in enumerate(letters.items()) for i in range(4)]
+    rows += [(9999, "", None, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r._id: (r.found, r.kept) for r in G.identify(df).collect()}
+    assert sum(got[i] == (k, True) for i, _, k, _ in rows if k) >= 0.95 * (len(rows) - 1) and all(got[i] == ("und", True) for i in range(4)) and got[9999] == ("und", False)
