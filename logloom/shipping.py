@@ -1,4 +1,4 @@
-"""The package for workers that lack it."""
+"""The package and files for workers that lack them."""
 
 from __future__ import annotations
 
@@ -28,3 +28,12 @@ def ship(spark: SparkSession) -> None:
     out.close()
     context.addPyFile(at.toUri().getPath() if store.getUri().getScheme() == "file" else target)
     context._logloom_shipped = True
+
+
+def give_file(spark: SparkSession, path: str) -> str:
+    """Give the workers a file that the driver can read; returns the name under which ``SparkFiles`` has it."""
+    given = spark.sparkContext.__dict__.setdefault("_logloom_files", set())
+    if path not in given:
+        spark.sparkContext.addFile(path)
+        given.add(path)
+    return path.rstrip("/").rsplit("/", 1)[-1]

@@ -20,10 +20,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..shipping import give_file, ship
 
 # The mark before the metadata, and where in a record country and network name stand.
 MARK = b"\xab\xcd\xefMaxMind.com"
@@ -139,20 +139,11 @@ def packed(ip: str | None) -> bytes | None:
     return None
 
 
-def _given(spark: SparkSession, path: str) -> str:
-    """The name under which the workers have the file."""
-    added = spark.sparkContext.__dict__.setdefault("_logloom_files", set())
-    if path not in added:
-        spark.sparkContext.addFile(path)
-        added.add(path)
-    return path.rstrip("/").rsplit("/", 1)[-1]
-
-
 def lookup(addresses: DataFrame, path: str, fields: dict[str, tuple[str, ...]]) -> DataFrame:
     """(ip and ``fields``) for each distinct address of ``addresses`` (ip); a field is a way into the record."""
     spark = addresses.sparkSession
     ship(spark)
-    name = _given(spark, path)
+    name = give_file(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = SparkFiles.get(name)
