@@ -34,9 +34,11 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import give_file
 from .common import U64, id_of, mix, mixed, ragged, slices, text_buffers
 
 MARK = 0x2581
@@ -376,13 +378,16 @@ def decode(model: Pieces, ids: np.ndarray, per: np.ndarray) -> tuple[np.ndarray,
 
 
 def encode_documents(docs: DataFrame, model_path: str | None = None, seed: int = SEED, dropout: float = DROPOUT, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default all) with ``n_pieces``, ``pieces`` (ids) and ``round_trip`` (decoding gave the text)."""
-    path = model_path or default_model()
+    """The columns ``keep`` (default all) with ``n_pieces``, ``pieces`` (ids) and ``round_trip`` (decoding gave the text).
+
+    The model file is the driver's; Spark gives it to the workers.
+    """
+    name = give_file(docs.sparkSession, model_path or default_model())
     keep = docs.columns if keep is None else keep
     schema = docs.select(*keep).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces(path)
+        model = pieces(SparkFiles.get(name))
         for batch in batches:
             struct = batch.column("_row")
             column = batch.column("_text")
