@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from ..functions import ip as ipf
 from ..functions import scoring as S
+from ..functions.patterns import holds
 from ..plans.dialect import Dialect, Text, named
 
 # What counts as blocked and allowed.
@@ -581,7 +582,7 @@ PERSISTENCE = [("crontab_modification", r"crontab\s+[-l]*[;\s]*echo.*\|.*crontab
 
 def rule_hits(d: Dialect, rules: list[tuple[str, str, float]], who: str, extra: str = "") -> str:
     """(who, rule, score ...) of each row and each rule it fits: the rules make one array, so a text is scanned in one pass."""
-    arr = ", ".join(f"case when {d.has('message', '(?i)' + p)} then {i} end" for i, (_, p, _) in enumerate(rules))
+    arr = ", ".join(f"case when {holds(d, 'message', p)} then {i} end" for i, (_, p, _) in enumerate(rules))
     hit = d.unnest(f"array({arr})" if d.name == "spark" else f"[{arr}]", "k")
     names, scores = (" ".join(f"when {i} then {v}" for i, v in enumerate(vs)) for vs in ([f"'{r[0]}'" for r in rules], [str(r[2]) for r in rules]))
     return f"select who{extra}, case k {names} end as rule, cast(case k {scores} end as double) as sc from (select {who} as who{extra}, {hit} from @logs where message is not null) as h where k is not null"

@@ -70,8 +70,9 @@ def holds(col: str, *words: str) -> str:
 
 
 def kv(d: Dialect, col: str, key: str) -> str:
-    """The value of key=value, with or without double quotes."""
-    return f"coalesce({d.rx(col, r'(?i)(?:^|\s)' + key + r'=\"([^\"]*)\"')}, {d.rx(col, r'(?i)(?:^|\s)' + key + r'=([^\s\"]\S*)')})"
+    """The first value of key=value, with or without double quotes: one search of the text, and the quotes taken off what it finds."""
+    found = d.rx(col, r'(?i)(?:^|\s)' + key + r'=("[^"]*"|[^\s"]\S*)')
+    return f"nullif({d.sub(found, '^\"([^\"]*)\"$', '$1')}, '')"
 
 
 RFC_GROUPS = {"mon": 1, "day": 2, "clock": 3}

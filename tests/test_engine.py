@@ -506,3 +506,26 @@ def test_calendars_of_fifty_years(spark):
     assert [(x.epm, x.ma, x.sd) for x in found] == [(9, 0.0, 0.0)]
     assert apply(series.hourly, logs=logs).agg(F.count("*"), F.sum("epm"), F.count_if(F.col("epm") == 0)).first()[:] == (hours, 21, hours - 2)
     assert apply(baselines.global_stats, logs=logs.limit(0)).first()[:] == (None, 0.0, None, 0.0, None, None, None)
+
+
+def test_literals_of_patterns():
+    """Every text that fits a rule holds one of its literals."""
+    import random
+    import re
+
+    from logloom.functions.patterns import literals
+
+    assert literals(r"sudo.*usermod.*sudo") == ("usermod",) and set(literals(r"(pg_dump|mysqldump)\s+x")) == {"pg_dump", "mysqldump"} and literals(r"a?b*") == ()
+    assert literals(r"[a-z]+=\d") == () and literals(r"(?:abcd)?xyz") == ("xyz",)
+    rng = random.Random(1)
+    rules = D.PRIVILEGE + D.DATABASE + D.DATABASE_USE + D.SERVICES + D.PERSISTENCE
+    parts = [w for _, p, _ in rules for w in re.findall(r"[A-Za-z_/.:*|-]+", p)] + [" ", "  ", "-", "x", "\n", "|", "https://h", "TO", "s", "u+s"]
+    hits = 0
+    for _ in range(30000):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randrange(1, 9)))
+        for _, p, _ in rules:
+            if re.search("(?i)" + p, text):
+                hits += 1
+                some = literals(p)
+                assert not some or any(x in text.lower() for x in some), (p, text)
+    assert hits > 1000 and sum(bool(literals(p)) for _, p, _ in rules) > 0.8 * len(rules)
