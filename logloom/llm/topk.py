@@ -138,7 +138,9 @@ def top_k(table: DataFrame, k: int = K, scale: float = SCALE, step: int = STEP,
     queries = rows.where(F.pmod("id", F.lit(step)) == 0)
     docs, asked = files(rows, n, range_rows), files(queries, queries.count(), 1024)
     pairs = asked.select(F.col("name").alias("q")).join(docs.select(F.col("name").alias("d")))  # blocks of the query set x ranges
-    work = cut(pairs.repartition(max(1, min(n // 1024 + 1, 8 * spark.sparkContext.defaultParallelism)), "q", "d"))
+    # a task's pairs are those of few query blocks, so that what it finds for a block is folded before it leaves
+    tasks = max(1, min(n // 1024 + 1, 8 * spark.sparkContext.defaultParallelism))
+    work = cut(pairs.repartitionByRange(tasks, "q", "d").sortWithinPartitions("q"))
 
     def load(q: str, d: str) -> tuple[np.ndarray, ...]:
         """Queries and their ids; a range's mapped rows, its ids and block extremes; all of one width."""
@@ -147,6 +149,7 @@ def top_k(table: DataFrame, k: int = K, scale: float = SCALE, step: int = STEP,
         return widened(x, w), np.array(get_array(folder, q, "id")), widened(y, w), np.array(get_array(folder, d, "id")), widened(top, w), widened(low, w)
 
     def first(batches):
+        block_now, best_now = None, None  # of the query block at hand, over the task's ranges
         for batch in batches:
             for q, d in zip(batch.column("q").to_pylist(), batch.column("d").to_pylist()):
                 x, xi, y, yi, top, low = load(q, d)
@@ -159,7 +162,14 @@ def top_k(table: DataFrame, k: int = K, scale: float = SCALE, step: int = STEP,
                     if s.shape[1] >= k:
                         least = np.sort(s, axis=1)[:, -k]
                         kth[at] = np.where(least == LEAST, np.nan, least)  # LEAST: fewer than k others
-                yield pa.RecordBatch.from_pydict({"q": [q], "kth": [kth.tolist()]})
+                if q != block_now:
+                    if block_now is not None:
+                        yield pa.RecordBatch.from_pydict({"q": [block_now], "kth": [best_now.tolist()]})
+                    block_now, best_now = q, kth
+                else:
+                    best_now = np.fmax(best_now, kth)
+        if block_now is not None:
+            yield pa.RecordBatch.from_pydict({"q": [block_now], "kth": [best_now.tolist()]})
 
     def best_floor(pdf):
         import pandas as pd
