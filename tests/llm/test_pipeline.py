@@ -74,3 +74,41 @@ def test_stages_and_run(spark, tmp_path):
         assert r.round_trip and lib.decode(r.pieces) == r.text and r.n_pieces == len(r.pieces) >= len(lib.encode(r.text)) * 0.9
     assert any(r.pieces != lib.encode(r.text) for r in after["sentencepiece"])
     assert sorted((r.doc_id, r.pieces) for r in P.run(spark, str(tmp_path)).collect()) == sorted((r.doc_id, r.pieces) for r in after["sentencepiece"])
+
+
+def run_stages(spark, tmp_path, rows, schema, pages):
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    after = {}
+    for k, (name, stage) in enumerate(P.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"s{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"s{k}"))
+        after[name] = docs
+    return after
+
+
+def test_empty_tables(spark, tmp_path):
+    after = run_stages(spark, tmp_path, [], COLUMNS, [])
+    assert all(df.count() == 0 for df in after.values()) and P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_very_long_texts_and_clashing_columns(spark, tmp_path):
+    """Columns named as the stages' own go through unchanged, and a text of megabytes like any other."""
+    rng = random.Random(7)
+    long_ = " ".join(text(rng, "en", 7) for _ in range(60000))
+    extra = "_id long, _h string, found int, spans string, pieces string, kept string, label int, row int, component string, n int"
+    rows = []
+    for i in range(40):
+        lang = "en" if i % 2 else "de"
+        body = text(rng, lang, 60) if i else long_
+        rows.append((i, body, lang, "s", len(body), i, "h", i, None, "p", "k", 7, i, "c", i))
+    rows.append((50, rows[3][1], "en", "s", 5, 50, "h", 50, None, "p", "k", 7, 50, "c", 50))
+    after = run_stages(spark, tmp_path, rows, COLUMNS + ", " + extra, [(0, None, None), (None, "http://x.org/", "")])
+    names = [c.split()[0] for c in (COLUMNS + ", " + extra).split(", ")]
+    for name, df in after.items():
+        assert df.columns[: len(names)] == names or name == "sentencepiece", (name, df.columns)
+        for r in df.select("doc_id", "_id", "found", "row", "n", "_h", "kept", "label").collect():
+            assert r.doc_id == r["_id"] == r.found == r.row == r.n and (r["_h"], r.kept, r.label) == ("h", "k", 7), name
+    assert after["language_id"].count() == 41 and {r.doc_id for r in after["jaccard_join"].select("doc_id").collect()} == set(range(40))
+    assert all(r.round_trip for r in after["sentencepiece"].collect())
