@@ -191,6 +191,36 @@ def prompts(d: Dialect) -> str:
     return f"select subject, 'Subject ' || subject || ' has ' || cast(count(*) as string) || ' kinds of alerts: ' || {order} as prompt from ({distinct}) as a group by subject"
 
 
+ANSWER = "Answer in JSON with summary, risks (list), risk_level (low, medium, high or critical) and actions (list)."
+CONTEXT = 50  #: log lines that a subject's prompt shows
+
+
+def alert_prompts(d: Dialect) -> str:
+    """A text per distinct kept alert."""
+    tenth = "cast(round(10 * score) as bigint)"
+    points = f"cast(cast(floor({tenth} / 10.0) as bigint) as string) || '.' || cast({tenth} % 10 as string)"
+    text = f"'Assess an alert of a security monitor. Severity: ' || severity || '. Subject: ' || subject || '. Kind: ' || type || '. Score: ' || {points} || '. {ANSWER}'"
+    return f"select distinct type, subject, {text} as prompt from ({kept(d)}) as k where subject is not null"
+
+
+def subject_prompts(d: Dialect) -> str:
+    """The text of ``prompts`` with how many log lines belong to the subject, and the last CONTEXT of them in order of time."""
+    rows = f"""select r.subject, l.row_id, l.timestamp, t.line, row_number() over (partition by r.subject order by l.timestamp desc, l.row_id desc) as rk
+      from ({related_logs(d)}) as r join @logs as l on l.row_id = r.row_id join ({rendered_lines(d)}) as t on t.row_id = r.row_id"""
+    shown = f"case when rk <= {CONTEXT} then line end"
+    lines = f"array_join(transform(array_sort(collect_list(case when rk <= {CONTEXT} then struct(timestamp, row_id, line) end)), x -> x.line), '\\n')" if d.name == "spark" else f"string_agg({shown}, chr(10) order by timestamp, row_id)"
+    found = f"select subject, count(*) as c, {lines} as lines from ({rows}) as x group by subject"
+    newline = "'\\n'" if d.name == "spark" else "chr(10)"
+    return f"""select p.subject, p.prompt || '. {ANSWER}' || coalesce({newline} || 'Log lines (' || cast(f.c as string) || '):' || {newline} || f.lines, '') as prompt
+      from ({prompts(d)}) as p left join ({found}) as f on f.subject = p.subject"""
+
+
+def offline_analysis(d: Dialect) -> str:
+    """What is said of each subject where no model can be asked."""
+    return f"""select distinct subject, 'No model could be asked; keep watching.' as summary, 'no assessment by a model' as risks, 'medium' as risk_level, 'keep watching' as actions, false as used_model
+      from ({kept(d)}) as k where subject is not null"""
+
+
 # Program names and the class that they stand for, in the order in which they are looked for.
 PROGRAM_CLASSES = [
     ("firewall", "firewall"), ("router_ios", "router"), ("named", "dns"), ("dnsmasq", "dns"), ("winevent", "windows_eventlog"), ("security", "windows_eventlog"), ("system", "windows_eventlog"), ("sysmon", "windows_eventlog"),

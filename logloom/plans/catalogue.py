@@ -283,7 +283,8 @@ def catalogue() -> dict[str, Text]:
         "report_kept": on_alerts(report.kept), "subject_rollup": on_alerts(report.subject_rollup), "report_summary": on_alerts(report.summary), "webhook_payload": on_alerts(report.webhook_payload),
             "client_filter": on_alerts(report.client_filter), "related_logs": bind(report.related_logs, alerts=alerts, logs=logs),
         "result_payload": payloads, "client_search": searched("Port_Scan"), "client_search_filtered": searched("watch user", severities=("CRITICAL", "WARNING"), level="HIGH"), "local_times": on_logs(local_times), "table_class": on_logs(report.table_class),
-        "geo_lookup": bind(E.geo, logs=logs, ranges=ranges), "resolve_unknown": on_logs(D.resolve_unknown), "log_class": on_logs(report.log_class), "prompts": on_alerts(report.prompts),
+        "geo_lookup": bind(E.geo, logs=logs, ranges=ranges), "resolve_unknown": on_logs(D.resolve_unknown), "log_class": on_logs(report.log_class), "prompts": on_alerts(report.prompts), "alert_prompts": on_alerts(report.alert_prompts), "offline_analysis": on_alerts(report.offline_analysis),
+        "subject_prompts": bind(report.subject_prompts, alerts=alerts, logs=logs),
         "json_flatten": json_fields, "time_filter": on_logs(time_filter), "normalised": on_logs(normalised), "all_alerts": alerts, "multiline_merge": bind(parsers.merge_multiline,
             lines=bind(rendered.stream, logs=logs)), "format_sniff": bind(parsers.sniff_counts, lines=bind(rendered.lines("openssh"), logs=logs)),
     }
