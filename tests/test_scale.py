@@ -1,8 +1,12 @@
 """What a task or a join takes up does not grow with the table."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from logloom.operators import detectors as D
 from logloom.plans import dialect
+from logloom.plans.dialect import apply
 from logloom.plans.projection import logs
 
 SF = "/root/testdata/sf0.001"
@@ -19,3 +23,50 @@ def test_log_table_is_written_in_bounded_pieces(spark, monkeypatch):
         files.setdefault(r.file, []).append(r.program)
     assert max(map(len, files.values())) <= 200
     assert all(programs == sorted(programs) for programs in files.values())
+
+
+FIVE = 300_000_000
+
+
+def router_rows(spark, n=400):
+    """Activities and events of two routers within twenty minutes, many of them at equal times or five minutes apart."""
+    draw = random.Random(3)
+    times = [draw.randrange(-FIVE, 3 * FIVE) for _ in range(12)] + [0, FIVE, -FIVE, 1_000_000, 999_999]
+    rows = [(i, f"r{draw.randrange(2)}", draw.choice(times) + draw.choice((0, FIVE, FIVE + 1, -1, 1_000_000)), draw.choice(("login", "config", "bgp", "interface", "ospf"))) for i in range(n)]
+    rows = [(i, r, us, k, draw.choice(("ann", "bob", None)) if k in ("login", "config") else None, draw.randrange(2) if k == "ospf" else 0) for i, r, us, k in rows]
+    rows += [(n, "r0", None, "config", "eve", 0), (n + 1, "r1", None, "bgp", None, 0), (n + 2, "r9", 0, "login", "zed", 0)]
+    return rows, spark.createDataFrame(rows, "row_id bigint, router string, us bigint, kind string, who string, down int")
+
+
+def pairs(rows):
+    acts = [r for r in rows if r[3] in ("login", "config") and r[4] is not None and r[2] is not None]
+    return [(e, a) for e in rows if e[3] in ("bgp", "interface", "ospf") and e[2] is not None for a in acts if a[1] == e[1] and 0 <= e[2] - a[2] <= FIVE]
+
+
+def ranged_joins(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [x for x in plan.splitlines() if "Join" in x and ("<=" in x or ">=" in x)]
+
+
+def test_router_suspects_count_without_pairs(spark):
+    rows, ev = router_rows(spark)
+    want = {}
+    for e, a in pairs(rows):
+        got = want.setdefault(a[4], {"bgp": 0, "interface": 0, "ospf": 0, "cfg": 0})
+        got[e[3]] += 1
+    for r in rows:
+        if r[3] == "config" and r[4]:
+            want.setdefault(r[4], {"bgp": 0, "interface": 0, "ospf": 0, "cfg": 0})["cfg"] += 1
+    found = apply(D.router_suspects, ev=ev)
+    assert {r.subject: {"bgp": r.bgp, "interface": r.iface, "ospf": r.ospf, "cfg": r.cfg} for r in found.collect()} == want
+    assert {"ann", "bob", "eve"} == set(want)
+    assert ranged_joins(found) == []
+
+
+def test_unattributed_events_without_pairs(spark):
+    rows, ev = router_rows(spark)
+    attributed = {e[0] for e, _ in pairs(rows)}
+    found = apply(D.interval_anti, ev=ev)
+    want = {r[0] for r in rows if r[3] in ("bgp", "interface", "ospf")} - attributed
+    assert sorted(r.row_id for r in found.collect()) == sorted(want) and want and attributed
+    assert ranged_joins(found) == []
