@@ -70,3 +70,14 @@ def test_unattributed_events_without_pairs(spark):
     want = {r[0] for r in rows if r[3] in ("bgp", "interface", "ospf")} - attributed
     assert sorted(r.row_id for r in found.collect()) == sorted(want) and want and attributed
     assert ranged_joins(found) == []
+
+
+def test_interval_join_meets_few_pairs_out_of_range(spark):
+    """Rows with equal keys that the range drops again: as many as those it keeps, before."""
+    rows, ev = router_rows(spark)
+    assert sorted((r.row_id, r.activity) for r in apply(D.interval_matches, ev=ev).collect()) == sorted((e[0], a[0]) for e, a in pairs(rows))
+    even = [(2 * i + k, "r0", i * 1_000_000, kind, "ann" if k else None, 0) for i in range(1800) for k, kind in enumerate(("bgp", "login"))]
+    ev = spark.createDataFrame(even, ev.schema)
+    found = apply(D.interval_matches, ev=ev).count()
+    met = apply(lambda d: D.interval_matches(d).rsplit(" where ", 1)[0], ev=ev).count()
+    assert found == len(pairs(even)) and met < 1.3 * found
