@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from logloom.operators import detectors as D
+from logloom.operators import report
 from logloom.plans import dialect
 from logloom.plans.dialect import apply
 from logloom.plans.projection import logs
@@ -81,3 +82,24 @@ def test_interval_join_meets_few_pairs_out_of_range(spark):
     found = apply(D.interval_matches, ev=ev).count()
     met = apply(lambda d: D.interval_matches(d).rsplit(" where ", 1)[0], ev=ev).count()
     assert found == len(pairs(even)) and met < 1.3 * found
+
+
+def test_related_logs_take_the_last_rows_of_a_key_before_the_join(spark):
+    at = lambda i: f"timestamp_micros({i})"
+    # 300 rows whose two addresses are the subject's, 300 of a user in other letters, some of a host named like the user
+    logs = spark.range(900).selectExpr(
+        "id as row_id", f"{at('id % 250')} as timestamp", "case when id % 3 = 1 then 'Ann' end as username", "case when id % 3 = 0 then '9.9.9.9' else 'x' end as source_ip",
+        "case when id % 3 = 0 then '9.9.9.9' when id % 6 = 1 then '8.8.8.8' else 'y' end as dest_ip", "case when id % 3 = 2 then 'ANN' else 'h' || id end as host")
+    alerts = spark.createDataFrame([("9.9.9.9",), ("aNN",), ("8.8.8.8",), ("nobody",), (None,), ("h7",)], "subject string")
+    found = apply(report.related_logs, alerts=alerts, logs=logs)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.subject, []).append(r.row_id)
+    newest = lambda f: sorted((i for i in range(900) if f(i)), key=lambda i: (-(i % 250), -i))[:100]
+    want = {"9.9.9.9": newest(lambda i: i % 3 == 0), "aNN": newest(lambda i: i % 3 == 1), "8.8.8.8": newest(lambda i: i % 6 == 1), "nobody": newest(lambda i: True), None: newest(lambda i: True), "h7": [7]}
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda x: next(i for i, c in enumerate(x) if c.isalpha())
+    tops = [i for i, x in enumerate(plan) if "WindowGroupLimit" in x]
+    below = lambda i: plan[i + 1 : next((j for j in range(i + 1, len(plan)) if depth(plan[j]) <= depth(plan[i])), len(plan))]
+    assert sum(not any("Join" in x for x in below(i)) for i in tops) >= 4
