@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from logloom.operators import detectors as D
-from logloom.operators import report
+from logloom.operators import report, series
 from logloom.plans import dialect
 from logloom.plans.dialect import apply
 from logloom.plans.projection import logs
@@ -103,3 +103,33 @@ def test_related_logs_take_the_last_rows_of_a_key_before_the_join(spark):
     tops = [i for i, x in enumerate(plan) if "WindowGroupLimit" in x]
     below = lambda i: plan[i + 1 : next((j for j in range(i + 1, len(plan)) if depth(plan[j]) <= depth(plan[i])), len(plan))]
     assert sum(not any("Join" in x for x in below(i)) for i in tops) >= 4
+
+
+def test_sessions_take_rows_together_before_windows(spark):
+    """Rows met a window each and a join with the whole table, before."""
+    gap = 900_000_000
+    draw = random.Random(5)
+    steps = (0, 1, 1_000_000, gap - 1, gap, gap + 1, 3 * gap)
+    rows, us = [], -20 * gap
+    for i in range(600):
+        if i % 12 == 0:
+            who = draw.choice(("1.1.1.1", "2.2.2.2", None)), draw.choice(("ann", "bob", None))
+        us += draw.choice(steps)
+        rows.append((i, draw.choice((us, us - gap, None)) if i % 9 == 0 else us, *who))
+    draw.shuffle(rows)
+    logs = spark.createDataFrame(rows, "row_id bigint, us bigint, source_ip string, username string").selectExpr("row_id", "timestamp_micros(us) as timestamp", "source_ip", "username")
+    want = {}
+    for key in {(r[2], r[3]) for r in rows if r[2] and r[3]}:
+        number, before = 0, None
+        for _, at, _, _ in sorted((r for r in rows if r[2:] == key), key=lambda r: (r[1] is not None, r[1] or 0)):
+            number += at is not None and before is not None and at - before > gap
+            before = at
+            want.setdefault(f"{key[0]}-{key[1]}-{number}", []).append(at)
+    span = lambda x: max(x) - min(x) if x else None
+    found = apply(series.sessions, logs=logs)
+    assert {r.session_id: (r.events, r.span_us) for r in found.collect()} == {k: (len(v), span([x for x in v if x is not None])) for k, v in want.items()}
+    assert len(want) > 40 and max(map(len, want.values())) > 5
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("Join" in x for x in plan)
+    windows = [i for i, x in enumerate(plan) if "Window [" in x]
+    assert windows and any("Aggregate [" in x for x in plan[max(windows) + 1 :])
