@@ -84,6 +84,27 @@ def test_interval_join_meets_few_pairs_out_of_range(spark):
     assert found == len(pairs(even)) and met < 1.3 * found
 
 
+def test_interval_join_writes_pairs_in_little_space(spark, tmp_path):
+    """An event met all its activities before the next event did, and a pair took some two bytes in a file."""
+    draw = random.Random(8)
+    even = [(i, "r0", 60_000 * i, "login" if i % 12 else "bgp", f"user{draw.randrange(30)}" if i % 12 else None, 0) for i in range(4000)]
+    _, like = router_rows(spark)
+    found = apply(D.interval_matches, ev=spark.createDataFrame(even, like.schema))
+    found.write.parquet(f"{tmp_path}/pairs")
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/pairs").collect()) == sorted((e[0], *e[1:2], e[3], e[5], e[2], a[4], a[0]) for e, a in pairs(even))
+    size = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert size < 0.8 * len(pairs(even))
+
+
+def test_interval_join_holds_the_pairs_of_two_tiles_only(spark):
+    """Nothing lay between the join and what multiplies its rows, before."""
+    _, ev = router_rows(spark)
+    plan = apply(D.interval_matches, ev=ev)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first = lambda what: next(i for i, x in enumerate(plan) if what in x)
+    assert sum("Generate explode" in x for x in plan[: first("Repartition")]) == 2
+    assert first("Repartition") < first("Join") and f"{D.PAIR_TASKS}, false" in plan[first("Repartition")]
+
+
 def test_related_logs_take_the_last_rows_of_a_key_before_the_join(spark):
     at = lambda i: f"timestamp_micros({i})"
     # 300 rows whose two addresses are the subject's, 300 of a user in other letters, some of a host named like the user
